@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACE, WordEncoder, blocks, encoder
+from .words import SPACE, WordEncoder, blocks, encoder, tokens_of
 
 #: Bytes of a leaf, and characters from which a text is spread over tasks, as pieces of so many bytes.
 LEAF_BYTES = 4096
@@ -212,8 +212,8 @@ def decoded(ids: Column, tokenizer: str) -> Column:
 
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
-        tokens = encoder(tokenizer, spaces=True).tokens
-        return ids.map(lambda x: " ".join(map(tokens.__getitem__, np.frombuffer(x, np.uint32).tolist())))
+        tokens = tokens_of(tokenizer)
+        return ids.map(lambda x: b" ".join(tokens[np.frombuffer(x, np.uint32)]).decode())
 
     return decode(ids)
 
@@ -223,7 +223,7 @@ def digest(ids: Column, tokenizer: str) -> Column:
 
     @F.pandas_udf("ids_sha256 string, decoded_sha256 string")
     def both(ids: pd.Series) -> pd.DataFrame:
-        tokens = np.array([t.encode() for t in encoder(tokenizer, spaces=True).tokens], object)
+        tokens = tokens_of(tokenizer)
         out = [(hashlib.sha256(x).hexdigest(), hashlib.sha256(b" ".join(tokens[np.frombuffer(x, np.uint32)])).hexdigest()) for x in ids]
         return pd.DataFrame(out, columns=["ids_sha256", "decoded_sha256"])
 

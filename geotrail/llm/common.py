@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input. Python gets it in batches of few rows, as one row may be a very long text."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

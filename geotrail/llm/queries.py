@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, bpe, packing
+from . import bitpack, bpe, langid, mpeg, packing, recipes, secrets
 from .common import read_table
 
 
@@ -22,6 +22,16 @@ def op1_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.withColumn("d", bpe.digest(F.col("ids"), path)).select("doc_id", "n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
+def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mpeg.read_media(mpeg.store_texts(read_table(spark, sf_dir, "documents")), keep_payload=False)
+    feature = F.concat_ws(";", F.concat_ws("/", "samples", "rate"), F.concat("table_frames", F.lit(":"), "table_bytes"), F.md5("toc"), "bad_frames", "skipped_bytes", F.md5(F.concat_ws(",", F.col("offsets").cast("array<string>"))))
+    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keep_ids=False)
 
@@ -31,5 +41,27 @@ def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_packed(spark.read.parquet(path), keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_tree, op5_pack_sequences, op7_packed_ids)}
-ORACLES: dict[str, str] = {}
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] != secrets.KINDS[3])
+
+    def of_kind(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    found = secrets.scan_table(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+    return found.select("doc_id", *map(of_kind, secrets.KINDS[:3]), F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(spans).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_tree, op2_mpeg_audio, op4_language_id, op5_pack_sequences, op7_packed_ids, op8_exact_dedup, op10_secret_scan)}
+
+ORACLES: dict[str, str] = {
+    "op8_exact_dedup": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents)
+        SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
+               doc_id = max(doc_id) OVER (PARTITION BY x) AS kept, sha256(x) AS text_sha256
+        FROM t""",
+}

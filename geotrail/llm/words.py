@@ -83,7 +83,7 @@ class WordEncoder:
     spaces: keep SPACE between the chunks of a lower-case vocabulary, so that ids can be aligned with a text.
     """
 
-    def __init__(self, path: str, spaces: bool = False, most: int = 150_000) -> None:
+    def __init__(self, path: str, spaces: bool = False, most: int = 80_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -203,7 +203,7 @@ class WordEncoder:
         return pool[at], ends[lists.offsets.to_numpy()]
 
 
-def blocks(texts: list[str | None], size: int = 4_000_000) -> Iterator[list[str]]:
+def blocks(texts: list[str | None], size: int = 2_000_000) -> Iterator[list[str]]:
     """Consecutive texts of about size characters together; null counts as empty."""
     block, n = [], 0
     for x in texts:
@@ -216,6 +216,22 @@ def blocks(texts: list[str | None], size: int = 4_000_000) -> Iterator[list[str]
         yield block
 
 
+_TOKENS: dict[str, np.ndarray] = {}
+
+
+def tokens_of(path: str) -> np.ndarray:
+    """The UTF-8 bytes of every token's text, by id; without the rest of an encoder."""
+    if path not in _TOKENS:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        out = np.full(max(vocab.values()) + 1, b"", object)
+        for token, i in vocab.items():
+            out[i] = token.encode()
+        _TOKENS[path] = out
+    return _TOKENS[path]
+
+
 _ENCODERS: dict[tuple, WordEncoder] = {}
 
 
