@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, bpe, langid, mpeg, packing, recipes, secrets
+from . import bitpack, bpe, langid, mpeg, nearset, packing, recipes, repeats, secrets, shards
 from .common import read_table
 
 
@@ -28,6 +28,11 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op3_compacted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shards.compacted(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "arrival", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,10 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keep_ids=False)
 
 
+def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read_table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = bitpack.write_packed(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return bitpack.read_packed(spark.read.parquet(path), keep_ids=False)
@@ -45,6 +54,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearset.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"] != secrets.KINDS[3])
@@ -56,9 +69,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of_kind, secrets.KINDS[:3]), F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(spans).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_tree, op2_mpeg_audio, op4_language_id, op5_pack_sequences, op7_packed_ids, op8_exact_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_bpe_tree, op2_mpeg_audio, op3_compacted_shards, op4_language_id, op5_pack_sequences, op6_repeated_substrings, op7_packed_ids, op8_exact_dedup, op9_near_dedup, op10_secret_scan)}
 
 ORACLES: dict[str, str] = {
+    "op3_compacted_shards": """
+        SELECT doc_id, CAST(coalesce(((doc_id % 8) + 8) % 8, 0) AS INTEGER) AS arrival, lang, source, n_chars,
+               strlen(text) AS n_bytes, sha256(text) AS text_sha256
+        FROM documents""",
     "op8_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
