@@ -1 +1 @@
-"""Operators of the record-to-journey engine."""
+"""Queries over the driver tables and their oracles."""
