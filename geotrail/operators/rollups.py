@@ -75,7 +75,7 @@ def ordered_distinct(rows: DataFrame, group: str, order: list[str], values: str)
 
 
 def mean_confidence(members: DataFrame, group: str, column: str = "confidence") -> DataFrame:
-    return members.groupBy(group).agg(F.round(F.avg(column), 4).alias("mean_confidence"))
+    return members.groupBy(group).agg(F.round(F.round(F.avg(column), 9), 4).alias("mean_confidence"))
 
 
 def quantiles(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:

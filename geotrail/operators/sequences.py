@@ -89,7 +89,7 @@ def build_trips(rows: DataFrame, segment: list[str], home: int, themes: str | No
     step = F.struct("sequence", "visit_id", "lon", "lat", "t")
     trips = routed.groupBy(*segment).agg(
         F.min("t").alias("start"), F.max("t").alias("end"), F.array_sort(F.collect_list(step)).alias("route"), F.array_sort(F.collect_set("province")).alias("provinces"),
-        F.array_sort(F.collect_set("city")).alias("cities"), F.round(F.avg("confidence"), 4).alias("mean_confidence"),
+        F.array_sort(F.collect_set("city")).alias("cities"), F.round(F.round(F.avg("confidence"), 9), 4).alias("mean_confidence"),
     )
     ids = F.transform("route", lambda r: r["visit_id"])
     trips = trips.withColumn("visit_ids", ids).withColumn("trip_id", stable_id("trip", F.concat_ws("\0", ids.cast("array<string>"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import columns, records, relations
+from . import columns, found, groups, records, relations, served
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "columns", "records", "relations"]
+__all__ = ["ORACLES", "QUERIES", "columns", "found", "groups", "records", "relations", "served"]
