@@ -38,6 +38,7 @@ _LOWER_WORDS = re.compile(f"{_SHORT}|[{_L}]+|[{_N}]|[{_S}]|[^{_S}{_L}{_N}]+")
 _BYTE_WORDS = re.compile(f"{_SHORT}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: White space of which str.split() has its own idea, and spaces beside other white space.
 _CONTROL = re.compile("[\x1c-\x1f]")
+_RARE_WHITE = _WHITE.replace(" ", "").replace("\n", "")
 _UNEVEN = re.compile(f"^ | [{_S}]|[{_S}] | $")
 
 #: Stands for one normalized space among the ids of a lower-case vocabulary; never a token.
@@ -53,6 +54,9 @@ def _byte_letters() -> list[str]:
 
 
 _LETTERS = str.maketrans(dict(enumerate(_byte_letters())))
+_SPACE_LETTER = _byte_letters()[32]
+#: Common signs at the end of a word; each is a word of its own.
+_STOPS = (".", ",", ";", ":", "!", "?")
 
 
 class _Bounded(dict):
@@ -109,15 +113,21 @@ class WordEncoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of one word, by the library's merges."""
-        if self.lower and word == " ":
+        if self.lower and word in _WHITE:
             return np.uint32(SPACE).tobytes() if self.spaces else b""
-        letters = word if self.lower and word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(_LETTERS)
+        if word.isascii() and word.isprintable():  # all but the space stand for themselves
+            letters = word.replace(" ", _SPACE_LETTER)
+        else:
+            letters = word.encode().decode("latin-1").translate(_LETTERS)
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of what stands between two spaces; for a byte-level vocabulary with the space before it."""
-        if self.lower and chunk.isalpha():
+        body = chunk if self.lower else chunk[1:]
+        if body.isalpha():  # one word
             return self.words[chunk] + self.tail
+        if chunk[-1:] in _STOPS and body[:-1].isalpha():  # a word and a stop
+            return self.words[chunk[:-1]] + self.words[chunk[-1]] + self.tail
         return self.words.all(self.split(chunk) if self.lower else self.find(chunk)) + self.tail
 
     def normalize(self, text: str) -> str:
@@ -161,7 +171,11 @@ class WordEncoder:
 
     def _alone(self, text: str) -> bool:
         """Whether a text needs a way of its own."""
-        return bool(_LATE.search(text) or "<|" in text or "\0" in text or "\u0130" in text or (not self.lower and _UNEVEN.search(text)))
+        if "<|" in text or "\0" in text or not text.isascii() and ("\u0130" in text or _LATE.search(text)):
+            return True
+        if self.lower:
+            return False
+        return text[:1] == " " or text[-1:] == " " or "  " in text or "\n " in text or " \n" in text or any(c in text for c in _RARE_WHITE)
 
     def many(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of every text, in order. Equal chunks of all the texts are looked up once; hand over some MB at a time."""
@@ -188,7 +202,16 @@ class WordEncoder:
 
     def _gather(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         codes = lists.flatten().dictionary_encode()
-        ids = [self.chunks[x] for x in codes.dictionary.to_pylist()]
+        chunks = codes.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.chunks.get, chunks))
+        older = self.chunks.before.get
+        for k in [k for k, x in enumerate(ids) if x is None]:
+            chunk = chunks[k]
+            ids[k] = older(chunk)
+            if ids[k] is None:
+                ids[k] = self._chunk(chunk)
+            if len(chunk) <= _LONG:
+                self.chunks[chunk] = ids[k]
         if len(self.chunks) > self.chunks.most or len(self.words) > self.words.most:
             self.chunks.all([])
             self.words.all([])
@@ -238,5 +261,5 @@ _ENCODERS: dict[tuple, WordEncoder] = {}
 def encoder(path: str, spaces: bool = False) -> WordEncoder:
     """One encoder for each file and Python worker."""
     if (path, spaces) not in _ENCODERS:
-        _ENCODERS[path, spaces] = WordEncoder(path, spaces)
+        _ENCODERS[path, spaces] = WordEncoder(path, spaces, 80_000 if spaces else 250_000)
     return _ENCODERS[path, spaces]
