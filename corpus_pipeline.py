@@ -19,17 +19,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned from the labelled ones; those without a letter go. lang becomes the prediction."""
     docs = _ready(spark, docs)
     prototypes = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
-    named = docs.withColumn("p", langid.predict(F.col("text"), prototypes))
-    return named.where(F.col("p.lang_pred") != langid.UNKNOWN).withColumn("lang", F.col("p.lang_pred")).select(*docs.columns)
+    named = docs.withColumn("_predicted", langid.predict(F.col("text"), prototypes)["lang_pred"])
+    return named.where(F.col("_predicted") != langid.UNKNOWN).withColumn("lang", F.col("_predicted")).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, that of the largest doc_id; one of those that repeat with id and text."""
     docs = _ready(spark, docs)
-    kept = recipes.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("keep_id"), "text_sha256")
-    named = docs.withColumn("sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("sha256") == F.col("text_sha256"))
-    return named.join(kept, same, "left_semi").dropDuplicates(["doc_id", "sha256"]).select(*docs.columns)
+    kept = recipes.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    named = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
+    return named.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +42,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret found in a text replaced by a mark; n_chars follows."""
     docs = _ready(spark, docs)
-    found = docs.withColumn("spans", secrets.secret_spans(F.col("text"), vocabulary("byte_bpe_50k.tiktoken")))
-    text = F.when(F.size("spans") > 0, secrets.masked(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    found = docs.withColumn("_spans", secrets.secret_spans(F.col("text"), vocabulary("byte_bpe_50k.tiktoken")))
+    text = F.when(F.size("_spans") > 0, secrets.masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
     return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

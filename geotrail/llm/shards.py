@@ -132,13 +132,21 @@ def compacted(docs: DataFrame, arrivals: int = 8, id_col: str = "doc_id", text_c
     """The table after its rows came in as arrivals, dealt by the id, and were compacted: all rows and columns, and arrival.
 
     Rows are never changed or merged: nulls, repeated rows and other columns come back as they are; a null id belongs to
-    arrival 0. An empty table is one empty run.
+    arrival 0. An empty table is one empty run. Where a column is named arrival already, the added one is _arrival.
     """
     store = ShardStore(docs.sparkSession, **options)
     arrival = F.coalesce(F.pmod(F.col(id_col), F.lit(arrivals)), F.lit(0)).cast("int")
-    rows = docs.withColumn("arrival", arrival).withColumn("batch", arrival)
+    name, batch = _free("arrival", docs), _free("batch", docs)
+    rows = docs.withColumn(name, arrival).withColumn(batch, arrival)
     if rows.limit(1).collect():
-        store.append_all(rows, "batch")
+        store.append_all(rows, batch)
     else:
-        store.append(rows.drop("batch"))
-    return store.read().select(*docs.columns, "arrival")
+        store.append(rows.drop(batch))
+    return store.read().select(*docs.columns, name)
+
+
+def _free(name: str, df: DataFrame) -> str:
+    """A name that no column has, with as many underscores in front as it takes."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
