@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.io import written
 from .joins import DAY, st_pairs
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a written table in the folder that spark.checkpoint.dir names; a temporary one where it is unset."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def neighbor_rule(visits: DataFrame, near: tuple[float, float] = (5, 100), travel: tuple[float, float] = (2, 2500), supported: str | None = None) -> DataFrame:
     """(left, right, kind, gap_days, km): near within (days, km); travel_transition within other limits if both ends are supported."""
     pairs = st_pairs(visits, near[0], near[1]).withColumn("kind", F.lit("near"))

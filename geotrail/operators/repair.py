@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import parse_whole
+
 
 def nullable_text(c: Column) -> Column:
     """Trimmed text; empty text and written nulls are null."""
@@ -60,7 +62,7 @@ def required_fields(text: Column, fields: list[str]) -> Column:
 
 def recover_json(text: Column) -> Column:
     """JSON text made valid by the least of these: nothing, no code fence, no trailing commas, a bad closing quote mended; else null."""
-    valid = lambda t: F.try_parse_json(t).isNotNull()
+    valid = lambda t: parse_whole(t).isNotNull()
     fence = F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
     commas = F.regexp_replace(fence, r",(\s*[}\]])", "$1")
     quotes = F.regexp_replace(F.regexp_replace(commas, "[“”]", '"'), r"'(\s*[,}\]])", '"$1')
@@ -70,7 +72,7 @@ def recover_json(text: Column) -> Column:
 def recover_objects(df: DataFrame, column: str, fields: list[str]) -> DataFrame:
     """Adds recovered: the repaired text where it is one complete object with all fields, else null."""
     fixed = recover_json(F.col(column))
-    is_object = F.schema_of_variant(F.try_parse_json(fixed)).startswith("OBJECT")
+    is_object = F.schema_of_variant(parse_whole(fixed)).startswith("OBJECT")
     return df.withColumn("recovered", F.when(is_object & required_fields(fixed, fields), fixed))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.geo import haversine
+from ..sources.io import written
 
 
 def search_trips(trips: DataFrame, text: str | None = None, years: tuple[int, int] | None = None, province: str | None = None, city: str | None = None, kind: str | None = None) -> DataFrame:
@@ -97,7 +98,7 @@ def shortest_order(nodes: DataFrame, group: str, most: int = 7) -> DataFrame:
     """(group, path, km): the best open path through all nodes (node, lon, lat) of each group of at most most nodes.
 
     Paths grow by one node a round through a join on the group; of the paths over the same nodes with the same last
-    node only the best goes on, so a group of n nodes never has more than n 2**n partial paths.
+    node only the best goes on, so a group of n nodes never has more than n 2**n partial paths. Each round is written.
     """
     sized = nodes.withColumn("_n", F.count("*").over(W.partitionBy(group))).where(F.col("_n") <= most)
     step = sized.select(group, F.col("node").alias("_node"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
@@ -107,5 +108,5 @@ def shortest_order(nodes: DataFrame, group: str, most: int = 7) -> DataFrame:
         longer = paths.where(F.size("path") < F.col("_n")).join(step, group).where(~F.array_contains("path", F.col("_node")))
         grown = longer.select(group, "_n", F.concat("path", F.array("_node")).alias("path"), (F.col("km") + haversine(F.col("x"), F.col("y"), F.col("_lon"), F.col("_lat"))).alias("km"), F.col("_lon").alias("x"), F.col("_lat").alias("y"), "_node")
         best = grown.groupBy(group, "_n", F.array_sort("path").alias("_set"), "_node").agg(F.min_by(F.struct("path", "km", "x", "y"), F.struct("km", "path")).alias("b"))
-        paths = done.unionByName(best.select(group, "_n", "b.*"))
+        paths = written(done.unionByName(best.select(group, "_n", "b.*")))
     return paths.groupBy(group).agg(F.min_by(F.struct("path", "km"), F.struct("km", "path")).alias("b")).select(group, "b.path", "b.km")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +12,22 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a written table in the folder that spark.checkpoint.dir names; a temporary one where it is unset."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def parse_whole(text: Column) -> Column:
+    """The text as a variant if all of it is one JSON value, else null; the built-in parser stops after the first value."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    one = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(listed.isNotNull() & one, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Records of JSON lines; blank lines are no records."""
     return spark.read.schema(schema).json(path)
@@ -17,7 +35,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 def scan_with_quarantine(lines: DataFrame, line: str = "line", number: str = "line_no", excerpt: int = 240) -> tuple[DataFrame, DataFrame]:
     """(good, bad) of text lines. Only objects are good; bad keeps (number, error, raw_excerpt). Blank lines are neither."""
-    parsed = lines.where(F.trim(line) != "").withColumn("doc", F.try_parse_json(line))
+    parsed = lines.where(F.trim(line) != "").withColumn("doc", parse_whole(F.col(line)))
     is_object = F.schema_of_variant("doc").startswith("OBJECT")
     error = F.when(F.col("doc").isNull(), "malformed").when(~is_object, "not_object")
     marked = parsed.withColumn("error", error)
