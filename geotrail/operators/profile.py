@@ -9,30 +9,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def field_states(line: Column, fields: dict[str, str]) -> Column:
-    """array<struct<field, state>> of a JSON object's text: missing, null, empty, nonempty or wrong_type.
+def _state(present: Column, kind: Column, value: Column) -> Column:
+    shape = F.schema_of_variant(value)
+    right = F.when(kind == "NUMBER", shape.rlike("^(BIGINT|DOUBLE|DECIMAL|INT|FLOAT)")).otherwise(F.startswith(shape, kind))
+    empty = F.when(shape == "STRING", F.trim(F.try_variant_get(value, "$", "string")) == "").otherwise(shape.isin("ARRAY<VOID>", "OBJECT<>"))
+    return F.when(~present, "missing").when(shape == "VOID", "null").when(~right, "wrong_type").when(empty, "empty").otherwise("nonempty")
 
-    fields maps a name to STRING, NUMBER, BOOLEAN, OBJECT or ARRAY.
-    """
-    doc = F.try_parse_json(line)
-    keys = F.coalesce(F.json_object_keys(line), F.array())
-
-    def state(field: str, kind: str) -> Column:
-        value = F.try_variant_get(doc, f"$.{field}", "variant")
-        shape = F.schema_of_variant(value)
-        number = shape.rlike("^(BIGINT|DOUBLE|DECIMAL|INT|FLOAT)")
-        right = {"NUMBER": number}.get(kind, shape.startswith(kind))
-        empty = F.when(shape == "STRING", F.trim(F.try_variant_get(doc, f"$.{field}", "string")) == "").when(shape.startswith("ARRAY"), shape == "ARRAY<VOID>").when(shape.startswith("OBJECT"), shape == "OBJECT<>")
-        return (
-            F.when(~F.array_contains(keys, field), "missing").when(shape == "VOID", "null").when(~right, "wrong_type").when(F.coalesce(empty, F.lit(False)), "empty").otherwise("nonempty")
-        )
 
-    return F.array(*[F.struct(F.lit(f).alias("field"), state(f, k).alias("state")) for f, k in fields.items()])
+def field_states(rows: DataFrame, fields: dict[str, str], line: str = "line") -> DataFrame:
+    """The rows once per field, with field and state of a JSON object's text: missing, null, empty, nonempty or wrong_type.
+
+    fields maps a name to STRING, NUMBER, BOOLEAN, OBJECT or ARRAY. Each line is parsed once.
+    """
+    parsed = rows.withColumn("_doc", F.try_parse_json(line)).withColumn("_keys", F.coalesce(F.json_object_keys(line), F.array()))
+    each = [F.struct(F.lit(f).alias("field"), F.lit(k).alias("kind"), F.array_contains("_keys", f).alias("present"), F.try_variant_get("_doc", f"$.{f}", "variant").alias("value")) for f, k in fields.items()]
+    named = parsed.select(*rows.columns, F.explode(F.array(*each)).alias("_f"))
+    state = _state(F.col("_f.present"), F.col("_f.kind"), F.col("_f.value"))
+    return named.select(*rows.columns, F.col("_f.field").alias("field"), state.alias("state"))
 
 
 def field_coverage(raw: DataFrame, fields: dict[str, str], line: str = "line") -> DataFrame:
     """Per field the rows in total and in each state; present is all that is not missing."""
-    states = raw.select(F.explode(field_states(F.col(line), fields)).alias("s")).select("s.*")
+    states = field_states(raw.select(line), fields, line)
     names = ("missing", "null", "empty", "nonempty", "wrong_type")
     counts = [F.count_if(F.col("state") == n).alias(f"n_{n}") for n in names]
     return states.groupBy("field").agg(F.count("*").alias("total"), F.count_if(F.col("state") != "missing").alias("present"), *counts)

@@ -24,8 +24,7 @@ def written(df: DataFrame) -> DataFrame:
 def parse_whole(text: Column) -> Column:
     """The text as a variant if all of it is one JSON value, else null; the built-in parser stops after the first value."""
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    one = F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return F.when(listed.isNotNull() & one, F.try_variant_get(listed, "$[0]", "variant"))
+    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -35,12 +34,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 def scan_with_quarantine(lines: DataFrame, line: str = "line", number: str = "line_no", excerpt: int = 240) -> tuple[DataFrame, DataFrame]:
     """(good, bad) of text lines. Only objects are good; bad keeps (number, error, raw_excerpt). Blank lines are neither."""
-    parsed = lines.where(F.trim(line) != "").withColumn("doc", parse_whole(F.col(line)))
-    is_object = F.schema_of_variant("doc").startswith("OBJECT")
-    error = F.when(F.col("doc").isNull(), "malformed").when(~is_object, "not_object")
-    marked = parsed.withColumn("error", error)
+    shape = F.schema_of_variant(parse_whole(F.col(line)))
+    error = F.when(F.startswith(shape, F.lit("OBJECT")), F.lit(None)).when(shape.isNotNull(), "not_object").otherwise("malformed")
+    # one row makes one row, and the filters below do not parse again
+    marked = lines.where(F.trim(line) != "").select("*", F.explode(F.array(error)).alias("error"))
     bad = marked.where(F.col("error").isNotNull()).select(number, "error", F.substring(line, 1, excerpt).alias("raw_excerpt"))
-    return marked.where(F.col("error").isNull()).drop("error", "doc"), bad
+    return marked.where(F.col("error").isNull()).drop("error"), bad
 
 
 def read_json_dir(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
