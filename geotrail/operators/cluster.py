@@ -22,6 +22,15 @@ def neighbor_rule(visits: DataFrame, near: tuple[float, float] = (5, 100), trave
     return pairs.unionByName(far).select("left", "right", "kind", "gap_days", "km")
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds 0, 1, ... in order of a unique column: ranges of it are numbered on their own and put one after the other."""
+    dealt = written(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row for each range
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1
+    return dealt.withColumn("_i", inside).join(before, "_part").withColumn(name, F.col("_before") + F.col("_i")).drop("_part", "_i", "_before")
+
+
 def st_dbscan(visits: DataFrame, edges: DataFrame, min_samples: int = 2, key: str = "visit_id", time: str = "t") -> DataFrame:
     """(key, cluster, role): cores have min_samples - 1 neighbours at least; clusters are numbered by their earliest core.
 
@@ -42,8 +51,7 @@ def st_dbscan(visits: DataFrame, edges: DataFrame, min_samples: int = 2, key: st
         labels = done.select("v", "label")
         if not done.where("old <> label").limit(1).collect():
             break
-    heads = labels.select("label").distinct()  # one row for each cluster
-    numbers = heads.select("label", (F.row_number().over(W.orderBy("label")) - 1).alias("cluster"))
+    numbers = numbered(labels.select("label").distinct(), "label", "cluster")
     core = labels.join(numbers, "label").select(F.col("v").alias(key), "cluster", F.lit("core").alias("role"))
     border = both.join(core.select(F.col(key).alias("b"), "cluster"), "b").join(core.select(F.col(key).alias("a")), "a", "left_anti")
     border = border.groupBy(F.col("a").alias(key)).agg(F.min("cluster").alias("cluster")).withColumn("role", F.lit("border"))
@@ -74,7 +82,7 @@ def sweep(visits: DataFrame, configs: dict[str, dict], supported: Column | None
         sizes = labels.where("cluster is not null").groupBy("cluster").agg(F.count("*").alias("size"))
         totals = labels.agg(F.count("*").alias("visits"), F.count_if(F.col("cluster").isNotNull()).alias("members"), F.count_if(F.col("role") == "noise").alias("noise"))
         shape = sizes.agg(F.count("*").alias("clusters"), F.percentile("size", F.lit(0.5)).alias("median_size"), F.max("size").alias("largest"))
-        rows.append(totals.join(shape).withColumn("config", F.lit(name)))  # one row beside one row
+        rows.append(totals.withColumn("config", F.lit(name)).join(shape.withColumn("config", F.lit(name)), "config"))
     return reduce(DataFrame.unionByName, rows)
 
 

@@ -53,16 +53,20 @@ def region_lookup(rows: DataFrame, regions: DataFrame, key: str, allowed: list[s
     return rows.join(usable.drop("found"), key, "left")
 
 
-def cascade(rows: DataFrame, key: str, sources: list[tuple[str, DataFrame]], default: DataFrame | None = None) -> DataFrame:
-    """Each row with all points of the first source (method) that has any; sources are tables of key and the same point columns."""
+def cascade(rows: DataFrame, key: str, sources: list[tuple[str, DataFrame]], default: dict | None = None) -> DataFrame:
+    """Each row with all points of the first source (method) that has any; sources are tables of key and the same point columns.
+
+    default gives the columns of the one point that rows without any get.
+    """
     parts = [df.withColumn("method", F.lit(name)).withColumn("_p", F.lit(k)) for k, (name, df) in enumerate(sources)]
     points = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     best = points.groupBy(key).agg(F.min("_p").alias("_p"))
     chosen = rows.select(key).join(points.join(best, [key, "_p"]).drop("_p"), key, "left")
     if default is None:
         return chosen
-    rest = chosen.where(F.col("method").isNull()).select(key).join(default)  # default has one row
-    return chosen.where(F.col("method").isNotNull()).unionByName(rest.withColumn("method", F.lit("default")), allowMissingColumns=True)
+    missing = F.col("method").isNull()
+    filled = {c: F.when(missing, F.lit(v)).otherwise(F.col(c)) for c, v in default.items()}
+    return chosen.withColumns(filled | {"method": F.coalesce("method", F.lit("default"))})
 
 
 def nearest_asof(rows: DataFrame, anchors: DataFrame, time: str, tolerance: int, keep: list[str], prefix: str = "anchor_") -> DataFrame:

@@ -219,7 +219,7 @@ def b10_multi_distinct(t: Inputs):
 def b11_quality_gates(t: Inputs):
     lines = t.fx_raw.agg(F.count_if(F.expr("line_no % 97 = 0")).alias("broken"), (F.count("*") - F.count_distinct("line_no")).alias("repeated"))
     loose = t.labels.join(t.documents, "doc_id", "left_anti").agg(F.count("*").alias("loose"))
-    metrics = lines.join(loose)  # one row beside one row
+    metrics = lines.withColumn("run", F.lit(1)).join(loose.withColumn("run", F.lit(1)), "run")  # one row each
     return profile.gates(metrics, {"parse_clean": F.col("broken") == 0, "no_duplicates": F.col("repeated") == 0, "all_linked": F.col("loose") == 0})
 
 

@@ -66,8 +66,7 @@ def f08_fallback_cascade(t: Inputs):
     scored = d.join(t.orders.where("o_orderstatus = 'F'"), C("o_orderkey") == C("post_id")).select("post_id", C("o_orderkey").alias("point"))
     own = d.where("post_id % 4 = 0").selectExpr("post_id", "post_id * 10 AS point").unionByName(d.where("post_id % 8 = 0").selectExpr("post_id", "post_id * 10 + 1 AS point"))
     region = d.where("lang = 'en'").select("post_id", C("n_chars").alias("point"))
-    default = t.spark.range(1).select(F.lit(-1).cast("long").alias("point"))
-    return joins.cascade(d, "post_id", [("scored", scored), ("own", own), ("region", region)], default)
+    return joins.cascade(d, "post_id", [("scored", scored), ("own", own), ("region", region)], {"point": -1})
 
 
 @query("""
