@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACE, WordEncoder, blocks, encoder, tokens_of
+from .common import held
+from .words import SPACE, WordEncoder, blocks, make_encoder, tokens_of
 
 #: Bytes of a leaf, and characters from which a text is spread over tasks, as pieces of so many bytes.
 LEAF_BYTES = 4096
@@ -135,13 +136,9 @@ class TreeEncoder:
                 yield ids[ids != SPACE]
 
 
-_TREES: dict[tuple, TreeEncoder] = {}
-
-
 def tree(path: str, leaf_bytes: int) -> TreeEncoder:
-    if (path, leaf_bytes) not in _TREES:
-        _TREES[path, leaf_bytes] = TreeEncoder(encoder(path, spaces=True), leaf_bytes)
-    return _TREES[path, leaf_bytes]
+    """The encoder of this Python worker."""
+    return held(("tree", path, leaf_bytes), lambda: TreeEncoder(make_encoder(path, spaces=True), leaf_bytes))
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", leaf_bytes: int = LEAF_BYTES, spread_chars: int = SPREAD_CHARS) -> DataFrame:
@@ -178,7 +175,8 @@ def _spread(texts: DataFrame, tokenizer: str, leaf_bytes: int, piece_bytes: int)
     """(key, n_tokens, ids) of few long texts: cut, encode the pieces on all tasks, then join the pieces of each text."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, halve = encoder(tokenizer, spaces=True), TreeEncoder(encoder(tokenizer, spaces=True), piece_bytes).cut
+        words = tree(tokenizer, leaf_bytes).words
+        halve = TreeEncoder(words, piece_bytes).cut
         for pdf in batches:
             for key, text in zip(pdf["key"], pdf["text"], strict=True):
                 found = []

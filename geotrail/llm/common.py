@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +36,24 @@ def materialize(df: DataFrame, path: str | None = None, **options: str) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict[str, Any] = {}
+
+
+def held(key: tuple, make: Callable[[], Any]) -> Any:
+    """A large helper of this Python worker. Only the last one asked for is kept, as workers serve one stage after another."""
+    if _HELD.get("key") != key:
+        if _HELD:
+            _HELD.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)  # give freed memory back to the system
+            except (OSError, AttributeError):
+                pass
+        value = make()
+        _HELD.update(key=key, value=value)
+    return _HELD["value"]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers (finalizer with two multiplications)."""
     x = x.astype(np.uint64, copy=True)

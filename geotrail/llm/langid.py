@@ -16,11 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
 
-DIM, ORDER = 1024, 3
+DIM, ORDER = 512, 3
 UNKNOWN = "und"
 #: Sequences a task remembers the vectors of.
-MOST = 30_000
+MOST = 16_000
 
 _LETTERS: list[np.ndarray] = []
 
@@ -85,11 +86,9 @@ class Profiles:
         return total
 
 
-_PROFILES: dict[int, Profiles] = {}
-
-
 def profiles(dim: int) -> Profiles:
-    return _PROFILES.setdefault(dim, Profiles(dim))
+    """The sums of this Python worker."""
+    return held(("profiles", dim), lambda: Profiles(dim))
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dim: int = DIM) -> dict[str, np.ndarray]:

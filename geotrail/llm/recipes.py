@@ -55,7 +55,7 @@ def recipes(docs: DataFrame, id_col: str, text: Column, digest_bytes: int) -> Da
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             names = iter(pdf["row"].tolist())
-            for block in blocks(pdf["text"].tolist()):
+            for block in blocks(pdf["text"].tolist(), 500_000):
                 data = [x.encode() for x in block]
                 out = [(next(names), hashlib.sha256(d).hexdigest(), len(d), b"".join(h for h, _ in c)) for d, c in zip(data, _chunks(data, digest_bytes), strict=True)]
                 yield pd.DataFrame(out, columns=["row", "text_sha256", "n_bytes", "recipe"])
@@ -70,7 +70,7 @@ def clashes(docs: DataFrame, text: Column, digest_bytes: int) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for block in blocks(pdf["text"].tolist()):
+            for block in blocks(pdf["text"].tolist(), 500_000):
                 found = {x for c in _chunks([t.encode() for t in block], digest_bytes) for x in c}
                 yield pd.DataFrame(sorted(found), columns=["digest", "content"])
 
@@ -112,7 +112,7 @@ def _told_apart(docs: DataFrame, text: Column, digest_bytes: int, clash: DataFra
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for block in blocks(pdf["text"].tolist()):
+            for block in blocks(pdf["text"].tolist(), 500_000):
                 data = [t.encode() for t in block]
                 out = [(hashlib.sha256(d).hexdigest(), n, h, p) for d, c in zip(data, _chunks(data, digest_bytes), strict=True) for n, (h, p) in enumerate(c)]
                 yield pd.DataFrame(out, columns=["text_sha256", "pos", "digest", "content"])

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
+
 #: The base kinds in order, their patterns and the least length of what must be long enough.
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -42,7 +44,9 @@ def _vocabulary(path: str):
     return tiktoken.Encoding("ranks", pat_str=r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+", mergeable_ranks=ranks, special_tokens={})
 
 
-_ENCODINGS: dict[str, object] = {}
+def vocabulary(path: str):
+    """The vocabulary of this Python worker."""
+    return held(("ranks", path), lambda: _vocabulary(path))
 
 
 def looks_random(run: str, encoding, chars_a_token: float = CHARS_A_TOKEN) -> bool:
@@ -77,9 +81,7 @@ def secret_spans(text: Column, ranks_path: str, chars_a_token: float = CHARS_A_T
 
     @F.pandas_udf("array<struct<kind:string,start:long,end:long>>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if ranks_path not in _ENCODINGS:
-            _ENCODINGS[ranks_path] = _vocabulary(ranks_path)
-        encoding = _ENCODINGS[ranks_path]
+        encoding = vocabulary(ranks_path)
         for texts in batches:
             yield pd.Series([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in find(x or "", encoding, chars_a_token)] for x in texts], dtype=object)
 

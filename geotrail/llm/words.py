@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Below this code point, normalization form C changes nothing and letter case maps within the same range.
@@ -255,11 +257,13 @@ def tokens_of(path: str) -> np.ndarray:
     return _TOKENS[path]
 
 
-_ENCODERS: dict[tuple, WordEncoder] = {}
+def make_encoder(path: str, spaces: bool = False) -> WordEncoder:
+    words = WordEncoder(path, spaces)
+    if not words.lower:  # more distinct words, as letter case counts
+        words.words.most = words.chunks.most = 250_000
+    return words
 
 
 def encoder(path: str, spaces: bool = False) -> WordEncoder:
-    """One encoder for each file and Python worker."""
-    if (path, spaces) not in _ENCODERS:
-        _ENCODERS[path, spaces] = WordEncoder(path, spaces, 80_000 if spaces else 250_000)
-    return _ENCODERS[path, spaces]
+    """The encoder of this Python worker."""
+    return held(("words", path, spaces), lambda: make_encoder(path, spaces))
