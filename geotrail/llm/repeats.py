@@ -4,7 +4,8 @@ A rolling hash parses every text: the trigger of a window is its k-gram of least
 triggers wherever they stand. A phrase is what the windows of one trigger cover together. Phrases are compared over the
 whole corpus: equal ones are one dictionary entry, and all windows of an entry that occurs twice are repeated. Different
 entries can share a window only if the surroundings of their triggers are equal; the windows of such entries, once for
-each entry, are compared one by one. Only classes of equal windows are asked for, so the dictionary and the windows
+each entry, are compared one by one: entries that share a trigger's surroundings with few others are brought together as
+they are, for the rest every window goes its own way. Only classes of equal windows are asked for, so the dictionary and the windows
 are grouped by 128-bit hashes instead of being put in alphabetical order.
 """
 
@@ -23,6 +24,8 @@ from .common import RollingHash, materialize, shared_dir
 
 #: Bytes of a k-gram, and k-grams among which the trigger of a window is chosen.
 GRAM, CHOICE = 16, 128
+#: Entries of one anchor that are compared in one place: at most about 330 bytes each, so 1.3 MB together.
+FEW = 4000
 _ONE, _TWO = RollingHash(61), RollingHash(62)
 
 
@@ -126,6 +129,57 @@ def _windows(marked: DataFrame, window: int) -> DataFrame:
     return marked.select("row", "text", "spans").mapInPandas(expand, "one long, two long, row long, at int")
 
 
+def _cut_out(marked: DataFrame, window: int) -> DataFrame:
+    """(anchor, row, first, data): the bytes of the phrases in spans, an array of (anchor, first, last)."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row, text, spans in zip(pdf["row"], pdf["text"], pdf["spans"], strict=True):
+                data = text.encode()
+                out += [(s["anchor"], row, s["first"], data[s["first"] : s["last"] + window]) for s in spans]
+            yield pd.DataFrame(out, columns=["anchor", "row", "first", "data"])
+
+    return marked.select("row", "text", "spans").mapInPandas(cut, "anchor long, row long, first int, data binary")
+
+
+def _compared(entries: DataFrame, window: int) -> DataFrame:
+    """(row, first, last): runs of windows that occur twice among the entries (anchor, row, first, data), of each of which an anchor has few."""
+
+    def flag(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = pdf["data"].tolist()
+        p = Parse(data, window)
+        n = np.diff(p.starts) - window + 1
+        at = np.arange(n.sum()) + np.repeat(p.starts[:-1] - (np.cumsum(n) - n), n)
+        one, two = p.hashes(at, at + window)
+        order = np.lexsort((two, one))
+        same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+        twice = np.zeros(len(at), bool)
+        twice[order[1:]] |= same
+        twice[order[:-1]] |= same
+        owner = np.repeat(np.arange(len(data)), n)
+        starts = np.flatnonzero(twice & np.concatenate([[True], ~twice[:-1] | (owner[1:] != owner[:-1])]))
+        stops = np.flatnonzero(twice & np.concatenate([~twice[1:] | (owner[1:] != owner[:-1]), [True]]))
+        k = owner[starts]
+        base = pdf["first"].to_numpy()[k] - p.starts[:-1][k]
+        return pd.DataFrame({"row": pdf["row"].to_numpy()[k], "first": base + at[starts], "last": base + at[stops]})
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            rest = pdf["anchor"] == pdf["anchor"].iloc[-1]  # this anchor may go on in the next batch
+            held = pdf[rest]
+            if not rest.all():
+                yield flag(pdf[~rest])
+        if held is not None:
+            yield flag(held)
+
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = entries.repartition(parts, "anchor").sortWithinPartitions("anchor")
+    return dealt.mapInPandas(compare, "row long, first int, last int")
+
+
 def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """What is left of data without the spans (start, stop), the bytes removed and the maximal runs they form."""
     if not spans:
@@ -139,7 +193,7 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, i
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, few: int = FEW) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): every byte of a window that starts twice anywhere is removed.
 
     A null text is empty; texts shorter than a window lose nothing. Rows that repeat with the same id are documents of
@@ -158,19 +212,20 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
     phrases = materialize(_parsed(table, window, True).join(anchors, "anchor"))
     place = F.min(F.struct("row", "first", "last")).alias("place")
     entries = materialize(phrases.groupBy("anchor", "one", "two").agg(F.count("*").alias("n"), place))
-    # entries that share a trigger's surroundings with another entry may share windows with it: one phrase of each is expanded
-    mixed = materialize(entries.groupBy("anchor").agg(F.count("*").alias("entries")).where("entries > 1").select("anchor"))
-    unsure = entries.join(mixed, "anchor").select("place.*")
+    # entries that share a trigger's surroundings with another entry may share windows with it: one phrase of each counts
+    mixed = materialize(entries.groupBy("anchor").agg(F.count("*").alias("entries")).where("entries > 1"))
+    unsure = entries.join(mixed, "anchor").select("anchor", "entries", "place.*")
     twice = phrases.join(materialize(entries.where("n > 1").select("one", "two")), ["one", "two"]).select("row", "first", "last")
 
-    def meet(marks: DataFrame, how: str) -> DataFrame:
-        marks = marks.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    def meet(marks: DataFrame, how: str, *columns: str) -> DataFrame:
+        marks = marks.groupBy("row").agg(F.collect_list(F.struct(*columns, "first", "last")).alias("spans"))
         return table.join(marks.hint("shuffle_hash"), "row", how)
 
-    windows = materialize(_windows(meet(unsure, "inner"), window))
+    close = _compared(_cut_out(meet(unsure.where(F.col("entries") <= few), "inner", "anchor"), window), window)
+    windows = materialize(_windows(meet(unsure.where(F.col("entries") > few), "inner"), window))
     again = materialize(windows.groupBy("one", "two").count().where("count > 1").select("one", "two"))
     single = windows.join(again, ["one", "two"]).select("row", F.col("at").alias("first"), F.col("at").alias("last"))
-    found = twice.unionByName(single)
+    found = twice.unionByName(materialize(close)).unionByName(single)
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -105,8 +105,8 @@ def repeats_by_force(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("window", [144, 200])
-def test_repeats(spark, window):
+@pytest.mark.parametrize(("window", "few"), [(144, 3), (200, 200)])  # 3: most windows go their own way
+def test_repeats(spark, window, few):
     rng = random.Random(9)
     rows = awkward()
     passages = [prose(rng, rng.randrange(15, 120)) for _ in range(6)]
@@ -118,7 +118,7 @@ def test_repeats(spark, window):
             parts += [p[a : rng.randrange(a, len(p))], prose(rng, rng.randrange(0, 30))]
         rows.append((2000 + k, " ".join(parts), None, *[None] * 6))
     rows += [(3000, "xy" * 400, None, *[None] * 6), (3001, "é" * 150, None, *[None] * 6), (3002, "q" * (window - 1), None, *[None] * 6), (3003, "q" * window, None, *[None] * 6), (3004, "w" * (window + 1), None, *[None] * 6)]
-    got = repeats.remove_repeats(frame(spark, rows), window).collect()
+    got = repeats.remove_repeats(frame(spark, rows), window, few=few).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeats_by_force(rows, window)
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
