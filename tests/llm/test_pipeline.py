@@ -3,6 +3,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from geotrail.llm.queries import ORACLES, QUERIES
 
@@ -28,7 +29,7 @@ def test_stages_against_brute_force(spark):
         words = prose(rng, 80).split()
         rows += [(5000 + len(rows), " ".join(words), "en", *[None] * 6), (5001 + len(rows), " ".join([*words, "tail"]), "en", *[None] * 6), (5002 + len(rows), " ".join(words), "en", *[None] * 6)]
     rows.append((9000, "the of an password=hunter22 the of an", "en", *[None] * 6))
-    docs = frame(spark, rows).withColumn("n_chars", frame(spark, rows).doc_id)
+    docs = frame(spark, rows).withColumn("n_chars", F.col("doc_id"))
     columns = docs.columns
 
     def step(name, df):
@@ -54,7 +55,8 @@ def test_stages_against_brute_force(spark):
     four = step("secret_scan", three)
     texts = {r.doc_id: r.text for r in four.collect()}
     assert four.columns == columns and texts[9000] == "the of an [secret] the of an"
-    assert all(texts[r.doc_id] == r.text for r in three.collect() if r.doc_id != 9000)
+    assert texts[7] == "[secret]"  # 3000 hex digits
+    assert all(texts[r.doc_id] == r.text for r in three.collect() if r.doc_id not in (7, 9000))
     five = step("pack", four).collect()
     assert {r.doc_id for r in five} == set(texts)
 
@@ -62,7 +64,7 @@ def test_stages_against_brute_force(spark):
 def test_stages_on_an_empty_table(spark):
     import corpus_pipeline
 
-    docs = frame(spark, []).withColumn("n_chars", frame(spark, []).doc_id)
+    docs = frame(spark, []).withColumn("n_chars", F.col("doc_id"))
     for name, f in corpus_pipeline.STAGES:
         out = f(spark, docs, SF)
         assert out.count() == 0, name
