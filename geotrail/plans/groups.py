@@ -82,7 +82,7 @@ def h09_mean_confidence(t: Inputs):
     return rollups.mean_confidence(t.fx_visits, "place_id")
 
 
-@query("SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.9) AS p90, max(l_extendedprice) AS max FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(max(l_extendedprice), 6) AS max FROM lineitem GROUP BY 1")
 def h10_exact_quantile(t: Inputs):
     out = rollups.quantiles(t.lineitem, "l_extendedprice", ["l_returnflag"])
     return out.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("median", "p90", "max")])
@@ -116,7 +116,7 @@ def h15_region_rollup(t: Inputs):
     return rollups.region_rollup(t.fx_visits, "province", "city", "place_id", 24)
 
 
-@query("SELECT sum(CASE WHEN l_linenumber % 3 > 0 THEN l_quantity ELSE 0 END) AS prompt, sum(CASE WHEN l_linenumber % 3 > 0 AND l_suppkey % 2 = 0 THEN l_tax ELSE 0 END) AS completion FROM lineitem")
+@query("SELECT sum(CASE WHEN l_linenumber % 3 > 0 THEN l_quantity ELSE 0 END) AS prompt, round(sum(CASE WHEN l_linenumber % 3 > 0 AND l_suppkey % 2 = 0 THEN l_tax ELSE 0 END), 6) AS completion FROM lineitem")
 def h16_usage_totals(t: Inputs):
     usage = F.when(C("l_linenumber") % 3 > 0, F.struct(C("l_quantity").alias("prompt"), F.when(C("l_suppkey") % 2 == 0, C("l_tax")).alias("completion")))
     out = rollups.usage_totals(t.lineitem.select(usage.alias("usage")), "usage", ["prompt", "completion"])
