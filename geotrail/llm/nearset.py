@@ -3,25 +3,26 @@
 Documents of equal shingle sets are one class. A class stands for its minwise tokens, the least hash of its set under
 each of WIDTH functions. A tree branches the classes by some of these tokens: those that agree in a token share a child
 node. Nodes with few members are compared exhaustively; larger ones branch again, by tokens that depend on the path. A
-node that stays large after DEPTH branchings holds classes that agree nearly everywhere; they are compared with the
-node's pivot, and each tree has its own pivots. Independent trees raise the recall: a pair of similarity 0.75 is parted
-by one tree with probability 0.07 at the first branching, 0.19 by the second and 0.34 by the third, hence by all eight with
-less than 1e-9, 2e-6 and 2e-4; more alike pairs far more rarely. Two classes that stay together to the last branching are
-candidates through its pivots alone.
+node that stays large after DEPTH branchings is a leaf. Independent trees raise the recall: a pair of similarity 0.75 is
+parted by one tree with probability 0.07 at the first branching, 0.19 by the second and 0.34 by the third, hence by all
+eight with less than 1e-9, 2e-6 and 2e-4; more alike pairs far more rarely.
 
 Candidates are confirmed on full sets, the most promising of each class first; candidates whose ends are already
-connected need no confirmation, as only what is reachable counts.
+connected need no confirmation, as only what is reachable counts. Members of a leaf first meet its pivot in this way,
+which connects copies that are all alike. Leaves whose members are then not all connected are cut into blocks, and any two
+of their blocks are compared on full sets, every member with every other, unless all members of both are connected.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import materialize, mix64
 from .graph import components
@@ -30,6 +31,8 @@ from .graph import components
 WORDS, WIDTH, TREES, FIRST, DEPTH, SMALL = 5, 128, 8, 2, 3, 24
 #: Links need 100 * intersection >= PERCENT * union. Estimates this far below are no candidates: over 6 deviations.
 PERCENT, DOUBT = 75, 0.25
+#: Shingles in a block of a leaf, and what a class counts for at least (so many classes in a block at most: the ratio).
+BLOCK, LEAST = 2**19, 2**9
 
 _RNG = np.random.default_rng(9)
 _PLACES = _RNG.integers(0, 2**63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,8 +103,11 @@ def _branch(members: DataFrame, path: Column, tokens: int) -> DataFrame:
     return rows.select(F.xxhash64("path", "k", F.element_at("tokens", place)).alias("node"), "id", "tokens")
 
 
-def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
-    """Distinct (a, b), a < b: pairs of (id, tokens) that the trees bring together."""
+def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b), a < b: pairs of (id, tokens) that the trees bring together; (node, id): members of the leaves.
+
+    Of the pairs within a leaf only those with its pivot are among the first.
+    """
     level = classes.select("id", "tokens", F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree"))
     children, found = _branch(level, F.xxhash64(F.lit("tree"), "tree"), FIRST), []
     for step in range(depth):
@@ -113,12 +119,13 @@ def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, small
         large = members.where(F.col("size") > small)
         if step == depth - 1 or not nodes.where(F.col("size") > small).limit(1).collect():
             found.append(large.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
+            leaves = large.select("node", "id")
             break
         children = _branch(large.join(classes, "id"), F.xxhash64(F.lit("path"), "node"), 1)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return materialize(out.distinct())
+    return materialize(out.distinct()), leaves
 
 
 def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -176,7 +183,80 @@ def _links(pairs: DataFrame, texts: DataFrame, rounds: int) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, depth: int = DEPTH, small: int = SMALL, rounds: int = 1) -> DataFrame:
+def _connected(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """For every set of a and then of b a number that all have in common whom links between a and b connect."""
+    shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    both = np.zeros((len(a), len(b)))
+
+    def held_by(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(sets), len(part)), np.float32)
+        for row, s in zip(out, sets, strict=True):
+            row[np.searchsorted(part, s[np.isin(s, part, assume_unique=True)])] = 1
+        return out
+
+    for k in range(0, len(shared), 4096):
+        part = shared[k : k + 4096]
+        both += held_by(a, part) @ held_by(b, part).T
+    na, nb = (np.array([len(s) for s in x], np.float64) for x in (a, b))
+    links = 100 * both >= PERCENT * (na[:, None] + nb - both)
+    of_a, of_b = np.arange(len(a)), np.arange(len(a), len(a) + len(b))
+    far = len(a) + len(b)
+    while True:
+        new_b = np.minimum(of_b, np.where(links, of_a[:, None], far).min(axis=0))
+        new_a = np.minimum(of_a, np.where(links, new_b, far).min(axis=1))
+        if (new_a == of_a).all() and (new_b == of_b).all():
+            return np.concatenate([of_a, of_b])
+        of_a, of_b = new_a, new_b
+
+
+def _blocked(members: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+    """(a, b): links that connect whatever full sets connect within each node of members (node, id, n, label)."""
+    alone = F.count("*").over(W.partitionBy("node", "label")) == 1
+    rows = members.withColumn("label", F.when(alone, -1).otherwise(F.col("label")))
+    weight = F.sum(F.greatest("n", F.lit(max(1, block * LEAST // BLOCK)))).over(W.partitionBy("node").orderBy("label", "n", "id").rowsBetween(W.unboundedPreceding, -1))
+    rows = materialize(rows.withColumn("block", F.floor(F.coalesce(weight, F.lit(0)) / block)))
+    blocks = rows.groupBy("node", "block").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("label", "n") for f in (F.min, F.max)])
+    i, j = (blocks.select("node", *[F.col(c).alias(f"{side}_{c}") for c in blocks.columns[1:]]) for side in "ij")
+    done = F.expr("i_min_label >= 0 and i_min_label = i_max_label and j_min_label = i_min_label and j_max_label = i_min_label")
+    apart = (100 * F.col("i_max_n") < PERCENT * F.col("j_min_n")) | (100 * F.col("j_max_n") < PERCENT * F.col("i_min_n"))
+    pairs = materialize(i.join(j, "node").where("i_block <= j_block").where(~done & ~apart).select("node", F.col("i_block").alias("i"), F.col("j_block").alias("j")))
+    sides = pairs.select("node", "i", "j", F.col("i").alias("block")).unionByName(pairs.where("i < j").select("node", "i", "j", F.col("j").alias("block")))
+    placed = materialize(sides.join(rows.select("node", "block", "id"), ["node", "block"]))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingles(t) for t in pdf["text"]]
+        first, ids = (pdf["block"] == pdf["i"]).to_numpy(), pdf["id"].to_numpy()
+        one = np.flatnonzero(first)
+        two = np.flatnonzero(~first) if pdf["i"].iloc[0] < pdf["j"].iloc[0] else one
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": [], "b": []})
+        order = ids[np.concatenate([one, two])]
+        out = pd.DataFrame({"a": order[_connected([sets[k] for k in one], [sets[k] for k in two])], "b": order})
+        return out[out["a"] != out["b"]].drop_duplicates()
+
+    return placed.join(texts.hint("merge"), "id").groupBy("node", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def _finish(leaves: DataFrame, labels: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], trees: int, block: int) -> DataFrame:
+    """The labels (node, label) once every two members of a leaf have been compared, or are connected.
+
+    Leaves of different trees are much alike, so one of them in so many as there are trees is compared before the rest.
+    """
+    if not leaves.limit(1).collect():
+        return labels
+    known = leaves.join(classes.select("id", "n"), "id")
+    for part in (F.pmod(F.xxhash64("node"), F.lit(trees)) == 0, F.pmod(F.xxhash64("node"), F.lit(trees)) != 0):
+        here = known.where(part).join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        here = materialize(here)
+        still = here.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node")
+        here = materialize(here.join(materialize(still), "node"))
+        if here.limit(1).collect():
+            new = materialize(_blocked(here, fetch(here.select("id").distinct()), block))
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new))
+    return labels
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, depth: int = DEPTH, small: int = SMALL, rounds: int = 1, block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row: component_id is the smallest id reachable over links.
 
     Texts with fewer words than a shingle are one shingle; a null text or one without words is linked with nothing. Rows
@@ -186,9 +266,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(described(docs.select(id_col, text_col), id_col, text_col))
     named = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(id_col).alias("first_id"), F.first("tokens").alias("tokens"), F.max("n_shingles").alias("n"))
     classes = materialize(named.withColumn("id", F.monotonically_increasing_id()))
-    pairs = materialize(_promising(candidates(classes, trees, depth, small), classes))
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "key", F.col("first_id").alias("want")), "id")
-    labels = _links(pairs, _texts(docs, involved, id_col, text_col), rounds)
+    found, leaves = candidates(classes, trees, depth, small)
+    pairs = materialize(_promising(found, classes))
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        return _texts(docs, ids.join(classes.select("id", "key", F.col("first_id").alias("want")), "id"), id_col, text_col)
+
+    labels = _links(pairs, fetch(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), rounds)
+    labels = _finish(leaves, labels, classes, fetch, trees, block)
     lowest = classes.select("id", "first_id").join(labels.withColumnRenamed("node", "id"), "id")
     lowest = materialize(lowest.groupBy("label").agg(F.min("first_id").alias("component_id")))
     of_class = classes.select("id", "key", "first_id").join(labels.withColumnRenamed("node", "id"), "id", "left").join(lowest, "label", "left")

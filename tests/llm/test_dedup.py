@@ -95,6 +95,32 @@ def test_near_duplicates(spark, small):
     assert nearset.near_duplicates(frame(spark, [])).count() == 0
 
 
+def star(rng, n, words=208):
+    """An original and n copies, each at 0.82 or 0.78 to it and below 0.75 to one another."""
+    base = prose(rng, words).split()
+    out = [" ".join(base)]
+    for k in range(n):
+        copy = list(base)
+        for at in rng.sample(range(1, words // 6), 4 + k % 2):
+            copy[at * 6] = f"new{rng.random()}"
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize(("copies", "block"), [(100, nearset.BLOCK), (1000, nearset.BLOCK), (100, 2**12)])  # the last: many blocks a leaf
+def test_near_duplicates_of_stars_and_templates(spark, copies, block):
+    rng = random.Random(10)
+    texts = star(rng, copies)
+    template = prose(rng, 140)
+    for k in range(80):
+        own = prose(rng, 60)
+        texts += [f"{template} {own}"] if k % 4 else [f"{template} {own}", f"{template} {own} tail"]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = nearset.near_duplicates(documents(spark, []).union(spark.createDataFrame(rows, "doc_id bigint, text string")), block=block).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == near_by_force(rows)
+
+
 def repeats_by_force(rows, window):
     texts = [(r[1] or "").encode() for r in rows]
     seen = Counter(t[k : k + window] for t in texts for k in range(len(t) - window + 1))
