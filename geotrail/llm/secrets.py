@@ -1,8 +1,8 @@
 """Secret scans: patterns for known forms, and a token-efficiency test for strings that no language writes.
 
 A vocabulary learned from text needs few tokens for words and many for random strings. A candidate run with few
-characters a token is reported, unless it is a digest of a known length, a universally unique identifier, or an
-identifier made of words.
+characters a token is reported, unless it is a digest of a known length, a universally unique identifier, a number, or an
+identifier whose letters are words, which take few tokens themselves.
 """
 
 from __future__ import annotations
@@ -26,13 +26,13 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 _NAMES = ("passw", "secret", "token", "api")
 
 #: A candidate has so many characters at least; below so many a token it is reported.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")
 CHARS_A_TOKEN = 2.1
 #: Hex digits of common digests.
 DIGESTS = frozenset((32, 40, 48, 56, 64, 96, 128))
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-?[0-9a-fA-F]{4}){3}-?[0-9a-fA-F]{12}")
 _ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-_WORDS = re.compile(r"([A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[0-9]{1,4})+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 def _vocabulary(path: str):
@@ -50,14 +50,12 @@ def vocabulary(path: str):
 
 
 def looks_random(run: str, encoding, chars_a_token: float = CHARS_A_TOKEN) -> bool:
-    classes = sum(bool(re.search(p, run)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
-    if classes < 2 or not re.search("[0-9]", run):
+    if not re.search("[A-Za-z]", run) or len(run) >= chars_a_token * len(encoding.encode_ordinary(run)):
         return False
     if _UUID.fullmatch(run) or (_ALL_HEX.fullmatch(run) and len(run) in DIGESTS):
         return False
-    if all(not p or _WORDS.fullmatch(p) for p in re.split(r"[_/+=-]", run)):
-        return False
-    return len(run) < chars_a_token * len(encoding.encode_ordinary(run))
+    words = _WORD.findall(run)
+    return sum(map(len, words)) < chars_a_token * sum(len(encoding.encode_ordinary(w)) for w in words)
 
 
 def find(text: str, encoding, chars_a_token: float = CHARS_A_TOKEN) -> list[tuple[int, int, int]]:
@@ -70,7 +68,7 @@ def find(text: str, encoding, chars_a_token: float = CHARS_A_TOKEN) -> list[tupl
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in spans) and text[m.start() - 1 : m.start()] not in ("@", "."):
+        if not any(a < m.end() and m.start() < b for a, _, b in spans):
             if looks_random(m[0], encoding, chars_a_token):
                 spans.append((m.start(), 3, m.end()))
     return sorted(spans)
