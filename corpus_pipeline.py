@@ -33,10 +33,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates, that of the smallest doc_id."""
+    """One row of each group of near-duplicates, that of the smallest doc_id. Rows that repeat an id with other texts are told apart."""
     docs = _ready(spark, docs)
-    gone = nearset.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = nearset.near_duplicates(docs, with_sha=True).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
+    named = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_sha") == F.col("_gone_sha"))
+    return named.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,8 +78,8 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, key, tokens): key identifies the set; it and the tokens are null where there is no word."""
+def described(docs: DataFrame, id_col: str, text_col: str, with_sha: bool = False) -> DataFrame:
+    """(id, n_shingles, key, tokens): key identifies the set; it and the tokens are null where there is no word. With text_sha256 on demand."""
     kind = dict(docs.dtypes)[id_col]
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,11 +88,15 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for name, text in zip(pdf["row"], pdf["text"], strict=True):
                 s = shingles(text)
                 out.append((name, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, minwise(s) if len(s) else None))
-            yield pd.DataFrame(out, columns=["row", "n_shingles", "key", "tokens"])
+            described = pd.DataFrame(out, columns=["row", "n_shingles", "key", "tokens"])
+            yield described.assign(text_sha256=pdf["text_sha256"].to_numpy()) if with_sha else described
 
     rows = docs.select(F.col(id_col).cast("string").alias("row"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInPandas(describe, "row string, n_shingles long, key binary, tokens array<int>")
-    return out.select(F.col("row").cast(kind).alias(id_col), "n_shingles", "key", "tokens")
+    if with_sha:
+        rows = rows.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    sha = ["text_sha256"] if with_sha else []
+    out = rows.mapInPandas(describe, ", ".join(["row string, n_shingles long, key binary, tokens array<int>", *[f"{c} string" for c in sha]]))
+    return out.select(F.col("row").cast(kind).alias(id_col), "n_shingles", "key", "tokens", *sha)
 
 
 def _branch(members: DataFrame, path: Column, tokens: int) -> DataFrame:
@@ -256,14 +260,15 @@ def _finish(leaves: DataFrame, labels: DataFrame, classes: DataFrame, fetch: Cal
     return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, depth: int = DEPTH, small: int = SMALL, rounds: int = 1, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, depth: int = DEPTH, small: int = SMALL, rounds: int = 1, block: int = BLOCK, with_sha: bool = False) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row: component_id is the smallest id reachable over links.
 
     Texts with fewer words than a shingle are one shingle; a null text or one without words is linked with nothing. Rows
     of equal sets are one class, however many; rows that repeat with the same id stay apart and share their component.
     A row with a null id has the smallest known id of its component, or null, and is not kept unless it stands alone.
+    With with_sha each row also has its text_sha256, which tells rows apart that repeat an id.
     """
-    rows = materialize(described(docs.select(id_col, text_col), id_col, text_col))
+    rows = materialize(described(docs.select(id_col, text_col), id_col, text_col, with_sha))
     named = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(id_col).alias("first_id"), F.first("tokens").alias("tokens"), F.max("n_shingles").alias("n"))
     classes = materialize(named.withColumn("id", F.monotonically_increasing_id()))
     found, leaves = candidates(classes, trees, depth, small)
@@ -280,7 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_class = materialize(of_class.select("key", F.coalesce("component_id", "first_id").alias("component_id")))
     empty = rows.where(F.col("key").isNull()).withColumn("component_id", F.col(id_col))
     out = rows.where(F.col("key").isNotNull()).join(of_class, "key").unionByName(empty.select("key", *[c for c in rows.columns if c != "key"], "component_id"))
-    return out.select(id_col, "n_shingles", "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(id_col, "n_shingles", "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"), *(["text_sha256"] if with_sha else []))
 
 
 def _texts(docs: DataFrame, involved: DataFrame, id_col: str, text_col: str) -> DataFrame:

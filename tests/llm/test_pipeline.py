@@ -61,6 +61,17 @@ def test_stages_against_brute_force(spark):
     assert {r.doc_id for r in five} == set(texts)
 
 
+def test_near_dedup_tells_repeated_ids_apart(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    words = prose(rng, 120)
+    rows = [(3, words), (5, words + " tail"), (5, prose(rng, 90)), (None, words + " end"), (None, prose(rng, 70))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = corpus_pipeline.near_dedup(spark, docs, SF).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, (rows[0], rows[2], rows[4])))
+
+
 def test_stages_on_an_empty_table(spark):
     import corpus_pipeline
 
