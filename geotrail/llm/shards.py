@@ -2,8 +2,8 @@
 
 Arrivals are appended as runs, folders of small immutable files. When enough runs of similar size have gathered they are
 merged into one run of target-sized files, without a shuffle. Every change is one new manifest version, published by an
-atomic rename that fails if another writer was first; readers see a version whole or not at all, and old versions can
-be read until vacuum().
+atomic rename that fails if another writer was first; that writer's change is then read and the own one is made anew on
+top of it. Readers see a version whole or not at all, and old versions can be read until vacuum().
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import free_name, shared_dir
 
 
 class ShardStore:
@@ -41,28 +43,50 @@ class ShardStore:
         names = [f.getPath().getName() for f in self._fs.listStatus(at)]
         return sorted(int(n[1:]) for n in names if n.startswith("v"))
 
+    def latest(self) -> int:
+        """The latest version; 0 where nothing has been published."""
+        return (self.versions() or [0])[-1]
+
     def manifest(self, version: int | None = None) -> list[dict]:
         """The runs of a version, the latest by default: name, bytes, rows, files, level. One entry for each run, not each file."""
-        found = self.versions()
-        if not found:
+        version = self.latest() if version is None else version
+        if version == 0:
             return []
-        stream = self._fs.open(self._path("manifest", f"v{found[-1] if version is None else version:012d}"))
+        stream = self._fs.open(self._path("manifest", f"v{version:012d}"))
         try:
             return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
     def commit(self, runs: list[dict], after: int) -> int:
-        """Publish runs as the version that follows after; raises if that version exists already."""
+        """Publish runs as the version that follows after; raises FileExistsError if another writer was first."""
         draft, final = self._path("manifest", f".{uuid.uuid4().hex}"), self._path("manifest", f"v{after + 1:012d}")
         stream = self._fs.create(draft, False)
         stream.write(bytearray(json.dumps(runs).encode()))
         stream.close()
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri(), self.conf)
         kinds = self.spark.sparkContext._gateway.new_array(getattr(self.jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
-        context.rename(draft, final, kinds)
+        try:
+            context.rename(draft, final, kinds)
+        except Py4JJavaError as e:
+            self._fs.delete(draft, False)
+            if self._fs.exists(final):
+                raise FileExistsError(f"version {after + 1} exists") from e
+            raise
         return after + 1
 
+    def change(self, edit: Callable[[list[dict]], list[dict] | None]) -> int:
+        """Publish edit(runs of the latest version). Where another writer was first, edit gets that writer's runs; None leaves all as it is."""
+        while True:
+            version = self.latest()
+            runs = edit(self.manifest(version))
+            if runs is None:
+                return version
+            try:
+                return self.commit(runs, version)
+            except FileExistsError:
+                continue
+
     def _run(self, name: str, level: int) -> dict:
         content = self._fs.getContentSummary(self._path("runs", name))
         files = [f for f in self._fs.listStatus(self._path("runs", name)) if f.getPath().getName().startswith("part-")]
@@ -80,14 +104,15 @@ class ShardStore:
         batch = uuid.uuid4().hex
         rows.write.partitionBy(arrival).option("compression", "zstd").parquet(f"{self.path}/runs/{batch}")
         names = sorted((f.getPath().getName() for f in self._fs.listStatus(self._path("runs", batch)) if f.isDirectory()), key=lambda n: (len(n), n))
-        version = (self.versions() or [0])[-1]
+        version = self.latest()
         for name in names:
             version = self._add(f"{batch}/{name}")
         return version
 
     def _add(self, name: str) -> int:
-        version = self.commit([*self.manifest(), self._run(name, 0)], (self.versions() or [0])[-1])
-        while due := self.due(self.manifest()):
+        new = self._run(name, 0)
+        version = self.change(lambda runs: [*runs, new])
+        while due := self.due(self.manifest(version)):
             version = self.merge(due)
         return version
 
@@ -104,12 +129,17 @@ class ShardStore:
         return max(1, math.ceil(size / self.target))
 
     def merge(self, runs: list[dict]) -> int:
+        """Runs as one run of target-sized files. Where another writer has merged one of them meanwhile, that merge stands."""
         name = uuid.uuid4().hex
         rows = self.read_runs(runs)
         rows.coalesce(self.files_for(sum(r["bytes"] for r in runs))).write.option("compression", "zstd").parquet(f"{self.path}/runs/{name}")
-        gone = {r["name"] for r in runs}
-        rest = [r for r in self.manifest() if r["name"] not in gone]
-        return self.commit([*rest, self._run(name, 1 + max(r["level"] for r in runs))], self.versions()[-1])
+        gone, new = {r["name"] for r in runs}, self._run(name, 1 + max(r["level"] for r in runs))
+
+        def replaced(now: list[dict]) -> list[dict] | None:
+            rest = [r for r in now if r["name"] not in gone]
+            return [*rest, new] if len(rest) + len(gone) == len(now) else None
+
+        return self.change(replaced)
 
     def read_runs(self, runs: list[dict]) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.path}/runs/{r['name']}" for r in runs])
@@ -119,12 +149,13 @@ class ShardStore:
         return self.read_runs(self.manifest(version))
 
     def vacuum(self) -> None:
-        """Delete what the latest version does not need; older versions can't be read any more."""
-        keep = {r["name"].split("/")[0] for r in self.manifest()}
+        """Delete what the latest version does not need; older versions can't be read any more. No writer may be at work."""
+        version = self.latest()
+        keep = {r["name"].split("/")[0] for r in self.manifest(version)}
         for f in self._fs.listStatus(self._path("runs")):
             if f.getPath().getName() not in keep:
                 self._fs.delete(f.getPath(), True)
-        for v in self.versions()[:-1]:
+        for v in [v for v in self.versions() if v < version]:
             self._fs.delete(self._path("manifest", f"v{v:012d}"), False)
 
 
@@ -136,7 +167,7 @@ def compacted(docs: DataFrame, arrivals: int = 8, id_col: str = "doc_id", text_c
     """
     store = ShardStore(docs.sparkSession, **options)
     arrival = F.coalesce(F.pmod(F.col(id_col), F.lit(arrivals)), F.lit(0)).cast("int")
-    name, batch = _free("arrival", docs), _free("batch", docs)
+    name, batch = free_name("arrival", docs), free_name("batch", docs)
     rows = docs.withColumn(name, arrival).withColumn(batch, arrival)
     if rows.limit(1).collect():
         store.append_all(rows, batch)
@@ -145,8 +176,3 @@ def compacted(docs: DataFrame, arrivals: int = 8, id_col: str = "doc_id", text_c
     return store.read().select(*docs.columns, name)
 
 
-def _free(name: str, df: DataFrame) -> str:
-    """A name that no column has, with as many underscores in front as it takes."""
-    while name in df.columns:
-        name = f"_{name}"
-    return name

@@ -172,6 +172,41 @@ def test_versions_and_compaction(spark):
     assert store.read().count() == 700 and len(store.versions()) == 1
 
 
+@pytest.mark.parametrize("fanout", [2, 10])
+def test_writers_that_meet_lose_nothing(spark, fanout):
+    one = shards.ShardStore(spark, fanout=fanout)
+    two = shards.ShardStore(spark, one.path, fanout=fanout)
+    plain, met = one._run, []
+
+    def run(name, level):
+        if len(met) < 3:  # the other writer publishes between this one's reading and its own commit
+            met.append(name)
+            two.append(spark.range(100 + 10 * len(met), 110 + 10 * len(met)))
+        return plain(name, level)
+
+    one._run = run
+    plain_commit = one.commit
+
+    def commit(runs, after):
+        if len(met) < 5:
+            met.append(after)
+            two.append(spark.range(100 + 10 * len(met), 110 + 10 * len(met)))
+        return plain_commit(runs, after)
+
+    one.commit = commit
+    for k in range(3):
+        one.append(spark.range(k * 10, k * 10 + 10))
+    ids = sorted(r.id for r in one.read().collect())
+    assert ids == [*range(30), *range(110, 160)]
+    assert one.versions() == list(range(1, one.latest() + 1))
+
+
+def test_added_names_differ_in_more_than_case(spark):
+    docs = spark.createDataFrame([(1, "a", "mine")], "doc_id bigint, text string, Arrival string")
+    row = shards.compacted(docs).collect()[0]
+    assert row["Arrival"] == "mine" and row["_arrival"] == 1
+
+
 def test_only_similar_sizes_merge(spark):
     store = shards.ShardStore(spark, fanout=2, ratio=2.0, target_bytes=1000)
     run = lambda name, size: {"name": name, "bytes": size, "rows": 1, "files": 3, "level": 0}
