@@ -94,12 +94,14 @@ def write_packed(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
 
     The folder holds a table (part, file, first_doc, n_docs, n_ids, content): one row is one file, part and file order
     them. The documents are dealt by ranges of the id, so each task writes consecutive files of about file_bytes. Null
-    ids come first; a null text has only end_id; repeated rows are written each, next to one another.
+    ids come first; a null text has only end_id; repeated rows are written each, next to one another. Rows of one id
+    are told apart by how their texts begin and by where they were read, so an id that many rows share is not one task.
     """
     path = path or shared_dir(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = (F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64).asc_nulls_first(), F.col("place"))
+    ordered = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("place")
 
     def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, part, n = encoder(tokenizer), TaskContext.get().partitionId(), 0

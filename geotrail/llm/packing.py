@@ -3,16 +3,20 @@
 Only lengths matter to a plan, and there are at most capacity of them, so a plan is made over the histogram of lengths:
 the longest length left opens a bin, a bitset subset-sum over the lengths left finds the fullest filling of the rest, and
 that combination is taken as often as the counts allow. The plan's size is bounded by the capacity, not by the corpus.
-Pieces then look up their place by their rank among the pieces of equal length.
+Pieces then look up their place by their rank among the pieces of equal length: every task numbers its own pieces of each
+length, and the counts of the tasks are put one after the other.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -21,8 +25,6 @@ from .common import materialize
 from .words import blocks, encoder
 
 CAPACITY = 4096
-#: Parts into which the pieces of one length are dealt before they are numbered.
-SALTS = 64
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:
@@ -71,13 +73,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """(id, piece, start, length, ids_crc32[, ids]): each document's ids and end_id, cut only where longer than capacity."""
+    """(id, piece, start, length, ids_crc32[, ids], part, rank): each document's ids and end_id, cut only where longer than capacity.
+
+    rank counts the pieces of this length in the task part, from 0. A null text is end_id alone; texts of any length are
+    encoded whole.
+    """
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)[id_col]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = encoder(tokenizer)
         end = np.array([end_id], np.uint32)
+        part, ranks = TaskContext.get().partitionId(), defaultdict(count)
         for pdf in batches:
             names = iter(pdf["row"].tolist())
             for block in blocks(pdf["text"].tolist()):
@@ -86,39 +93,30 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
                     name, ids = next(names), np.concatenate([ids, end])
                     for n, at in enumerate(range(0, len(ids), capacity)):
                         data = ids[at : at + capacity].tobytes()
-                        out.append((name, n, at, len(data) // 4, zlib.crc32(data), *([data] if keep_ids else [])))
-                yield pd.DataFrame(out, columns=["row", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
+                        out.append((name, n, at, len(data) // 4, zlib.crc32(data), *([data] if keep_ids else []), part, next(ranks[len(data)])))
+                yield pd.DataFrame(out, columns=["row", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else []), "part", "rank"])
 
-    schema = "row string, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    schema = "row string, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", part int, rank long"
     out = rows.select(F.col(id_col).cast("string").alias("row"), "text").mapInPandas(cut, schema)
     return out.select(F.col("row").cast(kind).alias(id_col), *out.columns[1:])
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", salts: int = SALTS) -> DataFrame:
-    """Adds (sequence_id, offset) to the pieces of pieces(), which is read several times: hand over a written table.
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Adds (sequence_id, offset) to the pieces of pieces(), a written table, as their part and rank must not change.
 
-    Pieces of one length are numbered in salts parts and the parts put one after the other, so a length that a third of
-    all pieces have is not one task's work. Repeated rows are pieces of their own; equal ones may swap places. A null
-    id is an id like any other. An empty table gives an empty table.
+    The histogram of lengths, at most capacity rows, is all that reaches the driver. Repeated rows are pieces of their
+    own; equal ones may swap places. A null id is an id like any other. An empty table gives an empty table.
     """
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "salt").count()
-    table = counts.collect()  # at most capacity x salts rows
-    histogram: dict[int, int] = {}
-    firsts = np.zeros((capacity + 1, salts), np.int64)
-    for r in sorted(table):
-        firsts[r["length"], r["salt"]] = histogram.get(r["length"], 0)
-        histogram[r["length"]] = histogram.get(r["length"], 0) + r["count"]
+    counts = materialize(pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     steps = {k: v for k, v in plan(histogram, capacity).groupby("length")}
-    ranks = W.partitionBy("length", "salt").orderBy(F.col(id_col), "piece", "ids_crc32")
-    numbered = salted.withColumn("rank", F.row_number().over(ranks) - 1)
-    spark = pieces.sparkSession
-    shared = spark.sparkContext.broadcast((firsts, steps))
+    before = F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    firsts = materialize(counts.select("length", "part", F.coalesce(before, F.lit(0)).alias("first")))
+    shared = pieces.sparkSession.sparkContext.broadcast(steps)
 
     @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, salt: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        firsts, steps = shared.value
-        rank = rank.to_numpy() + firsts[length.to_numpy(), salt.to_numpy()]
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        steps, rank = shared.value, rank.to_numpy()
         out = np.zeros((len(rank), 2), np.int64)
         for x, at in length.groupby(length.to_numpy()).indices.items():
             s = steps[x]
@@ -129,10 +127,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", sa
             out[at, 1] = s["offset"].to_numpy()[k] + inside % per * x
         return pd.DataFrame(out, columns=["sequence_id", "offset"])
 
-    placed = numbered.withColumn("place", place(F.col("length"), F.col("salt"), F.col("rank")))
-    return placed.select(*pieces.columns, "place.sequence_id", "place.offset")
+    placed = pieces.join(firsts, ["length", "part"]).withColumn("place", place(F.col("length"), F.col("first") + F.col("rank")))
+    return placed.select(*[c for c in pieces.columns if c not in ("part", "rank")], "place.sequence_id", "place.offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """All documents as pieces of sequences of at most capacity ids; keep_ids keeps each piece's ids beside its place."""
-    return pack(materialize(pieces(docs, tokenizer, end_id, capacity, id_col, text_col, keep_ids)), capacity, id_col)
+    return pack(materialize(pieces(docs, tokenizer, end_id, capacity, id_col, text_col, keep_ids)), capacity)
