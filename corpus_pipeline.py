@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geotrail.llm import langid, nearset, packing, recipes, secrets
-from geotrail.llm.common import materialize
+from geotrail.llm.common import free_name, materialize
 from geotrail.llm.queries import vocabulary
 
 
@@ -16,41 +16,63 @@ def _ready(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned from the labelled ones; those without a letter go. lang becomes the prediction."""
-    docs = _ready(spark, docs)
+    """Documents in a language that was learned from the labelled ones; those without a letter go. lang becomes the prediction.
+
+    Whole texts count, however long. A null id is never held out. Columns keep their names and order.
+    """
+    docs, predicted = _ready(spark, docs), free_name("predicted", docs)
     prototypes = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
-    named = docs.withColumn("_predicted", langid.predict(F.col("text"), prototypes)["lang_pred"])
-    return named.where(F.col("_predicted") != langid.UNKNOWN).withColumn("lang", F.col("_predicted")).select(*docs.columns)
+    named = docs.withColumn(predicted, langid.predict(F.col("text"), prototypes)["lang_pred"])
+    return named.where(F.col(predicted) != langid.UNKNOWN).withColumn("lang", F.col(predicted)).select(*docs.columns)
+
+
+def _with_sha(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with the digest of each text in a new column, and its name."""
+    sha = free_name("sha", docs)
+    return docs.withColumn(sha, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)), sha
+
+
+def _same_row(rows: DataFrame, sha: str, marked: DataFrame):
+    """Whether a row of rows has the id and text that a row of marked (marked_id, marked_sha) names; null ids are ids."""
+    return rows["doc_id"].eqNullSafe(marked["marked_id"]) & (rows[sha] == marked["marked_sha"])
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("doc_id").alias("marked_id"), F.col("text_sha256").alias("marked_sha"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts, that of the largest doc_id; one of those that repeat with id and text."""
+    """One row of each group of equal texts, that of the largest doc_id; one of those that repeat with id and text.
+
+    A null text equals an empty one. Texts are compared whole, however long.
+    """
     docs = _ready(spark, docs)
-    kept = recipes.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    named = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
-    return named.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    kept = _marked(recipes.exact_duplicates(docs).where("kept"))
+    named, sha = _with_sha(docs)
+    return named.join(kept, _same_row(named, sha, kept), "left_semi").dropDuplicates(["doc_id", sha]).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates, that of the smallest doc_id. Rows that repeat an id with other texts are told apart."""
+    """One row of each group of near-duplicates, that of the smallest doc_id. Rows that repeat an id with other texts are told apart.
+
+    Texts without words are linked with nothing and stay. Texts are compared whole, however long.
+    """
     docs = _ready(spark, docs)
-    gone = nearset.near_duplicates(docs, with_sha=True).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
-    named = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_sha") == F.col("_gone_sha"))
-    return named.join(gone, same, "left_anti").select(*docs.columns)
+    gone = _marked(nearset.near_duplicates(docs, with_sha=True).where(~F.col("kept")))
+    named, sha = _with_sha(docs)
+    return named.join(gone, _same_row(named, sha, gone), "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret found in a text replaced by a mark; n_chars follows."""
-    docs = _ready(spark, docs)
-    found = docs.withColumn("_spans", secrets.secret_spans(F.col("text"), vocabulary("byte_bpe_50k.tiktoken")))
-    text = F.when(F.size("_spans") > 0, secrets.masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
+    """All documents, with every secret found in a text replaced by a mark; n_chars follows. A null text stays null; whole texts are read."""
+    docs, spans = _ready(spark, docs), free_name("spans", docs)
+    found = docs.withColumn(spans, secrets.secret_spans(F.col("text"), vocabulary("byte_bpe_50k.tiktoken")))
+    text = F.when(F.size(spans) > 0, secrets.masked(F.col("text"), F.col(spans))).otherwise(F.col("text"))
     return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 4096 ids."""
+    """The pieces of all documents with their places in sequences of 4096 ids. A null text is the end id alone; longer ones are cut."""
     return packing.pack_documents(_ready(spark, docs), vocabulary("word_bpe_49k.json"), keep_ids=False)
 
 
