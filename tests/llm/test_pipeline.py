@@ -72,6 +72,17 @@ def test_near_dedup_tells_repeated_ids_apart(spark):
     assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, (rows[0], rows[2], rows[4])))
 
 
+def test_stages_leave_columns_of_any_name_alone(spark):
+    import corpus_pipeline
+
+    rows = [(k, f"the of an words that are here {k}", "en", "s", 9, "a", "b", "c", "d", "e", "f") for k in range(4)] + [(None, None, None, None, None, "a", "b", "c", "d", "e", "f")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, _sha string, SHA string, _predicted string, Predicted string, _spans string, spans string")
+    own = docs.columns[5:]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF).select(*own).distinct().collect()
+        assert [tuple(r) for r in got] == [("a", "b", "c", "d", "e", "f")], name
+
+
 def test_stages_on_an_empty_table(spark):
     import corpus_pipeline
 
