@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,8 +132,8 @@ def repeats_by_force(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("window", "few"), [(144, 3), (200, 200)])  # 3: most windows go their own way
-def test_repeats(spark, window, few):
+@pytest.mark.parametrize(("window", "few", "segment"), [(144, 3, 100), (200, 200, 500_000)])  # 3: most slices are halved; 100: texts in segments
+def test_repeats(spark, window, few, segment):
     rng = random.Random(9)
     rows = awkward()
     passages = [prose(rng, rng.randrange(15, 120)) for _ in range(6)]
@@ -143,12 +144,31 @@ def test_repeats(spark, window, few):
             a = rng.randrange(0, len(p) // 2)
             parts += [p[a : rng.randrange(a, len(p))], prose(rng, rng.randrange(0, 30))]
         rows.append((2000 + k, " ".join(parts), None, *[None] * 6))
+    zeros = "\0" * 40
+    rows += [(2900 + k, f"{prose(rng, k)}{zeros * (k % 4)}{passages[0]}{zeros[k:]}{passages[1]}", None, *[None] * 6) for k in range(12)]
     rows += [(3000, "xy" * 400, None, *[None] * 6), (3001, "é" * 150, None, *[None] * 6), (3002, "q" * (window - 1), None, *[None] * 6), (3003, "q" * window, None, *[None] * 6), (3004, "w" * (window + 1), None, *[None] * 6)]
-    got = repeats.remove_repeats(frame(spark, rows), window, few=few).collect()
+    got = repeats.remove_repeats(frame(spark, rows), window, few=few, segment=segment).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeats_by_force(rows, window)
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_windows_of_a_slice_against_brute_force():
+    rng = random.Random(14)
+    for _ in range(60):
+        window, n = rng.randrange(6, 12), rng.randrange(1, 9)
+        pieces = []
+        for _ in range(n):
+            lo = rng.randrange(0, 4)
+            hi = lo + rng.randrange(0, 5)
+            data = bytes(rng.choice(b"\0ab") for _ in range(hi - lo + window))
+            pieces.append((rng.randrange(2), lo, hi, data))
+        seen = Counter((s, d, x[hi - d : hi - d + window]) for s, lo, hi, x in pieces for d in range(lo, hi + 1))
+        want = {(k, d) for k, (s, lo, hi, x) in enumerate(pieces) for d in range(lo, hi + 1) if seen[s, d, x[hi - d : hi - d + window]] > 1}
+        s, lo, hi, data = zip(*pieces)
+        piece, place = repeats.repeated_windows(*map(np.array, (s, lo, hi)), list(data), window)
+        assert set(zip(piece.tolist(), place.tolist())) == want
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
