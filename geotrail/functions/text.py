@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -58,14 +59,14 @@ def bigrams(c: Column) -> Column:
 
 
 def dice(a: Column, b: Column) -> Column:
-    """Multiset overlap of bigrams; where one text holds the other, at least 0.65, or 0.5 for short ones, or the length ratio."""
+    """Multiset overlap of bigrams, 0 for a single letter; where one text holds the other, their length ratio, at least 0.65, or 0.5 for two letters."""
     x, y = bigrams(a), bigrams(b)
     count = lambda xs, g: F.size(F.filter(xs, lambda v: v == g))
     shared = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, g: s + F.least(count(x, g), count(y, g)))
     plain = 2 * shared / (F.size(x) + F.size(y))
-    floor = F.greatest(F.when(F.least(F.length(a), F.length(b)) >= 4, 0.65).otherwise(0.5), length_ratio(a, b))
-    empty = (F.length(a) == 0) | (F.length(b) == 0)
-    return F.when(empty, 0.0).when(a == b, 1.0).when(contains_either(a, b), F.greatest(plain, floor)).otherwise(plain)
+    shorter = F.least(F.length(a), F.length(b))
+    held = F.greatest(length_ratio(a, b), F.when(shorter >= 3, 0.65).when(shorter == 2, 0.5).otherwise(0.0))
+    return F.when(shorter == 0, 0.0).when(a == b, 1.0).when(contains_either(a, b), held).when(shorter == 1, 0.0).otherwise(plain)
 
 
 def name_relation(a: Column, b: Column, norm_a: Column, norm_b: Column, least: float = 0.7) -> Column:
@@ -76,18 +77,26 @@ def name_relation(a: Column, b: Column, norm_a: Column, norm_b: Column, least: f
     return F.struct(kind.alias("relation"), score.alias("score"))
 
 
-def best_name(keyword: Column, names: Column) -> Column:
-    """struct(score, kind, name) of the best of an array of names; the first wins a tie."""
-    base = lambda c: F.lower(base_name(c))
+def best_name(keyword: Column, names: Column, norm: Callable[[Column], Column] = lambda c: F.lower(F.trim(c))) -> Column:
+    """struct(score, kind, name) of the best of an array of names; the first wins a tie. Null and blank names don't count.
 
-    def scored(n: Column, i: Column) -> Column:
-        edit = edit_similarity(keyword, n)
-        score = F.when(keyword == n, 1.0).when(base(keyword) == base(n), F.greatest(F.lit(0.96), edit)).when(contains_either(keyword, n), 0.72 + 0.18 * length_ratio(keyword, n)).otherwise(edit)
-        kind = F.when(keyword == n, "exact").when(base(keyword) == base(n), "same_base").when(contains_either(keyword, n), "contains").otherwise("edit")
-        return F.struct(score.alias("score"), (-i).alias("order"), kind.alias("kind"), n.alias("name"))
+    Names and their bases are compared in the form that norm gives. Without a similar name the score is 0, the kind none.
+    """
+    k, kb = norm(keyword), norm(base_name(keyword))
 
-    top = F.array_max(F.transform(names, scored))
-    return F.struct(top["score"].alias("score"), top["kind"].alias("kind"), top["name"].alias("name"))
+    def scored(name: Column, i: Column) -> Column:
+        n, nb = norm(name), norm(base_name(name))
+        edit, base = edit_similarity(k, n), edit_similarity(kb, nb)
+        best = F.greatest(edit, base)
+        inside = contains_either(kb, nb) & (F.least(F.length(kb), F.length(nb)) >= 2)
+        exact, same = (k == n) & (k != ""), (kb == nb) & (kb != "")
+        score = F.when(exact, 1.0).when(same, F.greatest(F.lit(0.96), best)).when(inside, F.greatest(best, 0.72 + 0.18 * length_ratio(kb, nb))).otherwise(best)
+        kind = F.when(exact, "exact").when(same, "same_base").when(inside, "contains").when(base > edit, "base_edit").otherwise("edit")
+        return F.struct(score.alias("score"), (-i).alias("order"), kind.alias("kind"), name.alias("name"))
+
+    top = F.array_max(F.transform(F.filter(names, lambda x: F.trim(x) != ""), scored))
+    found = top["score"] > 0
+    return F.struct(F.coalesce(top["score"], F.lit(0.0)).alias("score"), F.when(found, top["kind"]).otherwise("none").alias("kind"), F.when(found, top["name"]).otherwise("").alias("name"))
 
 
 def clue_match(clues: Column, fields: Column) -> Column:
@@ -95,12 +104,13 @@ def clue_match(clues: Column, fields: Column) -> Column:
     return F.filter(clues, lambda c: F.exists(fields, lambda f: contains_either(c, f)))
 
 
-def type_compat(kind: Column, type_text: Column, rules: dict[str, str]) -> Column:
-    """Whether a type's text fits a kind, by one pattern per kind; a kind without a rule fits nothing."""
-    out = F.lit(False)
-    for name, pattern in rules.items():
-        out = out | ((kind == name) & type_text.rlike(pattern))
-    return F.coalesce(out, F.lit(False))
+def type_compat(kind: Column, code: Column, type_text: Column, rules: dict[str, tuple[str, str]]) -> Column:
+    """Whether a type fits a kind, by a prefix of the type's code or a pattern of its text for each kind; any type fits a kind without a rule."""
+    out = F.lit(True)
+    for name, (prefix, pattern) in rules.items():
+        fits = F.coalesce(F.startswith(code, F.lit(prefix)), F.lit(False)) | F.coalesce(type_text.rlike(pattern), F.lit(False))
+        out = F.when(kind == name, fits).otherwise(out)
+    return out
 
 
 def is_generic(c: Column, patterns: list[str], stop: list[str]) -> Column:

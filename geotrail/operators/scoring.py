@@ -24,32 +24,42 @@ def rank(candidates: DataFrame, key: str) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "source_rank")))
 
 
-def decide(candidates: DataFrame, key: str, margin: float = 8.0, credible: float = 0.75, near: float = 6.0, most: int = 5) -> DataFrame:
-    """(key, status, selected_ids, top_score, margin) from ranked candidates (poi_id, score, name_similarity, has_context)."""
-    gap = F.lit(near)
+def decide(candidates: DataFrame, requests: DataFrame, key: str, margin: float = 8.0, credible: float = 0.75, near: float = 6.0, most: int = 5) -> DataFrame:
+    """(key, status, selected_ids, top_score, margin, n_credible) of every request (key, generic, has_context).
+
+    candidates are ranked (poi_id, score, name_similarity). A generic keyword is rejected; a request without candidates, or whose
+    best is too unlike, has no match; several credible ones are kept where no context, or too small a margin, tells them
+    apart; a clear best is accepted; the rest goes to review.
+    """
     best = F.max("score").over(W.partitionBy(key))
-    ok = (F.col("name_similarity") >= credible) & (F.col("score") >= best - gap)
+    ok = (F.col("name_similarity") >= credible) & (F.col("score") >= best - F.lit(near))
     lists = candidates.withColumn("_ok", ok).groupBy(key).agg(
         F.max("score").alias("top_score"),
-        F.max_by("name_similarity", -F.col("rank")).alias("top_similarity"),
+        F.max_by(F.struct("name_similarity", "poi_id"), -F.col("rank")).alias("_top"),
         F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("_second"),
-        F.bool_or("has_context").alias("has_context"),
         F.array_sort(F.collect_list(F.when(F.col("_ok"), F.struct("rank", "poi_id")))).alias("_c"),
     )
-    lists = lists.withColumn("margin", F.col("top_score") - F.coalesce("_second", F.lit(0.0))).withColumn("n_credible", F.size("_c"))
+    lists = requests.select(key, "generic", "has_context").join(lists, key, "left")
+    lists = lists.withColumn("margin", F.col("top_score") - F.coalesce("_second", F.lit(0.0))).withColumn("n_credible", F.coalesce(F.size("_c"), F.lit(0)))
+    similarity = F.col("_top.name_similarity")
     status = (
-        F.when(F.col("top_similarity") < 0.48, "no_match")
-        .when((F.col("top_similarity") >= 0.9) & (F.col("margin") >= margin), "auto_accept")
-        .when((F.col("n_credible") > 1) & F.col("has_context"), "multiple")
-        .when((F.col("n_credible") == 1) & F.col("has_context"), "likely")
+        F.when(F.col("generic"), "rejected")
+        .when(F.col("top_score").isNull() | (similarity < 0.48) | (F.col("top_score") < 38), "no_match")
+        .when((F.col("n_credible") > 1) & (~F.col("has_context") | (F.col("margin") < near)), "multiple")
+        .when((similarity >= 0.9) & (F.col("top_score") >= 62) & (F.col("margin") >= margin), "auto_accept")
         .otherwise("needs_review")
     )
+    lists = lists.withColumn("status", status)
     ids = F.slice(F.transform("_c", lambda c: c["poi_id"]), 1, most)
-    return lists.select(key, status.alias("status"), ids.alias("selected_ids"), "top_score", "margin", "n_credible")
+    chosen = F.when(F.col("status") == "auto_accept", F.array("_top.poi_id")).when(F.col("status").isin("multiple", "needs_review"), ids)
+    return lists.select(key, "status", F.coalesce(chosen, F.array().cast(f"array<{dict(candidates.dtypes)['poi_id']}>")).alias("selected_ids"), "top_score", "margin", "n_credible")
 
 
-def needs_review(decisions: DataFrame) -> DataFrame:
-    return decisions.where(F.col("status").isin("multiple", "needs_review"))
+def needs_review(decisions: DataFrame, conflict: Column | None = None) -> DataFrame:
+    """Decisions to look at: those without a clear outcome that have candidates, and those that chose some although places conflict."""
+    unclear = F.col("status").isin("needs_review", "no_match") & F.col("top_score").isNotNull()
+    chose = F.col("status").isin("auto_accept", "multiple") & (conflict if conflict is not None else F.lit(False))
+    return decisions.where(unclear | chose)
 
 
 def review_input(candidates: DataFrame, context: DataFrame, key: str, most: int = 5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
@@ -28,8 +30,8 @@ def d03_base_name(t: Inputs):
     return t.part.select("p_partkey", text.base_name(F.expr(NAMED)).alias("base"))
 
 
-#: Pairs of names: each part beside the part 13 keys on.
-PAIRS = "(SELECT a.p_partkey, a.p_name AS a, CASE WHEN a.p_partkey % 10 = 0 THEN concat(a.p_name, ' ', b.p_brand) WHEN a.p_partkey % 17 = 0 THEN '' ELSE b.p_name END AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 13)"
+#: Pairs of names: each part beside the part 13 keys on, with texts that hold one another, branches, short ones and none.
+PAIRS = "(SELECT a.p_partkey, a.p_name AS a, CASE WHEN a.p_partkey % 10 = 0 THEN concat(a.p_name, ' ', b.p_brand) WHEN a.p_partkey % 17 = 0 THEN '' WHEN a.p_partkey % 19 = 0 THEN substr(a.p_name, 1, 1 + a.p_partkey % 4) WHEN a.p_partkey % 23 = 0 THEN '#' WHEN a.p_partkey % 11 = 0 THEN concat(a.p_name, ' Store') WHEN a.p_partkey % 7 = 0 THEN concat(b.p_name, ' (Shop ', a.p_partkey, ')') ELSE b.p_name END AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 13)"
 EDIT = "CASE WHEN length(a) = 0 OR length(b) = 0 THEN 0.0 WHEN a = b THEN 1.0 ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END"
 EITHER = "(length(a) > 0 AND length(b) > 0 AND (contains(a, b) OR contains(b, a)))"
 RATIO = "least(length(a), length(b))::DOUBLE / greatest(length(a), length(b))"
@@ -37,8 +39,10 @@ RATIO = "least(length(a), length(b))::DOUBLE / greatest(length(a), length(b))"
 
 def pairs(t: Inputs):
     a, b = t.part.alias("a"), t.part.alias("b")
-    second = F.when(C("a.p_partkey") % 10 == 0, F.concat_ws(" ", "a.p_name", "b.p_brand")).when(C("a.p_partkey") % 17 == 0, "").otherwise(C("b.p_name"))
-    return a.join(b, C("b.p_partkey") == C("a.p_partkey") + 13).select("a.p_partkey", C("a.p_name").alias("a"), second.alias("b"))
+    key, name = C("a.p_partkey"), C("a.p_name")
+    second = F.when(key % 10 == 0, F.concat_ws(" ", name, "b.p_brand")).when(key % 17 == 0, "").when(key % 19 == 0, F.substring(name, F.lit(1), (1 + key % 4).cast("int"))).when(key % 23 == 0, "#")
+    second = second.when(key % 11 == 0, F.concat(name, F.lit(" Store"))).when(key % 7 == 0, F.concat("b.p_name", F.lit(" (Shop "), key, F.lit(")"))).otherwise(C("b.p_name"))
+    return a.join(b, C("b.p_partkey") == key + 13).select("a.p_partkey", name.alias("a"), second.alias("b"))
 
 
 @query(f"SELECT p_partkey, round({EDIT}, 6) AS similarity FROM {PAIRS}")
@@ -58,26 +62,42 @@ def d05_contain_similarity(t: Inputs):
     n AS (SELECT p_partkey, g, count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb FROM g GROUP BY ALL),
     s AS (SELECT p_partkey, 2 * sum(least(na, nb))::DOUBLE / sum(na + nb) AS plain FROM n GROUP BY p_partkey)
     SELECT p_partkey, round(CASE WHEN length(a) = 0 OR length(b) = 0 THEN 0 WHEN a = b THEN 1 WHEN {EITHER}
-           THEN greatest(plain, CASE WHEN least(length(a), length(b)) >= 4 THEN 0.65 ELSE 0.5 END, {RATIO}) ELSE plain END, 6) AS dice
+           THEN CASE WHEN least(length(a), length(b)) >= 3 THEN greatest(0.65, {RATIO}) WHEN least(length(a), length(b)) = 2 THEN greatest(0.5, {RATIO}) ELSE {RATIO} END
+           WHEN least(length(a), length(b)) = 1 THEN 0 ELSE plain END, 6) AS dice
     FROM p LEFT JOIN s USING (p_partkey)""")
 def d06_dice_bigrams(t: Inputs):
     return pairs(t).select("p_partkey", F.round(text.dice(C("a"), C("b")), 6).alias("dice"))
 
 
-@query(f"""SELECT p_partkey, CASE WHEN a = b THEN 'normalized_equal' WHEN {EITHER} THEN 'contains' WHEN {EDIT} >= 0.7 THEN 'edit_similar' ELSE 'different' END AS relation, round({EDIT}, 6) AS score
-    FROM {PAIRS}""")
+BASED = r"""(SELECT *, trim(regexp_replace(regexp_replace(trim(a), '\s*[（(][^()（）]*[)）]\s*$', ''), '(?i)\s*(branch|store|shop|店|分店)$', '')) AS ba,
+    trim(regexp_replace(regexp_replace(trim(b), '\s*[（(][^()（）]*[)）]\s*$', ''), '(?i)\s*(branch|store|shop|店|分店)$', '')) AS bb FROM {})"""
+
+
+def of(expr: str, a: str, b: str) -> str:
+    """The expression over a and b for two other columns."""
+    return re.sub(r"\b([ab])\b", lambda m: a if m[1] == "a" else b, expr)
+
+
+@query(f"""SELECT p_partkey, CASE WHEN a = b THEN 'normalized_equal' WHEN lower(ba) = lower(bb) AND ba <> '' THEN 'base_equal' WHEN {EITHER} THEN 'contains' WHEN {EDIT} >= 0.7 THEN 'edit_similar' ELSE 'different' END AS relation, round({EDIT}, 6) AS score
+    FROM {BASED.format(PAIRS)}""")
 def d07_name_relation(t: Inputs):
     r = text.name_relation(C("a"), C("b"), C("a"), C("b"))
     return pairs(t).select("p_partkey", r.alias("r")).select("p_partkey", "r.relation", F.round("r.score", 6).alias("score"))
 
 
+INSIDE = f"({of(EITHER, 'ba', 'bb')} AND least(length(ba), length(bb)) >= 2)"
+
+
 @query(f"""
-    WITH p AS (SELECT p_partkey, a, b FROM {PAIRS} UNION ALL SELECT p_partkey, a, 'plain part' FROM {PAIRS}),
-         s AS (SELECT *, b <> 'plain part' AS is_first, CASE WHEN a = b THEN 1.0 WHEN {EITHER} THEN 0.72 + 0.18 * {RATIO} ELSE {EDIT} END AS score FROM p)
-    SELECT p_partkey, round(arg_max(score, score * 1000000 + is_first::INT), 6) AS score, arg_max(CASE WHEN a = b THEN 'exact' WHEN {EITHER} THEN 'contains' ELSE 'edit' END, score * 1000000 + is_first::INT) AS kind FROM s GROUP BY p_partkey""")
+    WITH p AS (SELECT p_partkey, lower(trim(a)) AS a, lower(trim(b)) AS b, b AS name, lower(ba) AS ba, lower(bb) AS bb, f FROM (SELECT *, 1 AS f FROM {BASED.format(PAIRS)} UNION ALL SELECT *, 0 FROM {BASED.format(f"(SELECT p_partkey, a, 'plain part' AS b FROM {PAIRS})")})),
+         e AS (SELECT *, {EDIT} AS edit, {of(EDIT, 'ba', 'bb')} AS base FROM p WHERE b <> ''),
+         s AS (SELECT *, CASE WHEN a = b THEN 1.0 WHEN ba = bb AND ba <> '' THEN greatest(0.96, edit, base) WHEN {INSIDE} THEN greatest(edit, base, 0.72 + 0.18 * {of(RATIO, 'ba', 'bb')}) ELSE greatest(edit, base) END AS score,
+                      CASE WHEN a = b THEN 'exact' WHEN ba = bb AND ba <> '' THEN 'same_base' WHEN {INSIDE} THEN 'contains' WHEN base > edit THEN 'base_edit' ELSE 'edit' END AS kind FROM e),
+         r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, f DESC) AS n FROM s)
+    SELECT p_partkey, round(score, 6) AS score, CASE WHEN score > 0 THEN kind ELSE 'none' END AS kind, CASE WHEN score > 0 THEN name ELSE '' END AS name FROM r WHERE n = 1""")
 def d08_best_name_match(t: Inputs):
     best = text.best_name(C("a"), F.array("b", F.lit("plain part")))
-    return pairs(t).select("p_partkey", best.alias("m")).select("p_partkey", F.round("m.score", 6).alias("score"), "m.kind")
+    return pairs(t).select("p_partkey", best.alias("m")).select("p_partkey", F.round("m.score", 6).alias("score"), "m.kind", "m.name")
 
 
 @query("SELECT s_suppkey, concat_ws(',', CASE WHEN contains(s_name, '1') THEN '1' END, CASE WHEN contains(s_name, '42') THEN '42' END, CASE WHEN contains(n_name, 'NATION_1') THEN 'NATION_1' END) AS clues FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -87,10 +107,10 @@ def d09_clue_match(t: Inputs):
     return rows.select("s_suppkey", F.concat_ws(",", F.concat(hit(["1", "42"], "s_name"), hit(["NATION_1"], "n_name"))).alias("clues"))
 
 
-@query("SELECT p_partkey, p_brand LIKE '%1' AND p_type LIKE '%S%' OR p_brand NOT LIKE '%1' AND regexp_matches(p_type, '^[A-M]') AS fits FROM part")
+@query("""SELECT p_partkey, CASE WHEN p_brand LIKE '%1' THEN CAST(p_size AS STRING) LIKE '4%' OR p_type LIKE '%S%' WHEN p_brand LIKE '%2' THEN CAST(p_size AS STRING) LIKE '1%' OR regexp_matches(p_type, '^[A-M]') ELSE true END AS fits FROM part""")
 def d10_type_compat(t: Inputs):
-    kind = F.when(C("p_brand").endswith("1"), "place").otherwise("region")
-    return t.part.select("p_partkey", text.type_compat(kind, C("p_type"), {"place": "S", "region": "^[A-M]"}).alias("fits"))
+    kind = F.when(C("p_brand").endswith("1"), "place").when(C("p_brand").endswith("2"), "region").otherwise("other")
+    return t.part.select("p_partkey", text.type_compat(kind, C("p_size").cast("string"), C("p_type"), {"place": ("4", "S"), "region": ("1", "^[A-M]")}).alias("fits"))
 
 
 @query("SELECT p_partkey, lower(trim(p_type)) IN ('economy', 'small') OR regexp_matches(p_type, '(?i)^standard|ed$') AS generic FROM part")

@@ -59,7 +59,7 @@ GRAMS = "list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))"
          x AS (SELECT post_id, poi_id, lower(term) AS a, lower(name) AS b, term FROM m JOIN p USING (post_id)), g AS (
          SELECT DISTINCT a, b FROM x), n AS (SELECT a, b, 'a' AS side, unnest({GRAMS.format('a')}) AS g FROM g UNION ALL SELECT a, b, 'b', unnest({GRAMS.format('b')}) FROM g),
          c AS (SELECT a, b, g, count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb FROM n GROUP BY ALL), s AS (SELECT a, b, 2 * sum(least(na, nb)) / sum(na + nb) AS plain FROM c GROUP BY 1, 2),
-         d AS (SELECT x.*, CASE WHEN a = b THEN 1 WHEN contains(a, b) OR contains(b, a) THEN greatest(plain, CASE WHEN least(length(a), length(b)) >= 4 THEN 0.65 ELSE 0.5 END, least(length(a), length(b)) / greatest(length(a), length(b))) ELSE plain END AS dice FROM x JOIN s USING (a, b)),
+         d AS (SELECT x.*, CASE WHEN a = b THEN 1 WHEN contains(a, b) OR contains(b, a) THEN greatest(CASE WHEN least(length(a), length(b)) >= 3 THEN 0.65 WHEN least(length(a), length(b)) = 2 THEN 0.5 ELSE 0 END, least(length(a), length(b)) / greatest(length(a), length(b))) WHEN least(length(a), length(b)) = 1 THEN 0 ELSE plain END AS dice FROM x JOIN s USING (a, b)),
          k AS (SELECT post_id, term, count(DISTINCT poi_id) AS n FROM d WHERE dice >= 0.15 GROUP BY 1, 2)
     SELECT post_id, term, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN 'unique_high' WHEN n > 1 THEN 'multiple' ELSE 'unmatched' END AS status FROM m LEFT JOIN k USING (post_id, term)""")
 def j04_link_places(t: Inputs):

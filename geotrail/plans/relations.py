@@ -221,17 +221,21 @@ def g02_rank_candidates(t: Inputs):
     return scoring.rank(scored(t), "request_id").select("request_id", "poi_id", C("rank").cast("long"))
 
 
-DECIDED = f"""(SELECT request_id, top_score, top_score - coalesce(second, 0) AS margin, n_credible, ids,
-        CASE WHEN top_similarity < 0.48 THEN 'no_match' WHEN top_similarity >= 0.9 AND top_score - coalesce(second, 0) >= 8 THEN 'auto_accept'
-             WHEN n_credible > 1 AND ctx THEN 'multiple' WHEN n_credible = 1 AND ctx THEN 'likely' ELSE 'needs_review' END AS status
-    FROM (SELECT request_id, max(score) AS top_score, arg_min(name_similarity, rank) AS top_similarity, max(score) FILTER (rank = 2) AS second, bool_or(has_context) AS ctx,
-                 count(*) FILTER (name_similarity >= 0.75 AND score >= best - 6) AS n_credible, string_agg(CAST(poi_id AS STRING), ',' ORDER BY rank) FILTER (name_similarity >= 0.75 AND score >= best - 6 AND cr <= 5) AS ids
+#: Requests of all kinds: some generic, some with context, some without a candidate.
+ASKED = "(SELECT request_id, request_id % 29 = 0 AS generic, request_id % 3 > 0 AS has_context, request_id % 31 = 0 AS bare FROM fx_requests)"
+DECIDED = f"""(SELECT *, CASE status WHEN 'auto_accept' THEN top_id WHEN 'multiple' THEN credible WHEN 'needs_review' THEN credible END AS ids FROM (
+    SELECT q.request_id, top_score, top_score - coalesce(second, 0) AS margin, coalesce(n_credible, 0) AS n_credible, credible, top_id,
+        CASE WHEN generic THEN 'rejected' WHEN top_score IS NULL OR top_similarity < 0.48 OR top_score < 38 THEN 'no_match' WHEN n_credible > 1 AND (NOT q.has_context OR top_score - coalesce(second, 0) < 6) THEN 'multiple'
+             WHEN top_similarity >= 0.9 AND top_score >= 62 AND top_score - coalesce(second, 0) >= 8 THEN 'auto_accept' ELSE 'needs_review' END AS status
+    FROM {ASKED} q LEFT JOIN (SELECT request_id, max(score) AS top_score, arg_min(name_similarity, rank) AS top_similarity, CAST(arg_min(poi_id, rank) AS STRING) AS top_id, max(score) FILTER (rank = 2) AS second,
+                 count(*) FILTER (name_similarity >= 0.75 AND score >= best - 6) AS n_credible, string_agg(CAST(poi_id AS STRING), ',' ORDER BY rank) FILTER (name_similarity >= 0.75 AND score >= best - 6 AND cr <= 5) AS credible
           FROM (SELECT *, sum(CASE WHEN name_similarity >= 0.75 AND score >= best - 6 THEN 1 ELSE 0 END) OVER (PARTITION BY request_id ORDER BY rank) AS cr
-                FROM (SELECT *, max(score) OVER (PARTITION BY request_id) AS best FROM {RANKED})) GROUP BY request_id))"""
+                FROM (SELECT *, max(score) OVER (PARTITION BY request_id) AS best FROM {RANKED} WHERE request_id % 31 <> 0)) GROUP BY request_id) r ON r.request_id = q.request_id))"""
 
 
 def decided(t: Inputs):
-    return scoring.decide(scoring.rank(scored(t), "request_id"), "request_id")
+    requests = t.fx_requests.select("request_id", (C("request_id") % 29 == 0).alias("generic"), (C("request_id") % 3 > 0).alias("has_context"))
+    return scoring.decide(scoring.rank(scored(t).where("request_id % 31 <> 0"), "request_id"), requests, "request_id")
 
 
 @query(f"SELECT request_id, status, coalesce(ids, '') AS selected, top_score, round(margin, 2) AS margin FROM {DECIDED}")
@@ -239,9 +243,9 @@ def g03_decide(t: Inputs):
     return decided(t).select("request_id", "status", F.concat_ws(",", C("selected_ids").cast("array<string>")).alias("selected"), "top_score", F.round("margin", 2).alias("margin"))
 
 
-@query(f"SELECT request_id, status FROM {DECIDED} WHERE status IN ('multiple', 'needs_review')")
+@query(f"SELECT request_id, status FROM {DECIDED} WHERE status IN ('needs_review', 'no_match') AND top_score IS NOT NULL OR status IN ('auto_accept', 'multiple') AND request_id % 5 = 0")
 def g04_review_route(t: Inputs):
-    return scoring.needs_review(decided(t)).select("request_id", "status")
+    return scoring.needs_review(decided(t), C("request_id") % 5 == 0).select("request_id", "status")
 
 
 @query(f"""

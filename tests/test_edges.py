@@ -151,11 +151,47 @@ def test_titles(spark):
 
 
 def test_decisions(spark):
-    cases = {1: [(95, 0.95), (86, 0.8)], 2: [(95, 0.95), (88, 0.8)], 3: [(90, 0.8), (85, 0.76)], 4: [(50, 0.47)], 5: [(80, 0.75)]}
-    rows = [(k, i, float(s), n, True, i + 1) for k, c in cases.items() for i, (s, n) in enumerate(c)]
-    df = scoring.rank(spark.createDataFrame(rows, "request_id int, poi_id int, score double, name_similarity double, has_context boolean, source_rank int"), "request_id")
-    got = {r.request_id: r.status for r in scoring.decide(df, "request_id").collect()}
-    assert got == {1: "auto_accept", 2: "likely", 3: "multiple", 4: "no_match", 5: "likely"}
+    # request: (generic, context, [(score, similarity), ...]), with the outcome worked out by hand from the rules
+    cases = {
+        1: (False, True, [(95, 0.95), (86, 0.8)], "auto_accept", [0]),
+        2: (False, True, [(95, 0.95), (88, 0.8)], "needs_review", [0]),  # margin below 8, and only one within 6 points
+        3: (False, True, [(90, 0.8), (85, 0.76)], "multiple", [0, 1]),  # margin below 6
+        4: (False, True, [(50, 0.47)], "no_match", []),
+        5: (False, True, [(80, 0.75)], "needs_review", [0]),
+        6: (True, True, [(95, 0.95)], "rejected", []),
+        7: (False, True, [], "no_match", []),
+        8: (False, False, [(90, 0.95), (84, 0.8)], "multiple", [0, 1]),  # no context, though the margin is 6
+        9: (False, True, [(90, 0.95), (84, 0.8)], "needs_review", [0, 1]),  # context and a margin of 6, but not of 8
+        10: (False, True, [(37.9, 0.99)], "no_match", []),  # score below 38
+        11: (False, True, [(61, 0.95), (50, 0.9)], "needs_review", [0]),  # score below 62
+        12: (False, False, [(62, 0.9), (54, 0.9)], "auto_accept", [0]),
+        13: (False, True, [(60, 0.5)], "needs_review", []),  # not credible, yet not too unlike
+        14: (False, False, [(80, 0.8)] * 7, "multiple", [0, 1, 2, 3, 4]),
+    }
+    rows = [(k, i, float(s), n, i + 1) for k, c in cases.items() for i, (s, n) in enumerate(c[2])]
+    df = scoring.rank(spark.createDataFrame(rows, "request_id int, poi_id int, score double, name_similarity double, source_rank int"), "request_id")
+    requests = spark.createDataFrame([(k, c[0], c[1]) for k, c in cases.items()], "request_id int, generic boolean, has_context boolean")
+    decided = scoring.decide(df, requests, "request_id")
+    assert {r.request_id: (r.status, r.selected_ids) for r in decided.collect()} == {k: (c[3], c[4]) for k, c in cases.items()}
+    conflicts = C("request_id").isin(1, 3, 5)
+    assert {r.request_id for r in scoring.needs_review(decided, conflicts).collect()} == {1, 2, 3, 4, 5, 9, 10, 11, 13}
+
+
+def test_name_scores(spark):
+    # worked out by hand: equal bases count 1 by their own edit similarity, one base in the other 0.72 + 0.18 x ratio, else the better edit similarity
+    cases = [
+        ("noodle bar", ["Noodle Bar"], 1.0, "exact"), ("noodle bar", ["Noodle Bar (North Store)"], 1.0, "same_base"), ("noodle", ["noodle bars"], 0.72 + 0.18 * 6 / 11, "contains"),
+        ("a", ["ab"], 0.5, "edit"), ("noodle shop", ["noodlx"], 5 / 6, "base_edit"), ("xy", ["ab"], 0.0, "none"), ("xy", [], 0.0, "none"), ("xy", [None, " ", "xz"], 0.5, "edit"),
+    ]
+    df = spark.createDataFrame([(i, k, n) for i, (k, n, *_) in enumerate(cases)], "i int, k string, n array<string>")
+    got = [r.m for r in df.orderBy("i").select(text.best_name(C("k"), C("n")).alias("m")).collect()]
+    assert [(round(m.score, 9), m.kind) for m in got] == [(round(s, 9), k) for *_, s, k in cases]
+    pairs = [("abc", "abcdef", 0.65), ("abc", "abcd", 0.75), ("ab", "abcdef", 0.5), ("a", "abcd", 0.25), ("a", "b", 0.0), ("abcd", "abxd", 1 / 3), ("", "a", 0.0), ("aaaa", "aaab", 2 / 3)]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string, w double").select(text.dice(C("a"), C("b"))).collect()]
+    assert got == pytest.approx([w for *_, w in pairs])
+    kinds = [("food", "050100", "x", True), ("food", "060100", "a food hall", True), ("food", "060100", "x", False), ("food", None, None, False), ("other", "1", "x", True)]
+    df = spark.createDataFrame(kinds, "k string, c string, t string, w boolean")
+    assert [r[0] for r in df.select(text.type_compat(C("k"), C("c"), C("t"), {"food": ("05", "food")})).collect()] == [w for *_, w in kinds]
 
 
 def test_polygon_with_hole_and_parts(spark):
