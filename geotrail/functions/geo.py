@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.io import written
+
 KM = 6371.0088
 
 
@@ -15,6 +20,38 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: fl
     return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
+def _band(km: float) -> float:
+    """Degrees of latitude that km span, a little more."""
+    return km / 111.0 + 1e-9
+
+
+def _columns(y: Column, km: float) -> Column:
+    """Cells around the globe in latitude band y, each at least as wide as km anywhere in the band; one where it touches a pole."""
+    band, angle = _band(km), km / KM * 1.000001
+    top = F.radians(F.least(F.lit(90.0), F.greatest(F.abs(y * band), F.abs((y + 1) * band))))
+    width = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(angle)) / F.cos(top))))
+    return F.when(top + angle < 1.5707, F.greatest(F.lit(1), F.floor(360 / width))).otherwise(F.lit(1))
+
+
+def _column(lon: Column, n: Column) -> Column:
+    return F.floor((lon + 180) / 360 * n)
+
+
+def with_cell(df: DataFrame, km: float) -> DataFrame:
+    """Adds the cell (_y, _x) of each row's lon and lat in a grid whose cells are at least km wide and high."""
+    df = df.withColumn("_y", F.floor(F.col("lat") / _band(km)))
+    n = _columns(F.col("_y"), km)
+    return df.withColumn("_x", F.pmod(_column(F.col("lon"), n), n))
+
+
+def with_cells_around(df: DataFrame, km: float) -> DataFrame:
+    """The rows once for each cell of that grid in which something can be within km of them; the grid closes at 180 degrees."""
+    df = df.withColumn("_y", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("lat") / _band(km)) + d)))
+    n = _columns(F.col("_y"), km)
+    beside = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(_column(F.col("lon"), n) + d, n))
+    return df.withColumn("_x", F.explode(F.array_distinct(beside)))
+
+
 def in_bbox(lon: Column, lat: Column, box: tuple[float, float, float, float]) -> Column:
     """box is (west, east, south, north), edges included."""
     return lon.between(box[0], box[1]) & lat.between(box[2], box[3])
@@ -96,11 +133,30 @@ def polygons_hit(polygons: DataFrame, points: DataFrame, key: str, size: float =
     return polygons.join(pip_join(points.select("lon", "lat").distinct(), polygons.select(key, "rings"), size).select(key).distinct(), key, "left_semi")
 
 
-def min_distance(rows: DataFrame, anchors: DataFrame, on: list[str], key: str) -> DataFrame:
-    """(key, km): each row's least distance to the anchors of its group."""
-    a = anchors.select(*on, F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
-    km = haversine(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))
-    return rows.join(a, on).groupBy(*on, key).agg(F.min(km).alias("km"))
+def min_distance(rows: DataFrame, anchors: DataFrame, on: list[str], key: str, km: float = 25.0, growth: float = 8.0) -> DataFrame:
+    """(on, key, km): each row's least distance to the anchors of its group; rows of groups without anchors are left out.
+
+    Rows look for anchors in grid cells around them. What lies within km is the nearest; the other rows look again in a
+    grid growth times as coarse, and so on. Anchors at one place count once.
+    """
+    points = written(anchors.select(*on, "lon", "lat").distinct())
+    left = written(rows.select(*on, key, "lon", "lat").join(points.select(*on).distinct(), on, "left_semi"))
+    parts = []
+    while True:
+        last = km * growth > math.pi * KM
+        a, b = (left, points) if last else (with_cells_around(left, km), with_cell(points, km))
+        cell = [] if last else ["_y", "_x"]
+        met = a.join(b.select(*on, *cell, F.col("lon").alias("_lon"), F.col("lat").alias("_lat")), [*on, *cell])
+        near = met.groupBy(*on, key).agg(F.min(haversine(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))).alias("km"))
+        found = written(near if last else near.where(F.col("km") <= km))
+        parts.append(found)
+        if last:
+            break
+        left = written(left.join(found, [*on, key], "left_anti"))
+        if not left.limit(1).collect():
+            break
+        km *= growth
+    return reduce(DataFrame.unionByName, parts)
 
 
 def distance_bands(candidates: DataFrame, key: str, similarity: float = 0.8) -> DataFrame:

@@ -1,7 +1,7 @@
 """Joins of records, in time and in space.
 
 Four rewrites keep them off nested loops: intervals and nearest-in-time through time buckets, pairs in space and time
-through time buckets beside one another, containment through grid tiles (in functions.geo).
+through time buckets and grid cells beside one another, containment through grid tiles (in functions.geo).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.geo import haversine
+from ..functions.geo import haversine, with_cell, with_cells_around
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 
@@ -69,23 +69,29 @@ def cascade(rows: DataFrame, key: str, sources: list[tuple[str, DataFrame]], def
     return chosen.withColumns(filled | {"method": F.coalesce("method", F.lit("default"))})
 
 
-def nearest_asof(rows: DataFrame, anchors: DataFrame, time: str, tolerance: int, keep: list[str], prefix: str = "anchor_") -> DataFrame:
+def nearest_asof(rows: DataFrame, anchors: DataFrame, time: str, tolerance: int, keep: list[str], prefix: str = "anchor_", bucket: int | None = None) -> DataFrame:
     """Rows with the nearest anchor in time within tolerance, before or after; the earlier one wins a tie.
 
-    Times are microseconds. Both sides are cut into buckets of the tolerance; an anchor is offered to its own bucket
-    and the two beside it, so every anchor in reach of a row is in the row's bucket. Of the anchors of an instant the one
+    Times are microseconds. Both sides are cut into narrow buckets; beside the anchors of its own bucket a row needs only
+    the last one before and the first one behind it, which are carried from bucket to bucket. Of the anchors of an instant the one
     with the least kept values counts.
     """
-    a = anchors.groupBy(F.col(time).alias("_at")).agg(F.min(F.struct(*keep)).alias("_keep"))
-    bucket = F.floor(F.col("_at") / tolerance)
-    a = a.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    left = rows.withColumn("_row", F.struct(*rows.columns)).select(F.col(time).alias("_at"), F.floor(F.col(time) / tolerance).alias("_b"), "_row", F.lit(None).alias("_keep"))
+    size = bucket or max(1, tolerance // 72)
+    a = anchors.groupBy(F.col(time).alias("_at")).agg(F.min(F.struct(*keep)).alias("_keep")).withColumn("_b", F.floor(F.col("_at") / size))
+    left = rows.withColumn("_row", F.struct(*rows.columns)).select(F.col(time).alias("_at"), F.floor(F.col(time) / size).alias("_b"), "_row", F.lit(None).alias("_keep"))
+    point = F.struct("_at", "_keep")
+    edges = a.groupBy("_b").agg(F.min_by(point, "_at").alias("_first"), F.max_by(point, "_at").alias("_last"))
+    order = W.orderBy("_b")  # one row a bucket, so as many as the time range has buckets
+    carried = left.select("_b").distinct().join(edges, "_b", "full").select(
+        "_b", F.last("_last", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_behind")
+    )
     both = left.unionByName(a.select("_at", "_b", F.lit(None).alias("_row"), "_keep"))
-    hit = F.when(F.col("_keep").isNotNull(), F.struct("_at", "_keep"))
+    hit = F.when(F.col("_keep").isNotNull(), point)
     w = W.partitionBy("_b").orderBy("_at")
     before = F.last(hit, True).over(w.rangeBetween(W.unboundedPreceding, 0))
     after = F.first(hit, True).over(w.rangeBetween(0, W.unboundedFollowing))
-    found = both.select("_at", "_row", before.alias("x"), after.alias("y")).where(F.col("_row").isNotNull())
+    found = both.select("_at", "_b", "_row", before.alias("x"), after.alias("y")).where(F.col("_row").isNotNull()).join(carried, "_b", "left")
+    found = found.select("_at", "_row", F.coalesce("x", "_before").alias("x"), F.coalesce("y", "_behind").alias("y"))
     gap = lambda c: F.abs(F.col("_at") - F.col(f"{c}._at"))
     best = F.when(F.col("x").isNull(), F.col("y")).when(F.col("y").isNull(), F.col("x")).when(gap("x") <= gap("y"), F.col("x")).otherwise(F.col("y"))
     near = F.abs(F.col("_at") - F.col("n._at"))
@@ -128,19 +134,18 @@ def revisits(members: DataFrame, visits: DataFrame) -> DataFrame:
     return found.join(members.select("trip_id", "visit_id"), ["trip_id", "visit_id"], "left_anti").join(other, "visit_id", "left")
 
 
-def st_pairs(visits: DataFrame, days: float, km: float, key: str = "visit_id", time: str = "t", extra: list[str] | None = None) -> DataFrame:
-    """(left, right, gap_days, km): unordered pairs within days and km. Blocked by time buckets and by latitude bands."""
-    span, band = int(days * DAY), km / 111.0 + 1e-9
-    cols = [key, time, "lon", "lat", *(extra or [])]
-    base = visits.select(*cols).withColumn("_b", F.floor(F.col(time) / span)).withColumn("_y", F.floor(F.col("lat") / band))
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    wide = base.withColumn("_db", F.explode(around)).withColumn("_dy", F.explode(around)).withColumn("_b", F.col("_b") + F.col("_db")).withColumn("_y", F.col("_y") + F.col("_dy")).drop("_db", "_dy")
-    a, b = base.alias("a"), wide.alias("b")
-    met = a.join(b, (F.col("a._b") == F.col("b._b")) & (F.col("a._y") == F.col("b._y")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
-    gap = F.abs(F.col(f"a.{time}") - F.col(f"b.{time}")) / DAY
-    dist = haversine(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat"))
-    more = [F.col(f"{s}.{c}").alias(f"{c}_{n}") for c in (extra or []) for s, n in (("a", "left"), ("b", "right"))]
-    out = met.select(F.col(f"a.{key}").alias("left"), F.col(f"b.{key}").alias("right"), gap.alias("gap_days"), dist.alias("km"), *more)
+def st_pairs(visits: DataFrame, days: float, km: float, key: str = "visit_id", time: str = "t") -> DataFrame:
+    """(left, right, gap_days, km): unordered pairs within days and km, left < right.
+
+    Every visit looks for later ones, in its own and the next span of time and in the grid cells around it.
+    """
+    base = visits.select(F.col(key).alias("_id"), F.col(time).alias("_t"), "lon", "lat").withColumn("_b", F.floor(F.col("_t") / int(days * DAY)))
+    a = with_cells_around(base.withColumn("_b", F.explode(F.array(F.col("_b"), F.col("_b") + 1))), km).alias("a")
+    b = with_cell(base, km).alias("b")
+    later = (F.col("a._t") < F.col("b._t")) | ((F.col("a._t") == F.col("b._t")) & (F.col("a._id") < F.col("b._id")))
+    met = a.join(b, (F.col("a._b") == F.col("b._b")) & (F.col("a._y") == F.col("b._y")) & (F.col("a._x") == F.col("b._x")) & later)
+    gap, dist = (F.col("b._t") - F.col("a._t")) / DAY, haversine(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat"))
+    out = met.select(F.least("a._id", "b._id").alias("left"), F.greatest("a._id", "b._id").alias("right"), gap.alias("gap_days"), dist.alias("km"))
     return out.where((F.col("gap_days") <= days) & (F.col("km") <= km))
 
 

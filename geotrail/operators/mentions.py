@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -13,13 +15,22 @@ from .sequences import resolve_overlaps
 PRIORITY = {"restaurant": 0, "dish": 1, "cuisine": 2, "region": 3}
 
 
+def _per_post(posts: DataFrame, rows: DataFrame, out: Callable[[Column, Column], Column]) -> DataFrame:
+    """The rows of each post as out(content, rows) gives them. A post's rows meet its text together, so the text is not repeated for each."""
+    rest = [c for c in rows.columns if c != "post_id"]
+    lists = rows.groupBy("post_id").agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+    joined = lists.join(posts.select("post_id", "content"), "post_id")
+    return joined.select("post_id", F.explode(out(F.col("content"), F.col("_rows"))).alias("_r")).select("post_id", "_r.*")
+
+
 def collect_terms(posts: DataFrame, sources: DataFrame, stop: list[str], least: int = 2) -> DataFrame:
     """(post_id, type, term, sources, confidence): terms that stand in the post's text, merged over their sources.
 
     sources is (post_id, type, term, source, confidence).
     """
-    found = sources.withColumn("term", F.trim("term")).where((F.length("term") >= least) & ~F.lower("term").isin(stop)).join(posts.select("post_id", "content"), "post_id").where(F.contains("content", "term"))
-    return found.groupBy("post_id", "type", "term").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.max("confidence").alias("confidence"))
+    usable = sources.withColumn("term", F.trim("term")).where((F.length("term") >= least) & ~F.lower("term").isin(stop))
+    merged = usable.groupBy("post_id", "type", "term").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.max("confidence").alias("confidence"))
+    return _per_post(posts, merged, lambda text, rows: F.filter(rows, lambda r: F.contains(text, r["term"])))
 
 
 def authoritative_terms(terms: DataFrame, reviews: DataFrame, trusted: list[str]) -> DataFrame:
@@ -40,9 +51,9 @@ def occurrences(text: Column, term: Column) -> Column:
 
 def locate_terms(posts: DataFrame, terms: DataFrame) -> DataFrame:
     """The terms with (start, end) of every occurrence in their post."""
-    joined = terms.join(posts.select("post_id", "content"), "post_id")
-    out = joined.withColumn("start", F.explode(occurrences(F.col("content"), F.col("term"))))
-    return out.withColumn("end", F.col("start") + F.length("term")).drop("content")
+    out = _per_post(posts, terms, lambda text, rows: F.transform(rows, lambda r: F.struct(r.alias("row"), occurrences(text, r["term"]).alias("starts"))))
+    out = out.select("post_id", "row.*", F.explode("starts").alias("start"))
+    return out.withColumn("end", F.col("start") + F.length("term"))
 
 
 def link_places(mentions: DataFrame, points: DataFrame, least: float = 0.45) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.geo import haversine
+from ..functions.geo import KM, haversine, with_cell, with_cells_around
 from ..sources.io import written
 
 
@@ -74,33 +77,57 @@ def public_post(posts: DataFrame, whitelist: list[str], labels: str | None = Non
     return posts.select(*whitelist, *extra)
 
 
-def neighborhoods(visits: DataFrame, km: float, need: int, group: str = "region_group", size: float | None = None) -> DataFrame:
-    """(visit_id, neighbors, viable): other visits of the same group within km; viable with need - 1 at least. Blocked by latitude bands."""
-    band = size or km / 111.0 + 1e-9
-    a = visits.select("visit_id", group, "lon", "lat", F.floor(F.col("lat") / band).alias("_y"))
-    b = a.select(F.col("visit_id").alias("_id"), group, F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), F.explode(F.array(F.col("_y") - 1, F.col("_y"), F.col("_y") + 1)).alias("_y"))
-    near = (F.col("visit_id") != F.col("_id")) & (haversine(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")) <= km)
-    counts = a.join(b, [group, "_y"]).where(near).groupBy("visit_id").agg(F.count("*").alias("neighbors"))
-    return visits.select("visit_id").join(counts, "visit_id", "left").withColumn("neighbors", F.coalesce("neighbors", F.lit(0))).withColumn("viable", F.col("neighbors") >= need - 1)
+def neighborhoods(visits: DataFrame, km: float, need: int, group: str = "region_group") -> DataFrame:
+    """(visit_id, neighbors, viable): other visits of the same group within km; viable with need - 1 at least.
+
+    Visits of one place have the same neighbours, so places are compared, by grid cells, each with the number of its visits.
+    """
+    places = written(visits.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).groupBy(group, "lon", "lat").agg(F.count("*").alias("n")))
+    a, b = with_cells_around(places, km), with_cell(places, km).select(group, "_y", "_x", "n", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
+    near = a.drop("n").join(b, [group, "_y", "_x"]).where(haversine(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")) <= km)
+    counts = near.groupBy(group, "lon", "lat").agg((F.sum("n") - 1).alias("neighbors"))
+    out = visits.select("visit_id", group, "lon", "lat").join(counts, [group, "lon", "lat"], "left").select("visit_id", F.coalesce("neighbors", F.lit(0)).alias("neighbors"))
+    return out.withColumn("viable", F.col("neighbors") >= need - 1)
 
 
-def nearest_k(anchors: DataFrame, members: DataFrame, group: str, k: int, year_weight: float = 60.0, seed: int | None = None) -> DataFrame:
-    """(anchor_id, visit_id, score, rank): each anchor's first members by km and years apart; a seed adds a fixed jitter below 1."""
-    a = anchors.select(F.col("visit_id").alias("anchor_id"), group, F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), F.col("year").alias("_year"))
-    met = a.join(members, group).where("anchor_id <> visit_id")
+def nearest_k(anchors: DataFrame, members: DataFrame, group: str, k: int, year_weight: float = 60.0, seed: int | None = None, km: float = 25.0, growth: float = 8.0) -> DataFrame:
+    """(anchor_id, visit_id, score, rank): each anchor's first members by km and years apart; a seed adds a fixed jitter below 1.
+
+    A score is never below the distance, so an anchor is done once k of the members in the grid cells around it score
+    within the cells' km; the others look again in a grid growth times as coarse, at last in their whole group.
+    """
+    m = written(members.select(group, "visit_id", "lon", "lat", F.col("year").alias("_year")))
+    left = written(anchors.select(F.col("visit_id").alias("anchor_id"), group, "lon", "lat", "year"))
     jitter = F.pmod(F.xxhash64(F.lit(seed), "visit_id"), F.lit(1000)) / 1000 if seed is not None else F.lit(0.0)
-    score = haversine(F.col("_lon"), F.col("_lat"), F.col("lon"), F.col("lat")) + year_weight * F.abs(F.col("year") - F.col("_year")) + jitter
-    out = met.select("anchor_id", "visit_id", score.alias("score"))
-    return out.withColumn("rank", F.row_number().over(W.partitionBy("anchor_id").orderBy("score", "visit_id"))).where(F.col("rank") <= k)
+    score = haversine(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")) + year_weight * F.abs(F.col("_year") - F.col("year")) + jitter
+    parts = []
+    while True:
+        last = km * growth > math.pi * KM
+        a, b = (left, m) if last else (with_cells_around(left, km), with_cell(m, km))
+        cell = [] if last else ["_y", "_x"]
+        met = a.join(b.withColumnsRenamed({"lon": "_lon", "lat": "_lat"}), [group, *cell]).where("anchor_id <> visit_id").select("anchor_id", "visit_id", score.alias("score"))
+        ranked = met.withColumn("rank", F.row_number().over(W.partitionBy("anchor_id").orderBy("score", "visit_id"))).where(F.col("rank") <= k)
+        if last:
+            parts.append(ranked)
+            break
+        ranked = written(ranked)
+        done = ranked.where((F.col("rank") == k) & (F.col("score") <= km)).select("anchor_id")
+        parts.append(ranked.join(done, "anchor_id", "left_semi"))
+        left = written(left.join(done, "anchor_id", "left_anti"))
+        if not left.limit(1).collect():
+            break
+        km *= growth
+    return reduce(DataFrame.unionByName, parts)
 
 
 def shortest_order(nodes: DataFrame, group: str, most: int = 7) -> DataFrame:
-    """(group, path, km): the best open path through all nodes (node, lon, lat) of each group of at most most nodes.
+    """(group, path, km, status): the best open path through all nodes (node, lon, lat) of each group of at most most nodes.
 
-    Paths grow by one node a round through a join on the group; of the paths over the same nodes with the same last
+    Larger groups have no path and the status too_many, the others solved. Paths grow by one node a round through a join on the group; of the paths over the same nodes with the same last
     node only the best goes on, so a group of n nodes never has more than n 2**n partial paths. Each round is written.
     """
-    sized = nodes.withColumn("_n", F.count("*").over(W.partitionBy(group))).where(F.col("_n") <= most)
+    sizes = written(nodes.groupBy(group).agg(F.count("*").alias("_n")))
+    sized = nodes.join(sizes.where(F.col("_n") <= most), group)
     step = sized.select(group, F.col("node").alias("_node"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
     paths = sized.select(group, "_n", F.array("node").alias("path"), F.lit(0.0).alias("km"), F.col("lon").alias("x"), F.col("lat").alias("y"))
     for _ in range(most - 1):
@@ -109,4 +136,5 @@ def shortest_order(nodes: DataFrame, group: str, most: int = 7) -> DataFrame:
         grown = longer.select(group, "_n", F.concat("path", F.array("_node")).alias("path"), (F.col("km") + haversine(F.col("x"), F.col("y"), F.col("_lon"), F.col("_lat"))).alias("km"), F.col("_lon").alias("x"), F.col("_lat").alias("y"), "_node")
         best = grown.groupBy(group, "_n", F.array_sort("path").alias("_set"), "_node").agg(F.min_by(F.struct("path", "km", "x", "y"), F.struct("km", "path")).alias("b"))
         paths = written(done.unionByName(best.select(group, "_n", "b.*")))
-    return paths.groupBy(group).agg(F.min_by(F.struct("path", "km"), F.struct("km", "path")).alias("b")).select(group, "b.path", "b.km")
+    best = paths.groupBy(group).agg(F.min_by(F.struct("path", "km"), F.struct("km", "path")).alias("b")).select(group, "b.path", "b.km")
+    return sizes.select(group, F.when(F.col("_n") <= most, "solved").otherwise("too_many").alias("status")).join(best, group, "left").select(group, "path", "km", "status")

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cluster, mentions, sampling
+from ..sources.io import written
 from .columns import km
 from .registry import Inputs, query
 
 C = F.col
 
-#: Terms of each document: its words at every 29th place, of 3 letters and more, and two fixed ones.
+#: Terms of each document: its words of 9 letters and more.
 WORDS = """(SELECT doc_id AS post_id, CASE WHEN pos % 2 = 0 THEN 'dish' ELSE 'region' END AS type, word AS term, CASE WHEN pos % 3 = 0 THEN 'label' ELSE 'review' END AS source, (pos % 100) / 100 AS confidence
-    FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)) WHERE pos % 29 = 0 AND regexp_full_match(word, '[A-Za-z]{3,}'))"""
+    FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)) WHERE regexp_full_match(word, '[A-Za-z]{9,}'))"""
 TERMS = f"(SELECT post_id, type, term, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, max(confidence) AS confidence FROM {WORDS} WHERE lower(term) NOT IN ('the', 'and') GROUP BY 1, 2, 3)"
 #: Starts by search from the end of the hit before, as a recursion.
 HITS = f"""
-    t AS MATERIALIZED (SELECT DISTINCT post_id, term, content FROM {TERMS} JOIN fx_posts USING (post_id) WHERE post_id % 4 = 0),
+    t AS MATERIALIZED (SELECT DISTINCT post_id, term, content FROM {TERMS} JOIN fx_posts USING (post_id)),
     h AS (SELECT post_id, term, content, instr(content, term) - 1 AS start FROM t WHERE instr(content, term) > 0
           UNION ALL SELECT post_id, term, content, start + length(term) + instr(substr(content, start + length(term) + 1), term) - 1 FROM h WHERE instr(substr(content, start + length(term) + 1), term) > 0)"""
 
@@ -26,7 +27,7 @@ def posts(t: Inputs):
 
 
 def term_sources(t: Inputs):
-    words = t.documents.select(C("doc_id").alias("post_id"), F.posexplode(F.split("text", " ")).alias("pos", "term")).where(C("term").rlike("^[A-Za-z]{3,}$") & (C("pos") % 29 == 0))
+    words = t.documents.select(C("doc_id").alias("post_id"), F.posexplode(F.split("text", " ")).alias("pos", "term")).where(C("term").rlike("^[A-Za-z]{9,}$"))
     return words.select("post_id", F.when(C("pos") % 2 == 0, "dish").otherwise("region").alias("type"), "term", F.when(C("pos") % 3 == 0, "label").otherwise("review").alias("source"), ((C("pos") % 100) / 100).alias("confidence"))
 
 
@@ -47,7 +48,7 @@ def j02_authoritative_terms(t: Inputs):
 
 @query(f"WITH RECURSIVE {HITS} SELECT post_id, term, start, start + length(term) AS \"end\" FROM h")
 def j03_locate_terms(t: Inputs):
-    out = mentions.locate_terms(posts(t).where("post_id % 4 = 0"), terms(t).select("post_id", "term").distinct())
+    out = mentions.locate_terms(posts(t), terms(t).select("post_id", "term").distinct())
     return out.select("post_id", "term", C("start").cast("long").alias("start"), C("end").cast("long").alias("end"))
 
 
@@ -83,32 +84,48 @@ def j06_mention_index(t: Inputs):
     return mentions.mention_index(terms(t), ["dish", "region"]).withColumn("terms", F.concat_ws(",", "terms"))
 
 
-NEAR = f"""n AS MATERIALIZED (SELECT * FROM fx_visits WHERE eligibility = 'anchor' AND visit_id % 7 = 0),
-    e AS MATERIALIZED (SELECT a.visit_id AS l, b.visit_id AS r, a.t AS lt, b.t AS rt, abs(a.t - b.t) / 8.64e10 AS gap_days, {km('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS km FROM n a JOIN n b ON a.visit_id < b.visit_id
-          WHERE abs(a.t - b.t) <= 1.5 * 86400000000 AND {km('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 60)"""
+def near_sql(days: float, kilometers: float, p: str = "") -> str:
+    """Tables n of the anchors and e of the pairs within days and kilometers, joined by day and tested exactly."""
+    return f"""{p}n AS MATERIALIZED (SELECT *, CAST(floor(t / ({days} * 86400000000)) AS BIGINT) AS day FROM fx_visits WHERE eligibility = 'anchor'),
+    {p}w AS MATERIALIZED (SELECT *, unnest([day, day + 1]) AS d FROM {p}n),
+    {p}e AS MATERIALIZED (SELECT least(a.visit_id, b.visit_id) AS l, greatest(a.visit_id, b.visit_id) AS r, abs(a.t - b.t) / 8.64e10 AS gap_days, {km('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS km
+          FROM {p}w a JOIN {p}n b ON a.d = b.day AND (a.t < b.t OR a.t = b.t AND a.visit_id < b.visit_id) AND b.t - a.t <= {days} * 86400000000 AND abs(a.lat - b.lat) <= {kilometers} / 111.0
+          WHERE {km('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= {kilometers})"""
 
 
-def some(t: Inputs):
-    return t.fx_visits.where("eligibility = 'anchor' AND visit_id % 7 = 0")
+NEAR = near_sql(1.5, 60)
+
+
+def anchors(t: Inputs):
+    return t.fx_visits.where("eligibility = 'anchor'")
 
 
 @query(f"""
-    WITH {NEAR}, f AS (SELECT a.visit_id AS l, b.visit_id AS r, abs(a.t - b.t) / 8.64e10 AS gap_days, {km('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS km FROM n a JOIN n b ON a.visit_id < b.visit_id
-         WHERE a.province % 5 = 0 AND b.province % 5 = 0 AND abs(a.t - b.t) <= 0.5 * 86400000000 AND {km('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 1500)
+    WITH {NEAR}, s AS (SELECT *, CAST(floor(t / 43200000000) AS BIGINT) AS half FROM n WHERE kind = 'purchase'),
+         f AS (SELECT least(a.visit_id, b.visit_id) AS l, greatest(a.visit_id, b.visit_id) AS r, abs(a.t - b.t) / 8.64e10 AS gap_days, {km('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS km FROM (SELECT *, unnest([half, half + 1]) AS d FROM s) a JOIN s b ON a.d = b.half
+         WHERE (a.t < b.t OR a.t = b.t AND a.visit_id < b.visit_id) AND b.t - a.t <= 0.5 * 86400000000 AND {km('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 400)
     SELECT l AS "left", r AS "right", 'near' AS kind, round(km, 3) AS km FROM e UNION ALL SELECT l, r, 'travel_transition', round(km, 3) FROM f WHERE NOT (gap_days <= 1.5 AND km <= 60)""")
 def k01_neighbor_rule(t: Inputs):
-    out = cluster.neighbor_rule(some(t).withColumn("ok", C("province") % 5 == 0), (1.5, 60), (0.5, 1500), "ok")
+    out = cluster.neighbor_rule(anchors(t).withColumn("ok", C("kind") == "purchase"), (1.5, 60), (0.5, 400), "ok")
     return out.select("left", "right", "kind", F.round("km", 3).alias("km"))
 
 
-LABELS = f"""{NEAR},
-    b AS MATERIALIZED (SELECT l AS a, r AS b FROM e UNION ALL SELECT r, l FROM e), core AS MATERIALIZED (SELECT a AS v FROM b GROUP BY 1 HAVING count(*) >= 2),
-    reach AS (SELECT v, v AS w FROM core UNION SELECT reach.v, b.b FROM reach JOIN b ON b.a = reach.w WHERE b.b IN (SELECT v FROM core)),
-    o AS (SELECT n.visit_id, row_number() OVER (ORDER BY t, visit_id) AS o FROM n), lab AS (SELECT v, min(o) AS label FROM reach JOIN o ON o.visit_id = w GROUP BY 1),
-    num AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS cluster FROM (SELECT DISTINCT label FROM lab)),
-    c AS (SELECT v AS visit_id, cluster, 'core' AS role FROM lab JOIN num USING (label)),
-    x AS (SELECT a AS visit_id, min(cluster) AS cluster, 'border' AS role FROM b JOIN c ON c.visit_id = b.b WHERE a NOT IN (SELECT v FROM core) GROUP BY 1),
-    labels_ AS (SELECT n.visit_id, u.cluster, coalesce(u.role, 'noise') AS role FROM n LEFT JOIN (SELECT * FROM c UNION ALL SELECT * FROM x) u USING (visit_id))"""
+def labels_sql(days: float, kilometers: float, least: int, p: str = "") -> str:
+    """Table labels_ of the clusters: components of cores, found by following the links from every core."""
+    return f"""{near_sql(days, kilometers, p)},
+    {p}b AS MATERIALIZED (SELECT l AS a, r AS b FROM {p}e UNION ALL SELECT r, l FROM {p}e), {p}core AS MATERIALIZED (SELECT a AS v FROM {p}b GROUP BY 1 HAVING count(*) >= {least - 1}),
+    {p}o AS MATERIALIZED (SELECT visit_id, row_number() OVER (ORDER BY t, visit_id) AS o FROM {p}n),
+    {p}links AS MATERIALIZED (SELECT x.o AS a, y.o AS b FROM {p}b JOIN {p}o x ON x.visit_id = {p}b.a JOIN {p}o y ON y.visit_id = {p}b.b WHERE {p}b.a IN (SELECT v FROM {p}core) AND {p}b.b IN (SELECT v FROM {p}core)),
+    {p}reach(v, w) USING KEY (v) AS (SELECT o, o FROM {p}o WHERE visit_id IN (SELECT v FROM {p}core)
+        UNION SELECT l.a, min(r.w) FROM {p}reach r JOIN {p}links l ON l.b = r.v JOIN recurring.{p}reach c ON c.v = l.a WHERE r.w < c.w GROUP BY 1),
+    {p}lab AS (SELECT visit_id AS v, w AS label FROM {p}reach JOIN {p}o ON {p}o.o = {p}reach.v),
+    {p}num AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS cluster FROM (SELECT DISTINCT label FROM {p}lab)),
+    {p}c AS (SELECT v AS visit_id, cluster, 'core' AS role FROM {p}lab JOIN {p}num USING (label)),
+    {p}x AS (SELECT a AS visit_id, min(cluster) AS cluster, 'border' AS role FROM {p}b JOIN {p}c ON {p}c.visit_id = {p}b.b WHERE a NOT IN (SELECT v FROM {p}core) GROUP BY 1),
+    {p}labels_ AS (SELECT {p}n.visit_id, u.cluster, coalesce(u.role, 'noise') AS role FROM {p}n LEFT JOIN (SELECT * FROM {p}c UNION ALL SELECT * FROM {p}x) u USING (visit_id))"""
+
+
+LABELS = labels_sql(1.5, 60, 3)
 
 
 @query(f"WITH RECURSIVE {LABELS} SELECT * FROM labels_")
@@ -116,8 +133,12 @@ def k02_st_dbscan(t: Inputs):
     return clustered(t).withColumn("cluster", C("cluster").cast("long"))
 
 
-def clustered(t: Inputs):
-    return cluster.st_dbscan(some(t), cluster.neighbor_rule(some(t), (1.5, 60)), 3)
+def near_edges(t: Inputs):
+    return written(cluster.neighbor_rule(anchors(t), (1.5, 60)))
+
+
+def clustered(t: Inputs, edges=None):
+    return cluster.st_dbscan(anchors(t), near_edges(t) if edges is None else edges, 3)
 
 
 @query(f"""
@@ -125,25 +146,28 @@ def clustered(t: Inputs):
     SELECT cluster, visits, start, "end", cities, edges, round(longest, 3) AS longest_km FROM (SELECT cluster, count(*) AS visits, min(t) AS start, max(t) AS "end", count(DISTINCT city) AS cities FROM m GROUP BY 1)
     JOIN (SELECT p.cluster, count(*) AS edges, max(e.km) AS longest FROM e JOIN m p ON p.visit_id = e.l JOIN m q ON q.visit_id = e.r AND p.cluster = q.cluster GROUP BY 1) USING (cluster)""")
 def k03_cluster_record(t: Inputs):
-    labels = clustered(t).select("visit_id", "cluster").join(t.fx_visits, "visit_id")
-    out = cluster.cluster_records(labels, cluster.neighbor_rule(some(t), (1.5, 60)))
+    edges = near_edges(t)
+    labels = clustered(t, edges).select("visit_id", "cluster").join(t.fx_visits, "visit_id")
+    out = cluster.cluster_records(labels, edges)
     return out.select(C("cluster").cast("long").alias("cluster"), "visits", "start", "end", F.size("cities").cast("long").alias("cities"), "edges", F.round("longest_km", 3).alias("longest_km"))
 
 
-@query(f"""
-    WITH RECURSIVE {LABELS}, s AS (SELECT cluster, count(*) AS size FROM labels_ WHERE cluster IS NOT NULL GROUP BY 1)
-    SELECT 'narrow' AS config, (SELECT count(*) FROM labels_) AS visits, (SELECT count(cluster) FROM labels_) AS members, (SELECT count(*) FROM labels_ WHERE role = 'noise') AS noise,
-           count(*) AS clusters, quantile_cont(size::DOUBLE, 0.5) AS median_size, max(size) AS largest FROM s""")
+def swept(name: str, labels: str) -> str:
+    s = f"(SELECT cluster, count(*) AS size FROM {labels} WHERE cluster IS NOT NULL GROUP BY 1)"
+    return f"""SELECT '{name}' AS config, (SELECT count(*) FROM {labels}) AS visits, (SELECT count(cluster) FROM {labels}) AS members, (SELECT count(*) FROM {labels} WHERE role = 'noise') AS noise,
+           count(*) AS clusters, quantile_cont(size::DOUBLE, 0.5) AS median_size, max(size) AS largest FROM {s}"""
+
+
+@query(f"WITH RECURSIVE {labels_sql(1.5, 60, 3, 'narrow_')}, {labels_sql(1, 40, 2, 'pairs_')} {swept('narrow', 'narrow_labels_')} UNION ALL {swept('pairs', 'pairs_labels_')}")
 def k04_parameter_sweep(t: Inputs):
     configs = {"narrow": {"near": (1.5, 60), "min_samples": 3}, "pairs": {"near": (1, 40), "min_samples": 2}}
-    return cluster.sweep(some(t), configs).where("config = 'narrow'")
+    return cluster.sweep(anchors(t), configs)
 
 
 @query("SELECT visit_id FROM fx_visits WHERE eligibility = 'anchor' AND place_id NOT IN (SELECT place_id FROM fx_visits WHERE eligibility = 'anchor' GROUP BY 1 HAVING count(*) > 60)")
 def k05_noise(t: Inputs):
-    anchors = t.fx_visits.where("eligibility = 'anchor'")
-    full = anchors.groupBy("place_id").agg(F.count("*").alias("n")).where("n > 60")
-    return cluster.noise(anchors, anchors.join(full, "place_id", "left_semi")).select("visit_id")
+    full = anchors(t).groupBy("place_id").agg(F.count("*").alias("n")).where("n > 60")
+    return cluster.noise(anchors(t), anchors(t).join(full, "place_id", "left_semi")).select("visit_id")
 
 
 @query("SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256(concat('s1:', doc_id)), doc_id) AS n FROM documents) WHERE n <= 20")

@@ -57,9 +57,9 @@ def h05_value_counts(t: Inputs):
     return rollups.value_counts(t.orders, "o_orderstatus", ["F", "O", "P", "X"])
 
 
-@query("SELECT count(DISTINCT request_id) AS n FROM fx_candidates WHERE poi_id % 3 = 0")
+@query("SELECT count(DISTINCT request_id) AS n FROM fx_candidates")
 def h06_distinct_count(t: Inputs):
-    return rollups.distinct_count(t.fx_candidates.where("poi_id % 3 = 0"), "request_id")
+    return rollups.distinct_count(t.fx_candidates, "request_id")
 
 
 @query("""SELECT user_id, province, n, rank FROM (SELECT user_id, province, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, province) AS rank
@@ -77,9 +77,10 @@ def h08_ordered_distinct(t: Inputs):
     return rollups.ordered_distinct(rows, "place_id", ["visit_id"], "tags").select("place_id", F.concat_ws(",", "tags").alias("tags"))
 
 
-@query("SELECT place_id, round(round(avg(confidence), 9), 4) AS mean_confidence FROM fx_visits GROUP BY 1")
+@query("SELECT place_id, round(avg(confidence + visit_id / 1e9), 4) AS mean_confidence FROM fx_visits GROUP BY 1")
 def h09_mean_confidence(t: Inputs):
-    return rollups.mean_confidence(t.fx_visits, "place_id")
+    # moved off ties of rounding, which the order of a sum would decide
+    return rollups.mean_confidence(t.fx_visits.withColumn("confidence", C("confidence") + C("visit_id") / 1e9), "place_id")
 
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(max(l_extendedprice), 6) AS max FROM lineitem GROUP BY 1")
@@ -161,7 +162,9 @@ def i02_boundary_split(t: Inputs):
 
 
 def segmented(t: Inputs):
-    return sequences.boundary_split(t.fx_visits.where("eligibility = 'anchor'"), "place_id", home=3)
+    # the confidence is moved off ties of rounding, which the order of a sum would decide
+    anchors = t.fx_visits.where("eligibility = 'anchor'").withColumn("confidence", C("confidence") + C("visit_id") / 1e9)
+    return sequences.boundary_split(anchors, "place_id", home=3)
 
 
 SEG = ["place_id", "segment"]
@@ -192,7 +195,7 @@ def built(t: Inputs):
 
 
 BUILT = f"""(SELECT place_id, segment, min(t) AS start, max(t) AS "end", concat('trip_', substr(sha256(string_agg(CAST(visit_id AS STRING), chr(0) ORDER BY t, visit_id)), 1, 20)) AS trip_id, count(*) AS visits,
-            string_agg(CAST(visit_id AS STRING), ',' ORDER BY t, visit_id) AS visit_ids, round(round(avg(confidence), 9), 4) AS mean_confidence, any_value(province) AS province, any_value(city) AS city
+            string_agg(CAST(visit_id AS STRING), ',' ORDER BY t, visit_id) AS visit_ids, round(avg(confidence + visit_id / 1e9), 4) AS mean_confidence, any_value(province) AS province, any_value(city) AS city
     FROM (SELECT r.*, fx_visits.confidence, fx_visits.province, fx_visits.city FROM r JOIN fx_visits USING (visit_id)) GROUP BY 1, 2 HAVING count(*) > 1)"""
 
 
@@ -219,11 +222,11 @@ def i08_unique_titles(t: Inputs):
 
 
 #: Spans of each order: where its lines start and how long they are.
-SPANS = "(SELECT l_orderkey AS post_id, l_linenumber * 100000 + l_partkey AS span_id, l_partkey % 50 AS start, l_partkey % 50 + 3 + l_suppkey % 9 AS \"end\", l_linenumber % 3 AS priority, l_discount AS confidence FROM lineitem WHERE l_orderkey % 3 = 0)"
+SPANS = "(SELECT l_orderkey AS post_id, l_linenumber * 100000 + l_partkey AS span_id, l_partkey % 50 AS start, l_partkey % 50 + 3 + l_suppkey % 9 AS \"end\", l_linenumber % 3 AS priority, l_discount AS confidence FROM lineitem)"
 
 
 def all_spans(t: Inputs):
-    return t.lineitem.where("l_orderkey % 3 = 0").selectExpr(
+    return t.lineitem.selectExpr(
         "l_orderkey AS post_id", "l_linenumber * 100000 + l_partkey AS span_id", "l_partkey % 50 AS start", "l_partkey % 50 + 3 + l_suppkey % 9 AS end", "l_linenumber % 3 AS priority", "l_discount AS confidence"
     )
 
@@ -244,13 +247,13 @@ def i09_greedy_overlap(t: Inputs):
 
 
 @query("""
-    WITH m AS (SELECT doc_id, p * 20 + doc_id % 7 AS a, p * 20 + doc_id % 7 + 5 AS b FROM documents, (SELECT unnest([0, 1, 3]) AS p) WHERE doc_id % 2 = 0 AND p * 20 + doc_id % 7 + 5 <= n_chars),
+    WITH m AS (SELECT doc_id, p * 20 + doc_id % 7 AS a, p * 20 + doc_id % 7 + 5 AS b FROM documents, (SELECT unnest([0, 1, 3, 4, 8, 20, 100]) AS p) WHERE lang <> 'en' AND p * 20 + doc_id % 7 + 5 <= n_chars),
          e AS (SELECT doc_id, text, n_chars, unnest(list_sort(list_distinct(list_concat([0, n_chars], coalesce(marks, []))))) AS start FROM documents LEFT JOIN (SELECT doc_id, list_concat(list(a), list(b)) AS marks FROM m GROUP BY 1) USING (doc_id)),
          c AS (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS stop FROM e)
     SELECT c.doc_id AS post_id, c.start, m.a IS NOT NULL AS marked, substr(text, c.start + 1, stop - c.start) AS segment FROM c LEFT JOIN m ON m.doc_id = c.doc_id AND m.a = c.start WHERE stop > c.start""")
 def i10_highlight_segments(t: Inputs):
-    d = t.documents.select(C("doc_id").alias("post_id"), C("text").alias("content"), "n_chars")
-    marks = d.where("post_id % 2 = 0").select("post_id", "n_chars", F.explode(F.array(F.lit(0), F.lit(1), F.lit(3))).alias("p"))
+    d = t.documents.select(C("doc_id").alias("post_id"), C("text").alias("content"), "n_chars", "lang")
+    marks = d.where("lang <> 'en'").select("post_id", "n_chars", F.explode(F.array(*map(F.lit, (0, 1, 3, 4, 8, 20, 100)))).alias("p"))
     marks = marks.select("post_id", "n_chars", F.expr("p * 20 + post_id % 7").alias("start")).withColumn("end", C("start") + 5).where("end <= n_chars").drop("n_chars")
     return sequences.highlight_segments(d, marks)
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import profile, repair
@@ -13,9 +10,8 @@ from .registry import Inputs, query
 
 
 def scratch(t: Inputs) -> str:
-    """A new path in the cluster's shared folder, or in a temporary one where none is set."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new path in the cluster's shared folder."""
+    return io.shared_folder(t.spark)
 
 
 BROKEN = "(line_no % 97 = 0 OR line_no % 89 = 0)"
@@ -161,16 +157,18 @@ def b05_array_len_mismatch(t: Inputs):
     return profile.len_mismatch(rows, "words", "sentences").select("doc_id", F.col("len_a").cast("long"), F.col("len_b").cast("long"))
 
 
-ITEMS = """(SELECT post_id, pic_index, pos, name, ((pic_index * 13 + length(name)) % 120 - 5) / 100 AS confidence,
+#: Labels of each medium: its words of five letters and more; some are not written as in the text.
+ITEMS = """(SELECT post_id, pic_index, pos, CASE WHEN pos % 11 = 0 THEN concat(name, '~') ELSE name END AS name, ((pic_index * 13 + length(name)) % 120 - 5) / 100 AS confidence,
                   CASE pos % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'image' WHEN 2 THEN 'other' END AS source, content
-           FROM (SELECT post_id, pic_index, unnest(w) AS name, generate_subscripts(w, 1) - 1 AS pos, substr(description, 1, 200) AS content
+           FROM (SELECT post_id, pic_index, unnest(w) AS name, generate_subscripts(w, 1) - 1 AS pos, description AS content
                  FROM (SELECT *, string_split(description, ' ') AS w FROM fx_media)) WHERE length(name) >= 5)"""
 
 
 def label_items(t: Inputs):
-    words = t.fx_media.select("post_id", "pic_index", F.substring("description", 1, 200).alias("content"), F.posexplode(F.split("description", " ")).alias("pos", "name")).where("length(name) >= 5")
+    words = t.fx_media.select("post_id", "pic_index", F.col("description").alias("content"), F.posexplode(F.split("description", " ")).alias("pos", "name")).where("length(name) >= 5")
     source = F.when(F.expr("pos % 4 = 0"), "text").when(F.expr("pos % 4 = 1"), "image").when(F.expr("pos % 4 = 2"), "other")
-    return words.select("post_id", "pic_index", "pos", "name", F.expr("((pic_index * 13 + length(name)) % 120 - 5) / 100").alias("confidence"), source.alias("source"), "content")
+    name = F.when(F.expr("pos % 11 = 0"), F.concat("name", F.lit("~"))).otherwise(F.col("name"))
+    return words.select("post_id", "pic_index", "pos", name.alias("name"), F.expr("((pic_index * 13 + length(name)) % 120 - 5) / 100").alias("confidence"), source.alias("source"), "content")
 
 
 @query(f"""

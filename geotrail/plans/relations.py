@@ -70,12 +70,12 @@ def f08_fallback_cascade(t: Inputs):
 
 
 @query("""
-    WITH r AS (SELECT visit_id, t FROM fx_visits WHERE eligibility = 'candidate'), a AS (SELECT t AS at, min(visit_id) AS anchor_visit_id FROM fx_visits WHERE eligibility = 'anchor' AND visit_id % 60 = 1 GROUP BY 1),
+    WITH r AS (SELECT visit_id, t FROM fx_visits WHERE eligibility = 'candidate'), a AS (SELECT t AS at, min(visit_id) AS anchor_visit_id FROM fx_visits WHERE eligibility = 'anchor' GROUP BY 1),
          b AS (SELECT r.*, a.at AS bt, a.anchor_visit_id AS bv FROM r ASOF LEFT JOIN a ON r.t >= a.at), x AS (SELECT b.*, a.at AS ct, a.anchor_visit_id AS cv FROM b ASOF LEFT JOIN a ON b.t <= a.at),
          n AS (SELECT visit_id, t, CASE WHEN ct IS NULL OR t - bt <= ct - t THEN bt ELSE ct END AS nt, CASE WHEN ct IS NULL OR t - bt <= ct - t THEN bv ELSE cv END AS nv FROM x)
     SELECT visit_id, CASE WHEN abs(t - nt) <= 72 * 3600000000 THEN nv END AS anchor_visit_id, CASE WHEN abs(t - nt) <= 72 * 3600000000 THEN round(abs(t - nt) / 3.6e9, 1) END AS anchor_hours FROM n""")
 def f09_nearest_asof(t: Inputs):
-    rows, anchors = t.fx_visits.where("eligibility = 'candidate'").select("visit_id", "t"), t.fx_visits.where("eligibility = 'anchor' AND visit_id % 60 = 1")
+    rows, anchors = t.fx_visits.where("eligibility = 'candidate'").select("visit_id", "t"), t.fx_visits.where("eligibility = 'anchor'")
     return joins.nearest_asof(rows, anchors.select("t", "visit_id"), "t", 72 * joins.HOUR, ["visit_id"]).drop("t")
 
 
@@ -104,37 +104,37 @@ def f10_interval_join(t: Inputs):
 
 
 @query(f"""
-    WITH s AS (SELECT trip_id, start, "end", v.* FROM {TRIPS} JOIN fx_visits v ON v.eligibility <> 'anchor' AND v.visit_id % 4 = 0 AND v.t BETWEEN start - {PAD} AND "end" + {PAD}),
+    WITH s AS (SELECT trip_id, start, "end", v.* FROM {TRIPS} JOIN fx_visits v ON v.eligibility <> 'anchor' AND v.t BETWEEN start - {PAD} AND "end" + {PAD}),
          d AS (SELECT s.trip_id, s.visit_id, s.eligibility AS role, min({km('s.lon', 's.lat', 'm.lon', 'm.lat')}) AS km FROM s JOIN {MEMBERS} m ON m.trip_id = s.trip_id GROUP BY ALL)
     SELECT trip_id, visit_id, role, round(km, 3) AS km FROM d WHERE km <= CASE role WHEN 'candidate' THEN 100 ELSE 150 END""")
 def f11_attach_secondary(t: Inputs):
-    out = joins.attach_secondary(trips(t), members(t), t.fx_visits.where("visit_id % 4 = 0"))
+    out = joins.attach_secondary(trips(t), members(t), t.fx_visits)
     return out.withColumn("km", F.round("km", 3))
 
 
 @query(f"""
-    WITH s AS (SELECT trip_id, v.visit_id AS post_id, v.lon, v.lat FROM {TRIPS} JOIN fx_visits v ON v.kind = 'error' AND v.visit_id % 3 = 0 AND v.t BETWEEN start - {PAD} AND "end" + {PAD}),
+    WITH s AS (SELECT trip_id, v.visit_id AS post_id, v.lon, v.lat FROM {TRIPS} JOIN fx_visits v ON v.kind = 'error' AND v.t BETWEEN start - {PAD} AND "end" + {PAD}),
          d AS (SELECT s.trip_id, s.post_id, min({km('s.lon', 's.lat', 'm.lon', 'm.lat')}) AS km FROM s JOIN {MEMBERS} m ON m.trip_id = s.trip_id GROUP BY ALL)
     SELECT trip_id, post_id, round(km, 3) AS km FROM d WHERE km <= 150""")
 def f12_attach_context(t: Inputs):
-    posts = t.fx_visits.where("kind = 'error' AND visit_id % 3 = 0").withColumnRenamed("visit_id", "post_id")
+    posts = t.fx_visits.where("kind = 'error'").withColumnRenamed("visit_id", "post_id")
     return joins.attach_context(trips(t), members(t), posts).withColumn("km", F.round("km", 3))
 
 
 @query(f"""
-    WITH m AS (SELECT * FROM {MEMBERS} WHERE place_id % 10 = 0)
+    WITH m AS (SELECT * FROM {MEMBERS})
     SELECT p.trip_id, v.visit_id, o.trip_id AS other_trip FROM (SELECT DISTINCT trip_id, place_id FROM m) p JOIN fx_visits v USING (place_id) LEFT JOIN m o ON o.visit_id = v.visit_id
     WHERE NOT EXISTS (SELECT 1 FROM m x WHERE x.trip_id = p.trip_id AND x.visit_id = v.visit_id)""")
 def f13_revisits(t: Inputs):
-    return joins.revisits(members(t).where("place_id % 10 = 0"), t.fx_visits)
+    return joins.revisits(members(t), t.fx_visits)
 
 
 @query(f"""
-    WITH v AS (SELECT * FROM fx_visits WHERE visit_id % 5 = 0)
+    WITH v AS (SELECT * FROM fx_visits)
     SELECT a.visit_id AS "left", b.visit_id AS "right", round(abs(a.t - b.t) / 8.64e10, 4) AS gap_days, round({km('a.lon', 'a.lat', 'b.lon', 'b.lat')}, 3) AS km
     FROM v a JOIN v b ON a.visit_id < b.visit_id AND abs(a.t - b.t) <= 86400000000 AND {km('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 100""")
 def f14_st_self_join(t: Inputs):
-    out = joins.st_pairs(t.fx_visits.where("visit_id % 5 = 0"), 1, 100)
+    out = joins.st_pairs(t.fx_visits, 1, 100)
     return out.select("left", "right", F.round("gap_days", 4).alias("gap_days"), F.round("km", 3).alias("km"))
 
 
@@ -324,9 +324,9 @@ def g13_eligibility(t: Inputs):
 
 @query("""
     SELECT c_custkey AS place_id, CASE WHEN a THEN 'anchor' WHEN r THEN 'region' WHEN c_mktsegment = 'BUILDING' THEN 'context' ELSE 'search' END AS role
-    FROM customer LEFT JOIN (SELECT place_id, bool_or(eligibility = 'anchor') AS a, bool_or(eligibility = 'region_only') AS r FROM fx_visits WHERE visit_id % 40 < 2 GROUP BY 1) ON place_id = c_custkey""")
+    FROM customer LEFT JOIN (SELECT place_id, bool_or(eligibility = 'anchor') AS a, bool_or(eligibility = 'region_only') AS r FROM fx_visits GROUP BY 1) ON place_id = c_custkey""")
 def g14_record_role(t: Inputs):
     posts = t.customer.select(C("c_custkey").alias("place_id"), "c_mktsegment")
-    return scoring.record_role(posts, t.fx_visits.where("visit_id % 40 < 2"), "place_id", C("c_mktsegment") == "BUILDING")
+    return scoring.record_role(posts, t.fx_visits, "place_id", C("c_mktsegment") == "BUILDING")
 
 

@@ -259,19 +259,19 @@ def n08_public_post(t: Inputs):
 
 
 @query(f"""
-    WITH v AS (SELECT * FROM fx_visits WHERE visit_id % 4 = 0), c AS (SELECT a.visit_id, count(*) AS n FROM v a JOIN v b ON a.province = b.province AND a.visit_id <> b.visit_id AND {km('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 30 GROUP BY 1)
+    WITH v AS (SELECT * FROM fx_visits), c AS (SELECT a.visit_id, count(*) AS n FROM v a JOIN v b ON a.province = b.province AND a.visit_id <> b.visit_id AND {km('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 30 GROUP BY 1)
     SELECT visit_id, coalesce(n, 0) AS neighbors, coalesce(n, 0) >= 4 AS viable FROM v LEFT JOIN c USING (visit_id)""")
 def n09_neighborhoods(t: Inputs):
-    return serve.neighborhoods(t.fx_visits.where("visit_id % 4 = 0"), 30, 5, "province")
+    return serve.neighborhoods(t.fx_visits, 30, 5, "province")
 
 
 @query(f"""
     SELECT anchor_id, visit_id, score, rank FROM (SELECT a.visit_id AS anchor_id, b.visit_id, round({km('a.lon', 'a.lat', 'b.lon', 'b.lat')} + 60.0 * abs(a.city - b.city), 3) AS score,
         row_number() OVER (PARTITION BY a.visit_id ORDER BY {km('a.lon', 'a.lat', 'b.lon', 'b.lat')} + 60.0 * abs(a.city - b.city) + b.visit_id / 1e7) AS rank
-        FROM fx_visits a JOIN fx_visits b ON a.province = b.province AND a.visit_id <> b.visit_id WHERE a.visit_id % 50 = 0 AND b.visit_id % 5 = 0) WHERE rank <= 5""")
+        FROM fx_visits a JOIN fx_visits b ON a.province = b.province AND a.visit_id <> b.visit_id WHERE a.visit_id % 50 = 0) WHERE rank <= 5""")
 def n10_nearest_k(t: Inputs):
     v = t.fx_visits.select("visit_id", "province", "lon", "lat", C("city").alias("year"))
-    spread = v.where("visit_id % 5 = 0").withColumn("year", C("year") + C("visit_id") / 6e8)  # off ties, below any other difference
+    spread = v.withColumn("year", C("year") + C("visit_id") / 6e8)  # off ties, below any other difference
     out = serve.nearest_k(v.where("visit_id % 50 = 0").withColumn("year", C("year") + 0.0), spread, "province", 5)
     exact = out.join(v.select(C("visit_id").alias("anchor_id"), C("lon").alias("x"), C("lat").alias("y"), C("year").alias("a")), "anchor_id").join(v, "visit_id")
     from ..functions.geo import haversine
@@ -281,17 +281,14 @@ def n10_nearest_k(t: Inputs):
 
 
 @query(f"""
-    WITH RECURSIVE n AS MATERIALIZED (SELECT place_id, visit_id AS node, lon + node_n / 1000 AS lon, lat + node_n * node_n / 1000 AS lat FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY t, visit_id) AS node_n FROM fx_visits WHERE eligibility = 'anchor' AND place_id % 3 = 0) WHERE node_n <= 5),
-    c AS (SELECT place_id, count(*) AS n FROM n GROUP BY 1),
-    p AS (SELECT place_id, [node] AS path, 0.0::DOUBLE AS km, lon, lat FROM n UNION ALL
-          SELECT n.place_id, list_append(path, node), p.km + {km('p.lon', 'p.lat', 'n.lon', 'n.lat')}, n.lon, n.lat FROM p JOIN n ON n.place_id = p.place_id WHERE NOT list_contains(path, node))
-    SELECT place_id, round(min(km), 3) AS km FROM p JOIN c USING (place_id) WHERE len(path) = n GROUP BY 1""")
+    WITH RECURSIVE n AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY span) AS n FROM (SELECT concat(place_id, '-', CAST(floor(t / 259200000000) AS BIGINT)) AS span, visit_id AS node, lon + visit_id % 97 / 1000 AS lon, lat + visit_id % 89 / 1000 AS lat FROM fx_visits WHERE eligibility = 'anchor')),
+    p AS (SELECT span, n, [node] AS path, 0.0::DOUBLE AS km, lon, lat FROM n WHERE n <= 7 UNION ALL
+          SELECT n.span, n.n, list_append(path, node), p.km + {km('p.lon', 'p.lat', 'n.lon', 'n.lat')}, n.lon, n.lat FROM p JOIN n ON n.span = p.span WHERE NOT list_contains(path, node))
+    SELECT span, round(min(km), 3) AS km, 'solved' AS status FROM p WHERE len(path) = n GROUP BY 1 UNION ALL SELECT DISTINCT span, NULL, 'too_many' FROM n WHERE n > 7""")
 def n11_shortest_order(t: Inputs):
-    from pyspark.sql.window import Window as W
-
-    v = t.fx_visits.where("eligibility = 'anchor' AND place_id % 3 = 0").withColumn("n", F.row_number().over(W.partitionBy("place_id").orderBy("t", "visit_id"))).where("n <= 5")
-    v = v.select("place_id", C("visit_id").alias("node"), (C("lon") + C("n") / 1000).alias("lon"), (C("lat") + C("n") * C("n") / 1000).alias("lat"))
-    return serve.shortest_order(v, "place_id", 5).select("place_id", F.round("km", 3).alias("km"))
+    v = t.fx_visits.where("eligibility = 'anchor'").withColumn("span", F.concat("place_id", F.lit("-"), F.floor(C("t") / 259_200_000_000)))
+    v = v.select("span", C("visit_id").alias("node"), (C("lon") + C("visit_id") % 97 / 1000).alias("lon"), (C("lat") + C("visit_id") % 89 / 1000).alias("lat"))
+    return serve.shortest_order(v, "span").select("span", F.round("km", 3).alias("km"), "status")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -309,10 +306,11 @@ def v03_ranges(t: Inputs):
     return audit.out_of_range(t.fx_visits.withColumn("lon", C("lon") * 1.5)).select("visit_id")
 
 
-@query("SELECT c_custkey, c_name, 'lost' AS side FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT c_custkey, concat(c_name, '!'), 'new' FROM customer WHERE c_custkey % 10 = 0")
+@query("SELECT c_custkey, c_name, 'lost' AS side FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT c_custkey, concat(c_name, '!'), 'new' FROM customer WHERE c_mktsegment = 'BUILDING'")
 def v04_preserved(t: Inputs):
     before = t.customer.select("c_custkey", "c_name")
-    after = before.withColumn("c_name", F.when(C("c_custkey") % 10 == 0, F.concat("c_name", F.lit("!"))).otherwise(C("c_name"))).withColumn("extra", F.lit(1))
+    name = F.when(C("c_mktsegment") == "BUILDING", F.concat("c_name", F.lit("!"))).otherwise(C("c_name"))
+    after = t.customer.select("c_custkey", name.alias("c_name"), F.lit(1).alias("extra"))
     return audit.not_preserved(before, after, ["extra"])
 
 

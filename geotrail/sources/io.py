@@ -12,11 +12,20 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the one that spark.checkpoint.dir names. Where it is unset, local mode gets a temporary one; a cluster must set it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a written table in the folder that spark.checkpoint.dir names; a temporary one where it is unset."""
+    """df as a written table in the shared folder of the cluster."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    path = shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -79,18 +88,22 @@ def write_once(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
 
 
 def write_keyed(df: DataFrame, key: str, path: str, buckets: int = 16) -> DataFrame:
-    """One row per key, dealt over folders by the key's hash so that a reader of one key opens one folder."""
-    first = df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*[F.col(c) for c in df.columns]))).where("_n = 1").drop("_n")
+    """One row per key, dealt over folders by the key's hash so that a reader of one key opens one folder.
+
+    Every task writes its part of each folder, so the work is not bound to the number of folders.
+    """
+    rest = [c for c in df.columns if c != key]
+    first = df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, "_r.*").select(*df.columns)
     hashed = first.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    hashed.repartition("bucket").write.mode("errorifexists").partitionBy("bucket").parquet(path)
+    hashed.write.mode("errorifexists").partitionBy("bucket").parquet(path)
     return df.sparkSession.read.parquet(path).select(*df.columns)
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """(rows, digest): independent of the order of rows; repeated rows count."""
+    """(rows, digest): independent of the order of rows; repeated rows count. Sums are decimals, which no number of rows overflows."""
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)]), 256)
-    part = [F.sum(F.conv(F.substring(row, 1 + 8 * k, 8), 16, 10).cast("long")).alias(f"p{k}") for k in range(4)]
-    return df.agg(F.count("*").alias("rows"), *part).select("rows", F.concat_ws("-", *[F.coalesce(f"p{k}", F.lit(0)) for k in range(4)]).alias("digest"))
+    part = [F.sum(F.conv(F.substring(row, 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").alias(f"p{k}") for k in range(4)]
+    return df.agg(F.count("*").alias("rows"), *part).select("rows", F.concat_ws("-", *[F.coalesce(F.col(f"p{k}").cast("string"), F.lit("0")) for k in range(4)]).alias("digest"))
 
 
 def pick_keys(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
