@@ -22,7 +22,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .common import materialize, mix64
 from .graph import components
@@ -79,7 +78,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, with_sha: bool = False) -> DataFrame:
-    """(id, n_shingles, key, tokens): key identifies the set; it and the tokens are null where there is no word. With text_sha256 on demand."""
+    """(id, text_hash, n_shingles, key, tokens): key identifies the set; it and the tokens are null where there is no word. With text_sha256 on demand."""
     kind = dict(docs.dtypes)[id_col]
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,14 +88,15 @@ def described(docs: DataFrame, id_col: str, text_col: str, with_sha: bool = Fals
                 s = shingles(text)
                 out.append((name, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, minwise(s) if len(s) else None))
             described = pd.DataFrame(out, columns=["row", "n_shingles", "key", "tokens"])
-            yield described.assign(text_sha256=pdf["text_sha256"].to_numpy()) if with_sha else described
+            yield described.assign(**{c: pdf[c].to_numpy() for c in carried})
 
     rows = docs.select(F.col(id_col).cast("string").alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
     if with_sha:
         rows = rows.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    sha = ["text_sha256"] if with_sha else []
-    out = rows.mapInPandas(describe, ", ".join(["row string, n_shingles long, key binary, tokens array<int>", *[f"{c} string" for c in sha]]))
-    return out.select(F.col("row").cast(kind).alias(id_col), "n_shingles", "key", "tokens", *sha)
+    carried = ["text_hash", *(["text_sha256"] if with_sha else [])]
+    out = rows.mapInPandas(describe, "row string, n_shingles long, key binary, tokens array<int>, text_hash long" + ", text_sha256 string" * with_sha)
+    return out.select(F.col("row").cast(kind).alias(id_col), "n_shingles", "key", "tokens", *carried)
 
 
 def _branch(members: DataFrame, path: Column, tokens: int) -> DataFrame:
@@ -215,10 +215,14 @@ def _connected(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def _blocked(members: DataFrame, texts: DataFrame, block: int) -> DataFrame:
     """(a, b): links that connect whatever full sets connect within each node of members (node, id, n, label)."""
-    alone = F.count("*").over(W.partitionBy("node", "label")) == 1
-    rows = members.withColumn("label", F.when(alone, -1).otherwise(F.col("label")))
-    weight = F.sum(F.greatest("n", F.lit(max(1, block * LEAST // BLOCK)))).over(W.partitionBy("node").orderBy("label", "n", "id").rowsBetween(W.unboundedPreceding, -1))
-    rows = materialize(rows.withColumn("block", F.floor(F.coalesce(weight, F.lit(0)) / block)))
+    weight = F.greatest("n", F.lit(max(1, block * LEAST // BLOCK)))
+    own = materialize(members.groupBy("node", "label").agg(F.sum(weight).alias("own")))
+    # what is connected and fills a block stays together, the rest of a node is dealt by size; no task sees a node whole
+    rows = members.join(own, ["node", "label"]).withColumn("label", F.when(F.col("own") < block, -1).otherwise(F.col("label"))).drop("own")
+    rows = materialize(rows.withColumn("size", F.floor(F.log2("n"))))
+    parts = materialize(rows.groupBy("node", "label", "size").agg(F.ceil(F.sum(weight) / block).alias("parts")))
+    placing = F.xxhash64("label", "size", F.pmod(F.xxhash64("id"), F.col("parts")))
+    rows = materialize(rows.join(parts, ["node", "label", "size"]).withColumn("block", placing).drop("size", "parts"))
     blocks = rows.groupBy("node", "block").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("label", "n") for f in (F.min, F.max)])
     i, j = (blocks.select("node", *[F.col(c).alias(f"{side}_{c}") for c in blocks.columns[1:]]) for side in "ij")
     done = F.expr("i_min_label >= 0 and i_min_label = i_max_label and j_min_label = i_min_label and j_max_label = i_min_label")
@@ -266,16 +270,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts with fewer words than a shingle are one shingle; a null text or one without words is linked with nothing. Rows
     of equal sets are one class, however many; rows that repeat with the same id stay apart and share their component.
     A row with a null id has the smallest known id of its component, or null, and is not kept unless it stands alone.
+    Texts are compared whole, however long; one that is larger than a block is a block of its own.
     With with_sha each row also has its text_sha256, which tells rows apart that repeat an id.
     """
     rows = materialize(described(docs.select(id_col, text_col), id_col, text_col, with_sha))
-    named = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(id_col).alias("first_id"), F.first("tokens").alias("tokens"), F.max("n_shingles").alias("n"))
+    named = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(id_col).alias("first_id"), F.min(F.struct(F.col(id_col).alias("id"), "text_hash")).alias("want"), F.first("tokens").alias("tokens"), F.max("n_shingles").alias("n"))
     classes = materialize(named.withColumn("id", F.monotonically_increasing_id()))
     found, leaves = candidates(classes, trees, depth, small)
     pairs = materialize(_promising(found, classes))
 
     def fetch(ids: DataFrame) -> DataFrame:
-        return _texts(docs, ids.join(classes.select("id", "key", F.col("first_id").alias("want")), "id"), id_col, text_col)
+        return _texts(docs, ids.join(classes.select("id", "key", "want"), "id"), id_col, text_col)
 
     labels = _links(pairs, fetch(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), rounds)
     labels = _finish(leaves, labels, classes, fetch, trees, block)
@@ -289,14 +294,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _texts(docs: DataFrame, involved: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text): one text of each class among involved (id, key, want), fetched by the row id that it was found with."""
+    """(id, text): one text of each class among involved (id, key, want), fetched by the row id and the text's hash that it was found with."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = [hashlib.blake2b(shingles(t).tobytes(), digest_size=16).digest() == k for t, k in zip(pdf["text"], pdf["key"], strict=True)]
             yield pdf.loc[keep, ["id", "text"]]
 
-    source = docs.select(F.col(id_col).alias("want_id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.col(id_col).alias("want_id"), F.col(text_col).cast("string").alias("text")).withColumn("want_hash", F.xxhash64("text"))
     # the classes in question grow with the corpus, so this join is a sort-merge join at every size
-    met = source.join(materialize(involved).hint("merge"), F.col("want_id").eqNullSafe(F.col("want"))).select("id", "key", "text")
+    same = F.col("want_id").eqNullSafe(F.col("want.id")) & (F.col("want_hash") == F.col("want.text_hash"))
+    met = source.join(materialize(involved).hint("merge"), same).select("id", "key", "text")
     return materialize(met.mapInPandas(check, "id long, text string").dropDuplicates(["id"]))

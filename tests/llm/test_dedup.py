@@ -122,6 +122,30 @@ def test_near_duplicates_of_stars_and_templates(spark, copies, block):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == near_by_force(rows)
 
 
+def test_near_duplicates_of_pairs_that_share_most_of_their_text(spark):
+    rng = random.Random(15)
+    template = prose(rng, 176).split()  # of every two pairs about 0.70 is the same
+    rows = []
+    for k in range(300):
+        own = prose(rng, 37).split()
+        rows += [(2 * k, " ".join(template + own)), (2 * k + 1, " ".join(template[:88] + [f"new{k}"] + template[89:] + own[:-6] + [f"end{k}"] * 6))]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = near_by_force(rows)
+    assert sum(i != c for i, _, c in want) == 300
+    for block in (nearset.BLOCK, 2**14):
+        got = nearset.near_duplicates(docs, block=block).collect()
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+
+
+def test_near_duplicates_without_ids(spark):
+    rng = random.Random(16)
+    texts = [prose(rng, 60) for _ in range(40)]
+    rows = [(None, t) for t in texts] + [(None, f"{t} tail") for t in texts] + [(k, f"{t} end") for k, t in enumerate(texts[:9])]
+    got = nearset.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == near_by_force(rows)
+
+
 def repeats_by_force(rows, window):
     texts = [(r[1] or "").encode() for r in rows]
     seen = Counter(t[k : k + window] for t in texts for k in range(len(t) - window + 1))
