@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.io import written
+
 
 def check(name: str, failing: DataFrame) -> DataFrame:
     return failing.agg(F.lit(name).alias("check_name"), F.count("*").alias("failures"))
@@ -87,5 +89,59 @@ def audit(checks: dict[str, DataFrame], warnings: dict[str, int] | None = None)
     return each.unionByName(overall)
 
 
+def final_audit(t: dict[str, DataFrame], blocked: list[str], warnings: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(check_name, failures, examined, status) of the twenty checks of finished tables, of the warnings, and overall.
+
+    Tables: source, located, posts (post_id, ... each with more columns than the one before), mentions (post_id, mention_id, start, end,
+    text, entity_id), entities (entity_id), places (place_id, lon, lat), regions (region_id), visits (visit_id, start, end, post_ids,
+    place_id, candidate_ids, region_id, eligibility, method), roles (post_id, visit_ids), trips (trip_id, start, end, visit_ids, route, post_ids,
+    theme_ids), narratives (trip_id, highlight_ids, theme_ids), candidates (trip_id, visit_id), contexts (trip_id, post_id, visit_id,
+    other_trip_id). A check passes without failures; a warning never fails.
+    """
+    c = F.col
+    source, located, posts, visits, trips, mentions = (t[n] for n in ("source", "located", "posts", "visits", "trips", "mentions"))
+
+    def loose(child: str, column: str, parent: str, key: str, is_array: bool = False) -> DataFrame:
+        return dangling(t[child], column, t[parent], key, is_array).select(F.lit(f"{child}.{column}").alias("at"))
+
+    def refers(*links: tuple) -> DataFrame:
+        return reduce(DataFrame.unionByName, [loose(*x) for x in links])
+
+    sizes = reduce(DataFrame.unionByName, [t[n].agg(F.count("*").alias("n")) for n in ("source", "located", "posts")]).agg((F.max("n") - F.min("n")).alias("n"))
+    members = trips.select("trip_id", F.explode("visit_ids").alias("visit_id"))
+    anchors = visits.where(c("eligibility") == "anchor").select("visit_id")
+    told = t["narratives"].select("trip_id", "highlight_ids", c("theme_ids").alias("told")).join(trips.select("trip_id", "visit_ids", "theme_ids"), "trip_id")
+    strange = F.size(F.array_except("highlight_ids", "visit_ids")) + F.size(F.array_except("told", "theme_ids"))
+    checks = {
+        "post_row_counts_equal": (sizes.where("n > 0"), "posts"),
+        "source_values_preserved": (not_preserved(source, located, [x for x in located.columns if x not in source.columns]), "source"),
+        "located_values_preserved": (not_preserved(located, posts, [x for x in posts.columns if x not in located.columns]), "located"),
+        "unique_post_ids": (not_unique(posts, ["post_id"]), "posts"),
+        "mention_slices_valid": (bad_slices(mentions.join(posts.select("post_id", "content"), "post_id", "left"), "content", "text"), "mentions"),
+        "mention_overlap_free": (mentions.withColumn("_e", F.lag("end").over(W.partitionBy("post_id").orderBy("start", "end"))).where("start < _e"), "mentions"),
+        "place_coordinates_valid": (out_of_range(t["places"]), "places"),
+        "unique_visit_ids": (not_unique(visits, ["visit_id"]), "visits"),
+        "visit_references_valid": (refers(("visits", "post_ids", "posts", "post_id", True), ("visits", "place_id", "places", "place_id"), ("visits", "candidate_ids", "places", "place_id", True), ("visits", "region_id", "regions", "region_id")).unionByName(visits.where(F.coalesce(F.size("post_ids"), F.lit(0)) <= 0).select(F.lit("visits.none").alias("at"))), "visits"),
+        "visit_times_valid": (bad_time_order(visits), "visits"),
+        "no_forbidden_fallback_route_anchors": (visits.where((c("eligibility") == "anchor") & c("method").isin(blocked)), "visits"),
+        "roles_cover_all_posts": (uncovered(posts, t["roles"], "post_id").unionByName(not_unique(t["roles"], ["post_id"]).select("post_id", F.lit("twice").alias("side"))), "roles"),
+        "role_references_valid": (refers(("roles", "post_id", "posts", "post_id"), ("roles", "visit_ids", "visits", "visit_id", True)), "roles"),
+        "unique_trip_ids": (not_unique(trips, ["trip_id"]), "trips"),
+        "trip_references_valid": (refers(("trips", "post_ids", "posts", "post_id", True)).unionByName(members.join(anchors, "visit_id", "left_anti").select(F.lit("trips.visit_ids").alias("at"))).unionByName(not_unique(members, ["visit_id"]).select(F.lit("trips.twice").alias("at"))), "trips"),
+        "trip_times_valid": (bad_time_order(trips), "trips"),
+        "trip_routes_valid": (misaligned(trips), "trips"),
+        "narrative_ids_valid": (told.where(strange > 0).select("trip_id").unionByName(told.select("trip_id", F.explode("told").alias("entity_id")).join(t["entities"].select("entity_id"), "entity_id", "left_anti").select("trip_id")).distinct(), "narratives"),
+        "secondary_references_valid": (refers(("candidates", "trip_id", "trips", "trip_id"), ("candidates", "visit_id", "visits", "visit_id"), ("contexts", "trip_id", "trips", "trip_id"), ("contexts", "post_id", "posts", "post_id"), ("contexts", "visit_id", "visits", "visit_id"), ("contexts", "other_trip_id", "trips", "trip_id")), "candidates"),
+        "narratives_cover_all_trips": (uncovered(trips, t["narratives"], "trip_id"), "narratives"),
+    }
+    rows = [failing.agg(F.lit(n).alias("check_name"), F.count("*").alias("failures"), F.lit(at).alias("_at"), F.lit(False).alias("_warn")) for n, (failing, at) in checks.items()]
+    rows += [df.agg(F.lit(n).alias("check_name"), F.count("*").alias("failures"), F.lit(None).cast("string").alias("_at"), F.lit(True).alias("_warn")) for n, df in (warnings or {}).items()]
+    examined = reduce(DataFrame.unionByName, [t[n].agg(F.lit(n).alias("_at"), F.count("*").alias("examined")) for n in sorted({at for _, at in checks.values()})])
+    status = F.when(c("failures") == 0, "pass").when(c("_warn"), "warning").otherwise("fail")
+    each = written(reduce(DataFrame.unionByName, rows).join(examined, "_at", "left").select("check_name", "failures", "examined", status.alias("status")))
+    overall = each.agg(F.lit("overall").alias("check_name"), F.sum(F.when(c("status") == "fail", c("failures")).otherwise(0)).alias("failures"), F.lit(None).cast("long").alias("examined"), F.when(F.bool_and(c("status") != "fail"), "pass").otherwise("fail").alias("status"))
+    return each.unionByName(overall)
+
+
 def duplicate_titles(df: DataFrame, title: str) -> DataFrame:
     return df.groupBy(title).agg(F.count("*").alias("n")).where("n > 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit, contracts, serve
+from . import answers
 from .columns import km
 from .groups import BUILT, SEGMENTS, built
 from .records import ITEMS, label_items
@@ -99,66 +100,55 @@ def m08_evidence_corpus(t: Inputs):
     return t.customer.join(lists, "c_custkey").select("c_custkey", contracts.corpus(C("c_name"), [C("parts")]).alias("corpus"))
 
 
-@query("""
-    WITH x AS (SELECT DISTINCT plan_id, group_index AS candidate_index FROM fx_plans), u AS (SELECT *, count(*) OVER (PARTITION BY plan_id, candidate_index) AS uses FROM fx_plans),
-         f AS (SELECT u.plan_id, bool_or(uses > 1) AS twice, bool_or(x.plan_id IS NULL) AS unknown, bool_or(role NOT IN ('A', 'N')) AS role, bool_or(NOT confidence BETWEEN 0 AND 1) AS confidence, count(*) FILTER (quantity > 10) > 5 AS queries
-               FROM u LEFT JOIN x ON x.plan_id = u.plan_id AND x.candidate_index = u.candidate_index GROUP BY 1),
-         m AS (SELECT DISTINCT plan_id FROM x WHERE NOT EXISTS (SELECT 1 FROM fx_plans p WHERE p.plan_id = x.plan_id AND p.candidate_index = x.candidate_index))
-    SELECT plan_id, """ + joined("candidate_used_twice", "twice", "unknown_candidate", "unknown", "candidate_missing", "plan_id IN (SELECT plan_id FROM m)", "bad_role", "role", "bad_confidence", "confidence", "too_many_queries", "queries") + " AS errors FROM f")
-def m09_validate_plan(t: Inputs):
-    plans = t.fx_plans.withColumn("should_query", C("quantity") > 10)
-    expected = t.fx_plans.select("plan_id", C("group_index").alias("candidate_index")).distinct()
-    return written(contracts.validate_plan(plans, expected, ["A", "N"]))
+#: A word of each text, or a fixed one where it has none.
+WORD = "coalesce(nullif(regexp_extract({}, '[A-Za-z]{{3,}}', 0), ''), 'fallback')"
+
+
+def word(column: str):
+    return F.expr(WORD.format(column))
 
 
-DECISIONS = "(SELECT request_id, CASE request_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'one' WHEN 2 THEN 'many' ELSE 'other' END AS decision, list(poi_id ORDER BY source_rank) FILTER (source_rank <= 3) AS allowed, list(CASE WHEN request_id % 7 = 0 THEN 5 ELSE poi_id END ORDER BY source_rank) FILTER (source_rank <= request_id % 5) AS selected FROM fx_candidates GROUP BY 1)"
+@query(f"SELECT doc_id AS post_id, {answers.errors_sql(answers.PLANS, 'doc_id')} AS errors FROM documents")
+def m09_validate_plan(t: Inputs):
+    candidates = F.array(*[F.struct(F.lit(k).cast("long").alias("index"), F.array(*map(F.lit, kinds)).alias("kinds")) for k, kinds in enumerate((["name"], ["name", "place_clue"], ["place_clue"]))])
+    rows = t.documents.select(
+        C("doc_id").alias("post_id"), answers.answer(answers.PLANS, C("doc_id"), word("text")).alias("answer"), candidates.alias("candidates"),
+        F.array("text", F.lit("fallback"), F.lit("from this shop")).alias("evidence"), F.lit(False).alias("geo_usable"),
+    )
+    lists = (answers.RELATIONSHIPS, answers.PLACE_KINDS, answers.PLAN_ROLES, answers.KEYWORD_KINDS, answers.ENDPOINTS)
+    return written(contracts.validate_plan(rows, *lists, generic="(this|a) (shop|restaurant)")).select("post_id", "errors")
 
 
-@query(f"""SELECT request_id, {joined('unknown_decision', "decision = 'other'", 'not_allowed', 'len(list_filter(s, lambda x: NOT list_contains(allowed, x))) > 0', 'repeated', 'len(s) <> len(list_distinct(s))',
-       'wrong_count', "decision = 'none' AND len(s) <> 0 OR decision = 'one' AND len(s) <> 1 OR decision = 'many' AND NOT len(s) BETWEEN 2 AND 5")} AS errors FROM (SELECT *, coalesce(selected, []) AS s FROM {DECISIONS})""")
+@query(f"SELECT request_id, {answers.errors_sql(answers.DECISIONS, 'request_id')} AS errors FROM (SELECT DISTINCT request_id FROM fx_candidates)")
 def m10_validate_decision(t: Inputs):
-    c = t.fx_candidates.withColumn("sel", F.when(C("request_id") % 7 == 0, F.lit(5).cast("long")).otherwise(C("poi_id")))
-    pick = lambda col, most: F.collect_list(F.when(C("source_rank") <= most, F.struct("source_rank", C(col).alias("id"))))
-    rows = c.groupBy("request_id").agg(F.array_sort(pick("poi_id", 3)).alias("a"), F.array_sort(pick("sel", C("request_id") % 5)).alias("s"))
-    decision = F.when(C("request_id") % 4 == 0, "none").when(C("request_id") % 4 == 1, "one").when(C("request_id") % 4 == 2, "many").otherwise("other")
-    rows = rows.select("request_id", decision.alias("decision"), F.transform("a", lambda x: x["id"]).alias("allowed_ids"), F.transform("s", lambda x: x["id"]).alias("selected_ids"))
-    return written(contracts.validate_decision(rows, {"none": (0, 0), "one": (1, 1), "many": (2, 5)})).select("request_id", "errors")
+    rows = t.fx_candidates.groupBy("request_id").agg(F.max("poi_id").cast("string").alias("x"))
+    allowed = F.array("x", F.concat(F.lit("p"), "x"))
+    rows = rows.select("request_id", allowed.alias("allowed_ids"), answers.answer(answers.DECISIONS, C("request_id"), C("x"), F.concat(F.lit("p"), "x")).alias("answer"))
+    return written(contracts.validate_decision(rows, answers.DECISION_KINDS)).select("request_id", "errors")
 
 
-@query(f"""
-    WITH p AS (SELECT conv_id AS post_id, min(text) AS content FROM conversations GROUP BY 1), e AS (SELECT post_id, name AS text, coalesce(source, 'none') AS type, confidence FROM {ITEMS}),
-         f AS (SELECT post_id, bool_or(NOT contains(content, text)) AS a, bool_or(type NOT IN ('text', 'image')) AS b, bool_or(NOT confidence BETWEEN 0 AND 1) AS c, bool_or(n > 1) AS d, count(*) > 30 AS e
-               FROM (SELECT *, count(*) OVER (PARTITION BY post_id, text, type) AS n FROM e) JOIN p USING (post_id) GROUP BY 1)
-    SELECT post_id, {joined('not_in_text', 'a', 'bad_type', 'b', 'bad_confidence', 'c', 'repeated', 'd', 'too_many', 'e')} AS errors FROM f""")
+@query(f"SELECT post_id, pic_index, {answers.errors_sql(answers.ENTITIES, 'post_id + pic_index')} AS errors FROM fx_media")
 def m11_validate_entities(t: Inputs):
-    posts = t.conversations.groupBy(C("conv_id").alias("post_id")).agg(F.min("text").alias("content"))
-    e = label_items(t).select("post_id", C("name").alias("text"), F.coalesce("source", F.lit("none")).alias("type"), "confidence")
-    return written(contracts.validate_entities(e, posts, ["text", "image"]))
+    rows = t.fx_media.select("post_id", "pic_index", F.concat("description", F.lit(" fallback")).alias("content"), answers.answer(answers.ENTITIES, C("post_id") + C("pic_index"), word("description")).alias("answer"))
+    return written(contracts.validate_entities(rows, ["restaurant", "dish", "cuisine", "region"])).select("post_id", "pic_index", "errors")
 
 
-@query(f"""
-    WITH p AS (SELECT conv_id AS post_id, min(text) AS content FROM conversations GROUP BY 1), e AS (SELECT post_id, name AS text, coalesce(source, 'none') AS kind, confidence, substr(name, 1, 5) AS evidence FROM {ITEMS} WHERE pos % 5 = 0),
-         f AS (SELECT post_id, count(*) > 3 AS a, bool_or(NOT contains(content, text)) AS b, bool_or(kind = 'other') AS c, bool_or(NOT confidence BETWEEN 0 AND 1) AS d, bool_or(NOT contains(content, evidence)) AS e FROM e JOIN p USING (post_id) GROUP BY 1)
-    SELECT post_id, {joined('too_many', 'a', 'not_in_evidence', 'b', 'bad_kind', 'c', 'bad_confidence', 'd', 'evidence_missing', 'e')} AS errors FROM f""")
+@query(f"SELECT post_id, pic_index, {answers.errors_sql(answers.LOCATIONS, 'post_id + pic_index')} AS errors FROM fx_media")
 def m12_validate_locations(t: Inputs):
-    posts = t.conversations.groupBy(C("conv_id").alias("post_id")).agg(F.min("text").alias("content"))
-    e = label_items(t).where("pos % 5 = 0").select("post_id", C("name").alias("text"), F.coalesce("source", F.lit("none")).alias("kind"), "confidence", F.substring("name", 1, 5).alias("evidence"))
-    return written(contracts.validate_locations(e, posts, ["text", "image", "none"]))
+    rows = t.fx_media.select("post_id", "pic_index", F.concat("description", F.lit(" fallback")).alias("content"), answers.answer(answers.LOCATIONS, C("post_id") + C("pic_index"), word("description")).alias("answer"))
+    return written(contracts.validate_locations(rows, ["city", "region", "place"])).select("post_id", "pic_index", "errors")
 
 
-@query(f"""
-    WITH f AS (SELECT a.l_orderkey AS post_id, bool_or(a.l_linenumber % 5 = 4) AS a, bool_or(n > 1) AS b, bool_or(a.l_linenumber % 5 <> 4 AND a.l_suppkey % 3 > a.l_linenumber % 3) AS c, bool_or(a.l_returnflag <> 'N') AS d, bool_or(a.l_partkey % 2 = 0 AND a.l_linestatus = 'F') AS e
-               FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) a GROUP BY 1)
-    SELECT post_id, {joined('unknown_group', 'a', 'repeated_group', 'b', 'index_outside_group', 'c', 'evidence_not_in_text', 'd', 'visit_on_blocked_method', 'e')} AS errors FROM f""")
+@query(f"SELECT doc_id AS post_id, CASE WHEN lang = 'en' THEN {answers.errors_sql(answers.BLOCKED, 'doc_id')} ELSE {answers.errors_sql(answers.ASSERTIONS, 'doc_id')} END AS errors FROM documents")
 def m13_validate_assertion(t: Inputs):
-    rows = t.lineitem.select(
-        C("l_orderkey").alias("post_id"), C("l_linenumber").alias("group_id"), F.array((C("l_suppkey") % 3).cast("int")).alias("indexes"), C("l_returnflag").alias("evidence"),
-        F.when(C("l_partkey") % 2 == 0, "visited").otherwise("passed").alias("assertion"), C("l_linestatus").alias("method"),
+    group = lambda name, indexes: F.struct(F.lit(name).alias("group_id"), F.array(*[F.lit(k).cast("long") for k in indexes]).alias("indexes"))
+    blocked = C("lang") == "en"
+    given = F.when(blocked, answers.answer(answers.BLOCKED, C("doc_id"), word("text"))).otherwise(answers.answer(answers.ASSERTIONS, C("doc_id"), word("text")))
+    rows = t.documents.select(
+        C("doc_id").alias("post_id"), given.alias("answer"), F.concat("text", F.lit(" fallback")).alias("content"), F.when(blocked, "time_neighbor").otherwise("scored").alias("method"), F.array(group("g1", (0, 1)), group("g2", (2,))).alias("groups")
     )
-    groups = t.lineitem.where("l_linenumber % 5 <> 4").select(C("l_orderkey").alias("post_id"), C("l_linenumber").alias("group_id")).distinct()
-    groups = groups.withColumn("allowed", F.sequence(F.lit(0), (C("group_id") % 3).cast("int")))
-    posts = t.orders.select(C("o_orderkey").alias("post_id"), F.lit("N and O").alias("content"))
-    return written(contracts.validate_assertion(rows, groups, posts, ["F"]))
+    out = contracts.validate_assertion(rows, ["visited", "planned", "none"], ["current", "past"], ["visit_place", "mentioned_only"], ["confirmed", "candidate_set", "rejected"], ["time_neighbor", "region", "default"])
+    return written(out).select("post_id", "errors")
 
 
 NARRATIVES = f"(SELECT trip_id, CASE WHEN n % 5 = 0 THEN ' ' WHEN n % 7 = 0 THEN repeat('long ', 10) ELSE concat('trip of ', n) END AS title, n, first + CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END AS pick, n > 9 AS much FROM (SELECT trip_id, count(*) AS n, min(visit_id) AS first FROM {MEMBERS} GROUP BY 1))"
@@ -171,10 +161,11 @@ def narrated(t: Inputs):
     return m.select("trip_id", "n", "visit_ids", title.alias("title"), F.when(C("n") > 9, F.slice("visit_ids", 1, 5)).otherwise(F.array(pick)).alias("highlights"))
 
 
-@query(f"""SELECT r.trip_id, {joined('empty_title', "trim(title) = ''", 'title_too_long', 'length(title) > 30', 'too_many_highlights', 'much', 'highlight_outside_trip', f'NOT much AND pick NOT IN (SELECT visit_id FROM {MEMBERS} x WHERE x.trip_id = r.trip_id)')} AS errors FROM {NARRATIVES} r""")
+@query(f"SELECT trip_id, {answers.errors_sql(answers.NARRATIONS, 'first')} AS errors FROM (SELECT trip_id, min(visit_id) AS first FROM {MEMBERS} GROUP BY 1)")
 def m14_validate_narrative(t: Inputs):
-    n = narrated(t)
-    return written(contracts.validate_narrative(n.select("trip_id", "title", "highlights"), n.select("trip_id", "visit_ids"))).select("trip_id", "errors")
+    m = members(t).groupBy("trip_id").agg(F.min("visit_id").alias("first"), F.array_sort(F.collect_list("visit_id")).cast("array<string>").alias("visit_ids"), F.array(F.min("place_id").cast("string")).alias("theme_ids"))
+    rows = m.withColumn("answer", answers.answer(answers.NARRATIONS, C("first"), C("first").cast("string"), F.get("theme_ids", F.lit(0))))
+    return written(contracts.validate_narrative(rows)).select("trip_id", "errors")
 
 
 @query("""
@@ -355,18 +346,64 @@ def v11_row_parity(t: Inputs):
     return audit.row_parity({"orders": t.orders, "open": t.orders.where("o_orderstatus = 'O'")})
 
 
-@query("""
-    WITH c AS (SELECT 'unique_visits' AS check_name, (SELECT count(*) - count(DISTINCT visit_id) FROM fx_visits) AS failures, 0 AS most UNION ALL SELECT 'visit_ranges', (SELECT count(*) FROM fx_visits WHERE abs(lon) > 180 OR abs(lat) > 90), 0
-               UNION ALL SELECT 'labels_refer', (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)), 0 UNION ALL SELECT 'low_confidence', (SELECT count(*) FROM fx_visits WHERE confidence < 0.52), 1000000000
-               UNION ALL SELECT 'unlabelled', (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)), 0),
-         s AS (SELECT check_name, failures, CASE WHEN failures = 0 THEN 'pass' WHEN failures <= most THEN 'warning' ELSE 'fail' END AS status FROM c)
-    SELECT * FROM s UNION ALL SELECT 'overall', sum(failures), CASE WHEN bool_and(status <> 'fail') THEN 'pass' ELSE 'fail' END FROM s""")
+#: What is wrong in the tables of v12, and how often: a count for each check, and the table that it examines.
+FIRST = "regexp_extract(text, '^[^ ]*', 0)"
+WRONG = {
+    "post_row_counts_equal": ("0", "documents"),
+    "source_values_preserved": ("(SELECT 2 * count(*) FILTER (lang = 'fr') FROM documents)", "documents"),
+    "located_values_preserved": ("0", "documents"),
+    "unique_post_ids": ("0", "documents"),
+    "mention_slices_valid": (f"(SELECT count(*) FILTER (lang = 'de') FROM documents WHERE {FIRST} <> '')", "MENTIONS"),
+    "mention_overlap_free": (f"(SELECT count(*) FILTER (lang = 'es') FROM documents WHERE {FIRST} <> '')", "MENTIONS"),
+    "place_coordinates_valid": ("(SELECT count(*) FILTER (c_mktsegment = 'BUILDING') FROM customer)", "customer"),
+    "unique_visit_ids": ("0", "fx_visits"),
+    "visit_references_valid": ("(SELECT count(*) FILTER (visit_id NOT IN (SELECT doc_id FROM documents)) + count(*) FILTER (place_id NOT IN (SELECT c_custkey FROM customer)) + count(*) FILTER (city NOT IN (SELECT n_nationkey FROM nation)) FROM fx_visits)", "fx_visits"),
+    "visit_times_valid": ("(SELECT count(*) FILTER (kind = 'error') FROM fx_visits)", "fx_visits"),
+    "no_forbidden_fallback_route_anchors": ("(SELECT count(*) FILTER (eligibility = 'anchor' AND kind = 'view') FROM fx_visits)", "fx_visits"),
+    "roles_cover_all_posts": ("(SELECT count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) FROM documents)", "labels"),
+    "role_references_valid": ("(SELECT count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM documents)) + count(*) FILTER (doc_id NOT IN (SELECT visit_id FROM fx_visits)) FROM labels)", "labels"),
+    "unique_trip_ids": ("0", "TRIPS"),
+    "trip_references_valid": (f"(SELECT count(*) FILTER (visit_id NOT IN (SELECT doc_id FROM documents)) FROM {MEMBERS})", "TRIPS"),
+    "trip_times_valid": ("0", "TRIPS"),
+    "trip_routes_valid": (f"(SELECT count(*) FILTER (n < 2) FROM (SELECT count(*) AS n FROM {MEMBERS} GROUP BY trip_id))", "TRIPS"),
+    "narrative_ids_valid": (f"(SELECT count(*) FILTER (n > 20) FROM (SELECT count(*) AS n FROM {MEMBERS} GROUP BY trip_id))", "TRIPS"),
+    "secondary_references_valid": ("(SELECT count(*) FROM fx_visits WHERE eligibility = 'candidate')", "CANDIDATES"),
+    "narratives_cover_all_trips": ("0", "TRIPS"),
+}
+SIZES = {"MENTIONS": f"(SELECT count(*) + count(*) FILTER (lang = 'es') FROM documents WHERE {FIRST} <> '')", "TRIPS": f"(SELECT count(DISTINCT trip_id) FROM {MEMBERS})", "CANDIDATES": "(SELECT count(*) FROM fx_visits WHERE eligibility = 'candidate')"}
+AUDITED = " UNION ALL ".join(
+    f"SELECT '{name}' AS check_name, {wrong} AS failures, {SIZES.get(table, f'(SELECT count(*) FROM {table})')} AS examined, false AS warn" for name, (wrong, table) in WRONG.items()
+)
+
+
+@query(f"""
+    WITH a AS ({AUDITED} UNION ALL SELECT 'low_confidence', (SELECT count(*) FROM fx_visits WHERE confidence < 0.52), NULL, true), s AS (SELECT *, CASE WHEN failures = 0 THEN 'pass' WHEN warn THEN 'warning' ELSE 'fail' END AS status FROM a)
+    SELECT check_name, failures, examined, status FROM s UNION ALL SELECT 'overall', sum(failures) FILTER (status = 'fail'), NULL, CASE WHEN bool_and(status <> 'fail') THEN 'pass' ELSE 'fail' END FROM s""")
 def v12_audit_report(t: Inputs):
-    checks = {
-        "unique_visits": audit.not_unique(t.fx_visits, ["visit_id"]), "visit_ranges": audit.out_of_range(t.fx_visits), "labels_refer": audit.dangling(t.labels, "doc_id", t.documents, "doc_id"),
-        "low_confidence": t.fx_visits.where("confidence < 0.52"), "unlabelled": audit.dangling(t.documents, "doc_id", t.labels, "doc_id"),
+    d = t.documents.select(C("doc_id").alias("post_id"), C("text").alias("content"), "lang")
+    first = F.regexp_extract("content", "^[^ ]*", 0)
+    m = d.withColumn("text", first).where("text <> ''").withColumn("end", F.length("text")).select("post_id", "lang", "end", F.when(C("lang") == "de", F.concat("text", F.lit("~"))).otherwise(C("text")).alias("text"))
+    m = m.select("post_id", "text", "end", F.explode(F.when(C("lang") == "es", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("mention_id"))
+    m = m.select("post_id", "text", F.lit(0).alias("start"), "end", F.concat_ws("-", "post_id", "mention_id").alias("mention_id"), F.lit("e").alias("entity_id"))
+    ids = lambda c: F.array(C(c))
+    visits = t.fx_visits.select(
+        "visit_id", C("t").alias("start"), F.when(C("kind") == "error", C("t") - 1).otherwise(C("t")).alias("end"), ids("visit_id").alias("post_ids"), "place_id", F.array().cast("array<bigint>").alias("candidate_ids"),
+        C("city").alias("region_id"), "eligibility", F.when(C("kind") == "view", "time_neighbor").otherwise("scored").alias("method"), "kind", "confidence",
+    )
+    step = F.struct("t", "visit_id")
+    trips = members(t).groupBy("trip_id").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.array_sort(F.collect_list(step)).alias("route"))
+    listed = F.transform("route", lambda r: r["visit_id"])
+    trips = trips.select("trip_id", "start", "end", "route", listed.alias("visit_ids"), listed.alias("post_ids"), F.array(F.lit("e")).alias("theme_ids"))
+    told = F.when(F.size("visit_ids") > 20, F.array(F.lit("e"), F.lit("f"))).otherwise(F.array(F.lit("e")))
+    tables = {
+        "source": d, "located": d.select("post_id", F.when(C("lang") == "fr", F.concat("content", F.lit("!"))).otherwise(C("content")).alias("content"), "lang", F.lit("r").alias("region")),
+        "mentions": m, "entities": t.spark.createDataFrame([("e",)], "entity_id string"), "visits": visits, "trips": trips, "narratives": trips.select("trip_id", F.slice("visit_ids", 1, 2).alias("highlight_ids"), told.alias("theme_ids")),
+        "places": t.customer.select(C("c_custkey").alias("place_id"), F.when(C("c_mktsegment") == "BUILDING", 200.0).otherwise(100.0).alias("lon"), F.lit(1.0).alias("lat")), "regions": t.nation.select(C("n_nationkey").alias("region_id")),
+        "roles": t.labels.select(C("doc_id").alias("post_id"), ids("doc_id").alias("visit_ids")), "candidates": t.fx_visits.where("eligibility = 'candidate'").select(F.concat(F.lit("none-"), "place_id").alias("trip_id"), "visit_id"),
+        "contexts": trips.select("trip_id", F.lit(None).cast("long").alias("post_id"), F.get("visit_ids", F.lit(0)).alias("visit_id"), C("trip_id").alias("other_trip_id")),
     }
-    return audit.audit(checks, {"low_confidence": 1_000_000_000})
+    tables["posts"] = tables["located"].withColumn("mentions", F.lit(1))
+    return audit.final_audit(tables, ["time_neighbor", "region", "default"], {"low_confidence": t.fx_visits.where("confidence < 0.52")})
 
 
 @query("SELECT title, count(*) AS n FROM (SELECT concat(kind, ' ', place_id) AS title FROM fx_visits) GROUP BY 1 HAVING count(*) > 1")
