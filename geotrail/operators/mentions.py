@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from ..functions.text import dice, stable_id
-from .sequences import resolve_overlaps
+from ..functions.text import dice, norm_nfkc, stable_id
+from .sequences import overlap_counts, resolve_overlaps
 
 #: Which type wins an overlap of equal spans.
 PRIORITY = {"restaurant": 0, "dish": 1, "cuisine": 2, "region": 3}
@@ -65,16 +64,32 @@ def link_places(mentions: DataFrame, points: DataFrame, least: float = 0.45) ->
     return out.withColumn("status", F.when(n == 1, "unique_high").when(n > 1, "multiple").otherwise("unmatched"))
 
 
-def build_mentions(posts: DataFrame, sources: DataFrame, points: DataFrame, stop: list[str]) -> DataFrame:
-    """(post_id, start, end, type, term, confidence, mention_id, status): located, without overlaps, linked."""
-    located = locate_terms(posts, collect_terms(posts, sources, stop))
+def resolved_mentions(posts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Every occurrence of the terms (post_id, type, term, sources, confidence) in their post, with kept: see resolve_overlaps()."""
     table = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
-    ranked = located.withColumn("priority", F.coalesce(F.element_at(table, F.col("type")), F.lit(9)))
-    ranked = ranked.withColumn("span_id", F.row_number().over(W.partitionBy("post_id").orderBy("start", "end", "priority", "term")))
-    kept = resolve_overlaps(ranked).where("kept")
-    linked = kept.join(link_places(kept, points), ["post_id", "term"], "left")
-    ids = stable_id("mention", F.col("post_id"), F.col("start"), F.col("end"), F.col("type"))
-    return linked.select("post_id", "start", "end", "type", "term", "confidence", ids.alias("mention_id"), "status")
+    return resolve_overlaps(locate_terms(posts, terms).withColumn("priority", F.coalesce(F.element_at(table, F.col("type")), F.lit(9))))
+
+
+def build_mentions(posts: DataFrame, sources: DataFrame, points: DataFrame, stop: list[str], linked: str = "restaurant") -> DataFrame:
+    """(post_id, start, end, type, term, sources, confidence, entity_id, mention_id, status, place_ids): located, without overlaps.
+
+    Mentions of the linked type are linked with the points of their post; the status of all others is entity.
+    """
+    kept = resolved_mentions(posts, collect_terms(posts, sources, stop)).where("kept")
+    links = link_places(kept.where(F.col("type") == linked), points).select("post_id", "term", F.lit(linked).alias("type"), "status", "matches")
+    out = kept.join(links, ["post_id", "term", "type"], "left")
+    entity = F.concat(F.lit("ent_"), F.col("type"), F.lit("_"), F.substring(F.sha2(F.concat_ws("\0", "type", norm_nfkc(F.col("term"))), 256), 1, 16))
+    out = out.withColumn("entity_id", entity).withColumn("mention_id", stable_id("mention", F.col("post_id"), F.col("start"), F.col("end"), F.col("entity_id"), digits=16))
+    place_ids = F.coalesce("matches", F.array().cast(f"array<{dict(points.dtypes)['poi_id']}>"))
+    return out.select("post_id", "start", "end", "type", "term", "sources", "confidence", "entity_id", "mention_id", F.coalesce("status", F.lit("entity")).alias("status"), place_ids.alias("place_ids"))
+
+
+def extraction_records(posts: DataFrame, sources: DataFrame, stop: list[str]) -> DataFrame:
+    """(post_id, candidate_count, mention_count, overlap_rejected_count) of every post."""
+    terms = collect_terms(posts, sources, stop)
+    counts = overlap_counts(resolved_mentions(posts, terms))
+    out = posts.select("post_id").join(terms.groupBy("post_id").agg(F.count("*").alias("candidate_count")), "post_id", "left").join(counts, "post_id", "left")
+    return out.select("post_id", F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), F.coalesce("n_kept", F.lit(0)).alias("mention_count"), F.coalesce("n_rejected", F.lit(0)).alias("overlap_rejected_count"))
 
 
 def mention_index(mentions: DataFrame, types: list[str]) -> DataFrame:

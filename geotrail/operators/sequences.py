@@ -121,21 +121,31 @@ def unique_titles(df: DataFrame, title: str, key: str, time: str) -> DataFrame:
 
 
 def resolve_overlaps(spans: DataFrame, key: str = "post_id") -> DataFrame:
-    """Adds kept to spans (start, end, priority, confidence): greedy by length, priority, confidence, start.
+    """(key, start, end, type, term, priority, confidence, sources, kept): which spans stay, greedily by length, priority, confidence, start.
 
-    A fold over each record's list of spans; end is exclusive, so touching spans do not overlap.
+    Spans of equal bounds, type and term are one, with all their sources and the best confidence. A fold over each
+    record's list of spans; end is exclusive, so touching spans do not overlap. Ties go by type and term.
     """
-    best = F.struct((F.col("start") - F.col("end")).alias("o1"), F.col("priority").alias("o2"), (-F.col("confidence")).alias("o3"), F.col("start").alias("start"), F.col("end").alias("end"), F.col("span_id").alias("span_id"))
-    lists = spans.groupBy(key).agg(F.array_sort(F.collect_list(best)).alias("_s"))
-    kept = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("span_id", T.LongType())]))
-
-    def step(acc: Column, s: Column) -> Column:
+    name = ["start", "end", "type", "term"]
+    merged = spans.groupBy(key, *name).agg(F.min("priority").alias("priority"), F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+    best = F.struct((F.col("start") - F.col("end")).alias("o1"), F.col("priority").alias("o2"), (-F.col("confidence")).alias("o3"), *name, "priority", "confidence", "sources")
+    lists = merged.groupBy(key).agg(F.array_sort(F.collect_list(best)).alias("_s"))
+    taken = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("n", T.IntegerType())]))
+
+    def step(acc: Column, x: Column) -> Column:
+        s, n = x["s"], x["n"]
         clash = F.exists(acc, lambda k: (s["start"] < k["end"]) & (k["start"] < s["end"]))
-        one = F.array(F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"), s["span_id"].cast("long").alias("span_id")))
+        one = F.array(F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"), n.alias("n")))
         return F.when(clash, acc).otherwise(F.concat(acc, one))
 
-    chosen = lists.select(key, F.transform(F.aggregate("_s", F.array().cast(kept), step), lambda k: k["span_id"]).alias("_ids"))
-    return spans.join(chosen, key).withColumn("kept", F.array_contains("_ids", F.col("span_id").cast("long"))).drop("_ids")
+    counted = F.transform("_s", lambda s, n: F.struct(s.alias("s"), n.alias("n")))
+    chosen = lists.select(key, "_s", F.transform(F.aggregate(counted, F.array().cast(taken), step), lambda k: k["n"]).alias("_kept"))
+    return chosen.select(key, "_kept", F.posexplode("_s").alias("_n", "_x")).select(key, *[f"_x.{c}" for c in (*name, "priority", "confidence", "sources")], F.array_contains("_kept", F.col("_n")).alias("kept"))
+
+
+def overlap_counts(resolved: DataFrame, key: str = "post_id") -> DataFrame:
+    """(key, n_kept, n_rejected) of the spans that resolve_overlaps() judged."""
+    return resolved.groupBy(key).agg(F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_rejected"))
 
 
 def highlight_segments(posts: DataFrame, marks: DataFrame, key: str = "post_id", text: str = "content") -> DataFrame:

@@ -221,29 +221,26 @@ def i08_unique_titles(t: Inputs):
     return sequences.unique_titles(rows, "title", "visit_id", "t").select("visit_id", "final_title")
 
 
-#: Spans of each order: where its lines start and how long they are.
-SPANS = "(SELECT l_orderkey AS post_id, l_linenumber * 100000 + l_partkey AS span_id, l_partkey % 50 AS start, l_partkey % 50 + 3 + l_suppkey % 9 AS \"end\", l_linenumber % 3 AS priority, l_discount AS confidence FROM lineitem)"
+#: Spans of each order, one or two of a line: where they start and how long they are. Some are equal but for source and confidence.
+SPANS = """(SELECT l_orderkey AS post_id, l_partkey % 20 AS start, l_partkey % 20 + 3 + l_suppkey % 4 AS "end", CASE l_linenumber % 3 WHEN 0 THEN 'dish' WHEN 1 THEN 'region' ELSE 'cuisine' END AS type, concat('t', l_partkey % 2) AS term, l_linenumber % 3 AS priority, l_discount AS confidence, l_linestatus AS source FROM lineitem
+    UNION ALL SELECT l_orderkey, l_partkey % 20, l_partkey % 20 + 3 + l_suppkey % 4, CASE l_linenumber % 3 WHEN 0 THEN 'dish' WHEN 1 THEN 'region' ELSE 'cuisine' END, concat('t', l_partkey % 2), l_linenumber % 3, l_tax, l_returnflag FROM lineitem WHERE l_quantity > 40)"""
 
 
 def all_spans(t: Inputs):
-    return t.lineitem.selectExpr(
-        "l_orderkey AS post_id", "l_linenumber * 100000 + l_partkey AS span_id", "l_partkey % 50 AS start", "l_partkey % 50 + 3 + l_suppkey % 9 AS end", "l_linenumber % 3 AS priority", "l_discount AS confidence"
-    )
-
-
-def spans(t: Inputs):
-    rest = ["start", "end", "priority", "confidence"]
-    return all_spans(t).groupBy("post_id", "span_id").agg(F.min(F.struct(*rest)).alias("s")).select("post_id", "span_id", "s.*")
+    kind = "CASE l_linenumber % 3 WHEN 0 THEN 'dish' WHEN 1 THEN 'region' ELSE 'cuisine' END AS type"
+    columns = ["l_orderkey AS post_id", "l_partkey % 20 AS start", "l_partkey % 20 + 3 + l_suppkey % 4 AS end", kind, "concat('t', l_partkey % 2) AS term", "l_linenumber % 3 AS priority"]
+    return t.lineitem.selectExpr(*columns, "l_discount AS confidence", "array(l_linestatus) AS sources").unionByName(t.lineitem.where("l_quantity > 40").selectExpr(*columns, "l_tax AS confidence", "array(l_returnflag) AS sources"))
 
 
 @query(f"""
-    WITH RECURSIVE s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY start - "end", priority, -confidence, start, "end", span_id) AS n FROM (SELECT DISTINCT ON (post_id, span_id) * FROM {SPANS} ORDER BY post_id, span_id, start, "end", priority, confidence)),
-    g AS (SELECT post_id, 0::BIGINT AS n, []::STRUCT(a BIGINT, b BIGINT, id BIGINT)[] AS kept FROM (SELECT DISTINCT post_id FROM s)
-          UNION ALL SELECT g.post_id, s.n, CASE WHEN len(list_filter(g.kept, lambda k: s.start < k.b AND k.a < s."end")) > 0 THEN g.kept ELSE list_append(g.kept, {{'a': s.start, 'b': s."end", 'id': s.span_id}}) END
+    WITH RECURSIVE m AS (SELECT post_id, start, "end", type, term, min(priority) AS priority, max(confidence) AS confidence, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM {SPANS} GROUP BY ALL),
+    s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY start - "end", priority, -confidence, start, "end", type, term) AS n FROM m),
+    g AS (SELECT post_id, 0::BIGINT AS n, []::STRUCT(a BIGINT, b BIGINT, n BIGINT)[] AS kept FROM (SELECT DISTINCT post_id FROM s)
+          UNION ALL SELECT g.post_id, s.n, CASE WHEN len(list_filter(g.kept, lambda k: s.start < k.b AND k.a < s."end")) > 0 THEN g.kept ELSE list_append(g.kept, {{'a': s.start, 'b': s."end", 'n': s.n}}) END
           FROM g JOIN s ON s.post_id = g.post_id AND s.n = g.n + 1)
-    SELECT s.post_id, s.span_id, list_contains(list_transform(f.kept, lambda k: k.id), s.span_id) AS kept FROM s JOIN (SELECT post_id, arg_max(kept, n) AS kept FROM g GROUP BY 1) f USING (post_id)""")
+    SELECT s.post_id, s.start, s."end", type, term, confidence, sources, list_contains(list_transform(f.kept, lambda k: k.n), s.n) AS kept FROM s JOIN (SELECT post_id, arg_max(kept, n) AS kept FROM g GROUP BY 1) f USING (post_id)""")
 def i09_greedy_overlap(t: Inputs):
-    return sequences.resolve_overlaps(spans(t)).select("post_id", "span_id", "kept")
+    return sequences.resolve_overlaps(all_spans(t)).withColumn("sources", F.concat_ws(",", "sources")).drop("priority")
 
 
 @query("""
@@ -270,7 +267,6 @@ def i12_best_per_label(t: Inputs):
     return sequences.best_labels(label_items(t).withColumn("type", F.coalesce("source", F.lit("none"))))
 
 
-@query(f"SELECT post_id, span_id, previous_end FROM (SELECT *, lag(\"end\") OVER (PARTITION BY post_id ORDER BY start, \"end\", span_id) AS previous_end FROM (SELECT post_id, min(span_id) AS span_id, start, \"end\" FROM {SPANS} GROUP BY 1, 3, 4)) WHERE start < previous_end")
+@query(f"SELECT post_id, start, \"end\", previous_end FROM (SELECT *, lag(\"end\") OVER (PARTITION BY post_id ORDER BY start, \"end\") AS previous_end FROM (SELECT DISTINCT post_id, start, \"end\" FROM {SPANS})) WHERE start < previous_end")
 def i13_prev_end_check(t: Inputs):
-    rows = all_spans(t).groupBy("post_id", "start", "end").agg(F.min("span_id").alias("span_id"))
-    return sequences.overlaps(rows).select("post_id", "span_id", "previous_end")
+    return sequences.overlaps(all_spans(t).select("post_id", "start", "end").distinct()).select("post_id", "start", "end", "previous_end")

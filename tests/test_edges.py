@@ -1,7 +1,9 @@
 """Hand-written edge cases of FIXTURES.md section 3."""
 
+import hashlib
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,9 +124,60 @@ def test_clusters_follow_the_definition(spark):
 
 
 def test_overlapping_spans(spark):
-    rows = [(1, 0, 0, 5, 0, 0.5), (1, 1, 1, 3, 0, 0.9), (1, 2, 5, 8, 0, 0.5), (2, 3, 0, 4, 1, 0.9), (2, 4, 0, 4, 0, 0.1), (3, 5, 0, 3, 0, 0.5), (3, 6, 2, 6, 0, 0.5), (3, 7, 5, 8, 0, 0.5)]
-    df = spark.createDataFrame(rows, "post_id int, span_id bigint, start int, end int, priority int, confidence double")
-    assert {r.span_id for r in sequences.resolve_overlaps(df).where("kept").collect()} == {0, 2, 4, 6}
+    rows = [
+        (1, 0, 5, "x", "a", 0, 0.5, ["m"]), (1, 1, 3, "x", "b", 0, 0.9, ["m"]), (1, 5, 8, "x", "c", 0, 0.5, ["m"]), (2, 0, 4, "y", "d", 1, 0.9, ["m"]), (2, 0, 4, "x", "e", 0, 0.1, ["m"]),
+        (3, 0, 3, "x", "f", 0, 0.5, ["m"]), (3, 2, 6, "x", "g", 0, 0.5, ["m"]), (3, 5, 8, "x", "h", 0, 0.5, ["m"]), (4, 0, 2, "x", "i", 0, 0.2, ["n"]), (4, 0, 2, "x", "i", 0, 0.7, ["m", "n"]),
+    ]
+    df = spark.createDataFrame(rows, "post_id int, start int, end int, type string, term string, priority int, confidence double, sources array<string>")
+    got = sequences.resolve_overlaps(df)
+    assert {r.term for r in got.where("kept").collect()} == {"a", "c", "e", "g", "i"}
+    assert [(r.confidence, r.sources) for r in got.where("post_id = 4").collect()] == [(0.7, ["m", "n"])]
+    assert {r.post_id: (r.n_kept, r.n_rejected) for r in sequences.overlap_counts(got).collect()} == {1: (2, 1), 2: (1, 1), 3: (1, 2), 4: (1, 0)}
+
+
+def bigram_score(a, b):
+    a, b = a.lower(), b.lower()
+    short, long = sorted((len(a), len(b)))
+    if a in b or b in a:
+        return 1 if a == b else max(short / long, 0.65 if short >= 3 else 0.5 if short == 2 else 0)
+    x, y = (Counter(t[k : k + 2] for k in range(len(t) - 1)) for t in (a, b))
+    return 2 * (x & y).total() / (x.total() + y.total()) if short > 1 else 0
+
+
+def test_mentions_against_brute_force(spark):
+    rng = random.Random(6)
+    words = ["noodle", "noodle bar", "bar", "soup", "old town", "town", "noodle soup", "tea", "x"]
+    posts = [(k, " ".join(rng.choice([*words, "and", "the"]) for _ in range(rng.randrange(0, 30)))) for k in range(40)]
+    sources = [(k, rng.choice(["restaurant", "dish", "region"]), rng.choice(words), rng.choice(["label", "review"]), rng.randrange(100) / 100) for k in range(40) for _ in range(8)]
+    points = [(k, 10 * k + i, rng.choice(words).title()) for k in range(40) for i in range(3)]
+    df = [spark.createDataFrame(r, s) for r, s in ((posts, "post_id int, content string"), (sources, "post_id int, type string, term string, source string, confidence double"), (points, "post_id int, poi_id int, name string"))]
+    want, records = [], []
+    for k, content in posts:
+        terms = {}
+        for p, kind, term, source, confidence in sources:
+            if p == k and len(term) >= 2 and term not in ("tea",) and term in content:
+                seen, best = terms.get((kind, term), (set(), 0))
+                terms[kind, term] = (seen | {source}, max(best, confidence))
+        spans = []
+        for (kind, term), (seen, confidence) in terms.items():
+            at = content.find(term)
+            while at >= 0:
+                spans.append((-len(term), mentions.PRIORITY[kind], -confidence, at, at + len(term), kind, term, sorted(seen)))
+                at = content.find(term, at + len(term))
+        kept = []
+        for s in sorted(spans):
+            if all(s[4] <= o[3] or o[4] <= s[3] for o in kept):
+                kept.append(s)
+        records.append((k, len(terms), len(kept), len(spans) - len(kept)))
+        for _, _, c, start, end, kind, term, seen in kept:
+            entity = f"ent_{kind}_" + hashlib.sha256(f"{kind}\0{term.replace(' ', '')}".encode()).hexdigest()[:16]
+            ids = sorted({i for p, i, name in points if p == k and bigram_score(term, name) >= 0.45}) if kind == "restaurant" else []
+            status = ("unmatched", "unique_high", "multiple")[min(2, len(ids))] if kind == "restaurant" else "entity"
+            mention = "mention_" + hashlib.sha256(f"{k}\0{start}\0{end}\0{entity}".encode()).hexdigest()[:16]
+            want.append((k, start, end, kind, term, seen, -c, entity, mention, status, ids))
+    got = mentions.build_mentions(*df, ["tea"]).collect()
+    assert len(want) > 100 and sorted(map(tuple, got)) == sorted(want)
+    assert sorted(map(tuple, mentions.extraction_records(df[0], df[1], ["tea"]).collect())) == records
 
 
 def test_repeated_terms(spark):
