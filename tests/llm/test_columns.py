@@ -1,5 +1,6 @@
 import hashlib
 import random
+import struct
 import zlib
 
 import pytest
@@ -38,6 +39,54 @@ def test_damaged_streams():
     assert tagged.tags["title"] == "a title" and tagged.payload == payload
 
 
+def frame_of(version, layer, index, rate, mono, fill=0, pad=0):
+    """A frame without checksum by the format's own arithmetic, as bytes, with its samples."""
+    word = 0x7FF << 21 | {1: 3, 2: 2, 2.5: 0}[version] << 19 | (4 - layer) << 17 | 1 << 16 | index << 12 | rate << 10 | pad << 9 | (3 if mono else 0) << 6
+    h = mpeg.header(word)
+    return word.to_bytes(4) + bytes([fill]) * (h.size - 4), h
+
+
+def test_kinds_of_frames():
+    # sizes from the format's tables: 128 kbit/s at 44.1 kHz, and so on
+    assert frame_of(1, 3, 9, 0, False)[1].size == 417 and frame_of(1, 3, 9, 0, False, pad=1)[1].size == 418
+    assert frame_of(1, 1, 4, 0, True)[1].size == 136 and frame_of(1, 2, 8, 1, True)[1].size == 384
+    assert frame_of(2, 3, 8, 0, True)[1].size == 208 and frame_of(2.5, 3, 8, 0, True)[1].size == 417
+    for version, layer, rate, samples in ((1, 1, 44_100, 384), (1, 2, 44_100, 1152), (1, 3, 44_100, 1152), (2, 3, 22_050, 576), (2.5, 3, 11_025, 576), (2, 2, 22_050, 1152)):
+        frame, h = frame_of(version, layer, 5, 0, True)
+        s = mpeg.read_stream(b"junk" + frame * 7)
+        assert (s.rate, s.samples, s.skipped, s.offsets) == (rate, 7 * samples, 4, [4 + k * h.size for k in range(7)])
+        assert s.seek(3 * samples) == s.offsets[3]
+    mixed = mpeg.read_stream(frame_of(1, 3, 9, 0, False)[0] * 3 + frame_of(2, 3, 9, 0, False)[0] * 2)
+    assert len(mixed.offsets) == 3  # what is of another kind is no part of the stream
+
+
+def test_tables_and_tags():
+    frame, h = frame_of(1, 3, 9, 0, False)
+    vbri = frame[:36] + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 9999, 7, 3, 1, 2, 2) + b"abcdef" + frame[68:]
+    s = mpeg.read_stream(vbri + frame * 7)
+    assert s.table == (7, 9999, b"abcdef") and len(s.offsets) == 7
+    for flags, fields, want in ((0, b"", (None, None, b"")), (1, b"\0\0\0\7", (7, None, b"")), (2, b"\0\0\0\7", (None, 7, b"")), (4, b"t" * 100, (None, None, b"t" * 100))):
+        xing = frame[:36] + b"Xing" + struct.pack(">I", flags) + fields
+        assert mpeg.read_stream(xing + frame[len(xing) :] + frame * 2).table == want
+
+    def tag(version, flags, body, extra=b""):
+        return b"ID3" + bytes([version, 0, flags]) + mpeg._syncsafe(len(body)) + body + extra
+
+    title = lambda data, size: b"TIT2" + size(len(data)) + b"\0\0" + data
+    plain = lambda n: n.to_bytes(4)
+    long = "e" * 200
+    cases = [
+        (tag(3, 0, title(b"\1" + "Zoë".encode("utf-16"), plain)), "Zoë"), (tag(4, 0, title(b"\2" + "Zoë".encode("utf-16-be"), mpeg._syncsafe)), "Zoë"), (tag(4, 0, title(b"\3" + long.encode(), mpeg._syncsafe)), long),
+        (tag(3, 0x40, plain(6) + bytes(6) + title(b"\0abc", plain)), "abc"), (tag(4, 0x40, mpeg._syncsafe(6) + bytes(2) + title(b"\0abc", mpeg._syncsafe)), "abc"), (tag(3, 0x80, title(b"\0a\xff\0b", lambda n: plain(n - 1))), "aÿb"),
+        (tag(4, 0x10, title(b"\0abc", mpeg._syncsafe), b"3DI" + bytes(7)), "abc"), (tag(2, 0, b"TT2" + (4).to_bytes(3) + b"\0abc"), "abc"),
+    ]
+    for data, want in cases:
+        s = mpeg.read_stream(data + frame * 3)
+        assert s.tags.get("TIT2", s.tags.get("TT2")) == want and s.skipped == 0 and len(s.offsets) == 3 and s.offsets[0] == len(data)
+    for k in range(0, 60):  # tags cut short
+        mpeg.read_stream(cases[3][0][:k])
+
+
 def test_known_checksum():
     assert mpeg.checksum(b"123456789") == 0xAEE7  # CRC-16/CMS
 
