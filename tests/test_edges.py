@@ -55,6 +55,14 @@ def test_field_states(spark):
     assert states(spark, ['{"x":[]}', '{"x":[1]}', '{"x":{}}'], "ARRAY") == ["empty", "nonempty", "wrong_type"]
 
 
+def test_classes_by_all_media_or_by_the_last(spark):
+    media = spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (2, 0, "y"), (2, 1, "x"), (3, 0, None)], "k int, i int, v string")
+    posts = spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "k int")
+    rules = {"has_x": C("v") == "x"}, {"A": C("has_x")}
+    assert {r.k: r.record_class for r in profile.classify_posts(posts, media, "k", *rules).collect()} == {1: "A", 2: "A", 3: "Q", 4: "Q"}
+    assert {r.k: r.record_class for r in profile.classify_posts(posts, media, "k", *rules, last="i").collect()} == {1: "Q", 2: "A", 3: "Q", 4: "Q"}
+
+
 def test_quarantine(spark):
     rows = [(1, '{"a":1}'), (2, "[1]"), (3, '{"a":'), (4, "  ")]
     good, bad = io.scan_with_quarantine(spark.createDataFrame(rows, "line_no int, line string"))
