@@ -104,5 +104,8 @@ def masked(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
 
 def scan_table(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", chars_a_token: float = CHARS_A_TOKEN) -> DataFrame:
-    """(id, spans) of every row; repeated rows stay apart, a null id is kept, an empty table gives an empty table."""
+    """(id, spans) of every row; repeated rows stay apart, a null id is kept, an empty table gives an empty table.
+
+    Texts are scanned whole, however long; a null text has no spans. Spans of several kinds may overlap; a random one overlaps none.
+    """
     return docs.select(F.col(id_col), secret_spans(F.col(text_col), ranks_path, chars_a_token).alias("spans"))
