@@ -75,7 +75,8 @@ def corpus(post: Column, parts: list[Column]) -> Column:
     return F.concat_ws("\n", post, *[F.array_join(p, "\n") for p in parts])
 
 
-# Answers are JSON texts, one a row. A rule that is broken gives an error by name; the errors of a row are distinct and sorted.
+# Answers are JSON texts, one a row. A rule that is broken gives an error by name, a fixed value; the errors of a row are
+# distinct and sorted.
 
 
 def _field(v: Column, name: str, kind: str = "variant") -> Column:

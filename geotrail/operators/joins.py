@@ -149,6 +149,17 @@ def st_pairs(visits: DataFrame, days: float, km: float, key: str = "visit_id", t
     return out.where((F.col("gap_days") <= days) & (F.col("km") <= km))
 
 
+def st_near(rows: DataFrame, others: DataFrame, days: float, km: float) -> DataFrame:
+    """(left, right) of rows and others (id, t, lon, lat): those within days and km, either way in time, except a row itself."""
+    span = int(days * DAY)
+    bucket = F.floor(F.col("t") / span)
+    a = with_cells_around(rows.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1))), km).alias("a")
+    b = with_cell(others.withColumn("_b", bucket), km).alias("b")
+    met = a.join(b, (F.col("a._b") == F.col("b._b")) & (F.col("a._y") == F.col("b._y")) & (F.col("a._x") == F.col("b._x")) & (F.col("a.id") != F.col("b.id")))
+    near = (F.abs(F.col("a.t") - F.col("b.t")) / DAY <= days) & (haversine(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat")) <= km)
+    return met.where(near).select(F.col("a.id").alias("left"), F.col("b.id").alias("right"))
+
+
 def pairwise(items: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """(group, a, b): all unordered pairs of a group's values; groups are the few names of one record."""
     x, y = items.select(group, F.col(order).alias("_i"), F.col(value).alias("a")), items.select(group, F.col(order).alias("_j"), F.col(value).alias("b"))

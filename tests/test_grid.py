@@ -4,7 +4,7 @@ import random
 from math import asin, cos, radians, sin, sqrt
 
 from geotrail.functions import geo
-from geotrail.operators import joins, serve
+from geotrail.operators import cluster, joins, serve
 
 DAY = 86_400_000_000
 
@@ -66,3 +66,17 @@ def test_groups_that_are_too_large_keep_a_row(spark):
     nodes = spark.createDataFrame([(g, k, float(k), 0.0) for g, n in ((1, 3), (2, 9)) for k in range(n)], "g int, node bigint, lon double, lat double")
     got = {r.g: (r.status, r.path) for r in serve.shortest_order(nodes, "g").collect()}
     assert got == {1: ("solved", [0, 1, 2]), 2: ("too_many", None)}
+
+
+def test_clusters_by_cells_equal_clusters_by_pairs(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(30):  # crowds of all sizes, some of which only just reach one another
+        t, x, y = rng.randrange(0, 30 * DAY), rng.choice([100.0, 179.9, 60.0]) + rng.uniform(-0.5, 0.5), rng.choice([0.0, 60.0]) + rng.uniform(-0.5, 0.5)
+        for _ in range(rng.choice([1, 2, 5, 40])):
+            rows.append((len(rows), t + rng.randrange(-DAY, DAY), (x + rng.uniform(-0.3, 0.3) + 180) % 360 - 180, y + rng.uniform(-0.3, 0.3)))
+    df = spark.createDataFrame([*rows, (9000, 5, None, 1.0)], "visit_id bigint, t bigint, lon double, lat double")
+    for days, reach, least in ((1, 30, 3), (2, 12, 2), (0.3, 40, 4), (1, 30, 1)):
+        want = {r.visit_id: (r.cluster, r.role) for r in cluster.st_dbscan(df, joins.st_pairs(df, days, reach), least).collect()}
+        got = {r.visit_id: (r.cluster, r.role) for r in cluster.st_dbscan_near(df, days, reach, least).collect()}
+        assert got == want and len({c for c, _ in want.values()}) > 3
