@@ -89,7 +89,7 @@ class WordEncoder:
     spaces: keep SPACE between the chunks of a lower-case vocabulary, so that ids can be aligned with a text.
     """
 
-    def __init__(self, path: str, spaces: bool = False, most: int = 80_000) -> None:
+    def __init__(self, path: str, spaces: bool = False, most: int = 50_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -228,7 +228,7 @@ class WordEncoder:
         return pool[at], ends[lists.offsets.to_numpy()]
 
 
-def blocks(texts: list[str | None], size: int = 2_000_000) -> Iterator[list[str]]:
+def blocks(texts: list[str | None], size: int = 1_000_000) -> Iterator[list[str]]:
     """Consecutive texts of about size characters together; null counts as empty."""
     block, n = [], 0
     for x in texts:
@@ -260,7 +260,7 @@ def tokens_of(path: str) -> np.ndarray:
 def make_encoder(path: str, spaces: bool = False) -> WordEncoder:
     words = WordEncoder(path, spaces)
     if not words.lower:  # more distinct words, as letter case counts
-        words.words.most = words.chunks.most = 250_000
+        words.words.most = words.chunks.most = 150_000
     return words
 
 
