@@ -215,14 +215,15 @@ def _connected(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def _blocked(members: DataFrame, texts: DataFrame, block: int) -> DataFrame:
     """(a, b): links that connect whatever full sets connect within each node of members (node, id, n, label)."""
-    weight = F.greatest("n", F.lit(max(1, block * LEAST // BLOCK)))
-    own = materialize(members.groupBy("node", "label").agg(F.sum(weight).alias("own")))
+    weight, size = F.greatest("n", F.lit(max(1, block * LEAST // BLOCK))), F.floor(F.log2("n")).alias("size")
+    weights = materialize(members.groupBy("node", "label", size).agg(F.sum(weight).alias("weight")))
+    own = weights.groupBy("node", "label").agg(F.sum("weight").alias("own"))
     # what is connected and fills a block stays together, the rest of a node is dealt by size; no task sees a node whole
-    rows = members.join(own, ["node", "label"]).withColumn("label", F.when(F.col("own") < block, -1).otherwise(F.col("label"))).drop("own")
-    rows = materialize(rows.withColumn("size", F.floor(F.log2("n"))))
-    parts = materialize(rows.groupBy("node", "label", "size").agg(F.ceil(F.sum(weight) / block).alias("parts")))
-    placing = F.xxhash64("label", "size", F.pmod(F.xxhash64("id"), F.col("parts")))
-    rows = materialize(rows.join(parts, ["node", "label", "size"]).withColumn("block", placing).drop("size", "parts"))
+    weights = weights.join(own, ["node", "label"]).withColumn("part", F.when(F.col("own") < block, -1).otherwise(F.col("label")))
+    parts = weights.groupBy("node", "part", "size").agg(F.ceil(F.sum("weight") / block).alias("parts"))
+    placing = weights.join(parts, ["node", "part", "size"]).select("node", "label", "size", "part", "parts")
+    rows = members.withColumn("size", size).join(placing, ["node", "label", "size"])
+    rows = materialize(rows.select("node", "id", "n", F.col("part").alias("label"), F.xxhash64("part", "size", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")))
     blocks = rows.groupBy("node", "block").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("label", "n") for f in (F.min, F.max)])
     i, j = (blocks.select("node", *[F.col(c).alias(f"{side}_{c}") for c in blocks.columns[1:]]) for side in "ij")
     done = F.expr("i_min_label >= 0 and i_min_label = i_max_label and j_min_label = i_min_label and j_max_label = i_min_label")
