@@ -133,7 +133,8 @@ def predict(text: Column, prototypes: dict[str, np.ndarray], dim: int = DIM) ->
         p = profiles(dim)
         return pd.DataFrame([compare(p.vector(x or ""), names, units) for x in texts], columns=["lang_pred", "score"])
 
-    return of(text.cast("string"))
+    # not to be evaluated again for a filter on the prediction
+    return of.asNondeterministic()(text.cast("string"))
 
 
 def held_out(doc_id: Column) -> Column:
