@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit, contracts, serve
+from ..sources.io import written as stored
 from . import answers
 from .columns import km
 from .groups import BUILT, SEGMENTS, built
@@ -393,7 +394,7 @@ def v12_audit_report(t: Inputs):
     step = F.struct("t", "visit_id")
     trips = members(t).groupBy("trip_id").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.array_sort(F.collect_list(step)).alias("route"))
     listed = F.transform("route", lambda r: r["visit_id"])
-    trips = trips.select("trip_id", "start", "end", "route", listed.alias("visit_ids"), listed.alias("post_ids"), F.array(F.lit("e")).alias("theme_ids"))
+    trips = stored(trips.select("trip_id", "start", "end", "route", listed.alias("visit_ids"), listed.alias("post_ids"), F.array(F.lit("e")).alias("theme_ids")))
     told = F.when(F.size("visit_ids") > 20, F.array(F.lit("e"), F.lit("f"))).otherwise(F.array(F.lit("e")))
     tables = {
         "source": d, "located": d.select("post_id", F.when(C("lang") == "fr", F.concat("content", F.lit("!"))).otherwise(C("content")).alias("content"), "lang", F.lit("r").alias("region")),
