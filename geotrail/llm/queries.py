@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, bpe, langid, mpeg, nearset, packing, recipes, repeats, secrets, shards
+from . import bitpack, bond, bpe, langid, mpeg, nearset, packing, recipes, repeats, secrets, shards
 from .common import read_table
 
 
@@ -69,7 +69,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of_kind, secrets.KINDS[:3]), F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(spans).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_tree, op2_mpeg_audio, op3_compacted_shards, op4_language_id, op5_pack_sequences, op6_repeated_substrings, op7_packed_ids, op8_exact_dedup, op9_near_dedup, op10_secret_scan)}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bond.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_tree, op2_mpeg_audio, op3_compacted_shards, op4_language_id, op5_pack_sequences, op6_repeated_substrings, op7_packed_ids, op8_exact_dedup, op9_near_dedup, op10_secret_scan, op12_hard_negatives)}
 
 ORACLES: dict[str, str] = {
     "op3_compacted_shards": """
@@ -81,4 +87,22 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY x) AS kept, sha256(x) AS text_sha256
         FROM t""",
+    "op12_hard_negatives": """
+        WITH rows AS (
+            SELECT vec_id, row_number() OVER () AS own, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)),
+        scores AS (
+            SELECT a.own, a.vec_id AS anchor_id, b.vec_id AS id, b.own AS other, a.label = b.label AS same,
+                   CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+            FROM rows a JOIN rows b ON a.own <> b.own WHERE a.vec_id % 50 = 0),
+        positives AS (
+            SELECT own, anchor_id, id AS positive_id, other, score AS positive_score FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY own ORDER BY score DESC, id NULLS LAST, other) <= 5)
+        SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.own, p.other ORDER BY n.score DESC, n.id NULLS LAST, n.other) AS INTEGER) AS rank,
+               n.id AS negative_id, p.positive_score, n.score AS negative_score
+        FROM positives p JOIN scores n ON p.own = n.own AND NOT n.same
+             AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+        QUALIFY row_number() OVER (PARTITION BY p.own, p.other ORDER BY n.score DESC, n.id NULLS LAST, n.other) <= 3""",
 }
