@@ -70,11 +70,11 @@ def minwise(s: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     if not len(a) or not len(b):
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, with_sha: bool = False) -> DataFrame:
@@ -142,7 +142,7 @@ def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", agree.alias("agree")).where(F.col("agree") >= int(WIDTH * (PERCENT / 100 - DOUBT)))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets are linked."""
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +152,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for a, x, y in zip(pdf["a"], pdf["x"], pdf["y"], strict=True):
                 if a != last:
                     last, held = a, shingles(x)
-                keep.append(linked(held, shingles(y)))
+                keep.append(linked(held, shingles(y), percent))
             yield pdf.loc[keep, ["a", "b"]]
 
     x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
@@ -173,7 +173,7 @@ def _links(pairs: DataFrame, texts: DataFrame, rounds: int) -> DataFrame:
             ends = open_pairs.select(F.col("a").alias("end"), "a", "b", "agree").unionByName(open_pairs.select(F.col("b").alias("end"), "a", "b", "agree"))
             best = F.max(F.struct("agree", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("best")
             chosen = ends.groupBy("end").agg(best).select("best.a", "best.b").distinct()
-        new = materialize(_confirmed(materialize(chosen.select("a", "b")), texts))
+        new = materialize(confirmed(materialize(chosen.select("a", "b")), texts))
         links = new if links is None else materialize(links.unionByName(new))
         labels = components(links)
         if step == rounds:
@@ -187,7 +187,7 @@ def _links(pairs: DataFrame, texts: DataFrame, rounds: int) -> DataFrame:
     return labels
 
 
-def _connected(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+def _connected(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
     """For every set of a and then of b a number that all have in common whom links between a and b connect."""
     shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
     both = np.zeros((len(a), len(b)))
@@ -202,7 +202,7 @@ def _connected(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         part = shared[k : k + 4096]
         both += held_by(a, part) @ held_by(b, part).T
     na, nb = (np.array([len(s) for s in x], np.float64) for x in (a, b))
-    links = 100 * both >= PERCENT * (na[:, None] + nb - both)
+    links = 100 * both >= percent * (na[:, None] + nb - both)
     of_a, of_b = np.arange(len(a)), np.arange(len(a), len(a) + len(b))
     far = len(a) + len(b)
     while True:
@@ -213,7 +213,7 @@ def _connected(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         of_a, of_b = new_a, new_b
 
 
-def _blocked(members: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+def _blocked(members: DataFrame, texts: DataFrame, block: int, percent: int) -> DataFrame:
     """(a, b): links that connect whatever full sets connect within each node of members (node, id, n, label)."""
     weight, size = F.greatest("n", F.lit(max(1, block * LEAST // BLOCK))), F.floor(F.log2("n")).alias("size")
     weights = materialize(members.groupBy("node", "label", size).agg(F.sum(weight).alias("weight")))
@@ -227,7 +227,7 @@ def _blocked(members: DataFrame, texts: DataFrame, block: int) -> DataFrame:
     blocks = rows.groupBy("node", "block").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("label", "n") for f in (F.min, F.max)])
     i, j = (blocks.select("node", *[F.col(c).alias(f"{side}_{c}") for c in blocks.columns[1:]]) for side in "ij")
     done = F.expr("i_min_label >= 0 and i_min_label = i_max_label and j_min_label = i_min_label and j_max_label = i_min_label")
-    apart = (100 * F.col("i_max_n") < PERCENT * F.col("j_min_n")) | (100 * F.col("j_max_n") < PERCENT * F.col("i_min_n"))
+    apart = (100 * F.col("i_max_n") < percent * F.col("j_min_n")) | (100 * F.col("j_max_n") < percent * F.col("i_min_n"))
     pairs = materialize(i.join(j, "node").where("i_block <= j_block").where(~done & ~apart).select("node", F.col("i_block").alias("i"), F.col("j_block").alias("j")))
     sides = pairs.select("node", "i", "j", F.col("i").alias("block")).unionByName(pairs.where("i < j").select("node", "i", "j", F.col("j").alias("block")))
     placed = materialize(sides.join(rows.select("node", "block", "id"), ["node", "block"]))
@@ -240,13 +240,13 @@ def _blocked(members: DataFrame, texts: DataFrame, block: int) -> DataFrame:
         if not len(one) or not len(two):
             return pd.DataFrame({"a": [], "b": []})
         order = ids[np.concatenate([one, two])]
-        out = pd.DataFrame({"a": order[_connected([sets[k] for k in one], [sets[k] for k in two])], "b": order})
+        out = pd.DataFrame({"a": order[_connected([sets[k] for k in one], [sets[k] for k in two], percent)], "b": order})
         return out[out["a"] != out["b"]].drop_duplicates()
 
     return placed.join(texts.hint("merge"), "id").groupBy("node", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def _finish(leaves: DataFrame, labels: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], trees: int, block: int) -> DataFrame:
+def finish(leaves: DataFrame, labels: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], trees: int, block: int, percent: int = PERCENT) -> DataFrame:
     """The labels (node, label) once every two members of a leaf have been compared, or are connected.
 
     Leaves of different trees are much alike, so one of them in so many as there are trees is compared before the rest.
@@ -260,7 +260,7 @@ def _finish(leaves: DataFrame, labels: DataFrame, classes: DataFrame, fetch: Cal
         still = here.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node")
         here = materialize(here.join(materialize(still), "node"))
         if here.limit(1).collect():
-            new = materialize(_blocked(here, fetch(here.select("id").distinct()), block))
+            new = materialize(_blocked(here, fetch(here.select("id").distinct()), block, percent))
             labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new))
     return labels
 
@@ -281,10 +281,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = materialize(_promising(found, classes))
 
     def fetch(ids: DataFrame) -> DataFrame:
-        return _texts(docs, ids.join(classes.select("id", "key", "want"), "id"), id_col, text_col)
+        return texts_of(docs, ids.join(classes.select("id", "key", "want"), "id"), id_col, text_col)
 
     labels = _links(pairs, fetch(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), rounds)
-    labels = _finish(leaves, labels, classes, fetch, trees, block)
+    labels = finish(leaves, labels, classes, fetch, trees, block)
     lowest = classes.select("id", "first_id").join(labels.withColumnRenamed("node", "id"), "id")
     lowest = materialize(lowest.groupBy("label").agg(F.min("first_id").alias("component_id")))
     of_class = classes.select("id", "key", "first_id").join(labels.withColumnRenamed("node", "id"), "id", "left").join(lowest, "label", "left")
@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(id_col, "n_shingles", "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"), *(["text_sha256"] if with_sha else []))
 
 
-def _texts(docs: DataFrame, involved: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def texts_of(docs: DataFrame, involved: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text): one text of each class among involved (id, key, want), fetched by the row id and the text's hash that it was found with."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
