@@ -155,8 +155,8 @@ def _texts(content: bytes) -> list[str]:
     return [x.lstrip("\ufeff") for x in text.split("\0")]
 
 
-def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
-    """The text frames of the tags, and where the audio begins and ends. A tag whose frames make no sense is skipped whole."""
+def _tags(data: bytes) -> tuple[dict[str, str], int]:
+    """The text frames of the tag in front, and where it ends. A tag whose frames make no sense is skipped whole."""
     tags, start, stop = {}, 0, len(data)
     if data[:3] == b"ID3" and len(data) >= 10 and data[3] in (2, 3, 4):
         version, flags = data[3], data[5]
@@ -184,10 +184,7 @@ def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
             elif found:
                 tags[name] = found[0]
             at += head + length
-    if data[-128:-125] == b"TAG" and stop - start >= 128:
-        stop -= 128
-        tags["title"] = data[stop + 3 : stop + 33].rstrip(b"\0 ").decode("latin-1")
-    return tags, start, stop
+    return tags, start
 
 
 def _table(data: bytes, at: int, body: int, stop: int) -> tuple[int | None, int | None, bytes] | None:
@@ -205,18 +202,25 @@ def _table(data: bytes, at: int, body: int, stop: int) -> tuple[int | None, int
 
 
 def read_stream(data: bytes) -> Stream:
-    """Parses a whole stream; damaged stretches are skipped and counted, bad checksums counted."""
-    out = Stream()
-    out.tags, at, stop = _tags(data)
+    """Parses a whole stream; damaged stretches are skipped and counted, bad checksums counted.
+
+    The last 128 bytes are a tag only if they begin with its sign and no frame reaches into them.
+    """
+    out, stop = Stream(), len(data)
+    out.tags, at = _tags(data)
+    tail = stop - 128 if data[-128:-125] == b"TAG" else None
     held, first, kind = [], True, None
     in_step = False
     while at + 4 <= stop:
         h = header(int.from_bytes(data[at : at + 4]))
         ends = h and at + h.size
         sure = h and ends <= stop and (kind is None or h.kind == kind)
-        if sure and not in_step and ends != stop:
+        if sure and not in_step and ends not in (stop, tail):
             behind = header(int.from_bytes(data[ends : ends + 4]))
             sure = behind and behind.kind == h.kind
+        if at == tail:
+            out.tags["title"] = data[at + 3 : at + 33].rstrip(b"\0 ").decode("latin-1")
+            break
         if not sure:
             at, in_step = at + 1, False
             out.skipped += 1
