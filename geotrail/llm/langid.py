@@ -20,8 +20,8 @@ from .common import held
 
 DIM, ORDER = 512, 3
 UNKNOWN = "und"
-#: Sequences a task remembers the vectors of.
-MOST = 16_000
+#: Sequences and letters that a task remembers the vectors of, and sequences it adds up at once.
+MOST, MOST_LETTERS, STEP = 16_000, 8192, 4096
 
 _LETTERS: list[np.ndarray] = []
 
@@ -43,24 +43,37 @@ class Profiles:
 
     def __init__(self, dim: int = DIM) -> None:
         self.dim, self.letters, self.rows = dim, {}, {}
-        self.vectors = np.zeros((1024, dim), np.float32)
+        self.vectors = np.zeros((1024, dim), np.int8)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
-            self.letters[code] = np.random.default_rng([4, code]).integers(0, 2, self.dim).astype(np.float32) * 2 - 1
+            if len(self.letters) >= MOST_LETTERS:
+                self.letters.clear()
+            self.letters[code] = np.random.default_rng([4, code]).integers(0, 2, self.dim).astype(np.int8) * 2 - 1
         return self.letters[code]
 
-    def row(self, gram: int) -> int:
-        if gram not in self.rows:
+    def product(self, grams: np.ndarray) -> np.ndarray:
+        """The vectors of some sequences: their letters' vectors, shifted by place and multiplied."""
+        out = np.ones((len(grams), self.dim), np.int8)
+        for k in range(ORDER):
+            codes, which = np.unique(grams >> 21 * (ORDER - 1 - k) & 0x1FFFFF, return_inverse=True)
+            out *= np.roll(np.array([self.letter(c) for c in codes.tolist()]), ORDER - 1 - k, axis=1)[which]
+        return out
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """The vectors of at most STEP distinct sequences, remembered while they are few."""
+        keys = grams.tolist()
+        new = np.array([k for k, g in enumerate(keys) if g not in self.rows], np.int64)
+        if len(self.rows) + len(new) > MOST:
+            self.rows.clear()
+            new = np.arange(len(keys))
+        if len(new):
             n = len(self.rows)
-            if n == len(self.vectors):
+            while n + len(new) > len(self.vectors):
                 self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
-            vector = np.ones(self.dim, np.float32)
-            for k in range(ORDER):
-                vector = vector * np.roll(self.letter(gram >> 21 * (ORDER - 1 - k) & 0x1FFFFF), ORDER - 1 - k)
-            self.vectors[n] = vector
-            self.rows[gram] = n
-        return self.rows[gram]
+            self.vectors[n : n + len(new)] = self.product(grams[new])
+            self.rows.update(zip(grams[new].tolist(), range(n, n + len(new)), strict=True))
+        return self.vectors[[self.rows[g] for g in keys]]
 
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct sequences of a text and their counts; words stand between single blanks. None if it has no letter."""
@@ -77,12 +90,11 @@ class Profiles:
         grams, counts = self.grams(text)
         if not len(grams):
             return None
-        if len(self.rows) > MOST:
-            self.rows.clear()
         total = np.zeros(self.dim, np.float64)
-        for k in range(0, len(grams), 4096):
-            rows = [self.row(g) for g in grams[k : k + 4096].tolist()]
-            total += counts[k : k + 4096].astype(np.float32) @ self.vectors[rows]
+        for k in range(0, len(grams), STEP):
+            # products of whole numbers, exact below 2**24 a step in float32
+            kind = np.float32 if counts[k : k + STEP].sum() < 2**24 else np.float64
+            total += counts[k : k + STEP].astype(kind) @ self.of(grams[k : k + STEP]).astype(kind)
         return total
 
 
@@ -145,7 +157,7 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dim: int = DIM) -> DataFrame:
     """(id, held_out, lang_pred, score) of every row, learned from the labelled rows that are not held out.
 
-    The label, the id and all other columns are no input of a prediction. Repeated rows stay apart; an empty table gives
+    Whole texts count, however long: a text's sequences are added up some thousands at a time. The label, the id and all other columns are no input of a prediction. Repeated rows stay apart; an empty table gives
     an empty table; without a labelled row every document is 'und'.
     """
     known = docs.where(~held_out(F.col(id_col)))
