@@ -270,12 +270,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts with fewer words than a shingle are one shingle; a null text or one without words is linked with nothing. Rows
     of equal sets are one class, however many; rows that repeat with the same id stay apart and share their component.
-    A row with a null id has the smallest known id of its component, or null, and is not kept unless it stands alone.
+    A row with a null id has the smallest known id of its component, or null, and is not kept unless it stands alone; of a
+    component without a known id one row is kept.
     Texts are compared whole, however long; one that is larger than a block is a block of its own.
     With with_sha each row also has its text_sha256, which tells rows apart that repeat an id.
     """
-    rows = materialize(described(docs.select(id_col, text_col), id_col, text_col, with_sha))
-    named = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(id_col).alias("first_id"), F.min(F.struct(F.col(id_col).alias("id"), "text_hash")).alias("want"), F.first("tokens").alias("tokens"), F.max("n_shingles").alias("n"))
+    rows = materialize(described(docs.select(id_col, text_col), id_col, text_col, with_sha).withColumn("row_number", F.monotonically_increasing_id()))
+    named = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(id_col).alias("first_id"), F.min(F.struct(F.col(id_col).alias("id"), "text_hash")).alias("want"), F.min("row_number").alias("first_row"), F.first("tokens").alias("tokens"), F.max("n_shingles").alias("n"))
     classes = materialize(named.withColumn("id", F.monotonically_increasing_id()))
     found, leaves = candidates(classes, trees, depth, small)
     pairs = materialize(_promising(found, classes))
@@ -285,13 +286,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     labels = _links(pairs, fetch(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), rounds)
     labels = finish(leaves, labels, classes, fetch, trees, block)
-    lowest = classes.select("id", "first_id").join(labels.withColumnRenamed("node", "id"), "id")
-    lowest = materialize(lowest.groupBy("label").agg(F.min("first_id").alias("component_id")))
-    of_class = classes.select("id", "key", "first_id").join(labels.withColumnRenamed("node", "id"), "id", "left").join(lowest, "label", "left")
-    of_class = materialize(of_class.select("key", F.coalesce("component_id", "first_id").alias("component_id")))
-    empty = rows.where(F.col("key").isNull()).withColumn("component_id", F.col(id_col))
-    out = rows.where(F.col("key").isNotNull()).join(of_class, "key").unionByName(empty.select("key", *[c for c in rows.columns if c != "key"], "component_id"))
-    return out.select(id_col, "n_shingles", "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"), *(["text_sha256"] if with_sha else []))
+    lowest = classes.select("id", "first_id", "first_row").join(labels.withColumnRenamed("node", "id"), "id")
+    lowest = materialize(lowest.groupBy("label").agg(F.min("first_id").alias("component_id"), F.min("first_row").alias("least_row")))
+    of_class = classes.select("id", "key", "first_id", "first_row").join(labels.withColumnRenamed("node", "id"), "id", "left").join(lowest, "label", "left")
+    of_class = materialize(of_class.select("key", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("least_row", "first_row").alias("least_row")))
+    empty = rows.where(F.col("key").isNull()).withColumns({"component_id": F.col(id_col), "least_row": F.col("row_number")})
+    out = rows.where(F.col("key").isNotNull()).join(of_class, "key").unionByName(empty.select("key", *[c for c in rows.columns if c != "key"], "component_id", "least_row"))
+    kept = F.when(F.col("component_id").isNull(), F.col("row_number") == F.col("least_row")).otherwise(F.col(id_col).eqNullSafe(F.col("component_id")))
+    return out.select(id_col, "n_shingles", "component_id", kept.alias("kept"), *(["text_sha256"] if with_sha else []))
 
 
 def texts_of(docs: DataFrame, involved: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -59,7 +59,7 @@ def plain_shingles(text):
     return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
 
 
-def near_by_force(rows):
+def near_by_force(rows, percent=75):
     sets = [plain_shingles(r[1]) for r in rows]
     parent = list(range(len(rows)))
 
@@ -70,7 +70,7 @@ def near_by_force(rows):
 
     for a in range(len(rows)):
         for b in range(a):
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 parent[find(a)] = find(b)
     lowest = {}
     for k, r in enumerate(rows):
@@ -144,6 +144,11 @@ def test_near_duplicates_without_ids(spark):
     rows = [(None, t) for t in texts] + [(None, f"{t} tail") for t in texts] + [(k, f"{t} end") for k, t in enumerate(texts[:9])]
     got = nearset.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == near_by_force(rows)
+    # of a component without a known id one row stays
+    assert sum(r.kept for r in got) == 40 and all(r.kept == (r.doc_id == r.component_id) for r in got if r.component_id is not None)
+    twins = [(None, texts[0]), (None, texts[0]), (None, texts[0] + " tail"), (None, ""), (None, None), (None, texts[1])]
+    got = nearset.near_duplicates(spark.createDataFrame(twins, "doc_id bigint, text string")).collect()
+    assert sorted((r.n_shingles > 0, r.kept) for r in got) == [(False, True), (False, True), (True, False), (True, False), (True, True), (True, True)]
 
 
 def repeats_by_force(rows, window):
