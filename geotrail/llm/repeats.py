@@ -264,8 +264,15 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
     # bucketed by row, so that what is found about a row meets its text without moving any text again
     name = f"repeats_{uuid.uuid4().hex}"
     rows.repartition(parts, "row").write.bucketBy(parts, "row").option("compression", "zstd").option("path", shared_dir(spark)).saveAsTable(name)
-    table = spark.table(name)
+    try:
+        out = _without_repeats(spark.table(name), window, keep_text, few, segment)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return out.select(F.col("name").cast(kind).alias(id_col), *out.columns[1:])
 
+
+def _without_repeats(table: DataFrame, window: int, keep_text: bool, few: int, segment: int) -> DataFrame:
+    """(name, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of the rows (name, text, row) of a bucketed table."""
     anchors = materialize(_parsed(table, window, False, segment).groupBy("anchor").count().where("count > 1").select("anchor"))
     phrases = materialize(_parsed(table, window, True, segment).join(anchors, "anchor"))
     place = F.min(F.struct("row", "first", "last", "trigger")).alias("place")
@@ -277,7 +284,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
 
     def meet(marks: DataFrame, how: str, *columns: str) -> DataFrame:
         marks = marks.groupBy("row").agg(F.collect_list(F.struct("first", "last", *columns)).alias("spans"))
-        return table.join(marks.hint("shuffle_hash"), "row", how)
+        return table.join(marks.hint("merge"), "row", how)
 
     pieces = materialize(_cut_out(meet(unsure, "inner", "anchor", "trigger"), window))
     found = twice.unionByName(_shared(pieces, window, few))
@@ -292,7 +299,4 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
             yield pd.DataFrame(out, columns=["name", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])])
 
     schema = "name string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    out = meet(found, "left").select("name", "text", "spans").mapInPandas(remove, schema)
-    out = materialize(out.select(F.col("name").cast(kind).alias(id_col), *out.columns[1:]))
-    spark.sql(f"DROP TABLE {name}")
-    return out
+    return materialize(meet(found, "left").select("name", "text", "spans").mapInPandas(remove, schema))
