@@ -58,7 +58,8 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, edit: Callable[[str
                     yield counted()
                     counts.clear()
                     size = 0
-        yield counted()
+        if counts:
+            yield counted()
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
