@@ -72,6 +72,16 @@ def test_near_dedup_tells_repeated_ids_apart(spark):
     assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, (rows[0], rows[2], rows[4])))
 
 
+def test_near_dedup_without_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    words = prose(rng, 120)
+    rows = [(None, words), (None, words + " tail"), (None, words), (None, prose(rng, 90)), (None, ""), (None, " "), (None, None)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF).collect()
+    assert sum((r.text or "").startswith(words) for r in got) == 1 and len(got) == 5
+
+
 def test_stages_leave_columns_of_any_name_alone(spark):
     import corpus_pipeline
 
