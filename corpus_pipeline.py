@@ -55,12 +55,17 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, that of the smallest doc_id. Rows that repeat an id with other texts are told apart.
 
-    Texts without words are linked with nothing and stay. Texts are compared whole, however long.
+    Of a group without a known id one row stays. Texts without words are linked with nothing and stay. Texts are compared whole, however long.
     """
     docs = _ready(spark, docs)
-    gone = _marked(nearset.near_duplicates(docs, with_sha=True).where(~F.col("kept")))
-    named, sha = _with_sha(docs)
-    return named.join(gone, _same_row(named, sha, gone), "left_anti").select(*docs.columns)
+    found = materialize(nearset.near_duplicates(docs, with_sha=True).select("doc_id", "text_sha256", "kept"))
+    stays = found.where("doc_id is null and kept").select(F.col("text_sha256").alias("stays"))
+    lost = found.where(~F.col("kept")).join(stays, F.col("doc_id").isNull() & (F.col("text_sha256") == F.col("stays")), "left_anti")
+    gone, (named, sha) = _marked(lost), _with_sha(docs)
+    left = named.join(gone, _same_row(named, sha, gone), "left_anti")
+    # rows without an id that repeat a text with words can't be told apart
+    alike = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return left.where(~alike).unionByName(left.where(alike).dropDuplicates([sha])).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
