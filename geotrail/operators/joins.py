@@ -1,7 +1,8 @@
 """Joins of records, in time and in space.
 
-Four rewrites keep them off nested loops: intervals and nearest-in-time through time buckets, pairs in space and time
-through time buckets and grid cells beside one another, containment through grid tiles (in functions.geo).
+Rewrites keep them off nested loops: intervals go through time buckets, nearest-in-time through ranges of both sides,
+what lies along a route through buckets of time and place together, pairs in space and time through time buckets and grid
+cells beside one another, containment through tiles (in functions.geo).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.geo import haversine, with_cell, with_cells_around
+from ..sources.io import written
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 
@@ -69,33 +71,38 @@ def cascade(rows: DataFrame, key: str, sources: list[tuple[str, DataFrame]], def
     return chosen.withColumns(filled | {"method": F.coalesce("method", F.lit("default"))})
 
 
-def nearest_asof(rows: DataFrame, anchors: DataFrame, time: str, tolerance: int, keep: list[str], prefix: str = "anchor_", bucket: int | None = None) -> DataFrame:
-    """Rows with the nearest anchor in time within tolerance, before or after; the earlier one wins a tie.
+def nearest_asof(rows: DataFrame, anchors: DataFrame, time: str, tolerance: int, keep: list[str], prefix: str = "anchor_") -> DataFrame:
+    """Rows with the nearest anchor in time within tolerance, before or after; the earlier one wins a tie. A null time has none.
 
-    Times are microseconds. Both sides are cut into narrow buckets; beside the anchors of its own bucket a row needs only
-    the last one before and the first one behind it, which are carried from bucket to bucket. Of the anchors of an instant the one
-    with the least kept values counts.
+    Times are microseconds. Both sides are cut into ranges by time together, rows of one instant by their hash, so ranges are
+    about equal however the times are spread. Beside the anchors of its own range a row needs only the last one before and
+    the first one behind it; one line a range gives those. Of the anchors of an instant the one with the least kept
+    values counts.
     """
-    size = bucket or max(1, tolerance // 72)
-    a = anchors.groupBy(F.col(time).alias("_at")).agg(F.min(F.struct(*keep)).alias("_keep")).withColumn("_b", F.floor(F.col("_at") / size))
-    left = rows.withColumn("_row", F.struct(*rows.columns)).select(F.col(time).alias("_at"), F.floor(F.col(time) / size).alias("_b"), "_row", F.lit(None).alias("_keep"))
+    a = anchors.groupBy(F.col(time).alias("_at")).agg(F.min(F.struct(*keep)).alias("_keep")).where(F.col("_at").isNotNull())
+    left = rows.withColumn("_row", F.struct(*rows.columns)).select(F.col(time).alias("_at"), "_row", F.lit(None).cast(a.schema["_keep"].dataType).alias("_keep"))
+    both = left.unionByName(a.select("_at", F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), "_keep"))
+    ranged = written(both.withColumn("_tie", F.xxhash64("_row")).repartitionByRange("_at", "_tie").withColumn("_range", F.spark_partition_id()))
     point = F.struct("_at", "_keep")
-    edges = a.groupBy("_b").agg(F.min_by(point, "_at").alias("_first"), F.max_by(point, "_at").alias("_last"))
-    order = W.orderBy("_b")  # one row a bucket, so as many as the time range has buckets
-    carried = left.select("_b").distinct().join(edges, "_b", "full").select(
-        "_b", F.last("_last", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_behind")
-    )
-    both = left.unionByName(a.select("_at", "_b", F.lit(None).alias("_row"), "_keep"))
+    edges = ranged.groupBy("_range").agg(*[f(point, F.when(F.col("_keep").isNotNull(), F.col("_at"))).alias(c) for f, c in ((F.min_by, "_first"), (F.max_by, "_last"))])
+    carried, before, behind = [], None, None
+    found = sorted(edges.collect(), key=lambda r: r["_range"])  # as many as there are tasks
+    for r in found:
+        carried.append([r["_range"], before, None])
+        before = r["_last"] if r["_last"] is not None else before
+    for r, line in zip(reversed(found), reversed(carried), strict=True):
+        line[2] = behind
+        behind = r["_first"] if r["_first"] is not None else behind
+    kind = edges.schema["_first"].dataType.simpleString()
+    lines = rows.sparkSession.createDataFrame(carried, f"_range int, _before {kind}, _behind {kind}")
     hit = F.when(F.col("_keep").isNotNull(), point)
-    w = W.partitionBy("_b").orderBy("_at")
-    before = F.last(hit, True).over(w.rangeBetween(W.unboundedPreceding, 0))
-    after = F.first(hit, True).over(w.rangeBetween(0, W.unboundedFollowing))
-    found = both.select("_at", "_b", "_row", before.alias("x"), after.alias("y")).where(F.col("_row").isNotNull()).join(carried, "_b", "left")
-    found = found.select("_at", "_row", F.coalesce("x", "_before").alias("x"), F.coalesce("y", "_behind").alias("y"))
+    w = W.partitionBy("_range").orderBy("_at")
+    met = ranged.select("_at", "_range", "_row", F.last(hit, True).over(w.rangeBetween(W.unboundedPreceding, 0)).alias("x"), F.first(hit, True).over(w.rangeBetween(0, W.unboundedFollowing)).alias("y"))
+    met = met.where(F.col("_row").isNotNull()).join(lines, "_range").select("_at", "_row", F.coalesce("x", "_before").alias("x"), F.coalesce("y", "_behind").alias("y"))
     gap = lambda c: F.abs(F.col("_at") - F.col(f"{c}._at"))
     best = F.when(F.col("x").isNull(), F.col("y")).when(F.col("y").isNull(), F.col("x")).when(gap("x") <= gap("y"), F.col("x")).otherwise(F.col("y"))
     near = F.abs(F.col("_at") - F.col("n._at"))
-    out = found.select("_at", "_row", best.alias("n"))
+    out = met.select("_at", "_row", best.alias("n"))
     ok = near <= tolerance
     return out.select("_row.*", *[F.when(ok, F.col(f"n._keep.{c}")).alias(prefix + c) for c in keep], F.when(ok, F.round(near / HOUR, 1)).alias(prefix + "hours"))
 
@@ -108,22 +115,36 @@ def interval_join(spans: DataFrame, events: DataFrame, time: str, pad: int = DAY
     return s.join(e, "_b").where(F.col(time).between(low, high)).drop("_b")
 
 
+def along_route(trips: DataFrame, route: DataFrame, events: DataFrame, key: str, km: float, pad: int = DAY, bucket: int = DAY) -> DataFrame:
+    """(trip_id, key, km): events (key, t, lon, lat) in a trip's padded window (start, end) within km of one of its route points, with the least distance.
+
+    A route is the set of grid cells around its points, each for every bucket of time of its window; an event looks in one
+    cell of one bucket, and is measured against the points around that cell. So an event meets no trip that is further
+    away than its reach and a cell, or a bucket of time.
+    """
+    points = route.select("trip_id", F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).distinct()
+    around = written(with_cells_around(points.withColumns({"lon": F.col("_lon"), "lat": F.col("_lat")}), km).select("trip_id", "_y", "_x", "_lon", "_lat"))
+    low, high = F.col("start") - pad, F.col("end") + pad
+    windows = trips.select("trip_id", low.alias("_low"), high.alias("_high"))
+    cover = around.select("trip_id", "_y", "_x").distinct().join(windows, "trip_id").withColumn("_b", F.explode(F.sequence(F.floor(F.col("_low") / bucket), F.floor(F.col("_high") / bucket))))
+    placed = with_cell(events.select(key, "t", "lon", "lat"), km).withColumn("_b", F.floor(F.col("t") / bucket))
+    c, e = cover.alias("c"), placed.alias("e")
+    on = (F.col("c._b") == F.col("e._b")) & (F.col("c._y") == F.col("e._y")) & (F.col("c._x") == F.col("e._x")) & F.col("e.t").between(F.col("c._low"), F.col("c._high"))
+    met = c.join(e, on).select("c.trip_id", "c._y", "c._x", f"e.{key}", "e.lon", "e.lat")
+    near = met.join(around, ["trip_id", "_y", "_x"]).groupBy("trip_id", key).agg(F.min(haversine(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))).alias("km"))
+    return near.where(F.col("km") <= km)
+
+
 def attach_secondary(trips: DataFrame, route: DataFrame, visits: DataFrame, pad: int = DAY, km: dict[str, float] | None = None) -> DataFrame:
-    """(trip_id, visit_id, km, role): visits in a trip's window whose distance to the route is within their eligibility's reach."""
+    """(trip_id, visit_id, km, role): visits in a trip's window whose distance to the route is within their eligibility's reach. Each eligibility has its own grid."""
     km = km or {"candidate": 100.0, "region_only": 150.0}
-    near = interval_join(trips.select("trip_id", "start", "end"), visits.where(F.col("eligibility").isin(list(km))), "t", pad)
-    points = route.select("trip_id", F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).distinct()
-    best = near.join(points, "trip_id").groupBy("trip_id", "visit_id", "eligibility").agg(F.min(haversine(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))).alias("km"))
-    reach = F.element_at(F.create_map(*[F.lit(x) for kv in km.items() for x in kv]), F.col("eligibility"))
-    return best.where(F.col("km") <= reach).select("trip_id", "visit_id", "km", F.col("eligibility").alias("role"))
+    parts = [along_route(trips, route, visits.where(F.col("eligibility") == role), "visit_id", reach, pad).withColumn("role", F.lit(role)) for role, reach in km.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def attach_context(trips: DataFrame, route: DataFrame, posts: DataFrame, pad: int = DAY, km: float = 150.0) -> DataFrame:
     """(trip_id, post_id, km): context posts (post_id, t, lon, lat) in a trip's window with their point near the route."""
-    near = interval_join(trips.select("trip_id", "start", "end"), posts.select("post_id", "t", "lon", "lat"), "t", pad)
-    points = route.select("trip_id", F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).distinct()
-    best = near.join(points, "trip_id").groupBy("trip_id", "post_id").agg(F.min(haversine(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))).alias("km"))
-    return best.where(F.col("km") <= km)
+    return along_route(trips, route, posts, "post_id", km, pad)
 
 
 def revisits(members: DataFrame, visits: DataFrame) -> DataFrame:

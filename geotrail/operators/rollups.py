@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.io import written
+
 
 def candidate_rollup(items: DataFrame, text: str = "content") -> DataFrame:
     """Per (post_id, name): sources, confidence range, media indexes, occurrences, whether the text holds it, and a stable index.
@@ -78,10 +80,66 @@ def mean_confidence(members: DataFrame, group: str, column: str = "confidence")
     return members.groupBy(group).agg(F.round(F.avg(column), 4).alias("mean_confidence"))
 
 
-def quantiles(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """Median and 90th percentile with linear interpolation, and the maximum."""
-    p = lambda q: F.percentile(column, F.lit(q))
-    return df.groupBy(*(by or [])).agg(p(0.5).alias("median"), p(0.9).alias("p90"), F.max(column).alias("max"))
+def _at_ranks(counts: DataFrame, at: list[str], order: str, wanted: DataFrame) -> DataFrame:
+    """counts (at, order, _n) joined with the wanted (at, _base, rank) that fall on them; _base rows come before, and becomes what comes before the hit."""
+    w = W.partitionBy(*at).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    local = F.col("rank") - F.col("_base")
+    met = before.join(wanted, at).where((local >= F.col("_before")) & (local < F.col("_before") + F.col("_n")))
+    return met.withColumn("_base", F.col("_base") + F.col("_before")).drop("_before", "_n")
+
+
+def ranked_values(rows: DataFrame, wanted: DataFrame, few: int = 100_000, ranges: int = 64) -> DataFrame:
+    """(_g, rank, value): the values v of rows (_g, v) at the wanted (_g, rank), 0-based, in ascending order within each _g.
+
+    The values of a group are cut into ranges at sketched quantiles and counted, and the ranges that hold a wanted rank are
+    cut again, until a range has few rows or a single value; then its distinct values are counted. So no buffer grows with the
+    values. Whatever the cuts, counts are exact.
+    """
+    at, done, start = ["_g", "_r"], [], F.lit(0).cast("long")
+    rows, wanted = rows.select("_g", start.alias("_r"), "v"), written(wanted.select("_g", start.alias("_r"), start.alias("_base"), "rank"))
+    while True:
+        shares = F.array(*[F.lit((k + 1) / ranges) for k in range(ranges - 1)])
+        sizes = written(rows.groupBy(*at).agg(F.count("*").alias("_n"), (F.min("v") < F.max("v")).alias("_many"), F.percentile_approx("v", shares, 100 * ranges).alias("_cuts")))
+        large = (F.col("_n") > few) & F.col("_many")
+        small = rows.join(sizes.where(~large).select(*at), at).groupBy(*at, "v").agg(F.count("*").alias("_n"))
+        done.append(written(_at_ranks(small, at, "v", wanted).select("_g", "rank", F.col("v").alias("value"))))
+        if not sizes.where(large).limit(1).collect():
+            return reduce(DataFrame.unionByName, done)
+        # a range lies between two cuts; the values that equal a cut are one of their own
+        cuts = F.array_distinct("_cuts")
+        place = F.size(F.filter(cuts, lambda c: c < F.col("v"))) * 2 + F.size(F.filter(cuts, lambda c: c == F.col("v")))
+        placed = rows.join(sizes.where(large).select(*at, "_cuts"), at).select(*at, place.alias("_k"), "v")
+        counts = placed.groupBy(*at, "_k").agg(F.count("*").alias("_n"))  # at most 2 * ranges for a range
+        hits = written(_at_ranks(counts, at, "_k", wanted))
+        number = F.xxhash64("_r", "_k").alias("_r")
+        rows = written(placed.join(hits.select(*at, "_k").distinct(), [*at, "_k"]).select("_g", number, "v"))
+        wanted = written(hits.select("_g", number, "_base", "rank"))
+
+
+def quantiles(df: DataFrame, column: str, by: list[str] | None = None, few: int = 100_000, ranges: int = 64) -> DataFrame:
+    """Median and 90th percentile with linear interpolation, and the maximum; nulls don't count, a group of nulls has nulls.
+
+    The values at the ranks come from ranked_values(), so memory is bounded by the number of ranges, not of values.
+    """
+    by = by or []
+    group = F.to_json(F.struct(*by, F.lit(0).alias("_")))  # nulls of any column included
+    base = written(df.select(*by, F.col(column).cast("double").alias("v")).withColumn("_g", group))
+    totals = written(base.groupBy("_g", *by).agg(F.count("v").alias("_n"), F.max("v").alias("max")))
+    place = lambda q: F.lit(q) * (F.col("_n") - 1)
+    ranks = F.array(*[f(place(q)).cast("long") for q in (0.5, 0.9) for f in (F.floor, F.ceil)])
+    wanted = totals.where("_n > 0").select("_g", F.explode(F.array_distinct(ranks)).alias("rank"))
+    found = ranked_values(base.where(F.col("v").isNotNull()).select("_g", "v"), wanted, few, ranges)
+    values = found.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_v"))
+    out = totals.join(values, "_g", "left")
+
+    def between(q: float) -> Column:
+        low, high = (F.try_element_at(F.col("_v"), f(place(q)).cast("long")) for f in (F.floor, F.ceil))
+        share = place(q) - F.floor(place(q))
+        # as the weighted sum of both neighbours
+        return F.when(F.col("_n") > 0, F.when(low == high, low).otherwise((1 - share) * low + share * high))
+
+    return out.select(*by, between(0.5).alias("median"), between(0.9).alias("p90"), "max")
 
 
 def summary(df: DataFrame, totals: dict[str, Column], conditions: dict[str, Column]) -> DataFrame:

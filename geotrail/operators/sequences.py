@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.geo import haversine
 from ..functions.text import stable_id
+from ..sources.io import written
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 
@@ -31,33 +32,52 @@ def gap_merge(visits: DataFrame, hours: float = 12, key: str = "location_key", s
     )
 
 
-def boundary_split(visits: DataFrame, cluster: str, home: int | None = None, home_col: str = "province", km: float = 300.0, gap_days: float = 5, span_days: float = 14) -> DataFrame:
-    """Adds segment (0, 1, ...) to each cluster's visits in time order.
+def boundary_split(visits: DataFrame, cluster: str, home: Column | None = None, km: float = 300.0, gap_days: float = 5, span_days: float = 14) -> DataFrame:
+    """Adds segment (0, 1, ...) to each cluster's visits in time order; home tells of a visit whether it is at home.
 
-    A segment ends where home changes to away over more than km, after a gap of more than gap_days, or where more than
-    span_days have passed since the segment's first visit. The last rule looks at the running segment, so this is a fold
-    over each cluster's list; clusters are a person's stays and stay small.
+    A segment ends where home changes to away or back over more than km, after a gap of more than gap_days, or where more
+    than span_days have passed since the segment's first visit. The first two rules look at neighbours and cut a cluster
+    into runs. Within a run longer than span_days every visit points to the first one that would be too late after it;
+    the segments begin at the visits that these pointers reach from the run's first, followed in doubled steps.
     """
-    cols = ["t", "visit_id", "lon", "lat"]
-    at_home = (F.col(home_col) == F.lit(home)) if home is not None else F.lit(False)
-    lists = visits.withColumn("_home", at_home).groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct(*cols, "_home"))).alias("_v"))
-    item = T.StructType([T.StructField("visit_id", T.LongType()), T.StructField("segment", T.IntegerType())])
-    kinds = dict(visits.dtypes)
-    start = F.struct(
-        F.array().cast(T.ArrayType(item)).alias("out"), F.lit(0).alias("segment"), F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("last"),
-        F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("boolean").alias("home"),
-    )
-
-    def step(acc: Column, v: Column) -> Column:
-        far = haversine(acc["lon"], acc["lat"], v["lon"], v["lat"]) > km
-        split = acc["last"].isNotNull() & (((acc["home"] != v["_home"]) & far) | (v["t"] - acc["last"] > gap_days * DAY) | (v["t"] - acc["first"] > span_days * DAY))
-        segment = acc["segment"] + split.cast("int")
-        first = F.when(split | acc["first"].isNull(), v["t"]).otherwise(acc["first"])
-        out = F.concat(acc["out"], F.array(F.struct(v["visit_id"].alias("visit_id"), segment.alias("segment"))))
-        return F.struct(out.alias("out"), segment.alias("segment"), first.alias("first"), v["t"].alias("last"), v["lon"].cast("double").alias("lon"), v["lat"].cast("double").alias("lat"), v["_home"].alias("home"))
-
-    folded = lists.select(cluster, F.explode(F.aggregate("_v", start, step, lambda acc: acc["out"])).alias("_s")).select(cluster, "_s.*")
-    return visits.join(folded.withColumn("visit_id", F.col("visit_id").cast(kinds["visit_id"])), [cluster, "visit_id"])
+    w = W.partitionBy(cluster).orderBy("t", "visit_id")
+    at_home = F.coalesce(home, F.lit(False)) if home is not None else F.lit(False)
+    base = visits.withColumn("_home", at_home)
+    far = haversine(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat")) > km
+    cut = ((F.lag("_home").over(w) != F.col("_home")) & far) | (F.col("t") - F.lag("t").over(w) > gap_days * DAY)
+    runs = base.withColumn("_n", F.row_number().over(w)).withColumn("_cut", F.coalesce(cut, F.lit(False)).cast("int"))
+    runs = written(runs.withColumn("_run", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_home", "_cut"))
+    starts = _late_starts(runs, [cluster, "_run"], int(span_days * DAY)).select(cluster, "_n", F.lit(1).alias("_late"))
+    out = runs.join(starts, [cluster, "_n"], "left")
+    number = F.col("_run") + F.coalesce(F.sum("_late").over(W.partitionBy(cluster).orderBy("_n").rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
+    return out.withColumn("segment", number.cast("int")).select(*visits.columns, "segment")
+
+
+def _late_starts(rows: DataFrame, run: list[str], span: int) -> DataFrame:
+    """(run, _n) of rows (run, _n, t) at which a new segment begins as more than span has passed since the last one's first; a run's first is none."""
+    ends = rows.groupBy(*run).agg(F.min("_n").alias("_first"), (F.max("t") - F.min("t") > span).alias("_long")).where("_long")
+    inside = rows.select(*run, "_n", "t").join(ends.select(*run), run)
+    # every visit also as a mark of when its segment would be full, behind the visits of that time
+    marked = inside.withColumn("_mark", F.explode(F.array(F.lit(False), F.lit(True))))
+    w = W.partitionBy(*run).orderBy(F.when(F.col("_mark"), F.col("t") + span).otherwise(F.col("t")), "_mark").rowsBetween(W.unboundedPreceding, 0)
+    last = marked.select(*run, "_n", "_mark", F.max(F.when(~F.col("_mark"), F.col("_n"))).over(w).alias("_to")).where("_mark")
+    jump = written(last.select(*run, "_n", (F.col("_to") + 1).alias("_to")).join(inside.select(*run, F.col("_n").alias("_to")), [*run, "_to"], "left_semi"))
+    reached = written(ends.select(*run, F.col("_first").alias("_n")))
+    while True:
+        new = reached.join(jump, [*run, "_n"]).select(*run, F.col("_to").alias("_n"))
+        if not new.limit(1).collect():
+            return reached.join(ends.select(*run, F.col("_first").alias("_n")), [*run, "_n"], "left_anti")
+        reached = written(reached.unionByName(new).distinct())
+        after = jump.select(*run, F.col("_n").alias("_to"), F.col("_to").alias("_next"))
+        jump = written(jump.join(after, [*run, "_to"]).select(*run, "_n", F.col("_next").alias("_to")))
+
+
+def at_home(lon: Column, lat: Column, names: list[Column], home: str, centre: tuple[float, float], km: float = 120.0) -> Column:
+    """Whether a visit is at home: one of its names (province, city) holds the home's, or it lies within km of the centre."""
+    named = F.lit(False)
+    for name in names:
+        named = named | F.coalesce(F.contains(name, F.lit(home)), F.lit(False))
+    return named | F.coalesce(haversine(lon, lat, F.lit(centre[0]), F.lit(centre[1])) <= km, F.lit(False))
 
 
 def drop_singletons(rows: DataFrame, segment: list[str], least: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -66,12 +86,17 @@ def drop_singletons(rows: DataFrame, segment: list[str], least: int = 2) -> tupl
     return sized.where(F.col("_n") >= least).drop("_n"), sized.where(F.col("_n") < least).drop("_n")
 
 
-def trip_kind(rows: DataFrame, segment: list[str], home: int, km: float = 300.0) -> DataFrame:
-    """(segment, kind): travel_route with a long leg; local_sequence all at home; destination_stay in one city and province; else travel_route."""
+def trip_kind(rows: DataFrame, segment: list[str], home: Column, km: float = 300.0, names: tuple[str, ...] = ("city", "district", "province")) -> DataFrame:
+    """(segment, kind): travel_route with a long leg; local_sequence all at home; destination_stay in one city and one province at most; else travel_route.
+
+    The city is the first of names that the rows have and that is not empty; a visit without any counts as in no city.
+    """
     w = W.partitionBy(*segment).orderBy("t", "visit_id")
     leg = haversine(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat"))
+    filled = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    city = F.coalesce(*[filled(c) for c in names if c in rows.columns])
     out = rows.withColumn("_km", leg).groupBy(*segment).agg(
-        F.coalesce(F.bool_or(F.col("_km") > km), F.lit(False)).alias("_long"), F.bool_and(F.col("province") == home).alias("_home"), F.count_distinct("city").alias("_c"), F.count_distinct("province").alias("_p")
+        F.coalesce(F.bool_or(F.col("_km") > km), F.lit(False)).alias("_long"), F.bool_and(F.coalesce(home, F.lit(False))).alias("_home"), F.count_distinct(city).alias("_c"), F.count_distinct(filled("province")).alias("_p")
     )
     kind = F.when(F.col("_long"), "travel_route").when(F.col("_home"), "local_sequence").when((F.col("_c") <= 1) & (F.col("_p") <= 1), "destination_stay").otherwise("travel_route")
     return out.select(*segment, kind.alias("kind"))
@@ -82,7 +107,7 @@ def route_sequence(rows: DataFrame, segment: list[str]) -> DataFrame:
     return rows.withColumn("sequence", F.row_number().over(W.partitionBy(*segment).orderBy("t", "visit_id")) - 1)
 
 
-def build_trips(rows: DataFrame, segment: list[str], home: int, themes: str | None = None, top: int = 8) -> DataFrame:
+def build_trips(rows: DataFrame, segment: list[str], home: Column, themes: str | None = None, top: int = 8) -> DataFrame:
     """Trips from segmented visits: id, bounds, ordered members and route, regions, kind, mean confidence, top themes."""
     kept, _ = drop_singletons(rows, segment)
     routed = route_sequence(kept, segment)
@@ -123,13 +148,19 @@ def unique_titles(df: DataFrame, title: str, key: str, time: str) -> DataFrame:
 def resolve_overlaps(spans: DataFrame, key: str = "post_id") -> DataFrame:
     """(key, start, end, type, term, priority, confidence, sources, kept): which spans stay, greedily by length, priority, confidence, start.
 
-    Spans of equal bounds, type and term are one, with all their sources and the best confidence. A fold over each
-    record's list of spans; end is exclusive, so touching spans do not overlap. Ties go by type and term.
+    Spans of equal bounds, type and term are one, with all their sources and the best confidence; end is exclusive, so
+    touching spans do not overlap, and an empty span overlaps those around it. Ties go by type and term. A record's spans, by their starts, fall into
+    islands, each beginning where all spans before have ended: spans of different islands cannot clash. So the greedy choice
+    is a fold over each island; a span that is its own island stays.
     """
     name = ["start", "end", "type", "term"]
     merged = spans.groupBy(key, *name).agg(F.min("priority").alias("priority"), F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+    w = W.partitionBy(key).orderBy("start", "end", "type", "term")
+    reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
+    begins = merged.withColumn("_new", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int"))
+    islands = begins.withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     best = F.struct((F.col("start") - F.col("end")).alias("o1"), F.col("priority").alias("o2"), (-F.col("confidence")).alias("o3"), *name, "priority", "confidence", "sources")
-    lists = merged.groupBy(key).agg(F.array_sort(F.collect_list(best)).alias("_s"))
+    lists = islands.groupBy(key, "_island").agg(F.array_sort(F.collect_list(best)).alias("_s"))
     taken = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("n", T.IntegerType())]))
 
     def step(acc: Column, x: Column) -> Column:
@@ -139,7 +170,8 @@ def resolve_overlaps(spans: DataFrame, key: str = "post_id") -> DataFrame:
         return F.when(clash, acc).otherwise(F.concat(acc, one))
 
     counted = F.transform("_s", lambda s, n: F.struct(s.alias("s"), n.alias("n")))
-    chosen = lists.select(key, "_s", F.transform(F.aggregate(counted, F.array().cast(taken), step), lambda k: k["n"]).alias("_kept"))
+    folded = F.transform(F.aggregate(counted, F.array().cast(taken), step), lambda k: k["n"])
+    chosen = lists.select(key, "_s", F.when(F.size("_s") == 1, F.array(F.lit(0))).otherwise(folded).alias("_kept"))
     return chosen.select(key, "_kept", F.posexplode("_s").alias("_n", "_x")).select(key, *[f"_x.{c}" for c in (*name, "priority", "confidence", "sources")], F.array_contains("_kept", F.col("_n")).alias("kept"))
 
 

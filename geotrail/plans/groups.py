@@ -146,62 +146,73 @@ def i01_gap_merge(t: Inputs):
     return out.withColumn("visit_ids", F.concat_ws(",", C("visit_ids").cast("array<string>")))
 
 
-#: The fold as a recursion over each place's anchors: the running segment and the time of its first visit.
+#: Anchors with the person whose trips they are (half of the places are a person of their own), and names of their regions, some empty.
+PERSONS = """SELECT visit_id, t, lon, lat, confidence + visit_id / 1e9 AS confidence, kind, CASE WHEN place_id % 2 = 0 THEN place_id ELSE place_id % 41 END AS person,
+    concat('province_', province % 4) AS province, CASE WHEN visit_id % 50 = 0 THEN '' ELSE concat('city_', city % 3) END AS city,
+    CASE WHEN visit_id % 100 = 0 THEN NULL ELSE concat('district_', city % 2) END AS district
+    FROM {fx_visits} WHERE eligibility = 'anchor'"""
+HOME, CENTRE = "province_3", (106.0, 24.0)
+#: The fold as a recursion over each person's anchors: the running segment and the time of its first visit.
+LATE = f"((v.at_home <> r.at_home AND {km('r.lon', 'r.lat', 'v.lon', 'v.lat')} > 300) OR v.t - r.t > 5 * 86400000000 OR v.t - r.first > 14 * 86400000000)"
 SEGMENTS = f"""
-    v AS MATERIALIZED (SELECT *, province = 3 AS at_home, row_number() OVER (PARTITION BY place_id ORDER BY t, visit_id) AS n FROM fx_visits WHERE eligibility = 'anchor'),
-    r AS (SELECT place_id, n, visit_id, t, lon, lat, at_home, 0 AS segment, t AS first FROM v WHERE n = 1
-          UNION ALL SELECT v.place_id, v.n, v.visit_id, v.t, v.lon, v.lat, v.at_home,
-                 r.segment + CASE WHEN (v.at_home <> r.at_home AND {km('r.lon', 'r.lat', 'v.lon', 'v.lat')} > 300) OR v.t - r.t > 5 * 86400000000 OR v.t - r.first > 14 * 86400000000 THEN 1 ELSE 0 END,
-                 CASE WHEN (v.at_home <> r.at_home AND {km('r.lon', 'r.lat', 'v.lon', 'v.lat')} > 300) OR v.t - r.t > 5 * 86400000000 OR v.t - r.first > 14 * 86400000000 THEN v.t ELSE r.first END
-          FROM r JOIN v ON v.place_id = r.place_id AND v.n = r.n + 1)"""
+    v AS MATERIALIZED (SELECT *, province LIKE '%{HOME}%' OR city LIKE '%{HOME}%' OR {km('lon', 'lat', *map(str, CENTRE))} <= 120 AS at_home, row_number() OVER (PARTITION BY person ORDER BY t, visit_id) AS n FROM ({PERSONS.format(fx_visits='fx_visits')})),
+    r AS (SELECT *, 0 AS segment, t AS first FROM v WHERE n = 1
+          UNION ALL SELECT v.*, r.segment + CASE WHEN {LATE} THEN 1 ELSE 0 END, CASE WHEN {LATE} THEN v.t ELSE r.first END
+          FROM r JOIN v ON v.person = r.person AND v.n = r.n + 1)"""
 
 
-@query(f"WITH RECURSIVE {SEGMENTS} SELECT place_id, visit_id, segment FROM r")
-def i02_boundary_split(t: Inputs):
-    return segmented(t).select("place_id", "visit_id", "segment")
+def persons(t: Inputs):
+    return t.spark.sql(PERSONS, fx_visits=t.fx_visits)
+
+
+def home():
+    return sequences.at_home(C("lon"), C("lat"), [C("province"), C("city")], HOME, CENTRE)
 
 
 def segmented(t: Inputs):
-    # the confidence is moved off ties of rounding, which the order of a sum would decide
-    anchors = t.fx_visits.where("eligibility = 'anchor'").withColumn("confidence", C("confidence") + C("visit_id") / 1e9)
-    return sequences.boundary_split(anchors, "place_id", home=3)
+    return sequences.boundary_split(persons(t), "person", home())
+
+
+@query(f"WITH RECURSIVE {SEGMENTS} SELECT person, visit_id, segment FROM r")
+def i02_boundary_split(t: Inputs):
+    return segmented(t).select("person", "visit_id", "segment")
 
 
-SEG = ["place_id", "segment"]
+SEG = ["person", "segment"]
 
 
-@query(f"WITH RECURSIVE {SEGMENTS} SELECT place_id, visit_id, segment FROM (SELECT *, count(*) OVER (PARTITION BY place_id, segment) AS c FROM r) WHERE c < 2")
+@query(f"WITH RECURSIVE {SEGMENTS} SELECT person, visit_id, segment FROM (SELECT *, count(*) OVER (PARTITION BY person, segment) AS c FROM r) WHERE c < 2")
 def i03_drop_singletons(t: Inputs):
-    return sequences.drop_singletons(segmented(t), SEG)[1].select("place_id", "visit_id", "segment")
+    return sequences.drop_singletons(segmented(t), SEG)[1].select("person", "visit_id", "segment")
 
 
-KIND = f"""(SELECT place_id, segment, CASE WHEN bool_or(km > 300) THEN 'travel_route' WHEN bool_and(place_id % 25 = 3) THEN 'local_sequence' ELSE 'destination_stay' END AS kind
-    FROM (SELECT *, coalesce({km('lag(lon) OVER w', 'lag(lat) OVER w', 'lon', 'lat')}, 0) AS km FROM r WINDOW w AS (PARTITION BY place_id, segment ORDER BY t, visit_id)) GROUP BY 1, 2)"""
+KIND = f"""(SELECT person, segment, CASE WHEN bool_or(km > 300) THEN 'travel_route' WHEN bool_and(at_home) THEN 'local_sequence' WHEN count(DISTINCT place) <= 1 AND count(DISTINCT province) <= 1 THEN 'destination_stay' ELSE 'travel_route' END AS kind
+    FROM (SELECT *, coalesce(nullif(city, ''), nullif(district, ''), nullif(province, '')) AS place, coalesce({km('lag(lon) OVER w', 'lag(lat) OVER w', 'lon', 'lat')}, 0) AS km FROM r WINDOW w AS (PARTITION BY person, segment ORDER BY t, visit_id)) GROUP BY 1, 2)"""
 
 
-@query(f"WITH RECURSIVE {SEGMENTS} SELECT place_id, segment, kind FROM {KIND}")
+@query(f"WITH RECURSIVE {SEGMENTS} SELECT person, segment, kind FROM {KIND}")
 def i04_trip_kind(t: Inputs):
-    return sequences.trip_kind(segmented(t), SEG, 3)
+    return sequences.trip_kind(segmented(t), SEG, home())
 
 
-@query(f"WITH RECURSIVE {SEGMENTS} SELECT place_id, segment, string_agg(concat(sequence, ':', visit_id), ',' ORDER BY sequence) AS route FROM (SELECT *, row_number() OVER (PARTITION BY place_id, segment ORDER BY t, visit_id) - 1 AS sequence FROM r) GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {SEGMENTS} SELECT person, segment, string_agg(concat(sequence, ':', visit_id), ',' ORDER BY sequence) AS route FROM (SELECT *, row_number() OVER (PARTITION BY person, segment ORDER BY t, visit_id) - 1 AS sequence FROM r) GROUP BY 1, 2")
 def i05_route_sequence(t: Inputs):
     lists = sequences.route_sequence(segmented(t), SEG).groupBy(*SEG).agg(F.array_sort(F.collect_list(F.struct("sequence", "visit_id"))).alias("l"))
     return lists.select(*SEG, F.concat_ws(",", F.transform("l", lambda x: F.concat_ws(":", x["sequence"], x["visit_id"]))).alias("route"))
 
 
 def built(t: Inputs):
-    return sequences.build_trips(segmented(t), SEG, 3, "kind")
+    return sequences.build_trips(segmented(t), SEG, home(), "kind")
 
 
-BUILT = f"""(SELECT place_id, segment, min(t) AS start, max(t) AS "end", concat('trip_', substr(sha256(string_agg(CAST(visit_id AS STRING), chr(0) ORDER BY t, visit_id)), 1, 20)) AS trip_id, count(*) AS visits,
-            string_agg(CAST(visit_id AS STRING), ',' ORDER BY t, visit_id) AS visit_ids, round(avg(confidence + visit_id / 1e9), 4) AS mean_confidence, any_value(province) AS province, any_value(city) AS city
-    FROM (SELECT r.*, fx_visits.confidence, fx_visits.province, fx_visits.city FROM r JOIN fx_visits USING (visit_id)) GROUP BY 1, 2 HAVING count(*) > 1)"""
+BUILT = """(SELECT person, segment, min(t) AS start, max(t) AS "end", concat('trip_', substr(sha256(string_agg(CAST(visit_id AS STRING), chr(0) ORDER BY t, visit_id)), 1, 20)) AS trip_id, count(*) AS visits,
+            string_agg(CAST(visit_id AS STRING), ',' ORDER BY t, visit_id) AS visit_ids, round(avg(confidence), 4) AS mean_confidence
+    FROM r GROUP BY 1, 2 HAVING count(*) > 1)"""
 
 
-@query(f"WITH RECURSIVE {SEGMENTS} SELECT trip_id, start, \"end\", visit_ids, round(mean_confidence, 2) AS mean_confidence, kind FROM {BUILT} JOIN {KIND} USING (place_id, segment)")
+@query(f"WITH RECURSIVE {SEGMENTS} SELECT trip_id, start, \"end\", visit_ids, mean_confidence, kind FROM {BUILT} JOIN {KIND} USING (person, segment)")
 def i06_build_trips(t: Inputs):
-    return built(t).select("trip_id", "start", "end", F.concat_ws(",", C("visit_ids").cast("array<string>")).alias("visit_ids"), F.round("mean_confidence", 2).alias("mean_confidence"), "kind")
+    return built(t).select("trip_id", "start", "end", F.concat_ws(",", C("visit_ids").cast("array<string>")).alias("visit_ids"), "mean_confidence", "kind")
 
 
 @query("""

@@ -92,7 +92,7 @@ def test_segments(spark):
     away = [(10, 2, 0, 100.0, 30.0, 1), (11, 2, D, 103.2, 30.0, 9), (12, 2, 2 * D, 103.3, 30.0, 9)]  # home to away over 300 km
     near = [(20, 3, 0, 100.0, 30.0, 1), (21, 3, D, 103.0, 30.0, 9)]  # less than 300 km
     df = spark.createDataFrame(stay + away + near, "visit_id bigint, place_id bigint, t bigint, lon double, lat double, province bigint")
-    got = {r.visit_id: r.segment for r in sequences.boundary_split(df, "place_id", home=1).collect()}
+    got = {r.visit_id: r.segment for r in sequences.boundary_split(df, "place_id", home=C("province") == 1).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 1, 10: 0, 11: 1, 12: 1, 20: 0, 21: 0}
 
 
