@@ -160,11 +160,18 @@ def min_distance(rows: DataFrame, anchors: DataFrame, on: list[str], key: str, k
 
 
 def distance_bands(candidates: DataFrame, key: str, similarity: float = 0.8) -> DataFrame:
-    """(key, best_m, status) from candidates (name_similarity, distance_m): the best distance whose name is supported."""
-    best = F.min(F.when(F.col("name_similarity") >= similarity, F.col("distance_m")))
-    out = candidates.groupBy(key).agg(best.alias("best_m"), F.count("distance_m").alias("_known"))
-    status = F.when(F.col("_known") == 0, "unavailable").when(F.col("best_m").isNull(), "none").when(F.col("best_m") < 500, "near").when(F.col("best_m") < 2000, "close").otherwise("conflict")
-    return out.withColumn("status", status).drop("_known")
+    """(key, best_m, status) from candidates (has_source, name_similarity, distance_m): the best distance whose name is supported, if the source has a coordinate."""
+    known, supported = F.bool_or("has_source"), F.when((F.col("name_similarity") >= similarity) & ~F.isnan("distance_m"), F.col("distance_m"))
+    out = candidates.groupBy(key).agg(F.min(supported).alias("best_m"), F.coalesce(known, F.lit(False)).alias("_known"))
+    # fixed values: names of the bands
+    status = (
+        F.when(~F.col("_known"), "unavailable")
+        .when(F.col("best_m").isNull(), "no_name_supported_candidate")
+        .when(F.col("best_m") < 500, "aligned_under_500m")
+        .when(F.col("best_m") < 2000, "near_500m_to_2km")
+        .otherwise("conflict_over_2km")
+    )
+    return out.select(key, F.when(F.col("_known"), F.col("best_m")).alias("best_m"), status.alias("status"))
 
 
 def legs(route: DataFrame, group: str, order: list[str]) -> DataFrame:

@@ -30,9 +30,21 @@ def norm_nfkc(c: Column, punctuation: bool = False) -> Column:
     return F.regexp_replace(F.lower(unicode_form(c, "NFKC")), r"[\s\p{P}]+" if punctuation else r"\s+", "")
 
 
-def base_name(c: Column, suffixes: str = "branch|store|shop|店|分店") -> Column:
-    """A name without a bracketed branch and without a branch suffix."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"\s*[（(][^()（）]*[)）]\s*$", ""), rf"(?i)\s*({suffixes})$", ""))
+#: Words that make a bracket at the end of a name one of a branch, branch suffixes, and what a normalized name may end with.
+BRANCH_WORDS = ("总店", "分店", "旗舰店", "店", "馆", "商场", "中心", "广场")
+BRANCH_SUFFIX = r"(总店|旗舰店|直营店|第\d+分店|分店)$"
+STORE_SUFFIX, KIND_SUFFIX = "(旗舰|总|分|新|老)?店$", "(餐厅|饭店|酒家|酒楼|菜馆|食府|小馆|面馆|火锅|烧烤)$"
+
+
+def base_name(c: Column) -> Column:
+    """A name without a bracket at its end that holds a word for a branch, then without a branch suffix. Other brackets and suffixes stay."""
+    bracket = rf"[（(][^()（）]*({'|'.join(BRANCH_WORDS)})[^()（）]*[)）]\s*$"
+    return F.regexp_replace(F.regexp_replace(c, bracket, ""), BRANCH_SUFFIX, "")
+
+
+def base_of_normalized(c: Column) -> Column:
+    """A normalized name without the word for a store at its end, then without the kind of house."""
+    return F.regexp_replace(F.regexp_replace(c, STORE_SUFFIX, ""), KIND_SUFFIX, "")
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

@@ -15,33 +15,25 @@ def nullable_text(c: Column) -> Column:
 
 
 def normalize_geo(a: Column, b: Column, box: tuple[float, float, float, float] = (73, 136, 3, 54)) -> Column:
-    """struct(usable, source_order, lng, lat, in_bounds, flags) of two numbers in an unknown order.
+    """struct(usable, source_order, lng, lat, in_bounds, flags) of two numbers as a source gives them.
 
-    The order follows from ranges first and from the box (west, east, south, north) where both orders are possible.
-    Equal numbers are a placeholder.
+    The source's own order is latitude, longitude, so that holds wherever it is possible; the other order is flagged. in_bounds tells
+    whether the point lies in the box (west, east, south, north). Equal numbers are a placeholder.
     """
     west, east, south, north = box
-    inside = lambda x, y: x.between(west, east) & y.between(south, north)
-    ok = lambda x, y: (F.abs(x) <= 180) & (F.abs(y) <= 90)
-    order = (
-        F.when(a.isNull() | b.isNull() | (a == b), None)
-        .when(inside(a, b), "lng_lat")
-        .when(inside(b, a), "lat_lng")
-        .when(ok(a, b) & ~ok(b, a), "lng_lat")
-        .when(ok(b, a) & ~ok(a, b), "lat_lng")
-        .when(ok(a, b), "lng_lat")
-    )
+    latitude, longitude = (lambda x: F.abs(x) <= 90), (lambda x: F.abs(x) <= 180)
+    missing, equal = a.isNull() | b.isNull(), (a == b) & ~F.isnan(a)
+    order = F.when(missing | equal, None).when(latitude(a) & longitude(b), "lat_lng").when(longitude(a) & latitude(b), "lng_lat")
     lng, lat = F.when(order == "lng_lat", a).when(order == "lat_lng", b), F.when(order == "lng_lat", b).when(order == "lat_lng", a)
-    flags = F.array_compact(
-        F.array(
-            F.when(a.isNull() | b.isNull(), "missing_or_unrecognized_geo"),
-            F.when(a == b, "placeholder"),
-            F.when(a.isNotNull() & b.isNotNull() & (a != b) & order.isNull(), "out_of_range"),
-            F.when(order.isNotNull() & ~inside(lng, lat), "out_of_bounds"),
-            F.when(order == "lat_lng", "swapped"),
-        )
+    # fixed values: names of the flags
+    flag = (
+        F.when(missing, "missing_or_unrecognized_geo")
+        .when(equal, "equal_coordinate_placeholder")
+        .when(order.isNull(), "coordinate_out_of_global_range")
+        .when(order == "lng_lat", "unexpected_source_coordinate_order")
     )
-    return F.struct(order.isNotNull().alias("usable"), order.alias("source_order"), lng.alias("lng"), lat.alias("lat"), inside(lng, lat).alias("in_bounds"), flags.alias("flags"))
+    inside = lng.between(west, east) & lat.between(south, north)
+    return F.struct(order.isNotNull().alias("usable"), order.alias("source_order"), lng.alias("lng"), lat.alias("lat"), inside.alias("in_bounds"), F.array_compact(F.array(flag)).alias("flags"))
 
 
 def find_coordinates(raw: Column, fields: tuple[str, ...] = ("coordinates", "location", "lnglat", "center")) -> Column:

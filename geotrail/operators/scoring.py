@@ -9,14 +9,37 @@ from pyspark.sql.window import Window as W
 #: Weights of the score's components, and what the source rank adds.
 WEIGHTS = {"name": 60.0, "region": 12.0, "address": 15.0, "type": 8.0}
 RANK_BONUS, RANK_STEP = 3.0, 0.15
-#: Confidence of the methods by which a visit's point was found.
-METHOD_WEIGHT = {"reviewed": 0.95, "scored": 0.9, "own_coordinate": 0.85, "extracted": 0.7, "time_neighbor": 0.5, "region": 0.4}
-
-
-def score(name: Column, region: Column, address: Column, type_ok: Column, rank: Column) -> Column:
-    """0 to 100: weighted components in 0..1 and a bonus that falls with the source rank, two decimals."""
-    parts = WEIGHTS["name"] * name + WEIGHTS["region"] * region + WEIGHTS["address"] * address + WEIGHTS["type"] * type_ok
-    return F.round(F.least(F.lit(100.0), parts + F.greatest(F.lit(0.0), RANK_BONUS - RANK_STEP * rank)), 2)
+#: Weights of the methods by which a visit's point was found, and those that give a precise place.
+METHOD_WEIGHT = {
+    "amap_deterministic": 0.96,
+    "amap_with_llm_disambiguation": 0.92,
+    "explicit_location_amap": 0.88,
+    "amap_multiple_candidates": 0.68,
+    "source_geo": 0.78,
+    "explicit_region_geocode": 0.65,
+}
+PRECISE = ("amap_deterministic", "amap_with_llm_disambiguation", "amap_multiple_candidates", "explicit_location_amap", "source_geo")
+REGION_METHOD, SOURCE_METHOD = "explicit_region_geocode", "source_geo"
+#: Least scores of a second pass by kind and otherwise, prefixes of types that fit a kind, and the score that needs no fitting type.
+THRESHOLDS, OTHERWISE = {"restaurant": 0.78, "market": 0.75, "attraction": 0.75, "building": 0.75, "other": 0.82}, 0.8
+PREFIXES = {"restaurant": ("05", "08", "10"), "market": ("06", "12"), "attraction": ("08", "11", "14", "19"), "building": ("10", "12", "14", "15", "17", "19")}
+CERTAIN, DROPPED, FAR_KM = 0.95, 0.65, 300.0
+#: A text that names a region, and the methods whose context an address may contradict.
+REGION_WORDS = "(省|市|自治区|特别行政区|区|县|旗|北京|上海|天津|重庆|香港|澳门|台湾)"
+DEFAULT_CONTEXT, NEAR_CONTEXT = "global_default", ("temporal_neighbor", "ip_region_centroid")
+
+
+def score_parts(similarity: Column, region: Column, address: Column, type_ok: Column, source_rank: Column) -> Column:
+    """struct(name, region, address, type, rank): the components of a candidate's score; the first source rank, 1, has the whole bonus."""
+    weight = lambda c, name: F.when(c, WEIGHTS[name]).otherwise(0.0)
+    bonus = F.greatest(F.lit(0.0), RANK_BONUS - (source_rank - 1) * RANK_STEP)
+    return F.struct(F.round(similarity * WEIGHTS["name"], 2).alias("name"), weight(region, "region").alias("region"), weight(address, "address").alias("address"), weight(type_ok, "type").alias("type"), bonus.alias("rank"))
+
+
+def score(parts: Column) -> Column:
+    """0 to 100: the sum of the components, two decimals."""
+    total = parts["name"] + parts["region"] + parts["address"] + parts["type"] + parts["rank"]
+    return F.round(F.least(F.lit(100.0), total), 2)
 
 
 def rank(candidates: DataFrame, key: str) -> DataFrame:
@@ -77,20 +100,38 @@ def overlay(decisions: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
     return out.withColumn("method", F.when(F.col("review_status").isNotNull(), "reviewed").otherwise("rule")).withColumn("status", F.coalesce("review_status", "status")).drop("review_status")
 
 
-def strict_filter(similarity: Column, kind: Column, distance_km: Column, region_found: Column, kept_ratio: Column, type_ok: Column, thresholds: dict[str, float], otherwise: float = 0.9) -> Column:
-    """struct(accepted, reason) of a second pass: the first rule that speaks against a row is the reason."""
-    need = F.lit(otherwise)
-    for k, v in thresholds.items():
+def context_conflict(kind: Column, text: Column, method: Column, distance_km: Column) -> Column:
+    """Whether an address contradicts what was known of its record: a default place though the text names no region, or a place that is far from a near one."""
+    named = F.coalesce(text.rlike(REGION_WORDS), F.lit(False))
+    default = (method == DEFAULT_CONTEXT) & ~named
+    far = method.isin(*NEAR_CONTEXT) & (distance_km > FAR_KM)
+    return F.coalesce(kind == "address", F.lit(False)) & (F.coalesce(default, F.lit(False)) | F.coalesce(far, F.lit(False)))
+
+
+def strict_filter(found: Column, conflict: Column, kind: Column, similarity: Column, query: Column, name: Column, typecode: Column) -> Column:
+    """struct(accepted, reason) of a second pass: the first rule that speaks against a row is the reason.
+
+    query and name are normalized. A name that the query holds must keep most of it; a type must fit the kind, unless the
+    score is nearly certain; kinds without prefixes take any type.
+    """
+    need = F.lit(OTHERWISE)
+    for k, v in THRESHOLDS.items():
         need = F.when(kind == k, v).otherwise(need)
+    fits = F.lit(True)
+    for k, prefixes in PREFIXES.items():
+        fits = F.when(kind == k, F.substring(F.coalesce(typecode, F.lit("")), 1, 2).isin(*prefixes)).otherwise(fits)
+    similarity, query, name = F.coalesce(similarity, F.lit(0.0)), F.coalesce(query, F.lit("")), F.coalesce(name, F.lit(""))
+    dropped = F.contains(query, name) & (F.length(name) / F.greatest(F.length(query), F.lit(1)) < DROPPED)
+    # fixed values: names of the reasons
     reason = (
-        F.when(~region_found, "context_without_region")
-        .when(distance_km > 300, "context_conflict")
-        .when(kept_ratio < 0.65, "text_dropped")
-        .when(~type_ok, "type_mismatch")
-        .when(similarity < need, "similarity_too_low")
-        .otherwise("accepted")
+        F.when(~found, "no_resolved_candidate")
+        .when(conflict, "address_conflicts_with_existing_context")
+        .when(similarity < need, "stricter_name_threshold")
+        .when(dropped, "candidate_drops_distinctive_query_text")
+        .when(~fits & (similarity < CERTAIN), "poi_type_incompatible")
+        .otherwise("passed_strict_filter")
     )
-    return F.struct((reason == "accepted").alias("accepted"), reason.alias("reason"))
+    return F.struct((reason == "passed_strict_filter").alias("accepted"), reason.alias("reason"))
 
 
 def best_match(candidates: DataFrame, key: str, least: float = 0.62) -> DataFrame:
@@ -128,11 +169,27 @@ def visit_confidence(assertion: Column, group: Column, method: Column, weights:
     return F.round(F.least(assertion, group, F.coalesce(F.element_at(table, method), F.lit(unknown))), 4)
 
 
-def eligibility(role: Column, confidence: Column, n_points: Column, has_region: Column, least: float = 0.65) -> Column:
-    """struct(eligibility, precision, flags) of a visit."""
-    e = F.when((n_points == 1) & (confidence >= least) & (role == "visit_place"), "anchor").when(has_region & (n_points == 0), "region_only").otherwise("candidate")
-    precision = F.when(n_points == 1, "point").when(n_points > 1, "ambiguous").otherwise("region")
-    flags = F.array_compact(F.array(F.when(confidence < least, "low_confidence"), F.when(n_points > 1, "exclusive_candidates"), F.when(n_points == 0, "no_point")))
+def eligibility(method: Column, confidence: Column, n_points: Column, several: Column, time_relation: Column, poi_id: Column, kind: Column, coordinate_status: Column, least: float = 0.7) -> Column:
+    """struct(eligibility, precision, flags) of a visit, from its method, its points and the first of them (poi_id, kind, coordinate_status).
+
+    several tells that the decision was for a set of candidates; more than one point is a set as well.
+    """
+    true = lambda c: F.coalesce(c, F.lit(False))
+    region, many = true(method == REGION_METHOD), true(several) | true(n_points > 1)
+    anchor = ~many & true(method.isin(*PRECISE)) & true(confidence >= least)
+    e = F.when(region, "region_only").when(anchor, "anchor").otherwise("candidate")
+    address = true(kind.rlike("(?i)address")) | true(coordinate_status.rlike("(?i)address"))
+    # fixed values: names of precisions and flags
+    precision = (
+        F.when(region, "region")
+        .when(true(n_points > 1), "candidate_set")
+        .when(true(method == SOURCE_METHOD), "source_coordinate")
+        .when(true(poi_id != ""), "poi")
+        .when(address, "address")
+        .otherwise("point")
+    )
+    known_time = true(time_relation.isin("contemporaneous", "recent_relative"))
+    flags = F.array_compact(F.array(F.when(many, "ambiguous_place_candidates"), F.when(region, "region_level_only"), F.when(~known_time, "visit_time_uses_post_timestamp")))
     return F.struct(e.alias("eligibility"), precision.alias("precision"), flags.alias("flags"))
 
 

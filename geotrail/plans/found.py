@@ -14,7 +14,9 @@ C = F.col
 #: Terms of each document: its words of 9 letters and more.
 WORDS = """(SELECT doc_id AS post_id, CASE pos % 3 WHEN 0 THEN 'dish' WHEN 1 THEN 'region' ELSE 'restaurant' END AS type, word AS term, CASE WHEN pos % 3 = 0 THEN 'label' ELSE 'review' END AS source, (pos % 100) / 100 AS confidence
     FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)) WHERE regexp_full_match(word, '[A-Za-z]{9,}'))"""
-TERMS = f"(SELECT post_id, type, term, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, max(confidence) AS confidence FROM {WORDS} WHERE lower(term) NOT IN ('the', 'and') GROUP BY 1, 2, 3)"
+#: Generic terms of restaurants and discarded terms, in their normalized form and as written.
+GENERIC, DISCARDED = ["torewhouon", "ththshtion", "ofiningat", "thbletion"], ["Thheouble", "enlichkeit", "AIEA UMENT"]
+TERMS = f"(SELECT post_id, type, term, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, max(confidence) AS confidence FROM {WORDS} WHERE type <> 'restaurant' OR lower(term) NOT IN ({', '.join(f"'{x}'" for x in GENERIC)}) GROUP BY 1, 2, 3)"
 #: Starts by search from the end of the hit before, as a recursion.
 HITS = f"""
     t AS MATERIALIZED (SELECT DISTINCT post_id, term, content FROM {TERMS} JOIN fx_posts USING (post_id)),
@@ -32,7 +34,7 @@ def term_sources(t: Inputs):
 
 
 def terms(t: Inputs):
-    return mentions.collect_terms(posts(t), term_sources(t), ["the", "and"])
+    return mentions.collect_terms(posts(t), term_sources(t), GENERIC)
 
 
 @query(f"SELECT * FROM {TERMS}")
@@ -40,10 +42,10 @@ def j01_collect_terms(t: Inputs):
     return terms(t).withColumn("sources", F.concat_ws(",", "sources"))
 
 
-@query(f"""SELECT c.* FROM {TERMS} c LEFT JOIN labels l ON l.doc_id = post_id AND quality = 1 WHERE l.doc_id IS NULL OR (term NOT IN ('tion', 'Inat') AND contains(sources, 'review'))""")
+@query(f"""SELECT c.* FROM {TERMS} c LEFT JOIN labels l ON l.doc_id = post_id AND quality = 1 WHERE l.doc_id IS NULL OR (lower(term) NOT IN ('thheouble', 'enlichkeit', 'aieaument') AND contains(sources, 'review'))""")
 def j02_authoritative_terms(t: Inputs):
-    reviews = t.fx_reviews.withColumn("discarded", F.array(F.lit("tion"), F.lit("Inat")))
-    return mentions.authoritative_terms(terms(t), reviews, ["review"]).withColumn("sources", F.concat_ws(",", "sources"))
+    reviews = t.fx_reviews.withColumn("discarded", F.array(*map(F.lit, DISCARDED)))
+    return mentions.authoritative_terms(terms(t), reviews, ("review",)).withColumn("sources", F.concat_ws(",", "sources"))
 
 
 @query(f"WITH RECURSIVE {HITS} SELECT post_id, term, start, start + length(term) AS \"end\" FROM h")
@@ -53,36 +55,71 @@ def j03_locate_terms(t: Inputs):
 
 
 GRAMS = "list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))"
+#: A name as it is compared.
+ALIKE = r"regexp_replace(regexp_replace(lower(regexp_replace({0}, '\s+', '', 'g')), '[（(][^（）()]{{0,20}}(店|馆|分店)?[）)]$', ''), '[^\p{{L}}\p{{N}}]', '', 'g')"
+IS_RESTAURANT = "(starts_with(coalesce(typecode, ''), '05') OR regexp_matches(coalesce(type, ''), '(?i)餐饮|餐厅|饭店|小吃|咖啡|酒吧|restaurant') OR coalesce(extraction_kind = 'restaurant', false))"
 
 
-@query(f"""
-    WITH m AS (SELECT DISTINCT request_id AS post_id, name AS term FROM fx_candidates WHERE source_rank = 1), p AS (SELECT DISTINCT request_id AS post_id, poi_id, type_text AS name FROM fx_candidates),
-         x AS (SELECT post_id, poi_id, lower(term) AS a, lower(name) AS b, term FROM m JOIN p USING (post_id)), g AS (
-         SELECT DISTINCT a, b FROM x), n AS (SELECT a, b, 'a' AS side, unnest({GRAMS.format('a')}) AS g FROM g UNION ALL SELECT a, b, 'b', unnest({GRAMS.format('b')}) FROM g),
+def dice_sql(pairs: str) -> str:
+    """Tables up to dice (a, b, dice) of the pairs of names of a table x (a, b)."""
+    return f"""g AS (SELECT DISTINCT a, b FROM {pairs}), n AS (SELECT a, b, 'a' AS side, unnest({GRAMS.format('a')}) AS g FROM g UNION ALL SELECT a, b, 'b', unnest({GRAMS.format('b')}) FROM g),
          c AS (SELECT a, b, g, count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb FROM n GROUP BY ALL), s AS (SELECT a, b, 2 * sum(least(na, nb)) / sum(na + nb) AS plain FROM c GROUP BY 1, 2),
-         d AS (SELECT x.*, CASE WHEN a = b THEN 1 WHEN contains(a, b) OR contains(b, a) THEN greatest(CASE WHEN least(length(a), length(b)) >= 3 THEN 0.65 WHEN least(length(a), length(b)) = 2 THEN 0.5 ELSE 0 END, least(length(a), length(b)) / greatest(length(a), length(b))) WHEN least(length(a), length(b)) = 1 THEN 0 ELSE plain END AS dice FROM x JOIN s USING (a, b)),
-         k AS (SELECT post_id, term, count(DISTINCT poi_id) AS n FROM d WHERE dice >= 0.15 GROUP BY 1, 2)
+         dice AS (SELECT g.a, g.b, CASE WHEN g.a = '' OR g.b = '' THEN 0 WHEN g.a = g.b THEN 1
+                  WHEN contains(g.a, g.b) OR contains(g.b, g.a) THEN greatest(CASE WHEN least(length(g.a), length(g.b)) >= 3 THEN 0.65 WHEN least(length(g.a), length(g.b)) = 2 THEN 0.5 ELSE 0 END, least(length(g.a), length(g.b)) / greatest(length(g.a), length(g.b)))
+                  WHEN least(length(g.a), length(g.b)) = 1 THEN 0 ELSE plain END AS dice FROM g LEFT JOIN s USING (a, b))"""
+
+
+#: Points of requests: names with brackets of several sorts and other signs, kinds of all sorts.
+PLACES = """SELECT request_id AS post_id, poi_id, CASE poi_id % 4 WHEN 0 THEN concat(type_text, '（', region, '店）') WHEN 1 THEN concat(' ', upper(name), ' (No. ', source_rank, ')') WHEN 2 THEN concat(type_text, '-', '(a bracket that is far too long to be one)') ELSE concat(name, '!') END AS name,
+    CASE poi_id % 5 WHEN 0 THEN '050100' WHEN 1 THEN '110000' END AS typecode, CASE poi_id % 7 WHEN 0 THEN 'Fine Restaurant' WHEN 1 THEN '咖啡店' WHEN 2 THEN 'shop' END AS type, CASE poi_id % 11 WHEN 0 THEN 'restaurant' WHEN 1 THEN 'market' END AS extraction_kind
+    FROM {fx_candidates}"""
+
+
+@query(f"""
+    WITH m AS (SELECT DISTINCT request_id AS post_id, name AS term FROM fx_candidates WHERE source_rank = 1), p AS (SELECT post_id, poi_id, {ALIKE.format('name')} AS b FROM ({PLACES.format(fx_candidates='fx_candidates')}) WHERE {IS_RESTAURANT}),
+         x AS (SELECT m.post_id, poi_id, term, {ALIKE.format('term')} AS a, b FROM m JOIN p USING (post_id)), {dice_sql('x')},
+         k AS (SELECT post_id, term, count(DISTINCT poi_id) AS n FROM x JOIN dice USING (a, b) WHERE dice >= 0.15 GROUP BY 1, 2)
     SELECT post_id, term, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN 'unique_high' WHEN n > 1 THEN 'multiple' ELSE 'unmatched' END AS status FROM m LEFT JOIN k USING (post_id, term)""")
 def j04_link_places(t: Inputs):
     m = t.fx_candidates.where("source_rank = 1").select(C("request_id").alias("post_id"), C("name").alias("term"))
-    p = t.fx_candidates.select(C("request_id").alias("post_id"), "poi_id", C("type_text").alias("name"))
+    p = t.spark.sql(PLACES, fx_candidates=t.fx_candidates)
     return mentions.link_places(m, p, 0.15).select("post_id", "term", F.size("matches").cast("long").alias("n"), "status")
 
 
+#: Points of each document: the first of its words, some under a longer name, half of them restaurants.
+POINTS = """SELECT doc_id AS post_id, doc_id * 10 + i AS poi_id, concat(word, CASE WHEN i % 3 = 0 THEN ' Bar' WHEN i % 3 = 1 THEN ' (x)' ELSE '' END) AS name, CASE WHEN i % 2 = 0 THEN '0501' ELSE '1101' END AS typecode, CASE WHEN i = 5 THEN 'restaurant' END AS type, NULL AS extraction_kind"""
+
+
 def points(t: Inputs):
-    """Points of each document: the first of its words, under two names."""
-    named = F.transform(F.slice(F.split("text", " "), 1, 6), lambda x, i: F.struct((C("doc_id") * 10 + i).alias("poi_id"), F.concat(x, F.when(i % 2 == 0, " bar").otherwise("")).alias("name")))
-    return t.documents.select(C("doc_id").alias("post_id"), F.explode(named).alias("p")).select("post_id", "p.*")
+    words = t.documents.select("doc_id", F.posexplode(F.filter(F.split("text", " "), lambda x: x.rlike("^[A-Za-z]{9,}$"))).alias("i", "word")).where("i < 6")
+    return t.spark.sql(f"{POINTS} FROM {{words}}", words=words).withColumn("extraction_kind", C("extraction_kind").cast("string"))
 
 
 def built_mentions(t: Inputs):
-    return mentions.build_mentions(posts(t), term_sources(t), points(t), ["the", "and"])
+    return mentions.build_mentions(posts(t), term_sources(t), points(t), GENERIC)
 
 
-#: Tested against brute force.
-@query()
+@query(f"""
+    WITH RECURSIVE {HITS},
+    w AS (SELECT h.post_id, h.start, h.start + length(h.term) AS "end", c.type, c.term, c.sources, c.confidence, CASE c.type WHEN 'restaurant' THEN 0 WHEN 'dish' THEN 1 ELSE 3 END AS priority FROM h JOIN {TERMS} c ON c.post_id = h.post_id AND c.term = h.term),
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY post_id ORDER BY start, "end", type, term ROWS UNBOUNDED PRECEDING) AS island FROM (
+          SELECT *, CASE WHEN start >= max("end") OVER (PARTITION BY post_id ORDER BY start, "end", type, term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM w)),
+    o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY post_id, island ORDER BY start - "end", priority, -confidence, start, "end", type, term) AS n FROM i),
+    q AS (SELECT post_id, island, 0::BIGINT AS n, []::STRUCT(a BIGINT, b BIGINT, n BIGINT)[] AS kept FROM (SELECT DISTINCT post_id, island FROM o)
+          UNION ALL SELECT q.post_id, q.island, o.n, CASE WHEN len(list_filter(q.kept, lambda k: o.start < k.b AND k.a < o."end")) > 0 THEN q.kept ELSE list_append(q.kept, {{'a': o.start, 'b': o."end", 'n': o.n}}) END
+          FROM q JOIN o ON o.post_id = q.post_id AND o.island = q.island AND o.n = q.n + 1),
+    kept AS (SELECT o.* FROM o JOIN (SELECT post_id, island, arg_max(kept, n) AS kept FROM q GROUP BY 1, 2) f USING (post_id, island) WHERE list_contains(list_transform(f.kept, lambda k: k.n), o.n)),
+    named AS (SELECT doc_id, unnest(v) AS word, generate_subscripts(v, 1) - 1 AS i FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: regexp_full_match(x, '[A-Za-z]{{9,}}'))[1:6] AS v FROM documents)),
+    p AS (SELECT post_id, poi_id, {ALIKE.format('name')} AS b FROM ({POINTS} FROM named) WHERE {IS_RESTAURANT}),
+    x AS (SELECT DISTINCT post_id, term, poi_id, {ALIKE.format('term')} AS a, b FROM kept JOIN p USING (post_id) WHERE kept.type = 'restaurant'), {dice_sql('x')},
+    l AS (SELECT post_id, term, string_agg(DISTINCT CAST(poi_id AS STRING), ',' ORDER BY CAST(poi_id AS STRING)) AS place_ids, count(DISTINCT poi_id) AS places FROM x JOIN dice USING (a, b) WHERE dice >= 0.45 GROUP BY 1, 2),
+    e AS (SELECT kept.*, concat('ent_', type, '_', substr(sha256(concat(type, chr(0), lower(kept.term))), 1, 16)) AS entity_id, CASE WHEN type = 'restaurant' THEN coalesce(places, 0) END AS places, CASE WHEN type = 'restaurant' THEN coalesce(place_ids, '') ELSE '' END AS place_ids
+          FROM kept LEFT JOIN l ON l.post_id = kept.post_id AND l.term = kept.term)
+    SELECT post_id, start, "end", type, term, sources, confidence, entity_id, concat('mention_', substr(sha256(concat(post_id, chr(0), start, chr(0), "end", chr(0), entity_id)), 1, 16)) AS mention_id,
+           CASE WHEN places IS NULL THEN 'entity' WHEN places = 0 THEN 'unmatched' WHEN places = 1 THEN 'unique_high' ELSE 'multiple' END AS status, place_ids FROM e""")
 def j05_build_mentions(t: Inputs):
-    return built_mentions(t)
+    out = built_mentions(t).withColumn("sources", F.concat_ws(",", "sources")).withColumns({c: C(c).cast("long") for c in ("start", "end")})
+    return out.withColumn("place_ids", F.concat_ws(",", F.array_sort(C("place_ids").cast("array<string>"))))
 
 
 @query(f"""SELECT post_id, count(*) AS mentions, string_agg(DISTINCT term, ',' ORDER BY term) AS terms, count(*) FILTER (type = 'dish') AS n_dish, count(*) FILTER (type = 'region') AS n_region FROM {TERMS} GROUP BY 1""")

@@ -236,13 +236,11 @@ GEO2 = "CASE visit_id % 6 WHEN 0 THEN lon WHEN 1 THEN lon WHEN 2 THEN 100.0 WHEN
 
 @query(f"""
     WITH g AS (SELECT visit_id, {GEO} AS a, {GEO2} AS b FROM fx_visits),
-         o AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL OR a = b THEN NULL WHEN a BETWEEN 73 AND 136 AND b BETWEEN 3 AND 54 THEN 'lng_lat' WHEN b BETWEEN 73 AND 136 AND a BETWEEN 3 AND 54 THEN 'lat_lng'
-                      WHEN abs(a) <= 180 AND abs(b) <= 90 AND NOT (abs(b) <= 180 AND abs(a) <= 90) THEN 'lng_lat' WHEN abs(b) <= 180 AND abs(a) <= 90 AND NOT (abs(a) <= 180 AND abs(b) <= 90) THEN 'lat_lng'
-                      WHEN abs(a) <= 180 AND abs(b) <= 90 THEN 'lng_lat' END AS source_order FROM g),
+         o AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL OR a = b THEN NULL WHEN abs(a) <= 90 AND abs(b) <= 180 THEN 'lat_lng' WHEN abs(a) <= 180 AND abs(b) <= 90 THEN 'lng_lat' END AS source_order FROM g),
          x AS (SELECT *, CASE source_order WHEN 'lng_lat' THEN a WHEN 'lat_lng' THEN b END AS lng, CASE source_order WHEN 'lng_lat' THEN b WHEN 'lat_lng' THEN a END AS lat FROM o)
     SELECT visit_id, source_order IS NOT NULL AS usable, source_order, lng, lat, lng BETWEEN 73 AND 136 AND lat BETWEEN 3 AND 54 AS in_bounds,
-           concat_ws(',', CASE WHEN a IS NULL OR b IS NULL THEN 'missing_or_unrecognized_geo' END, CASE WHEN a = b THEN 'placeholder' END, CASE WHEN a <> b AND source_order IS NULL THEN 'out_of_range' END,
-                     CASE WHEN source_order IS NOT NULL AND NOT (lng BETWEEN 73 AND 136 AND lat BETWEEN 3 AND 54) THEN 'out_of_bounds' END, CASE WHEN source_order = 'lat_lng' THEN 'swapped' END) AS flags
+           CASE WHEN a IS NULL OR b IS NULL THEN 'missing_or_unrecognized_geo' WHEN a = b THEN 'equal_coordinate_placeholder' WHEN source_order IS NULL THEN 'coordinate_out_of_global_range'
+                WHEN source_order = 'lng_lat' THEN 'unexpected_source_coordinate_order' ELSE '' END AS flags
     FROM x""")
 def c01_normalize_geo(t: Inputs):
     geo = t.fx_visits.select("visit_id", F.expr(GEO).cast("double").alias("a"), F.expr(GEO2).cast("double").alias("b"))

@@ -199,21 +199,22 @@ def f21_text_support_join(t: Inputs):
 
 
 SIMILARITY = "(poi_id % 101) / 100"
-PARTS = "round(least(100.0, 60.0 * name_similarity + 12.0 * (poi_id % 2) + 15.0 * (poi_id % 3 = 0)::INT + 8.0 * (poi_id % 5 = 0)::INT + greatest(0.0, 3.0 - 0.15 * source_rank)), 2)"
+PARTS = """round(60 * name_similarity, 2) AS name_part, 12.0 * (poi_id % 2) AS region_part, 15.0 * (poi_id % 3 = 0)::INT AS address_part, 8.0 * (poi_id % 5 = 0)::INT AS type_part, greatest(0.0, 3.0 - (source_rank - 1) * 0.15) AS rank_part"""
 RANKED = f"""(SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, source_rank) AS rank, request_id % 3 > 0 AS has_context
-    FROM (SELECT request_id, poi_id, name, source_rank, name_similarity, {PARTS} AS score FROM (SELECT *, {SIMILARITY}::DOUBLE AS name_similarity FROM fx_candidates)))"""
+    FROM (SELECT *, round(least(100.0, name_part + region_part + address_part + type_part + rank_part), 2) AS score
+          FROM (SELECT request_id, poi_id, name, source_rank, name_similarity, {PARTS} FROM (SELECT *, {SIMILARITY}::DOUBLE AS name_similarity FROM fx_candidates))))"""
 
 
 def scored(t: Inputs):
-    flag = lambda e: F.expr(e).cast("double")
     rows = t.fx_candidates.withColumn("name_similarity", F.expr(SIMILARITY))
-    rows = rows.withColumn("score", scoring.score(C("name_similarity"), flag("poi_id % 2"), flag("poi_id % 3 = 0"), flag("poi_id % 5 = 0"), C("source_rank")))
-    return rows.withColumn("has_context", C("request_id") % 3 > 0)
+    parts = scoring.score_parts(C("name_similarity"), C("poi_id") % 2 == 1, C("poi_id") % 3 == 0, C("poi_id") % 5 == 0, C("source_rank"))
+    return rows.withColumn("parts", parts).withColumn("score", scoring.score(C("parts"))).withColumn("has_context", C("request_id") % 3 > 0)
 
 
-@query(f"SELECT request_id, poi_id, source_rank, score FROM {RANKED}")
+@query(f"SELECT request_id, poi_id, source_rank, score, name_part, region_part::DOUBLE AS region_part, address_part::DOUBLE AS address_part, type_part::DOUBLE AS type_part, round(rank_part::DOUBLE, 6) AS rank_part FROM {RANKED}")
 def g01_score_candidate(t: Inputs):
-    return scored(t).select("request_id", "poi_id", "source_rank", "score")
+    parts = [C("parts")[p].alias(f"{p}_part") for p in ("name", "region", "address", "type")]
+    return scored(t).select("request_id", "poi_id", "source_rank", "score", *parts, F.round("parts.rank", 6).alias("rank_part"))
 
 
 @query(f"SELECT request_id, poi_id, rank FROM {RANKED}")
@@ -265,14 +266,26 @@ def g06_review_overlay(t: Inputs):
     return scoring.overlay(decided(t).select("request_id", "status"), reviews, "request_id")
 
 
-@query("""
-    SELECT request_id, source_rank, reason = 'accepted' AS accepted, reason FROM (
-        SELECT request_id, source_rank, CASE WHEN poi_id % 13 = 0 THEN 'context_without_region' WHEN poi_id % 400 > 300 THEN 'context_conflict' WHEN (poi_id % 10) / 10 < 0.65 THEN 'text_dropped'
-               WHEN poi_id % 7 = 0 THEN 'type_mismatch' WHEN (poi_id % 101) / 100 < CASE place_kind WHEN 'restaurant' THEN 0.6 WHEN 'region' THEN 0.8 ELSE 0.9 END THEN 'similarity_too_low' ELSE 'accepted' END AS reason
-        FROM fx_candidates JOIN fx_requests USING (request_id))""")
+#: Candidates of a second pass: kinds, types and contexts of all sorts; the text is the name, longer, shorter, or with a region.
+SECOND = """SELECT request_id, source_rank, poi_id % 17 > 0 AS found, CASE request_id % 6 WHEN 0 THEN 'address' WHEN 1 THEN 'restaurant' WHEN 2 THEN 'market' WHEN 3 THEN 'attraction' WHEN 4 THEN 'other' ELSE 'hotel' END AS kind,
+    (60 + poi_id % 41) / 100 AS similarity, lower(concat(name, CASE poi_id % 4 WHEN 0 THEN concat(' ', region, region, region) WHEN 1 THEN '北京' ELSE '' END)) AS text, CASE WHEN poi_id % 23 > 0 THEN lower(name) END AS name,
+    CASE poi_id % 5 WHEN 0 THEN '050100' WHEN 1 THEN '060101' WHEN 2 THEN '110000' WHEN 3 THEN '190403' END AS typecode, CASE poi_id % 3 WHEN 0 THEN 'global_default' WHEN 1 THEN 'temporal_neighbor' END AS method,
+    CASE WHEN poi_id % 7 > 0 THEN poi_id % 400 END AS distance_km FROM {fx_candidates}"""
+
+
+@query(f"""
+    SELECT request_id, source_rank, reason = 'passed_strict_filter' AS accepted, reason FROM (
+        SELECT request_id, source_rank, CASE WHEN NOT found THEN 'no_resolved_candidate'
+               WHEN kind = 'address' AND (method = 'global_default' AND NOT regexp_matches(text, '省|市|自治区|特别行政区|区|县|旗|北京|上海|天津|重庆|香港|澳门|台湾') OR method = 'temporal_neighbor' AND distance_km > 300) THEN 'address_conflicts_with_existing_context'
+               WHEN similarity < CASE kind WHEN 'restaurant' THEN 0.78 WHEN 'market' THEN 0.75 WHEN 'attraction' THEN 0.75 WHEN 'other' THEN 0.82 ELSE 0.8 END THEN 'stricter_name_threshold'
+               WHEN contains(text, coalesce(name, '')) AND length(coalesce(name, '')) / greatest(1, length(text)) < 0.65 THEN 'candidate_drops_distinctive_query_text'
+               WHEN similarity < 0.95 AND NOT CASE kind WHEN 'restaurant' THEN coalesce(typecode, '')[1:2] IN ('05', '08', '10') WHEN 'market' THEN coalesce(typecode, '')[1:2] IN ('06', '12') WHEN 'attraction' THEN coalesce(typecode, '')[1:2] IN ('08', '11', '14', '19') ELSE true END THEN 'poi_type_incompatible'
+               ELSE 'passed_strict_filter' END AS reason
+        FROM ({SECOND.format(fx_candidates='fx_candidates')}))""")
 def g07_strict_filter(t: Inputs):
-    rows = t.fx_candidates.join(t.fx_requests, "request_id")
-    r = scoring.strict_filter(F.expr(SIMILARITY), C("place_kind"), C("poi_id") % 400, C("poi_id") % 13 != 0, (C("poi_id") % 10) / 10, C("poi_id") % 7 != 0, {"restaurant": 0.6, "region": 0.8})
+    rows = t.spark.sql(SECOND, fx_candidates=t.fx_candidates)
+    conflict = scoring.context_conflict(C("kind"), C("text"), C("method"), C("distance_km"))
+    r = scoring.strict_filter(C("found"), conflict, C("kind"), C("similarity"), C("text"), C("name"), C("typecode"))
     return rows.select("request_id", "source_rank", r.alias("r")).select("request_id", "source_rank", "r.*")
 
 
@@ -312,14 +325,21 @@ def g12_confidence_floor(t: Inputs):
     return t.fx_visits.select("visit_id", c.alias("confidence"))
 
 
-@query("""
-    SELECT visit_id, CASE WHEN n = 1 AND confidence >= 0.65 AND kind = 'click' THEN 'anchor' WHEN province > 5 AND n = 0 THEN 'region_only' ELSE 'candidate' END AS eligibility,
-           CASE WHEN n = 1 THEN 'point' WHEN n > 1 THEN 'ambiguous' ELSE 'region' END AS precision,
-           concat_ws(',', CASE WHEN confidence < 0.65 THEN 'low_confidence' END, CASE WHEN n > 1 THEN 'exclusive_candidates' END, CASE WHEN n = 0 THEN 'no_point' END) AS flags
-    FROM (SELECT *, visit_id % 3 AS n FROM fx_visits)""")
+#: Visits with a method, points and the first point's fields, some of them empty or null.
+FOUND = """SELECT visit_id, confidence, CASE visit_id % 8 WHEN 0 THEN 'explicit_region_geocode' WHEN 1 THEN 'source_geo' WHEN 2 THEN 'amap_deterministic' WHEN 3 THEN 'explicit_location_amap' WHEN 4 THEN 'amap_multiple_candidates' WHEN 5 THEN 'ip_region_centroid' WHEN 6 THEN 'amap_with_llm_disambiguation' END AS method,
+    1 + CAST(visit_id % 7 = 0 AS INT) AS n_points, visit_id % 11 = 0 AS several, CASE visit_id % 5 WHEN 0 THEN 'contemporaneous' WHEN 1 THEN 'recent_relative' WHEN 2 THEN 'past' END AS time_relation,
+    CASE visit_id % 3 WHEN 0 THEN 'B0' WHEN 1 THEN '' END AS poi_id, CASE WHEN visit_id % 9 = 0 THEN 'Street Address' ELSE kind END AS kind, CASE visit_id % 13 WHEN 0 THEN 'address_level' WHEN 1 THEN 'ok' END AS coordinate_status FROM {fx_visits}"""
+
+
+@query(f"""
+    SELECT visit_id, CASE WHEN method = 'explicit_region_geocode' THEN 'region_only' WHEN NOT several AND n_points = 1 AND method IN ('amap_deterministic', 'amap_with_llm_disambiguation', 'amap_multiple_candidates', 'explicit_location_amap', 'source_geo') AND confidence >= 0.7 THEN 'anchor' ELSE 'candidate' END AS eligibility,
+           CASE WHEN method = 'explicit_region_geocode' THEN 'region' WHEN n_points > 1 THEN 'candidate_set' WHEN method = 'source_geo' THEN 'source_coordinate' WHEN poi_id <> '' THEN 'poi' WHEN contains(lower(kind), 'address') OR contains(lower(coordinate_status), 'address') THEN 'address' ELSE 'point' END AS precision,
+           concat_ws(',', CASE WHEN several OR n_points > 1 THEN 'ambiguous_place_candidates' END, CASE WHEN method = 'explicit_region_geocode' THEN 'region_level_only' END, CASE WHEN time_relation IN ('contemporaneous', 'recent_relative') THEN NULL ELSE 'visit_time_uses_post_timestamp' END) AS flags
+    FROM ({FOUND.format(fx_visits='fx_visits')})""")
 def g13_eligibility(t: Inputs):
-    e = scoring.eligibility(F.when(C("kind") == "click", "visit_place").otherwise("other"), C("confidence"), C("visit_id") % 3, C("province") > 5)
-    return t.fx_visits.select("visit_id", e.alias("e")).select("visit_id", "e.eligibility", "e.precision", F.concat_ws(",", "e.flags").alias("flags"))
+    columns = ("method", "confidence", "n_points", "several", "time_relation", "poi_id", "kind", "coordinate_status")
+    e = scoring.eligibility(*map(C, columns))
+    return t.spark.sql(FOUND, fx_visits=t.fx_visits).select("visit_id", e.alias("e")).select("visit_id", "e.eligibility", "e.precision", F.concat_ws(",", "e.flags").alias("flags"))
 
 
 @query("""

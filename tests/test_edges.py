@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import random
+import re
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -22,12 +24,15 @@ def column(spark, values, kind, f):
 
 
 def test_geo_orders(spark):
-    rows = [(116.4, 39.9), (39.9, 116.4), (50.0, 50.0), (200.0, 100.0), (None, 1.0), (-70.0, -120.0)]
+    nan = float("nan")
+    rows = [(116.4, 39.9), (39.9, 116.4), (80.0, 30.0), (50.0, 50.0), (200.0, 100.0), (None, 1.0), (-70.0, -120.0), (90.0, 180.0), (180.0, 90.0), (nan, nan)]
     df = spark.createDataFrame(rows, "a double, b double").select(repair.normalize_geo(C("a"), C("b")).alias("g")).select("g.*")
-    got = [(r.usable, r.source_order, tuple(r.flags)) for r in df.collect()]
+    got = [(r.usable, r.source_order, r.lng, r.lat, r.in_bounds, tuple(r.flags)) for r in df.collect()]
+    # latitude first wherever that is possible; the other order only where it is the only one
     assert got == [
-        (True, "lng_lat", ()), (True, "lat_lng", ("swapped",)), (False, None, ("placeholder",)), (False, None, ("out_of_range",)),
-        (False, None, ("missing_or_unrecognized_geo",)), (True, "lat_lng", ("out_of_bounds", "swapped")),
+        (True, "lng_lat", 116.4, 39.9, True, ("unexpected_source_coordinate_order",)), (True, "lat_lng", 116.4, 39.9, True, ()), (True, "lat_lng", 30.0, 80.0, False, ()),
+        (False, None, None, None, None, ("equal_coordinate_placeholder",)), (False, None, None, None, None, ("coordinate_out_of_global_range",)), (False, None, None, None, None, ("missing_or_unrecognized_geo",)),
+        (True, "lat_lng", -120.0, -70.0, False, ()), (True, "lat_lng", 180.0, 90.0, False, ()), (True, "lng_lat", 180.0, 90.0, False, ("unexpected_source_coordinate_order",)), (False, None, None, None, None, ("coordinate_out_of_global_range",)),
     ]
 
 
@@ -154,16 +159,29 @@ def bigram_score(a, b):
 
 def test_mentions_against_brute_force(spark):
     rng = random.Random(6)
-    words = ["noodle", "noodle bar", "bar", "soup", "old town", "town", "noodle soup", "tea", "x"]
-    posts = [(k, " ".join(rng.choice([*words, "and", "the"]) for _ in range(rng.randrange(0, 30)))) for k in range(40)]
-    sources = [(k, rng.choice(["restaurant", "dish", "region"]), rng.choice(words), rng.choice(["label", "review"]), rng.randrange(100) / 100) for k in range(40) for _ in range(8)]
-    points = [(k, 10 * k + i, rng.choice(words).title()) for k in range(40) for i in range(3)]
-    df = [spark.createDataFrame(r, s) for r, s in ((posts, "post_id int, content string"), (sources, "post_id int, type string, term string, source string, confidence double"), (points, "post_id int, poi_id int, name string"))]
+    words = ["noodle", "noodle bar", "bar", "soup", "old town", "town", "noodle soup", "tea", "T ea", "ＴＥＡ", "x", "a\\Eb", "a.b", "(b)"]
+    posts = [(k, " ".join(rng.choice([*words, "and", "the"]) for _ in range(rng.randrange(0, 30)))) for k in range(40)] + [(90, ""), (91, None)]
+    sources = [(k, rng.choice(["restaurant", "dish", "region", "weather"]), rng.choice([*words, " soup "]), rng.choice(["label", "review"]), rng.randrange(100) / 100) for k, _ in posts for _ in range(8)]
+    points = [(k, 10 * k + i, rng.choice(words).title() + rng.choice(["", "（东门店）", " (a bracket that is far too long)"]), rng.choice(["0501", "1101", None]), rng.choice(["咖啡店", "shop", None]), rng.choice(["restaurant", None])) for k in range(40) for i in range(4)]
+    points += [(0, None, "noodle", "0501", None, None)]
+    schema = ("post_id int, content string", "post_id int, type string, term string, source string, confidence double", "post_id int, poi_id int, name string, typecode string, type string, extraction_kind string")
+    df = [spark.createDataFrame(r, s) for r, s in zip((posts, sources, points), schema)]
+
+    def plain(name):
+        return "".join(unicodedata.normalize("NFKC", name).lower().split())
+
+    def alike(name):
+        return "".join(c for c in re.sub(r"[（(][^（）()]{0,20}[）)]$", "", plain(name)) if c.isalnum())
+
+    def restaurant(p):
+        return p[1] is not None and ((p[3] or "").startswith("05") or "咖啡" in (p[4] or "") or p[5] == "restaurant")
+
     want, records = [], []
     for k, content in posts:
-        terms = {}
+        content, terms = content or "", {}
         for p, kind, term, source, confidence in sources:
-            if p == k and len(term) >= 2 and term not in ("tea",) and term in content:
+            term = term.strip()
+            if p == k and kind in mentions.PRIORITY and len(term) >= 2 and term in content and not (kind == "restaurant" and plain(term) == "tea"):
                 seen, best = terms.get((kind, term), (set(), 0))
                 terms[kind, term] = (seen | {source}, max(best, confidence))
         spans = []
@@ -178,26 +196,51 @@ def test_mentions_against_brute_force(spark):
                 kept.append(s)
         records.append((k, len(terms), len(kept), len(spans) - len(kept)))
         for _, _, c, start, end, kind, term, seen in kept:
-            entity = f"ent_{kind}_" + hashlib.sha256(f"{kind}\0{term.replace(' ', '')}".encode()).hexdigest()[:16]
-            ids = sorted({i for p, i, name in points if p == k and bigram_score(term, name) >= 0.45}) if kind == "restaurant" else []
+            entity = f"ent_{kind}_" + hashlib.sha256(f"{kind}\0{plain(term)}".encode()).hexdigest()[:16]
+            ids = sorted({q[1] for q in points if q[0] == k and restaurant(q) and alike(term) and alike(q[2]) and bigram_score(alike(term), alike(q[2])) >= 0.45}) if kind == "restaurant" else []
             status = ("unmatched", "unique_high", "multiple")[min(2, len(ids))] if kind == "restaurant" else "entity"
             mention = "mention_" + hashlib.sha256(f"{k}\0{start}\0{end}\0{entity}".encode()).hexdigest()[:16]
             want.append((k, start, end, kind, term, seen, -c, entity, mention, status, ids))
     got = mentions.build_mentions(*df, ["tea"]).collect()
-    assert len(want) > 100 and sorted(map(tuple, got)) == sorted(want)
+    assert len(want) > 100 and {s[9] for s in want} == {"unmatched", "unique_high", "multiple", "entity"} and sorted(map(tuple, got)) == sorted(want)
     assert sorted(map(tuple, mentions.extraction_records(df[0], df[1], ["tea"]).collect())) == records
 
 
+def test_reviewed_terms(spark):
+    rows = [(1, "Ｔea House", ["review"]), (1, "soup", ["text_llm_exact_candidate", "review"]), (1, "bar", ["review"]), (2, "tea house", ["review"]), (3, "tea house", ["selected_amap_poi_name"])]
+    terms = spark.createDataFrame(rows, "post_id int, term string, sources array<string>")
+    reviews = spark.createDataFrame([(1, True, ["TEA HOUSE"]), (2, False, ["tea house"]), (3, True, [])], "post_id int, valid boolean, discarded array<string>")
+    # post 1 has a valid review: the discarded term goes whatever its width and case, and so does what no trusted source names
+    assert {(r.post_id, r.term) for r in mentions.authoritative_terms(terms, reviews).collect()} == {(1, "soup"), (2, "tea house"), (3, "tea house")}
+
+
 def test_repeated_terms(spark):
-    df = spark.createDataFrame([("aaaa", "aa"), ("a.b a+b", "a.b"), ("😀x😀x", "x"), ("abc", "z")], "v string, w string")
+    rows = [("aaaa", ["aa"]), ("a.b a+b", ["a.b"]), ("😀x😀x", ["x", "😀x", "x😀"]), ("abc", ["z", "", None]), (None, ["a"]), ("a", []), (r"a\Eb and a\Eb", [r"a\Eb", "\\", "[a-z]", "$", "a\\E"]), ("abcabc", ["abc", "bca", "c", "abcabc"])]
+    df = spark.createDataFrame(rows, "v string, w array<string>")
     got = [r[0] for r in df.select(mentions.occurrences(C("v"), C("w"))).collect()]
-    assert got == [[0, 2], [0], [1, 3], []]
+
+    def find(text, term):
+        out, at = [], text.find(term) if term else -1
+        while at >= 0:
+            out.append(at)
+            at = text.find(term, at + len(term))
+        return out
+
+    assert got == [[find(v or "", t or "") for t in w] for v, w in rows] and got[6][0] == [0, 9]
+    # every sign that means something in a pattern, as a term of a post
+    signs = [c for c in map(chr, range(33, 127)) if not c.isalnum()]
+    posts = spark.createDataFrame([(1, "".join(f"{c}{c} " for c in signs))], "post_id int, content string")
+    found = mentions.locate_terms(posts, spark.createDataFrame([(1, c * 2) for c in signs], "post_id int, term string")).collect()
+    assert {r.term: (r.start, r.end) for r in found} == {c * 2: (3 * k, 3 * k + 2) for k, c in enumerate(signs)}
 
 
 def test_names(spark):
     assert column(spark, ["Ｃafé É!", "ﬁ ①", None], "string", text.norm_nfkd) == ["cafee", "fi1", None]
     assert column(spark, ["Ａ b。C", "x\ty"], "string", lambda c: text.norm_nfkc(c, True)) == ["abc", "xy"]
-    assert column(spark, ["Noodle (North)", "Noodle店", "Noodle Store", "Noodle"], "string", text.base_name) == ["Noodle"] * 4
+    names = ["北京饭店", "面(东门店)", "面（王府井商场）", "面 (north)", "面总店", "面旗舰店", "面直营店", "面第12分店", "面分店", "面店", "(店)面", None]
+    assert column(spark, names, "string", text.base_name) == ["北京饭店", "面", "面", "面 (north)", "面", "面", "面", "面", "面", "面店", "(店)面", None]
+    plain = ["面旗舰店", "面总店", "面分店", "面新店", "面老店", "面店", "北京饭店", "面馆", "好火锅", "小馆店", "面直营店"]
+    assert column(spark, plain, "string", text.base_of_normalized) == ["面", "面", "面", "面", "面", "面", "北京饭", "", "好", "", "面直营"]
     df = spark.createDataFrame([("", ""), ("ab", "ab"), ("ab", "abcd"), ("abcd", "abxd"), ("", "a")], "a string, b string")
     assert [r[0] for r in df.select(text.edit_similarity(C("a"), C("b"))).collect()] == [0.0, 1.0, 0.5, 0.75, 0.0]
     assert [round(r[0], 3) for r in df.select(text.contain_similarity(C("a"), C("b"))).collect()] == [0.0, 1.0, 0.85, 0.75, 0.0]
@@ -211,6 +254,74 @@ def test_titles(spark):
     assert got == {1: "x (2020-05)", 2: "x (2020-06)", 3: "y", 4: "z (2020-05)", 5: "z (2020-05) #5"}
 
 
+def test_score_parts(spark):
+    df = spark.createDataFrame([(0.98765, True, True, True, 1), (0.98765, False, True, False, 2), (0.5, False, False, False, 21), (1.0, True, True, True, 22)], "s double, r boolean, a boolean, t boolean, k int")
+    parts = scoring.score_parts(C("s"), C("r"), C("a"), C("t"), C("k"))
+    got = [(tuple(round(x, 6) for x in r[0]), r[1]) for r in df.select(parts, scoring.score(parts)).collect()]
+    # the first of a source has all 3 points, the second 2.85, and the 21st none; 60 * 0.98765 = 59.259 is 59.26 on its own
+    assert got == [((59.26, 12.0, 15.0, 8.0, 3.0), 97.26), ((59.26, 0.0, 15.0, 0.0, 2.85), 77.11), ((30.0, 0.0, 0.0, 0.0, 0.0), 30.0), ((60.0, 12.0, 15.0, 8.0, 0.0), 95.0)]
+
+
+def test_second_pass(spark):
+    near, default = "temporal_neighbor", "global_default"
+    rows = [
+        # found, kind, similarity, query, name, typecode, text, method, km, reason worked out by hand
+        (False, "restaurant", 0.99, "a", "a", "0501", "a", None, None, "no_resolved_candidate"),
+        (True, "address", 0.99, "a", "a", None, "some street", default, None, "address_conflicts_with_existing_context"),
+        (True, "address", 0.99, "a", "a", None, "北京 street", default, None, "passed_strict_filter"),
+        (True, "address", 0.1, "abcd", "a", None, "x", near, 300.1, "address_conflicts_with_existing_context"),
+        (True, "address", 0.8, "a", "a", None, "x", near, 300.0, "passed_strict_filter"),
+        (True, "address", 0.8, "a", "a", None, "x", "scored", 900.0, "passed_strict_filter"),
+        (True, "restaurant", 0.78, "a", "a", "0501", "x", near, 900.0, "passed_strict_filter"),  # only addresses have a context
+        (True, "restaurant", 0.77, "abcd", "a", "9901", "x", None, None, "stricter_name_threshold"),  # before dropped text and type
+        (True, "market", 0.75, "a", "a", "1201", "x", None, None, "passed_strict_filter"),
+        (True, "other", 0.81, "a", "a", None, "x", None, None, "stricter_name_threshold"),
+        (True, "hotel", 0.79, "a", "a", None, "x", None, None, "stricter_name_threshold"),
+        (True, "hotel", 0.8, "a", "a", None, "x", None, None, "passed_strict_filter"),  # a kind without prefixes takes any type
+        (True, "restaurant", 0.96, "abcd", "ab", "0501", "x", None, None, "candidate_drops_distinctive_query_text"),
+        (True, "restaurant", 0.96, "abc", "ab", "0501", "x", None, None, "passed_strict_filter"),  # two of three letters are kept
+        (True, "restaurant", 0.96, "xy", "ab", "0501", "x", None, None, "passed_strict_filter"),  # the query doesn't hold the name
+        (True, "restaurant", 0.96, "a", None, "0501", "x", None, None, "candidate_drops_distinctive_query_text"),
+        (True, "restaurant", 0.94, "a", "a", "9901", "x", None, None, "poi_type_incompatible"),
+        (True, "restaurant", 0.94, "a", "a", None, "x", None, None, "poi_type_incompatible"),
+        (True, "restaurant", 0.95, "a", "a", "9901", "x", None, None, "passed_strict_filter"),
+        (True, "attraction", None, "a", "a", "1401", "x", None, None, "stricter_name_threshold"),
+    ]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, found boolean, kind string, s double, q string, n string, code string, text string, method string, km double, want string")
+    r = scoring.strict_filter(C("found"), scoring.context_conflict(C("kind"), C("text"), C("method"), C("km")), C("kind"), C("s"), C("q"), C("n"), C("code"))
+    got = df.select("k", r.alias("r")).orderBy("k").collect()
+    assert [x.r.reason for x in got] == [x[-1] for x in rows] and all(x.r.accepted == (x.r.reason == "passed_strict_filter") for x in got)
+
+
+def test_eligibility(spark):
+    rows = [
+        # method, confidence, points, set, time, id, kind, status; outcome worked out by hand
+        ("explicit_region_geocode", 0.9, 1, False, "contemporaneous", "B1", None, None, "region_only", "region", ["region_level_only"]),
+        ("source_geo", 0.7, 1, False, "contemporaneous", None, None, None, "anchor", "source_coordinate", []),
+        ("source_geo", 0.69, 1, False, "past", None, None, None, "candidate", "source_coordinate", ["visit_time_uses_post_timestamp"]),
+        ("amap_deterministic", 0.9, 2, False, "recent_relative", "B1", None, None, "candidate", "candidate_set", ["ambiguous_place_candidates"]),
+        ("amap_deterministic", 0.9, 1, True, "recent_relative", "B1", None, None, "candidate", "poi", ["ambiguous_place_candidates"]),
+        ("amap_multiple_candidates", 0.9, 1, None, "recent_relative", "", "Address", None, "anchor", "address", []),
+        ("explicit_location_amap", 0.9, 1, False, None, None, None, "address_level", "anchor", "address", ["visit_time_uses_post_timestamp"]),
+        ("ip_region_centroid", 0.99, 1, False, "contemporaneous", None, "x", "y", "candidate", "point", []),
+        (None, None, 1, False, "contemporaneous", None, None, None, "candidate", "point", []),
+        ("explicit_region_geocode", 0.9, 2, True, None, None, None, None, "region_only", "region", ["ambiguous_place_candidates", "region_level_only", "visit_time_uses_post_timestamp"]),
+    ]
+    df = spark.createDataFrame([(k, *r[:8]) for k, r in enumerate(rows)], "k int, m string, c double, n int, s boolean, t string, i string, y string, z string")
+    got = df.select("k", scoring.eligibility(*(C(x) for x in "mcnstiyz")).alias("e")).orderBy("k").select("e.*").collect()
+    assert [tuple(r) for r in got] == [r[8:] for r in rows]
+    weights = spark.createDataFrame([("source_geo",), ("unheard_of",), (None,)], "m string").select(scoring.visit_confidence(F.lit(0.9), F.lit(0.80004), C("m")))
+    assert [r[0] for r in weights.collect()] == [0.78, 0.5, 0.5]
+
+
+def test_distance_bands(spark):
+    rows = [(1, True, 0.8, 499.0), (1, True, 0.79, 1.0), (2, True, 0.9, 500.0), (3, True, 0.9, 2000.0), (4, True, 0.9, None), (5, False, 0.9, 10.0), (6, True, 0.5, 10.0), (7, None, 0.9, 10.0)]
+    df = spark.createDataFrame(rows, "k int, has_source boolean, name_similarity double, distance_m double")
+    got = {r.k: (r.best_m, r.status) for r in geo.distance_bands(df, "k").collect()}
+    none = (None, "no_name_supported_candidate")
+    assert got == {1: (499.0, "aligned_under_500m"), 2: (500.0, "near_500m_to_2km"), 3: (2000.0, "conflict_over_2km"), 4: none, 5: (None, "unavailable"), 6: none, 7: (None, "unavailable")}
+
+
 def test_decisions(spark):
     # request: (generic, context, [(score, similarity), ...]), with the outcome worked out by hand from the rules
     cases = {
