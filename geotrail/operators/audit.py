@@ -89,6 +89,118 @@ def audit(checks: dict[str, DataFrame], warnings: dict[str, int] | None = None)
     return each.unionByName(overall)
 
 
+#: The twenty checks of finished tables, and the table that each examines.
+CHECKS = {
+    "post_row_counts_equal": "posts",
+    "source_values_preserved": "source",
+    "located_values_preserved": "located",
+    "unique_post_ids": "posts",
+    "mention_slices_valid": "mentions",
+    "mention_overlap_free": "mentions",
+    "place_coordinates_valid": "places",
+    "unique_visit_ids": "visits",
+    "visit_references_valid": "visits",
+    "visit_times_valid": "visits",
+    "no_forbidden_fallback_route_anchors": "visits",
+    "roles_cover_all_posts": "roles",
+    "role_references_valid": "roles",
+    "unique_trip_ids": "trips",
+    "trip_references_valid": "trips",
+    "trip_times_valid": "trips",
+    "trip_routes_valid": "trips",
+    "narrative_ids_valid": "narratives",
+    "secondary_references_valid": "candidates",
+    "narratives_cover_all_trips": "narratives",
+}
+#: What a row can say of a key: that it is one of the key's own rows, or who refers to it.
+SAYS = ("own", "role", "anchor", "member", "narrative", "before", "after", "visit_ref", "role_ref", "trip_ref", "secondary_ref")
+
+
+def _said(t: dict[str, DataFrame], blocked: list[str]) -> DataFrame:
+    """(space, key, says) of all rows of the tables, each read once: keys and references by their space, failed row checks in the space check, rows in the space rows."""
+    c = F.col
+    event = lambda space, key, says: F.struct(F.lit(space).alias("space"), key.cast("string").alias("key"), F.lit(says).alias("says"))
+    each = lambda space, column, says: F.coalesce(F.transform(column, lambda x: event(space, x, says)), F.array().cast("array<struct<space:string,key:string,says:string>>"))
+    failed = lambda name, bad: event("check", F.when(F.coalesce(bad, F.lit(False)), F.lit(name)), "own")
+    values = lambda names: F.md5(F.to_json(F.struct(*sorted(names))))
+    found = lambda lon, lat: F.coalesce(c(lon).between(-180, 180) & c(lat).between(-90, 90) & ~F.isnan(lon) & ~F.isnan(lat), F.lit(False))
+    source, located = t["source"].columns, t["located"].columns
+    route = F.transform("route", lambda r: r["visit_id"])
+    singles = {
+        "source": [event("source_row", values(source), "before")],
+        "located": [event("source_row", values(source), "after"), event("located_row", values(located), "before")],
+        "posts": [event("located_row", values(located), "after"), event("post", c("post_id"), "own")],
+        "places": [event("place", c("place_id"), "own"), failed("place_coordinates_valid", ~found("lon", "lat"))],
+        "regions": [event("region", c("region_id"), "own")],
+        "visits": [
+            event("visit", c("visit_id"), "own"), event("visit", F.when(c("eligibility") == "anchor", c("visit_id")), "anchor"), event("place", c("place_id"), "visit_ref"), event("region", c("region_id"), "visit_ref"),
+            failed("visit_references_valid", F.coalesce(F.size("post_ids"), F.lit(0)) <= 0), failed("visit_times_valid", c("start") > c("end")), failed("no_forbidden_fallback_route_anchors", (c("eligibility") == "anchor") & c("method").isin(blocked)),
+        ],
+        "roles": [event("post", c("post_id"), "role")],
+        "trips": [event("trip", c("trip_id"), "own"), failed("trip_times_valid", c("start") > c("end")), failed("trip_routes_valid", (F.size("route") < 2) | ~route.eqNullSafe(c("visit_ids")))],
+        "narratives": [event("trip", c("trip_id"), "narrative")],
+        "candidates": [event("trip", c("trip_id"), "secondary_ref"), event("visit", c("visit_id"), "secondary_ref")],
+        "contexts": [event("trip", c("trip_id"), "secondary_ref"), event("trip", c("other_trip_id"), "secondary_ref"), event("post", c("post_id"), "secondary_ref"), event("visit", c("visit_id"), "secondary_ref")],
+    }
+    lists = {
+        "visits": [each("post", "post_ids", "visit_ref"), each("place", "candidate_ids", "visit_ref")], "roles": [each("visit", "visit_ids", "role_ref")],
+        "trips": [each("post", "post_ids", "trip_ref"), each("visit", "visit_ids", "member")],
+    }
+    parts = []
+    for name, events in singles.items():
+        told = F.concat(F.array(event("rows", F.lit(name), "own"), *events), *lists.get(name, []))
+        parts.append(t[name].select(F.explode(F.filter(told, lambda e: e["key"].isNotNull())).alias("e")).select("e.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _judged(said: DataFrame) -> DataFrame:
+    """(check_name, failures) from what is said of every key, and rows (check_name is the table's after a slash): one aggregation by key."""
+    counts = said.groupBy("space", "key").agg(*[F.count_if(F.col("says") == x).alias(x) for x in SAYS])
+    n = {x: F.col(x) for x in SAYS}
+    missing, one = n["own"] == 0, lambda p: p.cast("long")
+    rules = {
+        "source_row": {"source_values_preserved": F.abs(n["before"] - n["after"])},
+        "located_row": {"located_values_preserved": F.abs(n["before"] - n["after"])},
+        "post": {
+            "unique_post_ids": one(n["own"] > 1), "roles_cover_all_posts": one((n["own"] > 0) != (n["role"] > 0)) + one(n["role"] > 1), "role_references_valid": F.when(missing, n["role"]),
+            "visit_references_valid": F.when(missing, n["visit_ref"]), "trip_references_valid": F.when(missing, n["trip_ref"]), "secondary_references_valid": F.when(missing, n["secondary_ref"]),
+        },
+        "visit": {
+            "unique_visit_ids": one(n["own"] > 1), "role_references_valid": F.when(missing, n["role_ref"]), "trip_references_valid": F.when(n["anchor"] == 0, n["member"]).otherwise(0) + one(n["member"] > 1),
+            "secondary_references_valid": F.when(missing, n["secondary_ref"]),
+        },
+        "trip": {"unique_trip_ids": one(n["own"] > 1), "narratives_cover_all_trips": one((n["own"] > 0) != (n["narrative"] > 0)), "secondary_references_valid": F.when(missing, n["secondary_ref"])},
+        "place": {"visit_references_valid": F.when(missing, n["visit_ref"])},
+        "region": {"visit_references_valid": F.when(missing, n["visit_ref"])},
+    }
+    item = lambda name, value: F.struct(name.alias("check_name"), F.coalesce(value, F.lit(0)).cast("long").alias("failures"))
+    fails = F.when(F.col("space") == "check", F.array(item(F.col("key"), n["own"]))).when(F.col("space") == "rows", F.array(item(F.concat(F.lit("/"), "key"), n["own"])))
+    for space, own in rules.items():
+        fails = fails.when(F.col("space") == space, F.array(*[item(F.lit(name), value) for name, value in own.items()]))
+    each = counts.select(F.explode(F.filter(fails, lambda x: x["failures"] > 0)).alias("x")).select("x.*")
+    return each.groupBy("check_name").agg(F.sum("failures").alias("failures"))
+
+
+def _mentions_judged(mentions: DataFrame, posts: DataFrame) -> DataFrame:
+    """(check_name, failures) of mentions against the text of their post and against the mention before: one join, one pass."""
+    content = posts.groupBy("post_id").agg(F.first("content").alias("content"))
+    before = F.lag("end").over(W.partitionBy("post_id").orderBy("start", "end"))
+    met = mentions.select("post_id", "start", "end", "text", before.alias("_before")).join(content, "post_id", "left")
+    piece = F.substring(F.col("content"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    ok = (F.col("start") >= 0) & (F.col("end") <= F.length("content")) & (piece == F.col("text"))
+    counts = met.agg(F.count_if(~F.coalesce(ok, F.lit(False))).alias("mention_slices_valid"), F.count_if(F.col("start") < F.col("_before")).alias("mention_overlap_free"), F.count("*").alias("/mentions"))
+    return counts.unpivot([], list(counts.columns), "check_name", "failures")
+
+
+def _narratives_judged(narratives: DataFrame, trips: DataFrame, entities: DataFrame) -> DataFrame:
+    """(check_name, failures): narratives that name visits or themes that their trip lacks, or themes that are no entity."""
+    told = narratives.select("trip_id", "highlight_ids", F.col("theme_ids").alias("told")).join(trips.select("trip_id", "visit_ids", "theme_ids"), "trip_id")
+    strange = F.size(F.array_except("highlight_ids", "visit_ids")) + F.size(F.array_except("told", "theme_ids")) > 0
+    named = told.select("trip_id", strange.alias("_strange"), F.explode_outer("told").alias("entity_id")).join(entities.select("entity_id", F.lit(True).alias("_known")), "entity_id", "left")
+    bad = named.where(F.coalesce("_strange", F.lit(False)) | (F.col("entity_id").isNotNull() & F.col("_known").isNull()))
+    return bad.agg(F.lit("narrative_ids_valid").alias("check_name"), F.count_distinct("trip_id").alias("failures"))
+
+
 def final_audit(t: dict[str, DataFrame], blocked: list[str], warnings: dict[str, DataFrame] | None = None) -> DataFrame:
     """(check_name, failures, examined, status) of the twenty checks of finished tables, of the warnings, and overall.
 
@@ -96,49 +208,25 @@ def final_audit(t: dict[str, DataFrame], blocked: list[str], warnings: dict[str,
     text, entity_id), entities (entity_id), places (place_id, lon, lat), regions (region_id), visits (visit_id, start, end, post_ids,
     place_id, candidate_ids, region_id, eligibility, method), roles (post_id, visit_ids), trips (trip_id, start, end, visit_ids, route, post_ids,
     theme_ids), narratives (trip_id, highlight_ids, theme_ids), candidates (trip_id, visit_id), contexts (trip_id, post_id, visit_id,
-    other_trip_id). A check passes without failures; a warning never fails.
+    other_trip_id). A check passes without failures; a warning never fails. Every row says once what it has to say of all keys
+    it holds, and one aggregation by key judges them; mentions meet their texts and narratives their trips in a join each. So no table is
+    read more than twice. A null key refers to nothing; values are compared as JSON.
     """
     c = F.col
-    source, located, posts, visits, trips, mentions = (t[n] for n in ("source", "located", "posts", "visits", "trips", "mentions"))
-
-    def loose(child: str, column: str, parent: str, key: str, is_array: bool = False) -> DataFrame:
-        return dangling(t[child], column, t[parent], key, is_array).select(F.lit(f"{child}.{column}").alias("at"))
-
-    def refers(*links: tuple) -> DataFrame:
-        return reduce(DataFrame.unionByName, [loose(*x) for x in links])
-
-    sizes = reduce(DataFrame.unionByName, [t[n].agg(F.count("*").alias("n")) for n in ("source", "located", "posts")]).agg((F.max("n") - F.min("n")).alias("n"))
-    members = trips.select("trip_id", F.explode("visit_ids").alias("visit_id"))
-    anchors = visits.where(c("eligibility") == "anchor").select("visit_id")
-    told = t["narratives"].select("trip_id", "highlight_ids", c("theme_ids").alias("told")).join(trips.select("trip_id", "visit_ids", "theme_ids"), "trip_id")
-    strange = F.size(F.array_except("highlight_ids", "visit_ids")) + F.size(F.array_except("told", "theme_ids"))
-    checks = {
-        "post_row_counts_equal": (sizes.where("n > 0"), "posts"),
-        "source_values_preserved": (not_preserved(source, located, [x for x in located.columns if x not in source.columns]), "source"),
-        "located_values_preserved": (not_preserved(located, posts, [x for x in posts.columns if x not in located.columns]), "located"),
-        "unique_post_ids": (not_unique(posts, ["post_id"]), "posts"),
-        "mention_slices_valid": (bad_slices(mentions.join(posts.select("post_id", "content"), "post_id", "left"), "content", "text"), "mentions"),
-        "mention_overlap_free": (mentions.withColumn("_e", F.lag("end").over(W.partitionBy("post_id").orderBy("start", "end"))).where("start < _e"), "mentions"),
-        "place_coordinates_valid": (out_of_range(t["places"]), "places"),
-        "unique_visit_ids": (not_unique(visits, ["visit_id"]), "visits"),
-        "visit_references_valid": (refers(("visits", "post_ids", "posts", "post_id", True), ("visits", "place_id", "places", "place_id"), ("visits", "candidate_ids", "places", "place_id", True), ("visits", "region_id", "regions", "region_id")).unionByName(visits.where(F.coalesce(F.size("post_ids"), F.lit(0)) <= 0).select(F.lit("visits.none").alias("at"))), "visits"),
-        "visit_times_valid": (bad_time_order(visits), "visits"),
-        "no_forbidden_fallback_route_anchors": (visits.where((c("eligibility") == "anchor") & c("method").isin(blocked)), "visits"),
-        "roles_cover_all_posts": (uncovered(posts, t["roles"], "post_id").unionByName(not_unique(t["roles"], ["post_id"]).select("post_id", F.lit("twice").alias("side"))), "roles"),
-        "role_references_valid": (refers(("roles", "post_id", "posts", "post_id"), ("roles", "visit_ids", "visits", "visit_id", True)), "roles"),
-        "unique_trip_ids": (not_unique(trips, ["trip_id"]), "trips"),
-        "trip_references_valid": (refers(("trips", "post_ids", "posts", "post_id", True)).unionByName(members.join(anchors, "visit_id", "left_anti").select(F.lit("trips.visit_ids").alias("at"))).unionByName(not_unique(members, ["visit_id"]).select(F.lit("trips.twice").alias("at"))), "trips"),
-        "trip_times_valid": (bad_time_order(trips), "trips"),
-        "trip_routes_valid": (misaligned(trips), "trips"),
-        "narrative_ids_valid": (told.where(strange > 0).select("trip_id").unionByName(told.select("trip_id", F.explode("told").alias("entity_id")).join(t["entities"].select("entity_id"), "entity_id", "left_anti").select("trip_id")).distinct(), "narratives"),
-        "secondary_references_valid": (refers(("candidates", "trip_id", "trips", "trip_id"), ("candidates", "visit_id", "visits", "visit_id"), ("contexts", "trip_id", "trips", "trip_id"), ("contexts", "post_id", "posts", "post_id"), ("contexts", "visit_id", "visits", "visit_id"), ("contexts", "other_trip_id", "trips", "trip_id")), "candidates"),
-        "narratives_cover_all_trips": (uncovered(trips, t["narratives"], "trip_id"), "narratives"),
-    }
-    rows = [failing.agg(F.lit(n).alias("check_name"), F.count("*").alias("failures"), F.lit(at).alias("_at"), F.lit(False).alias("_warn")) for n, (failing, at) in checks.items()]
-    rows += [df.agg(F.lit(n).alias("check_name"), F.count("*").alias("failures"), F.lit(None).cast("string").alias("_at"), F.lit(True).alias("_warn")) for n, df in (warnings or {}).items()]
-    examined = reduce(DataFrame.unionByName, [t[n].agg(F.lit(n).alias("_at"), F.count("*").alias("examined")) for n in sorted({at for _, at in checks.values()})])
+    judged = [_judged(_said(t, blocked)), _mentions_judged(t["mentions"], t["posts"]), _narratives_judged(t["narratives"], t["trips"], t["entities"])]
+    found = written(reduce(DataFrame.unionByName, judged))  # a row for each check that fails, and each table
+    spark = found.sparkSession
+    sizes = found.where("check_name LIKE '/%'").select(F.substring("check_name", 2, 100).alias("_at"), c("failures").alias("examined"))
+    posts = sizes.where(c("_at").isin("source", "located", "posts")).agg(F.lit("post_row_counts_equal").alias("check_name"), (F.count_distinct("examined") + F.when(F.count("*") < 3, F.count("*")).otherwise(0) > 1).cast("long").alias("failures"))
+    named = spark.createDataFrame(list(CHECKS.items()), "check_name string, _at string").withColumn("_warn", F.lit(False))
+    failures = found.unionByName(posts)
+    if warnings:
+        failures = failures.unionByName(reduce(DataFrame.unionByName, [df.agg(F.lit(n).alias("check_name"), F.count("*").alias("failures")) for n, df in warnings.items()]))
+        named = named.unionByName(spark.createDataFrame([(n, None, True) for n in warnings], named.schema))
+    rows = named.join(failures, "check_name", "left").join(sizes, "_at", "left").withColumn("failures", F.coalesce("failures", F.lit(0)))
     status = F.when(c("failures") == 0, "pass").when(c("_warn"), "warning").otherwise("fail")
-    each = written(reduce(DataFrame.unionByName, rows).join(examined, "_at", "left").select("check_name", "failures", "examined", status.alias("status")))
+    examined = F.when(~c("_warn"), F.coalesce("examined", F.lit(0)))
+    each = written(rows.select("check_name", "failures", examined.alias("examined"), status.alias("status")))
     overall = each.agg(F.lit("overall").alias("check_name"), F.sum(F.when(c("status") == "fail", c("failures")).otherwise(0)).alias("failures"), F.lit(None).cast("long").alias("examined"), F.when(F.bool_and(c("status") != "fail"), "pass").otherwise("fail").alias("status"))
     return each.unionByName(overall)
 

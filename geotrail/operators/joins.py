@@ -155,28 +155,55 @@ def revisits(members: DataFrame, visits: DataFrame) -> DataFrame:
     return found.join(members.select("trip_id", "visit_id"), ["trip_id", "visit_id"], "left_anti").join(other, "visit_id", "left")
 
 
-def st_pairs(visits: DataFrame, days: float, km: float, key: str = "visit_id", time: str = "t") -> DataFrame:
+def dealt(a: DataFrame, b: DataFrame, cell: list[str], key: str, block: int = 2000) -> tuple[DataFrame, DataFrame, list[str]]:
+    """a and b with the columns to join them on: the cell and a pair of blocks of it.
+
+    A cell with more than block rows of either side is cut by a hash of key, and every block of one side meets every block of the
+    other as a unit of work of its own. So units hold at most about block rows of each side, however many lie in a cell, and a row is
+    repeated for the blocks that it meets only. What is joined to find the blocks has a row for each large cell.
+    """
+
+    def large(df: DataFrame, name: str) -> DataFrame:
+        counts = df.groupBy(*cell).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
+        return written(counts.select(*cell, F.ceil(F.col("_n") / block).cast("int").alias(name)))
+
+    parts = large(a, "_pa"), large(b, "_pb")
+
+    def placed(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        for p in parts:
+            df = df.join(p, cell, "left")
+        n, m = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
+        return df.withColumn(mine, F.pmod(F.xxhash64(key), n).cast("int")).withColumn(theirs, F.explode(F.sequence(F.lit(0), m - 1))).drop("_pa", "_pb")
+
+    return placed(a, "_pa", "_pb", "_i", "_j"), placed(b, "_pb", "_pa", "_j", "_i"), [*cell, "_i", "_j"]
+
+
+def st_pairs(visits: DataFrame, days: float, km: float, key: str = "visit_id", time: str = "t", block: int = 2000) -> DataFrame:
     """(left, right, gap_days, km): unordered pairs within days and km, left < right.
 
-    Every visit looks for later ones, in its own and the next span of time and in the grid cells around it.
+    Every visit looks for later ones, in its own and the next span of time and in the grid cells around it; crowded cells
+    are dealt block by block.
     """
     base = visits.select(F.col(key).alias("_id"), F.col(time).alias("_t"), "lon", "lat").withColumn("_b", F.floor(F.col("_t") / int(days * DAY)))
-    a = with_cells_around(base.withColumn("_b", F.explode(F.array(F.col("_b"), F.col("_b") + 1))), km).alias("a")
-    b = with_cell(base, km).alias("b")
+    a = with_cells_around(base.withColumn("_b", F.explode(F.array(F.col("_b"), F.col("_b") + 1))), km)
+    a, b, on = dealt(a, with_cell(base, km), ["_b", "_y", "_x"], "_id", block)
+    a, b = a.alias("a"), b.alias("b")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on])
     later = (F.col("a._t") < F.col("b._t")) | ((F.col("a._t") == F.col("b._t")) & (F.col("a._id") < F.col("b._id")))
-    met = a.join(b, (F.col("a._b") == F.col("b._b")) & (F.col("a._y") == F.col("b._y")) & (F.col("a._x") == F.col("b._x")) & later)
+    met = a.join(b, same & later)
     gap, dist = (F.col("b._t") - F.col("a._t")) / DAY, haversine(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat"))
     out = met.select(F.least("a._id", "b._id").alias("left"), F.greatest("a._id", "b._id").alias("right"), gap.alias("gap_days"), dist.alias("km"))
     return out.where((F.col("gap_days") <= days) & (F.col("km") <= km))
 
 
-def st_near(rows: DataFrame, others: DataFrame, days: float, km: float) -> DataFrame:
+def st_near(rows: DataFrame, others: DataFrame, days: float, km: float, block: int = 2000) -> DataFrame:
     """(left, right) of rows and others (id, t, lon, lat): those within days and km, either way in time, except a row itself."""
     span = int(days * DAY)
     bucket = F.floor(F.col("t") / span)
-    a = with_cells_around(rows.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1))), km).alias("a")
-    b = with_cell(others.withColumn("_b", bucket), km).alias("b")
-    met = a.join(b, (F.col("a._b") == F.col("b._b")) & (F.col("a._y") == F.col("b._y")) & (F.col("a._x") == F.col("b._x")) & (F.col("a.id") != F.col("b.id")))
+    a = with_cells_around(rows.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1))), km)
+    a, b, on = dealt(a, with_cell(others.withColumn("_b", bucket), km), ["_b", "_y", "_x"], "id", block)
+    a, b = a.alias("a"), b.alias("b")
+    met = a.join(b, reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]) & (F.col("a.id") != F.col("b.id")))
     near = (F.abs(F.col("a.t") - F.col("b.t")) / DAY <= days) & (haversine(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat")) <= km)
     return met.where(near).select(F.col("a.id").alias("left"), F.col("b.id").alias("right"))
 

@@ -42,10 +42,30 @@ def entity_catalog(mentions: DataFrame) -> DataFrame:
     return out.withColumn("match_status", F.when(n == 0, "unmatched").when(n == 1, "unique_high").otherwise("multiple"))
 
 
-def first_seen_catalog(rows: DataFrame, key: list[str], order: list[str], attributes: list[str], post: str = "post_id") -> DataFrame:
-    """Per key the attributes of its first row, and its distinct posts in order."""
-    out = rows.groupBy(*key).agg(F.min_by(F.struct(*attributes), F.struct(*order)).alias("_a"), F.array_sort(F.collect_set(post)).alias("source_posts"))
-    return out.select(*key, "_a.*", "source_posts")
+def paged_lists(rows: DataFrame, key: list[str], value: str, size: int = 10_000, name: str | None = None) -> DataFrame:
+    """(key, page, values): the distinct non-null values of each key in order, in pages of at most size, numbered from 0.
+
+    The distinct pairs are cut into ranges and counted by range and key; a pair's place follows from the pairs of its key in the
+    ranges before and within its own. So no list and no task grows with what one key has.
+    """
+    pairs = rows.select(*key, value).where(F.col(value).isNotNull()).distinct()
+    ranged = written(pairs.repartitionByRange(*key, value).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy(*key, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*key).orderBy("_range")) - F.col("_n")  # one row for each range that the key has
+    starts = counts.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("_range").alias("_r"), before.alias("_before"))
+    same = reduce(lambda x, y: x & y, [ranged[c].eqNullSafe(starts[f"_{c}"]) for c in key], ranged["_range"] == starts["_r"])
+    place = F.row_number().over(W.partitionBy("_range", *key).orderBy(value)) - 1
+    placed = ranged.withColumn("_i", place).join(starts, same).withColumn("page", F.floor((F.col("_before") + F.col("_i")) / size))
+    return placed.groupBy(*key, "page").agg(F.array_sort(F.collect_list(value)).alias(name or value))
+
+
+def first_seen_catalog(rows: DataFrame, key: list[str], order: list[str], attributes: list[str], post: str = "post_id", size: int = 10_000) -> DataFrame:
+    """(key, attributes, page, source_posts): per key the attributes of its first row, and its distinct posts in order, in pages of at most size; a key without a post has an empty page."""
+    first = rows.groupBy(*key).agg(F.min_by(F.struct(*attributes), F.struct(*order)).alias("_a")).select(*key, "_a.*")
+    pages = paged_lists(rows, key, post, size, "source_posts").withColumnsRenamed({c: f"_{c}" for c in key})
+    same = reduce(lambda x, y: x & y, [first[c].eqNullSafe(pages[f"_{c}"]) for c in key])
+    out = first.join(pages, same, "left").withColumn("page", F.coalesce("page", F.lit(0)))
+    return out.withColumn("source_posts", F.coalesce("source_posts", F.array())).drop(*[f"_{c}" for c in key])
 
 
 def region_name(*names: str) -> Column:

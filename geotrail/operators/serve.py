@@ -11,12 +11,19 @@ from pyspark.sql.window import Window as W
 
 from ..functions.geo import KM, haversine, with_cell, with_cells_around
 from ..sources.io import written
+from .rollups import paged_lists
 
 
-def search_trips(trips: DataFrame, text: str | None = None, years: tuple[int, int] | None = None, province: str | None = None, city: str | None = None, kind: str | None = None) -> DataFrame:
-    """Trips (text, year, provinces, cities, kind, start) that meet all conditions given, by start and id."""
+def search_trips(trips: DataFrame, text: str | None = None, years: tuple[int, int] | None = None, province: str | None = None, city: str | None = None, kind: str | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Trips (text, year, provinces, cities, kind, start) that meet all conditions given, by start and id.
+
+    With an index() of the texts, a text of GRAM letters or more is looked up there, and only the trips found are read for it.
+    """
     out = trips
     if text:
+        found = indexed(index, text.lower()) if index is not None else None
+        if found is not None:
+            out = out.join(found, "trip_id", "left_semi")
         out = out.where(F.contains("text", F.lit(text.lower())))
     if years:
         out = out.where(F.col("year").between(*years))
@@ -29,6 +36,44 @@ def search_trips(trips: DataFrame, text: str | None = None, years: tuple[int, in
     return out.orderBy("start", "trip_id")
 
 
+#: Letters of an index entry; folders that the entries are dealt to; entries of a query that are looked up, the rarest.
+GRAM, FOLDERS, LOOKED_UP = 3, 64, 4
+
+
+def _folder(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(FOLDERS)).cast("int")
+
+
+def index(documents: DataFrame) -> DataFrame:
+    """(gram, trip_id, n, trips, folder): a written index of documents (trip_id, text): every sequence of GRAM letters with the trips that hold it, how often, and how many do.
+
+    It is partitioned by folder, so that a look-up reads the folders of its sequences only.
+    """
+    places = F.when(F.length("text") >= GRAM, F.sequence(F.lit(1), F.length("text") - GRAM + 1))
+    grams = documents.select("trip_id", F.explode(F.transform(places, lambda k: F.substring(F.col("text"), k, F.lit(GRAM)))).alias("gram"))
+    postings = grams.groupBy("gram", "trip_id").agg(F.count("*").alias("n"))
+    postings = written(postings)
+    sized = postings.join(postings.groupBy("gram").agg(F.count("*").alias("trips")), "gram")
+    return written(sized.withColumn("folder", _folder(F.col("gram"))).repartitionByRange("folder", "gram", "trip_id"), "folder")
+
+
+def indexed(index: DataFrame, text: str) -> DataFrame | None:
+    """(trip_id) of the trips that hold the rarest sequences of a text as often as it does, so of all that hold the text; None where it is too short."""
+    wanted: dict[str, int] = {}
+    for k in range(len(text) - GRAM + 1):
+        wanted[text[k : k + GRAM]] = wanted.get(text[k : k + GRAM], 0) + 1
+    if not wanted:
+        return None
+    spark = index.sparkSession
+    grams = spark.createDataFrame(list(wanted.items()), "gram string, least long").withColumn("folder", _folder(F.col("gram")))
+    folders = [r["folder"] for r in grams.select("folder").distinct().collect()]
+    there = index.where(F.col("folder").isin(folders) & F.col("gram").isin(list(wanted)))
+    counts = {r["gram"]: r["trips"] for r in there.groupBy("gram").agg(F.first("trips").alias("trips")).collect()}
+    rarest = sorted(wanted, key=lambda g: (counts.get(g, 0), g))[:LOOKED_UP]
+    held = there.where(F.col("gram").isin(rarest)).join(grams.select("gram", "least"), "gram").where(F.col("n") >= F.col("least"))
+    return held.groupBy("trip_id").agg(F.count("*").alias("_n")).where(F.col("_n") == len(rarest)).select("trip_id")
+
+
 def search_documents(trips: DataFrame, parts: list[DataFrame]) -> DataFrame:
     """(trip_id, text): one lower-case text per trip from its title and ordered parts (trip_id, position, text), white space removed."""
     rows = trips.select("trip_id", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("position"), F.col("title").alias("text"))
@@ -46,11 +91,13 @@ def region_option(visits: DataFrame, regions: DataFrame, places: DataFrame) -> D
     return out.select("visit_id", F.coalesce(key("region_province", "region_city"), key("place_province", "place_city"), wide).alias("region_key"))
 
 
-def place_pages(places: DataFrame, visits: DataFrame, members: DataFrame) -> DataFrame:
-    """(place_id, posts, trips): each place's distinct posts and the trips that hold a visit there."""
-    rows = visits.join(members, "visit_id", "left")
-    lists = rows.groupBy("place_id").agg(F.array_sort(F.collect_set("post_id")).alias("posts"), F.array_sort(F.collect_set("trip_id")).alias("trips"))
-    return places.select("place_id").join(lists, "place_id", "left").withColumns({c: F.coalesce(c, F.array()) for c in ("posts", "trips")})
+def place_pages(places: DataFrame, visits: DataFrame, members: DataFrame, size: int = 10_000) -> DataFrame:
+    """(place_id, kind, page, ids): each place's distinct posts, and the trips that hold a visit there, in pages of at most size; a place without any has an empty page."""
+    posts = visits.select("place_id", F.lit("post").alias("kind"), F.col("post_id").cast("string").alias("id"))
+    trips = visits.join(members, "visit_id").select("place_id", F.lit("trip").alias("kind"), F.col("trip_id").cast("string").alias("id"))
+    pages = paged_lists(posts.unionByName(trips), ["place_id", "kind"], "id", size, "ids")
+    kinds = places.select("place_id", F.explode(F.array(F.lit("post"), F.lit("trip"))).alias("kind"))
+    return kinds.join(pages, ["place_id", "kind"], "left").withColumns({"page": F.coalesce("page", F.lit(0)), "ids": F.coalesce("ids", F.array().cast("array<string>"))})
 
 
 def region_pages(posts: DataFrame, region: str, order: list[Column], n: int = 6) -> DataFrame:

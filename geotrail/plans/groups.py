@@ -37,19 +37,24 @@ def h02_entity_catalog(t: Inputs):
     return out.select("entity_id", F.concat_ws("|", "aliases").alias("aliases"), F.concat_ws("|", "methods").alias("methods"), "occurrences", "posts", "max_confidence", "match_status")
 
 
-@query("SELECT place_id, arg_min(lon, visit_id) AS lon, arg_min(lat, visit_id) AS lat, arg_min(kind, visit_id) AS kind, count(DISTINCT city) AS posts FROM fx_visits GROUP BY 1")
+@query("""
+    WITH f AS (SELECT place_id, arg_min(lon, visit_id) AS lon, arg_min(lat, visit_id) AS lat, arg_min(kind, visit_id) AS kind FROM fx_visits GROUP BY 1),
+         p AS (SELECT place_id, visit_id, (row_number() OVER (PARTITION BY place_id ORDER BY visit_id) - 1) // 20 AS page FROM fx_visits)
+    SELECT place_id, lon, lat, kind, page, string_agg(CAST(visit_id AS STRING), ',' ORDER BY visit_id) AS posts FROM f JOIN p USING (place_id) GROUP BY ALL""")
 def h03_place_catalog(t: Inputs):
-    out = rollups.first_seen_catalog(t.fx_visits, ["place_id"], ["visit_id"], ["lon", "lat", "kind"], "city")
-    return out.select("place_id", "lon", "lat", "kind", F.size("source_posts").cast("long").alias("posts"))
+    out = rollups.first_seen_catalog(t.fx_visits, ["place_id"], ["visit_id"], ["lon", "lat", "kind"], "visit_id", 20)
+    return out.select("place_id", "lon", "lat", "kind", "page", F.concat_ws(",", C("source_posts").cast("array<string>")).alias("posts"))
 
 
-@query("""SELECT province, arg_min(CASE WHEN city % 2 = 0 THEN CAST(city AS STRING) WHEN kind <> 'view' THEN kind ELSE location_key END, visit_id) AS name, string_agg(DISTINCT CAST(place_id AS STRING), ',' ORDER BY CAST(place_id AS STRING)) AS posts
-    FROM fx_visits GROUP BY 1""")
+@query("""
+    WITH f AS (SELECT province, arg_min(CASE WHEN city % 2 = 0 THEN CAST(city AS STRING) WHEN kind <> 'view' THEN kind ELSE location_key END, visit_id) AS name FROM fx_visits GROUP BY 1),
+         d AS (SELECT DISTINCT province, CASE WHEN place_id % 3 > 0 THEN CAST(place_id AS STRING) END AS post FROM fx_visits), p AS (SELECT province, post, (row_number() OVER (PARTITION BY province ORDER BY post) - 1) // 7 AS page FROM d WHERE post IS NOT NULL)
+    SELECT f.province, name, coalesce(page, 0) AS page, coalesce(string_agg(post, ',' ORDER BY post), '') AS posts FROM f LEFT JOIN p USING (province) GROUP BY ALL""")
 def h04_region_catalog(t: Inputs):
     rows = t.fx_visits.withColumn("a", F.when(C("city") % 2 == 0, C("city").cast("string")).otherwise(" ")).withColumn("b", F.when(C("kind") != "view", C("kind")))
-    rows = rows.withColumn("name", rollups.region_name("a", "b", "location_key")).withColumn("post_id", C("place_id").cast("string"))
-    out = rollups.first_seen_catalog(rows, ["province"], ["visit_id"], ["name"])
-    return out.select("province", "name", F.concat_ws(",", "source_posts").alias("posts"))
+    rows = rows.withColumn("name", rollups.region_name("a", "b", "location_key")).withColumn("post_id", F.when(C("place_id") % 3 > 0, C("place_id").cast("string")))
+    out = rollups.first_seen_catalog(rows, ["province"], ["visit_id"], ["name"], size=7)
+    return out.select("province", "name", "page", F.concat_ws(",", "source_posts").alias("posts"))
 
 
 @query("SELECT v AS value, (SELECT count(*) FROM orders WHERE o_orderstatus = v) AS n FROM (SELECT unnest(['F', 'O', 'P', 'X']) AS v)")

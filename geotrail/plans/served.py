@@ -190,7 +190,8 @@ def n01_trip_search(t: Inputs):
     m = members(t).join(t.fx_visits.select("visit_id", "kind", "province"), "visit_id")
     trips = m.groupBy("trip_id").agg(F.min("t").alias("start"), F.collect_set("province").alias("provinces"), F.array_sort(F.collect_list(F.struct("t", "visit_id", "kind"))).alias("l"))
     trips = trips.select("trip_id", "start", "provinces", F.concat_ws(" ", F.transform("l", lambda x: x["kind"])).alias("text"), F.year(F.timestamp_micros("start")).alias("year"))
-    return serve.search_trips(trips, text="click view", years=(2020, 2030), province=3).select("trip_id", "start")
+    trips = stored(trips)
+    return serve.search_trips(trips, text="click view", years=(2020, 2030), province=3, index=serve.index(trips)).select("trip_id", "start")
 
 
 @query(f"""
@@ -214,12 +215,13 @@ def n03_region_option(t: Inputs):
 
 
 @query(f"""
-    SELECT c_custkey AS place_id, coalesce(posts, '') AS posts, coalesce(trips, 0) AS trips FROM customer LEFT JOIN (
-        SELECT v.place_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS posts, count(DISTINCT trip_id) AS trips FROM fx_visits v LEFT JOIN {MEMBERS} m USING (visit_id) GROUP BY 1) ON place_id = c_custkey""")
+    WITH d AS (SELECT DISTINCT place_id, 'post' AS kind, kind AS id FROM fx_visits UNION ALL SELECT DISTINCT v.place_id, 'trip', trip_id FROM fx_visits v JOIN {MEMBERS} m USING (visit_id)),
+         p AS (SELECT *, (row_number() OVER (PARTITION BY place_id, kind ORDER BY id) - 1) // 3 AS page FROM d), k AS (SELECT c_custkey AS place_id, unnest(['post', 'trip']) AS kind FROM customer)
+    SELECT place_id, kind, coalesce(page, 0) AS page, coalesce(string_agg(id, ',' ORDER BY id), '') AS ids FROM k LEFT JOIN p USING (place_id, kind) GROUP BY ALL""")
 def n04_place_pages(t: Inputs):
     visits = t.fx_visits.select("visit_id", "place_id", C("kind").alias("post_id"))
-    out = serve.place_pages(t.customer.select(C("c_custkey").alias("place_id")), visits, members(t).select("visit_id", "trip_id"))
-    return out.select("place_id", F.concat_ws(",", "posts").alias("posts"), F.size("trips").cast("long").alias("trips"))
+    out = serve.place_pages(t.customer.select(C("c_custkey").alias("place_id")), visits, members(t).select("visit_id", "trip_id"), 3)
+    return out.withColumn("ids", F.concat_ws(",", "ids"))
 
 
 @query("SELECT doc_id, source, position FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS position FROM documents) WHERE position <= 6")
@@ -347,31 +349,36 @@ def v11_row_parity(t: Inputs):
     return audit.row_parity({"orders": t.orders, "open": t.orders.where("o_orderstatus = 'O'")})
 
 
-#: What is wrong in the tables of v12, and how often: a count for each check, and the table that it examines.
+#: What is wrong in the tables of v12, and how often: a count for each check, and the table that it examines. Some posts, visits and trips are there twice.
 FIRST = "regexp_extract(text, '^[^ ]*', 0)"
+TWICE = {"post": "doc_id % 97 = 0", "visit": "visit_id % 89 = 0", "trip": "start % 7 = 0"}
+TRIP_SIZES = f"(SELECT trip_id, min(t) AS start, count(*) AS n FROM {MEMBERS} GROUP BY 1)"
+VISIT_ROWS = f"(SELECT v.* FROM fx_visits v JOIN (SELECT unnest([1, 2]) AS copy) ON copy = 1 OR {TWICE['visit']})"
+TRIP_ROWS = f"(SELECT s.* FROM {TRIP_SIZES} s JOIN (SELECT unnest([1, 2]) AS copy) ON copy = 1 OR {TWICE['trip']})"
 WRONG = {
-    "post_row_counts_equal": ("0", "documents"),
+    "post_row_counts_equal": (f"(SELECT (count(*) FILTER ({TWICE['post']}) > 0)::INT FROM documents)", "POSTS"),
     "source_values_preserved": ("(SELECT 2 * count(*) FILTER (lang = 'fr') FROM documents)", "documents"),
-    "located_values_preserved": ("0", "documents"),
-    "unique_post_ids": ("0", "documents"),
+    "located_values_preserved": (f"(SELECT count(*) FILTER ({TWICE['post']}) FROM documents)", "documents"),
+    "unique_post_ids": (f"(SELECT count(*) FILTER ({TWICE['post']}) FROM documents)", "POSTS"),
     "mention_slices_valid": (f"(SELECT count(*) FILTER (lang = 'de') FROM documents WHERE {FIRST} <> '')", "MENTIONS"),
     "mention_overlap_free": (f"(SELECT count(*) FILTER (lang = 'es') FROM documents WHERE {FIRST} <> '')", "MENTIONS"),
     "place_coordinates_valid": ("(SELECT count(*) FILTER (c_mktsegment = 'BUILDING') FROM customer)", "customer"),
-    "unique_visit_ids": ("0", "fx_visits"),
-    "visit_references_valid": ("(SELECT count(*) FILTER (visit_id NOT IN (SELECT doc_id FROM documents)) + count(*) FILTER (place_id NOT IN (SELECT c_custkey FROM customer)) + count(*) FILTER (city NOT IN (SELECT n_nationkey FROM nation)) FROM fx_visits)", "fx_visits"),
-    "visit_times_valid": ("(SELECT count(*) FILTER (kind = 'error') FROM fx_visits)", "fx_visits"),
-    "no_forbidden_fallback_route_anchors": ("(SELECT count(*) FILTER (eligibility = 'anchor' AND kind = 'view') FROM fx_visits)", "fx_visits"),
+    "unique_visit_ids": (f"(SELECT count(*) FILTER ({TWICE['visit']}) FROM fx_visits)", "VISITS"),
+    "visit_references_valid": (f"(SELECT count(*) FILTER (visit_id NOT IN (SELECT doc_id FROM documents)) + count(*) FILTER (place_id NOT IN (SELECT c_custkey FROM customer)) + count(*) FILTER (city NOT IN (SELECT n_nationkey FROM nation)) FROM {VISIT_ROWS})", "VISITS"),
+    "visit_times_valid": (f"(SELECT count(*) FILTER (kind = 'error') FROM {VISIT_ROWS})", "VISITS"),
+    "no_forbidden_fallback_route_anchors": (f"(SELECT count(*) FILTER (eligibility = 'anchor' AND kind = 'view') FROM {VISIT_ROWS})", "VISITS"),
     "roles_cover_all_posts": ("(SELECT count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) FROM documents)", "labels"),
     "role_references_valid": ("(SELECT count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM documents)) + count(*) FILTER (doc_id NOT IN (SELECT visit_id FROM fx_visits)) FROM labels)", "labels"),
-    "unique_trip_ids": ("0", "TRIPS"),
-    "trip_references_valid": (f"(SELECT count(*) FILTER (visit_id NOT IN (SELECT doc_id FROM documents)) FROM {MEMBERS})", "TRIPS"),
-    "trip_times_valid": ("0", "TRIPS"),
-    "trip_routes_valid": (f"(SELECT count(*) FILTER (n < 2) FROM (SELECT count(*) AS n FROM {MEMBERS} GROUP BY trip_id))", "TRIPS"),
-    "narrative_ids_valid": (f"(SELECT count(*) FILTER (n > 20) FROM (SELECT count(*) AS n FROM {MEMBERS} GROUP BY trip_id))", "TRIPS"),
+    "unique_trip_ids": (f"(SELECT count(*) FILTER ({TWICE['trip']}) FROM {TRIP_SIZES})", "TRIPS"),
+    "trip_references_valid": (f"(SELECT sum(CASE WHEN {TWICE['trip']} THEN 2 ELSE 1 END * (visit_id NOT IN (SELECT doc_id FROM documents))::INT + ({TWICE['trip']})::INT)::BIGINT FROM {MEMBERS} JOIN {TRIP_SIZES} USING (trip_id))", "TRIPS"),
+    "trip_times_valid": (f"(SELECT count(*) FILTER (start % 5 = 0) FROM {TRIP_ROWS})", "TRIPS"),
+    "trip_routes_valid": (f"(SELECT count(*) FILTER (n < 2) FROM {TRIP_ROWS})", "TRIPS"),
+    "narrative_ids_valid": (f"(SELECT count(*) FILTER (n > 20 AND start % 11 > 0) FROM {TRIP_SIZES})", "NARRATIVES"),
     "secondary_references_valid": ("(SELECT count(*) FROM fx_visits WHERE eligibility = 'candidate')", "CANDIDATES"),
-    "narratives_cover_all_trips": ("0", "TRIPS"),
+    "narratives_cover_all_trips": (f"(SELECT count(*) FILTER (start % 11 = 0) FROM {TRIP_SIZES})", "NARRATIVES"),
 }
-SIZES = {"MENTIONS": f"(SELECT count(*) + count(*) FILTER (lang = 'es') FROM documents WHERE {FIRST} <> '')", "TRIPS": f"(SELECT count(DISTINCT trip_id) FROM {MEMBERS})", "CANDIDATES": "(SELECT count(*) FROM fx_visits WHERE eligibility = 'candidate')"}
+SIZES = {"MENTIONS": f"(SELECT count(*) + count(*) FILTER (lang = 'es') FROM documents WHERE {FIRST} <> '')", "TRIPS": f"(SELECT count(*) FROM {TRIP_ROWS})", "NARRATIVES": f"(SELECT count(*) FROM {TRIP_SIZES} WHERE start % 11 > 0)", "VISITS": f"(SELECT count(*) FROM {VISIT_ROWS})",
+         "POSTS": f"(SELECT count(*) + count(*) FILTER ({TWICE['post']}) FROM documents)", "CANDIDATES": "(SELECT count(*) FROM fx_visits WHERE eligibility = 'candidate')"}
 AUDITED = " UNION ALL ".join(
     f"SELECT '{name}' AS check_name, {wrong} AS failures, {SIZES.get(table, f'(SELECT count(*) FROM {table})')} AS examined, false AS warn" for name, (wrong, table) in WRONG.items()
 )
@@ -391,19 +398,21 @@ def v12_audit_report(t: Inputs):
         "visit_id", C("t").alias("start"), F.when(C("kind") == "error", C("t") - 1).otherwise(C("t")).alias("end"), ids("visit_id").alias("post_ids"), "place_id", F.array().cast("array<bigint>").alias("candidate_ids"),
         C("city").alias("region_id"), "eligibility", F.when(C("kind") == "view", "time_neighbor").otherwise("scored").alias("method"), "kind", "confidence",
     )
+    copies = lambda df, twice: df.withColumn("_c", F.explode(F.when(F.expr(twice), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("_c")
+    visits = copies(visits, TWICE["visit"])
     step = F.struct("t", "visit_id")
     trips = members(t).groupBy("trip_id").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.array_sort(F.collect_list(step)).alias("route"))
     listed = F.transform("route", lambda r: r["visit_id"])
-    trips = stored(trips.select("trip_id", "start", "end", "route", listed.alias("visit_ids"), listed.alias("post_ids"), F.array(F.lit("e")).alias("theme_ids")))
+    trips = stored(trips.select("trip_id", "start", F.when(C("start") % 5 == 0, C("start") - 1).otherwise(C("end")).alias("end"), "route", listed.alias("visit_ids"), listed.alias("post_ids"), F.array(F.lit("e")).alias("theme_ids")))
     told = F.when(F.size("visit_ids") > 20, F.array(F.lit("e"), F.lit("f"))).otherwise(F.array(F.lit("e")))
     tables = {
         "source": d, "located": d.select("post_id", F.when(C("lang") == "fr", F.concat("content", F.lit("!"))).otherwise(C("content")).alias("content"), "lang", F.lit("r").alias("region")),
-        "mentions": m, "entities": t.spark.createDataFrame([("e",)], "entity_id string"), "visits": visits, "trips": trips, "narratives": trips.select("trip_id", F.slice("visit_ids", 1, 2).alias("highlight_ids"), told.alias("theme_ids")),
+        "mentions": m, "entities": t.spark.createDataFrame([("e",)], "entity_id string"), "visits": visits, "trips": copies(trips, TWICE["trip"]), "narratives": trips.where("start % 11 > 0").select("trip_id", F.slice("visit_ids", 1, 2).alias("highlight_ids"), told.alias("theme_ids")),
         "places": t.customer.select(C("c_custkey").alias("place_id"), F.when(C("c_mktsegment") == "BUILDING", 200.0).otherwise(100.0).alias("lon"), F.lit(1.0).alias("lat")), "regions": t.nation.select(C("n_nationkey").alias("region_id")),
         "roles": t.labels.select(C("doc_id").alias("post_id"), ids("doc_id").alias("visit_ids")), "candidates": t.fx_visits.where("eligibility = 'candidate'").select(F.concat(F.lit("none-"), "place_id").alias("trip_id"), "visit_id"),
         "contexts": trips.select("trip_id", F.lit(None).cast("long").alias("post_id"), F.get("visit_ids", F.lit(0)).alias("visit_id"), C("trip_id").alias("other_trip_id")),
     }
-    tables["posts"] = tables["located"].withColumn("mentions", F.lit(1))
+    tables["posts"] = copies(tables["located"].withColumn("mentions", F.lit(1)), TWICE["post"].replace("doc_id", "post_id"))
     return audit.final_audit(tables, ["time_neighbor", "region", "default"], {"low_confidence": t.fx_visits.where("confidence < 0.52")})
 
 

@@ -22,11 +22,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a written table in the shared folder of the cluster."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df as a written table in the shared folder of the cluster, partitioned by a column if asked."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geotrail.operators import joins, rollups, sequences
+from geotrail.operators import audit, joins, rollups, sequences, serve
 
 C = F.col
 H, D = 3_600_000_000, 86_400_000_000
@@ -154,3 +154,88 @@ def test_overlaps_by_islands(spark):
     # very many spans of one text, none of which meet: each is an island
     many = spark.range(100_000).selectExpr("1 AS post_id", "id * 3 AS start", "id * 3 + 3 AS end", "'x' AS type", "'a' AS term", "0 AS priority", "0.5D AS confidence", "array('m') AS sources")
     assert sequences.resolve_overlaps(many).where("kept").count() == 100_000
+
+
+def test_crowded_cells_are_dealt_in_blocks(spark):
+    rng = random.Random(19)
+    rows = [(k, rng.randrange(0, 10 * D), rng.uniform(100, 102), rng.uniform(30, 31)) for k in range(80)]
+    rows += [(1000 + k, 5 * D + rng.randrange(0, H), 101.0, 30.5 + rng.random() / 1000) for k in range(120)]  # most are in one cell and day
+    df = spark.createDataFrame(rows, "visit_id bigint, t bigint, lon double, lat double")
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and abs(a[1] - b[1]) <= D and km(*a[2:], *b[2:]) <= 50)
+    for block in (10, 2000):
+        assert sorted((r.left, r.right) for r in joins.st_pairs(df, 1, 50, block=block).collect()) == want
+    named = df.withColumnRenamed("visit_id", "id")
+    assert sorted((r.left, r.right) for r in joins.st_near(named, named, 1, 50, block=10).where("left < right").collect()) == want
+    # no unit of work holds more than a few blocks of either side
+    base = df.select(C("visit_id").alias("id"), F.lit(1).alias("c"))
+    a, b, on = joins.dealt(base, base, ["c"], "id", 10)
+    assert a.join(b, on).count() == 200 * 200
+    sizes = [r["count"] for side in (a, b) for r in side.groupBy(*on).count().collect()]
+    assert max(sizes) <= 25 and len(sizes) == 2 * 20 * 20
+
+
+@pytest.mark.parametrize("size", [3, 10_000])
+def test_pages(spark, size):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(0, 60)) for _ in range(400)] + [("c", None), ("d", 1)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(3)
+    want = {}
+    for k in {k for k, _ in rows}:
+        values = sorted({v for x, v in rows if x == k and v is not None})
+        want |= {(k, i // size): values[i : i + size] for i in range(0, len(values), size)}
+    assert {(r.k, r.page): r.v for r in rollups.paged_lists(df, ["k"], "v", size).collect()} == want
+    catalog = rollups.first_seen_catalog(df.withColumn("n", F.lit(1)), ["k"], ["v"], ["n"], "v", size).collect()
+    assert {(r.k, r.page): r.source_posts for r in catalog} == want | {("c", 0): []}
+
+
+def test_texts_by_index(spark):
+    rng = random.Random(4)
+    texts = [(k, "".join(rng.choice("abc é") for _ in range(rng.randrange(0, 40)))) for k in range(150)] + [(900, "aaaa"), (901, "aaa"), (902, None), (903, "ab"), (904, "😀😀😀x")]
+    df = spark.createDataFrame(texts, "trip_id int, text string").withColumn("start", C("trip_id"))
+    index = serve.index(df)
+    for text in ("abc", "aaaa", "ab", "é a", "cabab", "AAA", "zzz", "😀😀😀", "", " "):
+        want = sorted(k for k, x in texts if x is not None and text.lower() in x) if text else sorted(k for k, _ in texts)
+        assert [r.trip_id for r in serve.search_trips(df, text=text, index=index).collect()] == want, text
+    # the look-up reads the folders of its sequences only
+    plan = serve.indexed(index, "abc")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [isnotnull(folder" in plan or "PartitionFilters: [folder" in plan
+
+
+def audited(spark, change=lambda name, rows: rows):
+    schemas = {
+        "source": "post_id int, content string", "located": "post_id int, content string, region string", "posts": "post_id int, content string, region string, n int", "mentions": "post_id int, mention_id string, start int, end int, text string, entity_id string",
+        "entities": "entity_id string", "places": "place_id int, lon double, lat double", "regions": "region_id int", "visits": "visit_id int, start int, end int, post_ids array<int>, place_id int, candidate_ids array<int>, region_id int, eligibility string, method string",
+        "roles": "post_id int, visit_ids array<int>", "trips": "trip_id int, start int, end int, visit_ids array<int>, route array<struct<visit_id:int>>, post_ids array<int>, theme_ids array<string>", "narratives": "trip_id int, highlight_ids array<int>, theme_ids array<string>",
+        "candidates": "trip_id int, visit_id int", "contexts": "trip_id int, post_id int, visit_id int, other_trip_id int",
+    }
+    rows = {
+        "source": [(1, "ab cd"), (2, "x"), (3, None)], "located": [(1, "ab cd", "r"), (2, "x", "r"), (3, None, None)], "posts": [(1, "ab cd", "r", 1), (2, "x", "r", 1), (3, None, None, 1)], "mentions": [(1, "m", 0, 2, "ab", "e"), (1, "n", 3, 5, "cd", "e")],
+        "entities": [("e",)], "places": [(1, 100.0, 30.0), (2, -180.0, 90.0)], "regions": [(1,)], "visits": [(1, 0, 0, [1], 1, [], None, "anchor", "ok"), (2, 0, 1, [1, 2], None, [1, 2], None, "anchor", "ok"), (3, 5, 6, [3], None, None, 1, "candidate", "bad")],
+        "roles": [(1, [1, 2]), (2, None), (3, [3])], "trips": [(1, 0, 5, [1, 2], [(1,), (2,)], [1, 2], ["e"])], "narratives": [(1, [2], ["e"])], "candidates": [(1, 3)], "contexts": [(1, 3, None, 1)],
+    }
+    tables = {n: spark.createDataFrame(change(n, list(rows[n])), s) for n, s in schemas.items()}
+    return {r.check_name: (r.failures, r.examined, r.status) for r in audit.final_audit(tables, ["bad"], {"warned": tables["posts"].where("n > 5")}).collect()}
+
+
+def test_audit_of_sound_tables(spark):
+    got = audited(spark)
+    assert set(got) == {*audit.CHECKS, "warned", "overall"} and {x[0] for x in got.values()} == {0} and {x[2] for x in got.values()} == {"pass"}
+    assert (got["unique_post_ids"][1], got["mention_slices_valid"][1], got["trip_routes_valid"][1], got["warned"][1]) == (3, 2, 1, None)
+
+
+def test_every_check_of_the_audit_fails(spark):
+    more = {
+        "source": [(9, "lost")], "located": [(3, "changed", None)], "posts": [(1, "ab cd", "r", 6), (2, "x", "r", 1)], "mentions": [(2, "o", 0, 1, "y", "e"), (2, "p", 0, 9, "x", "e"), (7, "q", 0, 1, "x", "e")],
+        "places": [(3, 181.0, 0.0), (4, None, 0.0), (5, 0.0, float("nan"))],
+        "visits": [(3, 9, 8, [1, 77], 66, [1, 67], 55, "anchor", "bad"), (4, 0, 0, [], None, None, None, "anchor", None), (5, 0, 0, None, None, None, None, None, None)],
+        "roles": [(1, [1, 88]), (8, [89, 89])], "trips": [(1, 3, 2, [2, 3, 91], [(2,), (3,)], [1, 92], ["e", "f"]), (2, 0, 0, [4], [(4,)], None, None)],
+        "narratives": [(2, [4, 1], ["g"]), (3, None, None), (1, [1], ["f"])], "candidates": [(44, 45), (None, None)], "contexts": [(46, 47, 48, 49)],
+    }
+    got = audited(spark, lambda name, rows: rows + more.get(name, []))
+    want = {  # worked out by hand
+        "post_row_counts_equal": 1, "source_values_preserved": 2, "located_values_preserved": 3, "unique_post_ids": 2, "mention_slices_valid": 3, "mention_overlap_free": 1, "place_coordinates_valid": 3, "unique_visit_ids": 1,
+        "visit_references_valid": 6, "visit_times_valid": 1, "no_forbidden_fallback_route_anchors": 1, "roles_cover_all_posts": 2, "role_references_valid": 4, "unique_trip_ids": 1, "trip_references_valid": 3,
+        "trip_times_valid": 1, "trip_routes_valid": 2, "narrative_ids_valid": 2, "secondary_references_valid": 6, "narratives_cover_all_trips": 1, "warned": 1,
+    }
+    assert {n: x[0] for n, x in got.items() if n != "overall"} == want
+    assert got["warned"][2] == "warning" and got["overall"] == (sum(want.values()) - 1, None, "fail") and got["visit_times_valid"] == (1, 6, "fail")
