@@ -86,16 +86,100 @@ def _tiles(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
-def pip_join(points: DataFrame, polygons: DataFrame, size: float = 1.0, how: str = "inner") -> DataFrame:
-    """Points (lon, lat) with the polygons (rings) that hold them: an equi-join on grid tiles, then the exact test."""
-    box = bbox_of(F.col("rings"))
-    tiled = polygons.withColumn("_box", box).withColumn("_tx", F.explode(_tiles(F.col("_box.west"), F.col("_box.east"), size))).withColumn("_ty", F.explode(_tiles(F.col("_box.south"), F.col("_box.north"), size)))
-    keyed = points.withColumn("_tx", F.floor(F.col("lon") / size)).withColumn("_ty", F.floor(F.col("lat") / size))
-    p, q = keyed.alias("p"), tiled.alias("q")
-    on = (F.col("p._tx") == F.col("q._tx")) & (F.col("p._ty") == F.col("q._ty")) & in_rings(F.col("p.lon"), F.col("p.lat"), F.col("q.rings"))
-    out = p.join(q, on, how)
-    kept = [F.col(f"p.{c}") for c in points.columns]
-    return out.select(*kept) if how in ("left_semi", "left_anti") else out.select(*kept, *[F.col(f"q.{c}") for c in polygons.columns])
+#: A tile of a polygon's cover is cut into so many by so many, so many times.
+FANOUT, LEVELS = 8, 2
+
+
+def _crossings(lon: Column, lat: Column, edges: Column) -> Column:
+    """How many edges (ax, ay, bx, by) a ray from a point towards the east crosses. Low ends count."""
+    hit = lambda e: ((e["ay"] > lat) != (e["by"] > lat)) & (lon < (e["bx"] - e["ax"]) * (lat - e["ay"]) / (e["by"] - e["ay"]) + e["ax"])
+    return F.size(F.filter(edges, hit))
+
+
+def _once(values: Column) -> Column:
+    """Those of the values that occur an odd number of times, in order. Pairs go within short pieces of the sorted values first, so the work stays near linear."""
+    last = lambda acc: F.get(acc, F.size(acc) - 1)
+    step = lambda acc, v: F.when(last(acc) == v, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(v)))
+    fold = lambda xs: F.aggregate(xs, F.array().cast("array<double>"), step)
+    whole = F.array_sort(values)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.size(whole) / 256).cast("int")), lambda k: fold(F.slice(whole, k * 256 + 1, F.lit(256))))
+    return fold(F.flatten(pieces))
+
+
+def _cut(tiles: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
+    """The tiles (..., odd, edges, ends) for the points within x0 to x1, y0 to y1: edges that their rays may or may not cross, and ends of edges to the east.
+
+    Edges that no such ray can cross go. Of edges that lie to the east only the heights of their ends matter: a ray crosses an
+    odd number of them where an odd number of ends lie above it. Where two of them meet the ends cancel out, and what lies above the whole
+    tile only changes whether it is odd.
+    """
+    low, high = lambda e: F.least(e["ay"], e["by"]), lambda e: F.greatest(e["ay"], e["by"])
+
+    def reach(e: Column) -> tuple[Column, Column]:
+        """The edge's least and largest x within the tile's height, a little more."""
+        at = lambda y: (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]
+        ends = at(F.greatest(low(e), y0)), at(F.least(high(e), y1))
+        return F.least(*ends) - 1e-9, F.greatest(*ends) + 1e-9
+
+    east = lambda e: reach(e)[0] > x1
+    there = tiles.withColumn("edges", F.filter("edges", lambda e: (low(e) < y1) & (high(e) > y0) & (reach(e)[1] >= x0)))
+    ends = F.flatten(F.transform(F.filter("edges", east), lambda e: F.array(e["ay"], e["by"])))
+    cut = there.withColumn("ends", F.concat("ends", ends)).withColumn("edges", F.filter("edges", lambda e: ~east(e)))
+    cut = cut.withColumn("odd", F.col("odd") != (F.size(F.filter("ends", lambda y: y >= y1)) % 2 == 1))
+    within = F.filter("ends", lambda y: (y > y0) & (y < y1))
+    return cut.withColumn("ends", _once(within))
+
+
+def polygon_cover(polygons: DataFrame, key: str, size: float = 1.0, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
+    """(key, level, tx, ty, odd, edges, ends): a cover of each polygon by tiles of size * fanout ** level degrees.
+
+    Tiles that lie inside are as large as the levels allow and hold no edges; those that lie outside are left out. Tiles of
+    level 0 that an edge crosses hold the edges that cross them, and what edges to the east add: where their chains end, and whether
+    a ray crosses an odd number of the others.
+    """
+    edge = lambda r: F.transform(F.arrays_zip(F.slice(r, 1, F.size(r) - 1).alias("a"), F.slice(r, 2, F.size(r) - 1).alias("b")), lambda e: F.struct(e["a"]["x"].alias("ax"), e["a"]["y"].alias("ay"), e["b"]["x"].alias("bx"), e["b"]["y"].alias("by")))
+    edges = F.filter(F.flatten(F.transform("rings", lambda r: F.when(F.size(r) > 1, edge(r)).otherwise(F.array().cast("array<struct<ax:double,ay:double,bx:double,by:double>>")))), lambda e: e["ay"] != e["by"])
+    box, top = bbox_of(F.col("rings")), size * fanout**levels
+    tiles = polygons.where(F.size(F.flatten("rings")) > 0).select(key, box.alias("_box"), F.lit(False).alias("odd"), edges.alias("edges"), F.array().cast("array<double>").alias("ends"))
+    tiles = tiles.withColumn("tx", F.explode(_tiles(F.col("_box.west"), F.col("_box.east"), top))).withColumn("ty", F.explode(_tiles(F.col("_box.south"), F.col("_box.north"), top))).drop("_box")
+    found = []
+    for level in range(levels, -1, -1):
+        wide = size * fanout**level
+        cut = _cut(tiles, F.col("tx") * wide, F.col("ty") * wide, (F.col("tx") + 1) * wide, (F.col("ty") + 1) * wide)
+        open_tile = (F.size("edges") > 0) | (F.size("ends") > 0)
+        cut = written(cut.where(open_tile | F.col("odd")).select(key, F.lit(level).alias("level"), "tx", "ty", "odd", "edges", "ends"))
+        if level == 0:
+            found.append(cut)
+            break
+        found.append(cut.where(~open_tile))
+        each = F.sequence(F.lit(0), F.lit(fanout - 1))
+        tiles = cut.where(open_tile).withColumn("_i", F.explode(each)).withColumn("_j", F.explode(each))
+        tiles = tiles.select(key, (F.col("tx") * fanout + F.col("_i")).alias("tx"), (F.col("ty") * fanout + F.col("_j")).alias("ty"), "odd", "edges", "ends")
+    return reduce(DataFrame.unionByName, found)
+
+
+def pip_join(points: DataFrame, polygons: DataFrame, size: float = 1.0, how: str = "inner", fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
+    """Points (lon, lat) with the polygons (rings) that hold them: an equi-join on the tiles of their cover.
+
+    A point looks in one tile of each level. In a tile that lies inside it is held without a test, in another one the tile's
+    edges decide. Rings stay in one row a polygon. how is inner, left_semi or left_anti.
+    """
+    numbered = written(polygons.withColumn("_pid", F.monotonically_increasing_id()))
+    cover = polygon_cover(numbered.select("_pid", "rings"), "_pid", size, fanout, levels).alias("q")
+    places = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("lon") / (size * fanout**k)).alias("tx"), F.floor(F.col("lat") / (size * fanout**k)).alias("ty")) for k in range(levels + 1)])
+    above = F.size(F.filter("q.ends", lambda y: y > F.col("p.lat")))
+    inside = F.col("q.odd") != ((_crossings(F.col("p.lon"), F.col("p.lat"), F.col("q.edges")) + above) % 2 == 1)
+
+    def met(looking: DataFrame) -> DataFrame:
+        p = looking.withColumn("_t", F.explode(places)).alias("p")
+        on = (F.col("p._t.level") == F.col("q.level")) & (F.col("p._t.tx") == F.col("q.tx")) & (F.col("p._t.ty") == F.col("q.ty")) & inside
+        return p.join(cover, on)
+
+    if how == "inner":
+        return met(points).select(*[F.col(f"p.{c}") for c in points.columns], "q._pid").join(numbered, "_pid").drop("_pid")
+    spots = points.select("lon", "lat").distinct()
+    held = met(spots).select(F.col("p.lon").alias("_lon"), F.col("p.lat").alias("_lat")).distinct()
+    return points.join(held, (F.col("lon") == F.col("_lon")) & (F.col("lat") == F.col("_lat")), how)
 
 
 def reverse_geocode(points: DataFrame, cells: DataFrame, parents: DataFrame, decimals: int = 4) -> DataFrame:

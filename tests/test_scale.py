@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from geotrail.functions import geo
 from geotrail.operators import audit, joins, rollups, sequences, serve
 
 C = F.col
@@ -239,3 +240,40 @@ def test_every_check_of_the_audit_fails(spark):
     }
     assert {n: x[0] for n, x in got.items() if n != "overall"} == want
     assert got["warned"][2] == "warning" and got["overall"] == (sum(want.values()) - 1, None, "fail") and got["visit_times_valid"] == (1, 6, "fail")
+
+
+def held(x, y, rings):
+    """Even-odd rule by a ray to the east."""
+    odd = False
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+            if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                odd = not odd
+    return odd
+
+
+def test_cover_of_polygons(spark):
+    rng = random.Random(29)
+
+    def star(cx, cy, r, n):
+        ring = [(cx + r * (0.4 + 0.6 * rng.random()) * math.cos(2 * math.pi * k / n), cy + r * (0.4 + 0.6 * rng.random()) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+        return [*ring, ring[0]]
+
+    def box(x0, y0, x1, y1):
+        return [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+
+    polygons = [(k, [star(rng.uniform(-5, 5), rng.uniform(-5, 5), rng.choice([0.3, 2, 6]), rng.choice([3, 7, 60]))]) for k in range(12)]
+    polygons += [(20, [box(-8, -8, 8, 8), box(-2, -2, 2, 2), star(0, 0, 1, 9)]), (21, [box(-3, 1, 0, 2), box(4, 4, 5, 5)]), (22, [box(0, 0, 1, 1)]), (23, []), (24, [[(1.0, 1.0)]])]
+    points = [(rng.uniform(-9, 9), rng.uniform(-9, 9)) for _ in range(1500)] + [(float(x), float(y)) for x in range(-9, 10) for y in range(-9, 10)] + [polygons[3][1][0][0]] * 2 + [(500.0, 0.0)]
+    df = spark.createDataFrame([(k, [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings]) for k, rings in polygons], "k int, rings array<array<struct<x:double,y:double>>>")
+    pf = spark.createDataFrame([(n, *p) for n, p in enumerate(points)], "n int, lon double, lat double")
+    want = sorted((n, k) for n, (x, y) in enumerate(points) for k, rings in polygons if held(x, y, rings))
+    for size, fanout, levels in ((0.25, 4, 2), (1.0, 8, 2), (3.0, 2, 0)):
+        assert sorted((r.n, r.k) for r in geo.pip_join(pf, df, size, fanout=fanout, levels=levels).collect()) == want
+    assert {r.n for r in geo.pip_join(pf, df, how="left_semi").collect()} == {n for n, _ in want}
+    assert {r.n for r in geo.pip_join(pf, df, how="left_anti").collect()} == {n for n in range(len(points))} - {n for n, _ in want}
+    # a tile holds few of a long ring's edges, and the inside of a large polygon is made of large tiles
+    ring = [(20 * math.cos(k / 500 * math.pi), 20 * math.sin(k / 500 * math.pi)) for k in range(1000)]
+    one = spark.createDataFrame([(1, [[{"x": x, "y": y} for x, y in [*ring, ring[0]]]])], df.schema)
+    cover = geo.polygon_cover(one, "k", 0.5, 4, 2).collect()
+    assert max(len(r.edges) for r in cover) <= 20 and max(len(r.ends) for r in cover) <= 4 and sum(r.level > 0 for r in cover) > 20 and len(cover) < 1500, (len(cover), sum(r.level > 0 for r in cover))
