@@ -217,30 +217,80 @@ def polygons_hit(polygons: DataFrame, points: DataFrame, key: str, size: float =
     return polygons.join(pip_join(points.select("lon", "lat").distinct(), polygons.select(key, "rings"), size).select(key).distinct(), key, "left_semi")
 
 
-def min_distance(rows: DataFrame, anchors: DataFrame, on: list[str], key: str, km: float = 25.0, growth: float = 8.0) -> DataFrame:
-    """(on, key, km): each row's least distance to the anchors of its group; rows of groups without anchors are left out.
-
-    Rows look for anchors in grid cells around them. What lies within km is the nearest; the other rows look again in a
-    grid growth times as coarse, and so on. Anchors at one place count once.
+#: Cells of the tree are cut into so many by so many, so many times; cells with at most so many members are not cut.
+CUT, DEEPEST, BOUND = 8, 7, 64
+
+
+def _tree_cell() -> tuple[Column, Column]:
+    """The smallest cell (tx, ty) of a row's lon and lat in the tree; 180 degrees east belongs to the easternmost one."""
+    n = CUT**DEEPEST
+    at = lambda v, low, size: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((v - low) / size * n))).cast("long")
+    return at(F.col("lon"), -180, 360), at(F.col("lat"), -90, 180)
+
+
+def _cell_bounds(lon: Column, lat: Column, n: Column, tx: Column, ty: Column) -> tuple[Column, Column]:
+    """Kilometers that a place is from every point of a cell at least, and at most, with a little room for rounding."""
+    west, east, south, north = tx * 360.0 / n - 180, (tx + 1) * 360.0 / n - 180, ty * 180.0 / n - 90, (ty + 1) * 180.0 / n - 90
+    around = lambda d: F.least(F.pmod(d, F.lit(360.0)), 360 - F.pmod(d, F.lit(360.0)))
+    beside = F.when(lon.between(west, east), 0.0).otherwise(F.least(around(lon - west), around(lon - east)))
+    above = F.greatest(F.lit(0.0), south - lat, lat - north)
+    # a meridian is reached on the great circle that meets it at a right angle, or at a pole
+    to_meridian = F.when(beside < 90, F.degrees(F.asin(F.least(F.lit(1.0), F.cos(F.radians(lat)) * F.sin(F.radians(beside)))))).otherwise(90 - F.abs(lat))
+    widest = F.when(F.pmod(lon + 180 - west, F.lit(360.0)) <= east - west, 180.0).otherwise(F.greatest(around(lon - west), around(lon - east)))
+    # along the place's own parallel, then along the meridian
+    farthest = widest * F.cos(F.radians(lat)) + F.greatest(F.abs(lat - south), F.abs(north - lat))
+    to_km = KM * math.pi / 180
+    return F.greatest(above, to_meridian) * to_km * 0.999999999 - 1e-6, farthest * to_km * 1.000000001 + 1e-6
+
+
+def nearest(rows: DataFrame, members: DataFrame, on: list[str], key: str, member: str, k: int, penalty: Column | None = None, part: str | None = None, bound: int = BOUND, itself: bool = True) -> DataFrame:
+    """(on, key, member, km, score): candidates that hold each row's k members of least score, km plus penalty, in its group; ties by member.
+
+    penalty depends on the row's columns and the members' column part; with itself, a row is no member of its own. The members of a group and part stand in a tree of
+    cells, each cut until it holds at most bound places or is as small as cells get (about 20 m). A row walks down the trees of its
+    group, level by level: the cells that surely hold k members bound the score, cells that cannot reach it are dropped.
+    At the end a row meets the members of a few cells with bound places each, however dense the members are around it. Of
+    the members at one place only the first k + 1 count. Places without coordinates are left out.
     """
-    points = written(anchors.select(*on, "lon", "lat").distinct())
-    left = written(rows.select(*on, key, "lon", "lat").join(points.select(*on).distinct(), on, "left_semi"))
-    parts = []
-    while True:
-        last = km * growth > math.pi * KM
-        a, b = (left, points) if last else (with_cells_around(left, km), with_cell(points, km))
-        cell = [] if last else ["_y", "_x"]
-        met = a.join(b.select(*on, *cell, F.col("lon").alias("_lon"), F.col("lat").alias("_lat")), [*on, *cell])
-        near = met.groupBy(*on, key).agg(F.min(haversine(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))).alias("km"))
-        found = written(near if last else near.where(F.col("km") <= km))
-        parts.append(found)
-        if last:
-            break
-        left = written(left.join(found, [*on, key], "left_anti"))
-        if not left.limit(1).collect():
+    tree = [*on, *([part] if part else [])]
+    w = W.partitionBy(*tree, "lon", "lat").orderBy(member)
+    spots = members.select(*tree, member, "lon", "lat").where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).withColumn("_i", F.row_number().over(w))
+    spots = written(spots.where(F.col("_i") <= k + 1).drop("_i"))
+    finest = spots.withColumns(dict(zip(("tx", "ty"), _tree_cell(), strict=True))).groupBy(*tree, "tx", "ty").agg(F.count("*").alias("n"))
+    levels = {DEEPEST: written(finest)}
+    for level in range(DEEPEST - 1, -1, -1):
+        up = levels[level + 1].groupBy(*tree, F.floor(F.col("tx") / CUT).alias("tx"), F.floor(F.col("ty") / CUT).alias("ty"))
+        levels[level] = written(up.agg(F.sum("n").alias("n")))
+    seekers = rows.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    own = [c for c in seekers.columns if c not in ("tx", "ty", "n", "level")]
+    cells = seekers.select(*own).join(levels[0], on).withColumn("level", F.lit(0)).withColumn("_more", penalty if penalty is not None else F.lit(0.0))
+    for level in range(DEEPEST + 1):
+        low, high = _cell_bounds(F.col("lon"), F.col("lat"), F.pow(F.lit(float(CUT)), F.col("level")), F.col("tx"), F.col("ty"))
+        bounds = cells.withColumn("_low", low + F.col("_more")).withColumn("_high", high + F.col("_more"))
+        by = W.partitionBy(*on, key)
+        sure = F.sum("n").over(by.orderBy("_high").rangeBetween(W.unboundedPreceding, 0))
+        # the row itself may be one of the members
+        reach = bounds.withColumn("_sure", F.when(sure >= k + 1, F.col("_high"))).withColumn("_reach", F.min("_sure").over(by))
+        kept = written(reach.where(F.col("_reach").isNull() | (F.col("_low") <= F.col("_reach"))).drop("_low", "_high", "_sure", "_reach"))
+        whole = (F.col("n") > bound) & (F.col("level") == level)
+        if level == DEEPEST or not kept.where(whole).limit(1).collect():
             break
-        km *= growth
-    return reduce(DataFrame.unionByName, parts)
+        below = levels[level + 1].select(*tree, F.floor(F.col("tx") / CUT).alias("tx"), F.floor(F.col("ty") / CUT).alias("ty"), F.col("tx").alias("_tx"), F.col("ty").alias("_ty"), F.col("n").alias("_n"))
+        finer = kept.where(whole).join(below, [*tree, "tx", "ty"]).drop("tx", "ty", "n", "level").withColumnsRenamed({"_tx": "tx", "_ty": "ty", "_n": "n"}).withColumn("level", F.lit(level + 1))
+        cells = kept.where(~whole).unionByName(finer)
+    x, y = _tree_cell()
+    places = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(x / CUT ** (DEEPEST - n)).alias("tx"), F.floor(y / CUT ** (DEEPEST - n)).alias("ty")) for n in range(DEEPEST + 1)])
+    there = spots.select(*tree, member, F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), F.explode(places).alias("_c")).select(*tree, member, "_lon", "_lat", "_c.*")
+    met = kept.drop("n").join(there, [*tree, "level", "tx", "ty"]).where(F.col(key) != F.col(member) if itself else F.lit(True))
+    km = haversine(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))
+    return met.select(*on, key, member, km.alias("km"), (km + F.col("_more")).alias("score"))
+
+
+def min_distance(rows: DataFrame, anchors: DataFrame, on: list[str], key: str, bound: int = BOUND) -> DataFrame:
+    """(on, key, km): each row's least distance to the anchors of its group; rows of groups without anchors are left out. Anchors at one place count once."""
+    places = anchors.select(*on, "lon", "lat").distinct().withColumn("_place", F.monotonically_increasing_id())
+    near = nearest(rows.select(*on, F.col(key).alias("_key"), "lon", "lat"), written(places), on, "_key", "_place", 1, bound=bound, itself=False)
+    return near.groupBy(*on, F.col("_key").alias(key)).agg(F.min("km").alias("km"))
 
 
 def distance_bands(candidates: DataFrame, key: str, similarity: float = 0.8) -> DataFrame:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.geo import KM, haversine, with_cell, with_cells_around
+from ..functions.geo import BOUND, haversine, nearest, with_cell, with_cells_around
 from ..sources.io import written
 from .rollups import paged_lists
 
@@ -137,34 +134,19 @@ def neighborhoods(visits: DataFrame, km: float, need: int, group: str = "region_
     return out.withColumn("viable", F.col("neighbors") >= need - 1)
 
 
-def nearest_k(anchors: DataFrame, members: DataFrame, group: str, k: int, year_weight: float = 60.0, seed: int | None = None, km: float = 25.0, growth: float = 8.0) -> DataFrame:
-    """(anchor_id, visit_id, score, rank): each anchor's first members by km and years apart; a seed adds a fixed jitter below 1.
+def nearest_k(anchors: DataFrame, members: DataFrame, group: str, k: int, year_weight: float = 60.0, seed: int | None = None, bound: int = BOUND) -> DataFrame:
+    """(anchor_id, visit_id, score, rank): each anchor's first members by km and years apart, to a millimeter, ties by visit; a seed adds a fixed jitter below 1.
 
-    A score is never below the distance, so an anchor is done once k of the members in the grid cells around it score
-    within the cells' km; the others look again in a grid growth times as coarse, at last in their whole group.
+    An anchor walks down a tree of cells for each year of its group and meets the members of a few cells; see nearest(). With a seed
+    every thousandth of the jitter has its own trees, as a member's jitter is part of its score. Visits without coordinates are left out.
     """
-    m = written(members.select(group, "visit_id", "lon", "lat", F.col("year").alias("_year")))
-    left = written(anchors.select(F.col("visit_id").alias("anchor_id"), group, "lon", "lat", "year"))
     jitter = F.pmod(F.xxhash64(F.lit(seed), "visit_id"), F.lit(1000)) / 1000 if seed is not None else F.lit(0.0)
-    score = haversine(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")) + year_weight * F.abs(F.col("_year") - F.col("year")) + jitter
-    parts = []
-    while True:
-        last = km * growth > math.pi * KM
-        a, b = (left, m) if last else (with_cells_around(left, km), with_cell(m, km))
-        cell = [] if last else ["_y", "_x"]
-        met = a.join(b.withColumnsRenamed({"lon": "_lon", "lat": "_lat"}), [group, *cell]).where("anchor_id <> visit_id").select("anchor_id", "visit_id", score.alias("score"))
-        ranked = met.withColumn("rank", F.row_number().over(W.partitionBy("anchor_id").orderBy("score", "visit_id"))).where(F.col("rank") <= k)
-        if last:
-            parts.append(ranked)
-            break
-        ranked = written(ranked)
-        done = ranked.where((F.col("rank") == k) & (F.col("score") <= km)).select("anchor_id")
-        parts.append(ranked.join(done, "anchor_id", "left_semi"))
-        left = written(left.join(done, "anchor_id", "left_anti"))
-        if not left.limit(1).collect():
-            break
-        km *= growth
-    return reduce(DataFrame.unionByName, parts)
+    m = members.select(group, "visit_id", "lon", "lat", F.struct(F.col("year").alias("year"), jitter.alias("jitter")).alias("_part"))
+    seekers = anchors.select(F.col("visit_id").alias("anchor_id"), group, "lon", "lat", "year")
+    more = year_weight * F.abs(F.col("_part.year") - F.col("year")) + F.col("_part.jitter")
+    near = nearest(seekers, m, [group], "anchor_id", "visit_id", k, more, "_part", bound).withColumn("score", F.round("score", 6))
+    rank = F.row_number().over(W.partitionBy("anchor_id").orderBy("score", "visit_id"))
+    return near.select("anchor_id", "visit_id", "score").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def shortest_order(nodes: DataFrame, group: str, most: int = 7) -> DataFrame:

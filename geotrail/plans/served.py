@@ -260,18 +260,13 @@ def n09_neighborhoods(t: Inputs):
 
 
 @query(f"""
-    SELECT anchor_id, visit_id, score, rank FROM (SELECT a.visit_id AS anchor_id, b.visit_id, round({km('a.lon', 'a.lat', 'b.lon', 'b.lat')} + 60.0 * abs(a.city - b.city), 3) AS score,
-        row_number() OVER (PARTITION BY a.visit_id ORDER BY {km('a.lon', 'a.lat', 'b.lon', 'b.lat')} + 60.0 * abs(a.city - b.city) + b.visit_id / 1e7) AS rank
-        FROM fx_visits a JOIN fx_visits b ON a.province = b.province AND a.visit_id <> b.visit_id WHERE a.visit_id % 50 = 0) WHERE rank <= 5""")
+    WITH x AS (SELECT a.visit_id AS anchor_id, b.visit_id, round({km('a.lon', 'a.lat', 'b.lon', 'b.lat')} + 60.0 * abs(a.city - b.city), 6) AS score
+               FROM fx_visits a JOIN fx_visits b ON a.province = b.province AND a.visit_id <> b.visit_id WHERE a.visit_id % 50 = 0)
+    SELECT * FROM (SELECT anchor_id, visit_id, round(score, 3) AS score, row_number() OVER (PARTITION BY anchor_id ORDER BY score, visit_id) AS rank FROM x) WHERE rank <= 5""")
 def n10_nearest_k(t: Inputs):
     v = t.fx_visits.select("visit_id", "province", "lon", "lat", C("city").alias("year"))
-    spread = v.withColumn("year", C("year") + C("visit_id") / 6e8)  # off ties, below any other difference
-    out = serve.nearest_k(v.where("visit_id % 50 = 0").withColumn("year", C("year") + 0.0), spread, "province", 5)
-    exact = out.join(v.select(C("visit_id").alias("anchor_id"), C("lon").alias("x"), C("lat").alias("y"), C("year").alias("a")), "anchor_id").join(v, "visit_id")
-    from ..functions.geo import haversine
-
-    score = haversine(C("x"), C("y"), C("lon"), C("lat")) + 60.0 * F.abs(C("a") - C("year"))
-    return exact.select("anchor_id", "visit_id", F.round(score, 3).alias("score"), C("rank").cast("long"))
+    out = serve.nearest_k(v.where("visit_id % 50 = 0"), v, "province", 5)
+    return out.select("anchor_id", "visit_id", F.round("score", 3).alias("score"), C("rank").cast("long"))
 
 
 @query(f"""

@@ -58,10 +58,31 @@ def test_nearest_members(spark):
     for r in serve.nearest_k(df.where("visit_id % 10 = 0"), df, "g", 4).collect():
         got.setdefault(r.anchor_id, {})[r["rank"]] = r.visit_id
     for a in rows[::10]:
-        ranked = sorted((km(a[2:4], b[2:4]) + 60 * abs(a[5] - b[5]), b[0]) for b in rows if a[0] != b[0] and a[4] == b[4])[:4]
+        ranked = sorted((round(km(a[2:4], b[2:4]) + 60 * abs(a[5] - b[5]), 6), b[0]) for b in rows if a[0] != b[0] and a[4] == b[4])[:4]
         assert got[a[0]] == {k + 1: b for k, (_, b) in enumerate(ranked)}
 
 
+def test_nearest_in_a_crowd(spark):
+    rng = random.Random(6)
+    rows, _ = table(spark, rng, 40)
+    rows += [(1000 + k, 0, 100.0 + rng.random() / 50, 30.0 + rng.random() / 50, 0, 2) for k in range(400)]  # a dense town
+    rows += [(2000 + k, 0, 100.01, 30.01, 0, rng.randrange(2)) for k in range(60)]  # and one very busy place in it
+    df = spark.createDataFrame(rows, "visit_id bigint, t bigint, lon double, lat double, g int, year int")
+    anchors = [r for r in rows if r[0] % 40 == 0 or r[0] == 2001]
+    some = df.where(df.visit_id.isin([r[0] for r in anchors]))
+    got = {}
+    for r in serve.nearest_k(some, df, "g", 3, bound=4).collect():
+        got.setdefault(r.anchor_id, {})[r["rank"]] = r.visit_id
+    for a in anchors:
+        ranked = sorted((round(km(a[2:4], b[2:4]) + 60 * abs(a[5] - b[5]), 6), b[0]) for b in rows if a[0] != b[0] and a[4] == b[4])[:3]
+        assert got.get(a[0], {}) == {k + 1: b for k, (_, b) in enumerate(ranked)}, a
+    seeded = serve.nearest_k(some, df, "g", 3, seed=5, bound=4).collect()
+    assert len(seeded) == sum(map(len, got.values())) and all(0 <= r.score for r in seeded)
+    # however dense the town is, an anchor meets few members
+    near = geo.nearest(some.select("g", "visit_id", "lon", "lat").withColumnRenamed("visit_id", "anchor_id"), df, ["g"], "anchor_id", "visit_id", 3, bound=4)
+    assert max(r["count"] for r in near.groupBy("anchor_id").count().collect()) <= 80
+
+
 def test_groups_that_are_too_large_keep_a_row(spark):
     nodes = spark.createDataFrame([(g, k, float(k), 0.0) for g, n in ((1, 3), (2, 9)) for k in range(n)], "g int, node bigint, lon double, lat double")
     got = {r.g: (r.status, r.path) for r in serve.shortest_order(nodes, "g").collect()}
