@@ -3,6 +3,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +265,43 @@ def test_only_similar_sizes_merge(spark):
 
 
 assert SCHEMA
+
+
+def test_payloads_that_look_like_tags_and_frames():
+    def back(payload):
+        return mpeg.read_stream(mpeg.write_stream(payload))
+
+    for shift in range(3):  # the sign of a tag at every distance from the end of the stored form
+        for n in range(1500):
+            payload = mpeg.padded(("TAG" * 600)[shift : shift + n])[1]
+            assert back(payload).payload == payload, (shift, n)
+    for n in range(0, 1500, 7):
+        payload = mpeg.padded("x" * n + "TAG" * (1 + n % 50))[1]
+        assert back(payload).payload == payload, n
+    for sign in (b"ID3\x03\0\0\0\0\0\x7f", b"Xing\0\0\0\7", b"Info", b"VBRI", b"\xff\xfa\xe8\xc0", b"\xff\xfb\x90\0" * 3, bytes(range(256))):
+        for n in (1, 3, 50, 333, 1417, 1418, 3000):
+            payload = (sign * (3000 // len(sign) + 1))[:n]
+            got = back(payload)
+            assert got.payload == payload and got.bad == got.skipped == 0, (sign, n)
+    # behind the last frame it is a tag, also if the payload ends like one
+    payload = mpeg.padded("TAG" * 21)[1]
+    tagged = mpeg.read_stream(mpeg.write_stream(payload) + b"TAG" + b"own title".ljust(125, b"\0"))
+    assert tagged.payload == payload and tagged.tags["title"] == "own title" and tagged.skipped == 0
+
+
+def test_languages_of_very_many_letters_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 60_000)))
+    p = langid.Profiles()
+    tracemalloc.start()
+    got = p.vector(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    grams, counts = p.grams(text)
+    some = slice(0, 500)
+    assert (p.product(grams[some]) == p.of(grams[some])).all() and len(grams) > 50_000
+    again = sum(c.astype(float) @ p.product(g).astype(float) for g, c in ((grams[k : k + 1000], counts[k : k + 1000]) for k in range(0, len(grams), 1000)))
+    assert (got == again).all()

@@ -10,6 +10,7 @@ from geotrail.llm.queries import ORACLES, QUERIES
 from ..oracles import SF, assert_same
 from .data import awkward, frame, prose
 from .test_dedup import near_by_force
+from .test_queries import crc, ids_of
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
 
@@ -58,6 +59,15 @@ def test_stages_against_brute_force(spark):
     assert texts[7] == "[secret]"  # 3000 hex digits
     assert all(texts[r.doc_id] == r.text for r in three.collect() if r.doc_id not in (7, 9000))
     five = step("pack", four).collect()
+    pieces, bins = [], {}
+    for r in four.collect():
+        ids = [*ids_of("word_bpe_49k.json", r.text), 1]
+        pieces += [(str(r.doc_id), n, at, len(ids[at : at + 4096]), crc(ids[at : at + 4096])) for n, at in enumerate(range(0, len(ids), 4096))]
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in five) == sorted(pieces)
+    for r in five:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in map(sorted, bins.values()):
+        assert [a for a, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 4096
     assert {r.doc_id for r in five} == set(texts)
 
 

@@ -1,5 +1,6 @@
 """Every query on the small driver tables against an independent computation."""
 
+import base64
 import hashlib
 import os
 import re
@@ -155,4 +156,31 @@ def test_op10(spark):
         assert [s for s in every if not s.startswith("random:")] == base
         assert [int(s.split(":")[1]) for s in every] == sorted(int(s.split(":")[1]) for s in every)
         found += len(base)
+        for a, b in ((int(x), int(y)) for s in every if s.startswith("random:") for x, y in [s.split(":")[1:]]):
+            run = text[a:b]
+            assert len(run) < 2.1 * tokens_by_merging(run) and not any(a < y and x < b for x, _, y in spans)
+            assert not re.fullmatch("[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run)
+            random_ones.add(run)
     assert found
+    assert tokens_by_merging("the") == 1 and tokens_by_merging("zq9Xk") >= 3
+
+
+RANKS: dict = {}
+random_ones: set = set()
+
+
+def tokens_by_merging(run):
+    """Tokens of a run without white space, by merging the pair of least rank again and again."""
+    if not RANKS:
+        with open(TOKENIZERS["byte_bpe_50k.tiktoken"], "rb") as f:
+            RANKS.update((base64.b64decode(a), int(b)) for a, b in map(bytes.split, f))
+    total = 0
+    for piece in re.findall(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+", run):
+        parts = [bytes([b]) for b in piece.encode()]
+        while len(parts) > 1:
+            rank, k = min((RANKS.get(parts[k] + parts[k + 1], 10**9), k) for k in range(len(parts) - 1))
+            if rank == 10**9:
+                break
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        total += len(parts)
+    return total
