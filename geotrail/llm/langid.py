@@ -21,7 +21,7 @@ from .common import held
 DIM, ORDER = 512, 3
 UNKNOWN = "und"
 #: Sequences and letters that a task remembers the vectors of, and sequences it adds up at once.
-MOST, MOST_LETTERS, STEP = 16_000, 8192, 4096
+MOST, MOST_LETTERS, STEP = 16_000, 32_768, 4096
 
 _LETTERS: list[np.ndarray] = []
 
