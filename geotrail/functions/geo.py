@@ -15,9 +15,10 @@ KM = 6371.0088
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = KM) -> Column:
+    """Kilometers between two places, null where a coordinate is."""
     p, q = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((q - p) / 2), 2) + F.cos(p) * F.cos(q) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return 2 * radius * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def _band(km: float) -> float:

@@ -174,7 +174,8 @@ def d19_date_parts(t: Inputs):
     return d.withColumns({"year": C("year").cast("long"), "hours": F.round("hours", 4), "days": F.round("days", 4)})
 
 
-HAV = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians({d}) - radians({b})) / 2), 2) + cos(radians({b})) * cos(radians({d})) * pow(sin(radians({c} - {a}) / 2), 2))))"
+#: The sum of all four makes it null where one is, as the least of two values ignores a null.
+HAV = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians({d}) - radians({b})) / 2), 2) + cos(radians({b})) * cos(radians({d})) * pow(sin(radians({c} - {a}) / 2), 2)) + 0 * ({a} + {b} + {c} + {d})))"
 
 
 def km(a: str, b: str, c: str, d: str) -> str:

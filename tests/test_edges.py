@@ -314,6 +314,13 @@ def test_eligibility(spark):
     assert [r[0] for r in weights.collect()] == [0.78, 0.5, 0.5]
 
 
+def test_first_leg_has_no_length(spark):
+    df = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 1.0, 0.0), (2, 1, 50.0, 50.0)], "g int, t int, lon double, lat double")
+    assert [r.km is None for r in geo.legs(df, "g", ["t"]).orderBy("g", "t").collect()] == [True, False, True]
+    assert {r.g: (round(r.km, 1), r.points) for r in geo.route_length(df, "g", ["t"]).collect()} == {1: (111.2, 2), 2: (0.0, 1)}
+    assert geo.long_legs(df, "g", ["t"], "t", 100.0).count() == 1
+
+
 def test_distance_bands(spark):
     rows = [(1, True, 0.8, 499.0), (1, True, 0.79, 1.0), (2, True, 0.9, 500.0), (3, True, 0.9, 2000.0), (4, True, 0.9, None), (5, False, 0.9, 10.0), (6, True, 0.5, 10.0), (7, None, 0.9, 10.0)]
     df = spark.createDataFrame(rows, "k int, has_source boolean, name_similarity double, distance_m double")
