@@ -89,6 +89,13 @@ def test_nearest_in_time_whatever_the_spread(spark):
     assert {r.anchor_a for r in joins.nearest_asof(a, b.limit(0), "t", H, ["a"]).collect()} == {None}
 
 
+def test_nearest_in_time_reads_no_frame_anew(spark):
+    a, b = spark.createDataFrame([(1, 5), (2, None)], "k int, t bigint"), spark.createDataFrame([(7, 4), (8, 6)], "a int, t bigint")
+    out = joins.nearest_asof(a, b, "t", H, ["a"])
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    assert {(r.k, r.anchor_a) for r in out.collect()} == {(1, 7), (2, None)}
+
+
 def folded(visits, span=14 * D, gap=5 * D, far=300):
     """Segment of each visit by walking through its cluster."""
     out, last = {}, {}
