@@ -96,6 +96,20 @@ def test_nearest_in_time_reads_no_frame_anew(spark):
     assert {(r.k, r.anchor_a) for r in out.collect()} == {(1, 7), (2, None)}
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_totals_in_spans_without_their_pairs(spark, parts):
+    rng = random.Random(parts)
+    at = lambda: rng.choice([rng.randrange(0, 9 * D), 4 * D, 4 * D + 1])
+    spans = [(f"s{k % 40}", start := at(), start + rng.choice([0, 0, D, 3 * D, -D, -3 * D])) for k in range(60)] + [("none", 90 * D, 91 * D), ("null", None, 3 * D), (None, 0, D)]
+    spans += [("ends", 20 * D, 21 * D), ("unknown", 40 * D, 41 * D)]
+    events = [(k - 50, at()) for k in range(300)] + [(1000, 19 * D), (2000, 19 * D - 1), (4000, 22 * D), (8000, 22 * D + 1), (None, 40 * D), (5, None), (2**62, 60 * D), (2**62, 60 * D), (2**62, 61 * D)]
+    s, e = spark.createDataFrame(spans, "trip string, start bigint, end bigint"), spark.createDataFrame(events, "v bigint, t bigint").repartition(parts)
+    got = {tuple(r) for r in joins.interval_totals(s, e, "trip", "t", "v").collect()}
+    pairs = joins.interval_join(s, e, "t").groupBy("trip").agg(F.count("*"), F.sum("v"))
+    assert got == {tuple(r) for r in pairs.collect()} and ("ends", 2, 5000) in got and ("unknown", 1, None) in got
+    assert joins.interval_totals(s.limit(0), e, "trip", "t", "v").count() == joins.interval_totals(s, e.limit(0), "trip", "t", "v").count() == 0
+
+
 def folded(visits, span=14 * D, gap=5 * D, far=300):
     """Segment of each visit by walking through its cluster."""
     out, last = {}, {}
