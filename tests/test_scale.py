@@ -46,6 +46,15 @@ def test_along_a_route(spark):
     assert both == {(k, v) for k, v, d in want if v % 2 or d <= 100}
 
 
+def test_along_a_route_returned_pairs_are_joined_last(spark):
+    t = spark.createDataFrame([(1, 0, D), (1, 20 * D, 21 * D), (1, 0, 2 * D), (2, 50 * D, 40 * D)], "trip_id int, start bigint, end bigint")
+    r = spark.createDataFrame([(1, 100.0, 30.0), (2, 100.0, 30.0)], "trip_id int, lon double, lat double")
+    p = spark.createDataFrame([(k, k * D, 100.0, 30.0) for k in range(60)] + [(60, D, None, 30.0), (61, None, 100.0, 30.0)], "post_id int, t bigint, lon double, lat double")
+    out = joins.attach_context(t, r, p)
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert sorted((x.trip_id, x.post_id) for x in out.collect()) == [(1, k) for k in (0, 1, 2, 3, 19, 20, 21, 22)]
+
+
 @pytest.mark.parametrize("few, ranges", [(100_000, 64), (40, 8), (5, 4)])
 def test_quantiles(spark, few, ranges):
     rng = np.random.default_rng(few)
