@@ -101,3 +101,13 @@ def test_clusters_by_cells_equal_clusters_by_pairs(spark):
         want = {r.visit_id: (r.cluster, r.role) for r in cluster.st_dbscan(df, joins.st_pairs(df, days, reach), least).collect()}
         got = {r.visit_id: (r.cluster, r.role) for r in cluster.st_dbscan_near(df, days, reach, least).collect()}
         assert got == want and len({c for c, _ in want.values()}) > 3
+
+
+def test_records_of_clusters_without_a_list_of_edges(spark):
+    rng = random.Random(9)
+    rows = [(k, rng.randrange(0, 6 * DAY), 100 + rng.choice([0, 0.5, 3]) + rng.uniform(0, 0.2), 30 + rng.uniform(0, 0.2), k % 3, k % 5, None if k % 10 == 0 else k % 2) for k in range(120)]
+    df = spark.createDataFrame(rows, "visit_id bigint, t bigint, lon double, lat double, province int, city int, cluster int")
+    df = df.unionByName(spark.createDataFrame([(500, 5, 10.0, 1.0, 1, 1, 7)], df.schema))  # a cluster without edges
+    want = cluster.cluster_records(df, cluster.neighbor_rule(df, (1, 30)))
+    got = cluster.cluster_records_near(df, 1, 30)
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
