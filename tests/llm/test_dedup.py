@@ -202,3 +202,12 @@ def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
         repeats.Parse([b"x"], 100)
+
+
+def test_once_gives_the_rows_of_plain_joins(spark):
+    members = spark.createDataFrame([(n, i) for i in (1, 2, 3) for n in range(i * 10, i * 10 + 4)] + [(10, 1), (99, 9)], "node long, id long")
+    sizes, labels = spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "id long, n long"), spark.createDataFrame([(1, 1), (3, 1)], "id long, label long")
+    got = nearset._once(members, sizes, labels)
+    plain = members.join(sizes, "id").join(labels, "id", "left")
+    assert sorted(got.select("node", "id", "n", "label").collect(), key=str) == sorted(plain.select("node", "id", "n", "label").collect(), key=str)
+    assert got.count() == 13
