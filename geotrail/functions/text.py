@@ -5,19 +5,24 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def unicode_form(c: Column, form: str) -> Column:
-    """A Unicode normalization form, which has no built-in function."""
+    """A Unicode normalization form, which has no built-in function. ASCII texts stay as they are and don't go to Python, others go there few at a time, as one may be very long."""
 
-    @F.pandas_udf("string")
-    def normalize(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else unicodedata.normalize(form, x))
+    @F.udf("string", useArrow=False)
+    def normalize(text: str | None) -> str | None:
+        return None if text is None else unicodedata.normalize(form, text)
 
-    return normalize(c)
+    plain = F.length(c) == F.octet_length(c)
+    return F.coalesce(F.when(plain, c), normalize(F.when(~plain, c)))
+
+
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def norm_nfkd(c: Column) -> Column:

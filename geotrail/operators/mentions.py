@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +37,11 @@ def find_terms(text: str, terms: list[str]) -> list[list[int]]:
 
 
 def occurrences(text: Column, terms: Column) -> Column:
-    """array of find_terms() for an array of terms; null texts and terms have none."""
+    """array of find_terms() for an array of terms; null texts and terms have none. Texts go to Python few at a time, as one may be very long."""
 
-    @F.pandas_udf("array<array<int>>")
-    def starts(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series([find_terms(text or "", ["" if t is None else t for t in terms]) for text, terms in zip(texts, lists, strict=True)], dtype=object)
+    @F.udf("array<array<int>>", useArrow=False)
+    def starts(text: str | None, terms: list[str | None]) -> list[list[int]]:
+        return find_terms(text or "", ["" if t is None else t for t in terms])
 
     return starts(text, terms)
 

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geotrail.functions import geo
-from geotrail.operators import audit, joins, rollups, sequences, serve
+from geotrail.functions import geo, text
+from geotrail.operators import audit, joins, mentions, rollups, sequences, serve
 
 C = F.col
 H, D = 3_600_000_000, 86_400_000_000
@@ -307,3 +307,47 @@ def test_cover_of_polygons(spark):
     one = spark.createDataFrame([(1, [[{"x": x, "y": y} for x, y in [*ring, ring[0]]]])], df.schema)
     cover = geo.polygon_cover(one, "k", 0.5, 4, 2).collect()
     assert max(len(r.edges) for r in cover) <= 20 and max(len(r.ends) for r in cover) <= 4 and sum(r.level > 0 for r in cover) > 20 and len(cover) < 1500, (len(cover), sum(r.level > 0 for r in cover))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_are_normalized_and_compared_once(spark):
+    df = spark.createDataFrame([("blue house", ["blue hous", "red"])], "k string, n array<string>")
+    assert plan_of(df.select(text.best_name(C("k"), C("n")))).count("levenshtein(") <= 4  # its name shows them again
+
+
+def test_bigrams_are_made_once_for_each_side(spark):
+    df = spark.createDataFrame([("night", "nacht")], "a string, b string")
+    assert plan_of(df.select(text.dice(C("a"), C("b")))).count("sequence(") <= 4
+
+
+def test_python_gets_few_long_texts_at_once(spark):
+    df = spark.createDataFrame([("Ａ b", ["b"])], "v string, w array<string>")
+    for c in (mentions.occurrences(C("v"), C("w")), text.norm_nfkc(C("v"))):
+        assert "BatchEvalPython" in plan_of(df.select(c)) and "ArrowEvalPython" not in plan_of(df.select(c))
+    assert df.select(text.norm_nfkc(C("v")), text.norm_nfkd(F.lit(None).cast("string")), text.norm_nfkd(F.lit("é"))).first() == ("ab", None, "e")
+
+
+def test_shortest_orders_write_no_rounds(spark, monkeypatch):
+    tables, kept = [], serve.written
+    monkeypatch.setattr(serve, "written", lambda df: tables.append(kept(df)) or tables[-1])
+    rows = spark.createDataFrame([("g", n, float(n % 3), n / 7) for n in range(6)] + [("h", n, 0.0, 0.0) for n in range(9)] + [("i", 1, 2.0, 3.0)], "g string, node long, lon double, lat double")
+    got = {r.g: r for r in serve.shortest_order(rows, "g").collect()}
+    assert len(tables) == 1 and sorted(got["g"].path) == list(range(6)) and got["h"].status == "too_many" and got["h"].path is None and (got["i"].path, got["i"].km) == ([1], 0.0)
+
+
+def test_quantiles_with_ranges_of_odd_numbers(spark):
+    values = [float(v % 13) for v in range(200)] + [1e300, -1e300, 0.5] * 9
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for ranges in (2, 3, 7, 10):
+        got = rollups.quantiles(df, "x", few=2, ranges=ranges).first()
+        assert (got.median, round(got.p90, 6), got["max"]) == (sorted(values)[113], round(float(np.quantile(values, 0.9)), 6), 1e300)
+
+
+def test_no_side_of_pairs_passes_through_the_driver(spark):
+    rows = spark.createDataFrame([(k, k * 1000, 10.0, 20.0) for k in range(9)], "visit_id long, t long, lon double, lat double")
+    same = rows.withColumnRenamed("visit_id", "id")
+    for df, n in ((joins.st_pairs(rows, 1, 100), 36), (joins.st_near(same, same, 1, 100), 72)):
+        assert not [x for x in plan_of(df).splitlines() if "BroadcastHashJoin" in x and "Inner" in x] and df.count() == n
