@@ -99,21 +99,34 @@ def best_name(keyword: Column, names: Column, norm: Callable[[Column], Column] =
 
     Names and their bases are compared in the form that norm gives. Without a similar name the score is 0, the kind none.
     """
-    k, kb = norm(keyword), norm(base_name(keyword))
-
-    def scored(name: Column, i: Column) -> Column:
-        n, nb = norm(name), norm(base_name(name))
-        edit, base = edit_similarity(k, n), edit_similarity(kb, nb)
-        best = F.greatest(edit, base)
-        inside = contains_either(kb, nb) & (F.least(F.length(kb), F.length(nb)) >= 2)
-        exact, same = (k == n) & (k != ""), (kb == nb) & (kb != "")
-        score = F.when(exact, 1.0).when(same, F.greatest(F.lit(0.96), best)).when(inside, F.greatest(best, 0.72 + 0.18 * length_ratio(kb, nb))).otherwise(best)
-        kind = F.when(exact, "exact").when(same, "same_base").when(inside, "contains").when(base > edit, "base_edit").otherwise("edit")
-        return F.struct(score.alias("score"), (-i).alias("order"), kind.alias("kind"), name.alias("name"))
-
-    top = F.array_max(F.transform(F.filter(names, lambda x: F.trim(x) != ""), scored))
-    found = top["score"] > 0
-    return F.struct(F.coalesce(top["score"], F.lit(0.0)).alias("score"), F.when(found, top["kind"]).otherwise("none").alias("kind"), F.when(found, top["name"]).otherwise("").alias("name"))
+    key = F.struct(norm(keyword).alias("k"), norm(base_name(keyword)).alias("kb"))
+
+    def forms(name: Column) -> Column:
+        return F.struct(name.alias("name"), norm(name).alias("n"), norm(base_name(name)).alias("nb"))
+
+    def compared(key: Column) -> Callable[[Column], Column]:
+        return lambda x: F.struct(
+            x["name"].alias("name"),
+            edit_similarity(key["k"], x["n"]).alias("edit"),
+            edit_similarity(key["kb"], x["nb"]).alias("base"),
+            (contains_either(key["kb"], x["nb"]) & (F.least(F.length(key["kb"]), F.length(x["nb"])) >= 2)).alias("inside"),
+            ((key["k"] == x["n"]) & (key["k"] != "")).alias("exact"),
+            ((key["kb"] == x["nb"]) & (key["kb"] != "")).alias("same"),
+            length_ratio(key["kb"], x["nb"]).alias("ratio"),
+        )
+
+    def scored(x: Column, i: Column) -> Column:
+        best = F.greatest(x["edit"], x["base"])
+        score = F.when(x["exact"], 1.0).when(x["same"], F.greatest(F.lit(0.96), best)).when(x["inside"], F.greatest(best, 0.72 + 0.18 * x["ratio"])).otherwise(best)
+        kind = F.when(x["exact"], "exact").when(x["same"], "same_base").when(x["inside"], "contains").when(x["base"] > x["edit"], "base_edit").otherwise("edit")
+        return F.struct(score.alias("score"), (-i).alias("order"), kind.alias("kind"), x["name"].alias("name"))
+
+    def chosen(top: Column) -> Column:
+        found = top["score"] > 0
+        return F.struct(F.coalesce(top["score"], F.lit(0.0)).alias("score"), F.when(found, top["kind"]).otherwise("none").alias("kind"), F.when(found, top["name"]).otherwise("").alias("name"))
+
+    named = F.transform(F.filter(names, lambda x: F.trim(x) != ""), forms)
+    return once(once(key, lambda key: F.array_max(F.transform(F.transform(named, compared(key)), scored))), chosen)
 
 
 def clue_match(clues: Column, fields: Column) -> Column:
