@@ -77,10 +77,13 @@ def bigrams(c: Column) -> Column:
 
 def dice(a: Column, b: Column) -> Column:
     """Multiset overlap of bigrams, 0 for a single letter; where one text holds the other, their length ratio, at least 0.65, or 0.5 for two letters."""
-    x, y = bigrams(a), bigrams(b)
     count = lambda xs, g: F.size(F.filter(xs, lambda v: v == g))
-    shared = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, g: s + F.least(count(x, g), count(y, g)))
-    plain = 2 * shared / (F.size(x) + F.size(y))
+
+    def overlap(r: Column) -> Column:
+        shared = F.aggregate(F.array_distinct(r["x"]), F.lit(0), lambda s, g: s + F.least(count(r["x"], g), count(r["y"], g)))
+        return 2 * shared / (F.size(r["x"]) + F.size(r["y"]))
+
+    plain = once(F.struct(bigrams(a).alias("x"), bigrams(b).alias("y")), overlap)
     shorter = F.least(F.length(a), F.length(b))
     held = F.greatest(length_ratio(a, b), F.when(shorter >= 3, 0.65).when(shorter == 2, 0.5).otherwise(0.0))
     return F.when(shorter == 0, 0.0).when(a == b, 1.0).when(contains_either(a, b), held).when(shorter == 1, 0.0).otherwise(plain)
