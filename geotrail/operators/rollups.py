@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,7 +117,7 @@ def ranked_values(rows: DataFrame, wanted: DataFrame, few: int = 100_000, ranges
     cut again, until a range has few rows or a single value; then its distinct values are counted. So no buffer grows with the
     values. Whatever the cuts, counts are exact.
     """
-    at, done, start = ["_g", "_r"], [], F.lit(0).cast("long")
+    at, done, start, step = ["_g", "_r"], [], F.lit(0).cast("long"), max(1, isqrt(ranges))
     rows, wanted = rows.select("_g", start.alias("_r"), "v"), written(wanted.select("_g", start.alias("_r"), start.alias("_base"), "rank"))
     while True:
         shares = F.array(*[F.lit((k + 1) / ranges) for k in range(ranges - 1)])
@@ -127,9 +128,13 @@ def ranked_values(rows: DataFrame, wanted: DataFrame, few: int = 100_000, ranges
         if not sizes.where(large).limit(1).collect():
             return reduce(DataFrame.unionByName, done)
         # a range lies between two cuts; the values that equal a cut are one of their own
-        cuts = F.array_distinct("_cuts")
-        place = F.size(F.filter(cuts, lambda c: c < F.col("v"))) * 2 + F.size(F.filter(cuts, lambda c: c == F.col("v")))
-        placed = rows.join(sizes.where(large).select(*at, "_cuts"), at).select(*at, place.alias("_k"), "v")
+        # and it is found among every few cuts first, then among the few behind
+        cuts = sizes.where(large).select(*at, F.array_distinct("_cuts").alias("_cuts")).withColumn("_every", F.filter("_cuts", lambda _, i: i % step == step - 1))
+        below = lambda xs: F.size(F.filter(xs, lambda c: c < F.col("v")))
+        placed = rows.join(cuts, at).withColumn("_k", below("_every") * step)
+        placed = placed.withColumn("_k", F.col("_k") + below(F.slice("_cuts", F.col("_k") + 1, F.lit(step))))
+        place = F.col("_k") * 2 + F.coalesce(F.get("_cuts", "_k") == F.col("v"), F.lit(False)).cast("int")
+        placed = placed.select(*at, place.alias("_k"), "v")
         counts = placed.groupBy(*at, "_k").agg(F.count("*").alias("_n"))  # at most 2 * ranges for a range
         hits = written(_at_ranks(counts, at, "_k", wanted))
         number = F.xxhash64("_r", "_k").alias("_r")
