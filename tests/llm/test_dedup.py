@@ -54,6 +54,17 @@ def test_components(spark):
     assert got == {**{k: 100 for k in range(100, 161)}, 1: 1, 2: 1, 7: 1, 8: 8, 9: 8}
 
 
+def test_shingles_hash_words_together(monkeypatch):
+    rng = random.Random(22)
+    texts = [None, "", " ", "a", "A b\x0bC", "x y x y x y x y x y", "é É a b c d", *[prose(rng, n) for n in (4, 5, 6, 900)]]
+    monkeypatch.delattr(nearset.hashlib, "blake2b")  # no call for each word
+    for text in texts:
+        s = nearset.shingles(text)
+        assert len(s) == len(plain_shingles(text)) and (s[1:] > s[:-1]).all()
+    assert (nearset.shingles("A b c d e f") == nearset.shingles("a  b c d e f")).all()
+    assert not set(nearset.shingles("a b c d e")) & set(nearset.shingles("a b c d")) | set(nearset.shingles("b a c d e")) & set(nearset.shingles("a b c d e"))
+
+
 def plain_shingles(text):
     words = (text or "").encode().lower().split()
     return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()

@@ -171,3 +171,14 @@ def test_pivots_measure_whole_sets():
         want = {k: (len(np.intersect1d(s, t)), len(np.union1d(s, t))) for k, t in enumerate(kept) if len(np.intersect1d(s, t))}
         assert got == want and sorted(pivots.ordered(s, at)) == s.tolist()
     assert metricjoin.prefixes(10, 80) == (3, 2)
+
+
+def test_few_shingles_are_searched_in_the_sample(monkeypatch):
+    rng = random.Random(24)
+    texts = [prose(rng, 60) for _ in range(30)]
+    pivots, looked_up, search = metricjoin.Pivots(texts, 80), [], np.searchsorted
+    monkeypatch.setattr(metricjoin.np, "searchsorted", lambda a, v: looked_up.append(len(v)) or search(a, v))
+    other = metricjoin.shingles(prose(rng, 5000))
+    assert (pivots.place(other) == -1).all() and sum(looked_up) < 50
+    assert (pivots.tokens[pivots.place(metricjoin.shingles(texts[3]))] == metricjoin.shingles(texts[3])).all()
+    assert (metricjoin.Pivots([], 80).place(other) == -1).all()
