@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geotrail.llm import nearset, recipes, repeats
+from geotrail.llm import common, graph, nearset, recipes, repeats
 from geotrail.llm.graph import components
 
 from .data import awkward, documents, frame, prose
@@ -54,6 +54,21 @@ def test_components(spark):
     assert got == {**{k: 100 for k in range(100, 161)}, 1: 1, 2: 1, 7: 1, 8: 8, 9: 8}
 
 
+def test_components_drop_edges_that_are_settled(spark, monkeypatch):
+    rng = random.Random(21)
+    edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1500)] + [(k, k) for k in (5, 6000)] + [(k + 1, k) for k in range(7000, 7100)]
+    label = {}
+    for a, b in sorted(map(sorted, edges)) * 99:
+        label[a] = label[b] = min(label.get(a, a), label.get(b, b))
+    assert all(label[a] == label[b] for a, b in edges)
+    assert {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()} == label
+    written = []
+    monkeypatch.setattr(graph, "materialize", lambda df: written.append((out := common.materialize(df)).count()) or out)
+    star = [(0, k) for k in range(1, 2001)] + [(k, k + 1) for k in range(1, 2000, 2)]
+    assert {r.label for r in components(spark.createDataFrame(star, "a bigint, b bigint")).collect()} == {0}
+    assert sum(written) <= 3000 + 2 * 2001  # the edges once, each node twice, then nothing is left
+
+
 def test_shingles_hash_words_together(monkeypatch):
     rng = random.Random(22)
     texts = [None, "", " ", "a", "A b\x0bC", "x y x y x y x y x y", "é É a b c d", *[prose(rng, n) for n in (4, 5, 6, 900)]]
