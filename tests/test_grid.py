@@ -3,6 +3,8 @@
 import random
 from math import asin, cos, radians, sin, sqrt
 
+import pytest
+
 from geotrail.functions import geo
 from geotrail.operators import cluster, joins, serve
 
@@ -111,3 +113,17 @@ def test_records_of_clusters_without_a_list_of_edges(spark):
     want = cluster.cluster_records(df, cluster.neighbor_rule(df, (1, 30)))
     got = cluster.cluster_records_near(df, 1, 30)
     assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_shortest_order_writes_no_partial_paths(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(f"g{g}", f"n{k}", rng.uniform(100, 102), rng.uniform(30, 32)) for g in range(40) for k in range(1 + g % 8)]
+    rows += [("alone", "a", None, 1.0), ("unknown", "b", None, 1.0), ("unknown", "a", 2.0, 1.0), ("twice", "a", 1.0, 1.0), ("twice", "a", 2.0, 1.0), ("nan", "b", float("nan"), 1.0), ("nan", "a", 1.0, 1.0)]
+    rows += [("line", n, x, 0.0) for n, x in (("c", 1.0), ("a", 3.0), ("b", 2.0))] + [(None, "a", 1.0, 1.0)]
+    written, write = [], serve.written
+    monkeypatch.setattr(serve, "written", lambda df: written.append((out := write(df)).count()) or out)
+    got = {r.g: (r.status, r.path, r.km) for r in serve.shortest_order(spark.createDataFrame(rows, "g string, node string, lon double, lat double"), "g").collect()}
+    assert sum(written) == len(got) == 46  # a row for each group, none for a path on the way
+    assert got["alone"] == ("solved", ["a"], 0.0) and got["unknown"] == ("solved", ["a", "b"], None) and got["twice"] == got[None] == ("solved", None, None)
+    assert got["nan"][:2] == ("solved", ["a", "b"]) and got["g7"] == ("too_many", None, None)
+    assert got["line"][1] == ["a", "b", "c"] and got["line"][2] == pytest.approx(222.39, abs=0.1)
