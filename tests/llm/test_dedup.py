@@ -237,3 +237,37 @@ def test_once_gives_the_rows_of_plain_joins(spark):
     plain = members.join(sizes, "id").join(labels, "id", "left")
     assert sorted(got.select("node", "id", "n", "label").collect(), key=str) == sorted(plain.select("node", "id", "n", "label").collect(), key=str)
     assert got.count() == 13
+
+
+def test_children_of_a_group_are_made_once(spark, monkeypatch):
+    rng = random.Random(23)
+    base = prose(rng, 300).split()
+    texts = []
+    for k in range(400):
+        copy = list(base)
+        copy[k % 300] = f"new{k}"
+        texts.append(" ".join(copy))
+    branch, made = nearset._branch, []
+
+    def counted(*of):
+        tally = spark.sparkContext.accumulator(0)
+
+        def count(batches):
+            for pdf in batches:
+                tally.add(len(pdf))
+                yield pdf
+
+        out = branch(*of)
+        made.append(tally)
+        return out.mapInPandas(count, out.schema)
+
+    monkeypatch.setattr(nearset, "_branch", counted)
+    rows = []
+    for n in (200, 400):
+        made.clear()
+        classes = spark.createDataFrame([(k, nearset.minwise(nearset.shingles(t)).tolist()) for k, t in enumerate(texts[:n])], "id long, tokens array<int>")
+        found, leaves = nearset.candidates(classes)
+        assert leaves.count() > 0 and len(made) == nearset.DEPTH
+        assert max(tally.value for tally in made) <= n * nearset.TREES * nearset.FIRST  # linear in the group, each computed a single time
+        rows.append(sum(tally.value for tally in made))
+    assert rows[1] <= 2.5 * rows[0]
