@@ -343,3 +343,31 @@ def test_no_side_of_pairs_passes_through_the_driver(spark):
     same = rows.withColumnRenamed("visit_id", "id")
     for df, n in ((joins.st_pairs(rows, 1, 100), 36), (joins.st_near(same, same, 1, 100), 72)):
         assert not [x for x in plan_of(df).splitlines() if "BroadcastHashJoin" in x and "Inner" in x] and df.count() == n
+
+
+def test_pairs_and_their_totals_from_gathered_visits(spark, monkeypatch):
+    rng = random.Random(11)
+    spots = [(100.0, 30.0), (100.2, 30.1), (100.2, 30.9), (179.9, 0.0), (-179.9, 0.1)]
+    times = [rng.randrange(0, 4 * D) for _ in range(30)]
+    rows = [(k, rng.choice(times) if k % 3 else rng.randrange(0, 4 * D), *rng.choice(spots), k % 2) for k in range(400)]
+    df = spark.createDataFrame([*rows, (900, 5, None, 30.0, 1), (901, None, 100.0, 30.0, 1)], "visit_id bigint, t bigint, lon double, lat double, g int")
+    pairs = [(min(a, b)[0], max(a, b)[0], abs(a[1] - b[1]), km(*a[2:4], *b[2:4]), (a[4], b[4])) for i, a in enumerate(rows) for b in rows[:i]]
+    within = {(p, q, round(gap / D, 4), round(d, 3)) for p, q, gap, d, _ in pairs if gap <= D and d <= 60}
+    assert {tuple(r) for r in joins.st_pairs(df, 1, 60, digits={"gap_days": 4, "km": 3}).collect()} == within
+    far = sorted((p, q) for p, q, gap, d, _ in pairs if gap <= 1.5 * D and d <= 120 and not (gap <= D and d <= 60))
+    assert sorted((r.left, r.right) for r in joins.st_pairs(df, 1.5, 120, beyond=(1, 60)).collect()) == far and len(far) > 100
+    for unit, block in ((1024, 2000), (7, 20)):  # all visits of a place and span in one row, and dealt over rows
+        monkeypatch.setattr(joins.gathered, "__defaults__", (unit,))
+        assert sorted((r.left, r.right) for r in joins.st_pairs(df, 1, 60, block=block).collect()) == sorted(x[:2] for x in within)
+        got = {r.g: (r.edges, round(r.longest_km, 6)) for r in joins.st_pair_totals(df, 1, 60, "g", block=block).collect()}
+        inside = {g: [d for *_, gap, d, ends in pairs if ends == (g, g) and gap <= D and d <= 60] for g in (0, 1)}
+        assert got == {g: (len(ds), round(max(ds), 6)) for g, ds in inside.items()}
+
+
+def test_pairs_are_made_from_a_row_for_each_place_and_span(spark):
+    rows = spark.createDataFrame([(k, k * 1000, 10.0, 20.0) for k in range(60)], "visit_id long, t long, lon double, lat double")
+    near = joins._units_near(joins.gathered(*joins._spans(rows, 1, "visit_id", "t", None)), 100, 2000, False)
+    assert near.count() == 1 and joins.st_pairs(rows, 1, 100).count() == 60 * 59 // 2
+    # what makes the pairs neither measures nor rounds, and calls no function for each
+    plan = joins.st_pairs(rows, 1, 100, digits={"gap_days": 4, "km": 3})._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "ASIN" not in plan and "round" not in plan
