@@ -371,3 +371,14 @@ def test_pairs_are_made_from_a_row_for_each_place_and_span(spark):
     # what makes the pairs neither measures nor rounds, and calls no function for each
     plan = joins.st_pairs(rows, 1, 100, digits={"gap_days": 4, "km": 3})._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
     assert "ASIN" not in plan and "round" not in plan
+
+
+def test_pairs_along_a_route_are_compared_by_time_only(spark):
+    t = spark.createDataFrame([(1, 0, D), (1, D, 3 * D), (1, 9 * D, 9 * D)], "trip_id int, start bigint, end bigint")
+    r = spark.createDataFrame([(1, 100.0, 30.0)], "trip_id int, lon double, lat double")
+    p = spark.createDataFrame([(k, k * H, 100.5, 30.0) for k in range(400)], "post_id int, t bigint, lon double, lat double")
+    out = joins.attach_context(t, r, p, digits=3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "exists" not in plan and "round" not in plan
+    hours = [k for k in range(400) if k <= 96 or 192 <= k <= 240]
+    assert sorted((x.trip_id, x.post_id, x.km) for x in out.collect()) == [(1, k, round(km(100.5, 30, 100, 30), 3)) for k in hours]
