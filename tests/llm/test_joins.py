@@ -12,7 +12,7 @@ from geotrail.llm import bond, metricjoin, spelling
 from geotrail.llm.queries import ORACLES, QUERIES
 
 from ..oracles import assert_same
-from .data import awkward, frame, prose
+from .data import awkward, documents, frame, prose
 from .test_dedup import near_by_force
 
 
@@ -182,3 +182,27 @@ def test_few_shingles_are_searched_in_the_sample(monkeypatch):
     assert (pivots.place(other) == -1).all() and sum(looked_up) < 50
     assert (pivots.tokens[pivots.place(metricjoin.shingles(texts[3]))] == metricjoin.shingles(texts[3])).all()
     assert (metricjoin.Pivots([], 80).place(other) == -1).all()
+
+
+def test_jaccard_join_leaves_no_shuffles_and_no_shingles_behind(spark):
+    import time
+    from pathlib import Path
+
+    rng = random.Random(5)
+    base = [prose(rng, 60) for _ in range(40)]
+    texts = [base[k % 40] + (f" x{k} y{k}" if k % 3 else "") for k in range(160)]
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    local = [Path(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    shuffles = lambda: {f.name for d in local for f in d.rglob("shuffle_*.data")}
+    folders, files, name = set(shared.iterdir()), shuffles(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name, None)
+    out = metricjoin.similar_documents(documents(spark, texts))
+    assert spark.conf.get(name, None) == setting
+    until = time.time() + 20
+    while (left := shuffles() - files) and time.time() < until:
+        time.sleep(0.5)
+    assert not left
+    tables = [spark.read.parquet(f"file://{d}").columns for d in set(shared.iterdir()) - folders if any(d.rglob("*.parquet"))]
+    assert tables and not [c for c in tables if "tokens" in c or "visits" in c]
+    # the table that is returned can be read more than once
+    assert out.count() == len(out.collect()) == len(out.collect()) == 160
